@@ -84,23 +84,30 @@ def indication_scan_sql(draw: str) -> str:
     return "CASE " + " ".join(parts) + " END"
 
 
-def request_cte() -> str:
+def request_base_cte() -> str:
     flags = ", ".join(dims.FLAG_COLUMNS)
     any_yes = " OR ".join(f"coalesce(lower({c}) = 'yes', false)" for c in dims.FLAG_COLUMNS)
     return appointment_cte() + f""",
 request_a AS (
   SELECT patient_id, site, age, gender, {flags},
          {yes_no_sql(any_yes)} AS flag_present,
-         {pick_sql(u_sql('patient_id', 'indication'), dims.INDICATIONS)} AS indication,
-         CAST(2 + floor({u_sql('patient_id', 'gap')} * 13) AS BIGINT) AS gap
+         {pick_sql(u_sql('patient_id', 'indication'), dims.INDICATIONS)} AS indication
   FROM appointment),
+request_s AS (
+  SELECT *, {indication_scan_sql(u_sql('patient_id', 'indication_scan'))} AS scan_type FROM request_a),
+request_base AS (
+  SELECT *, {yes_no_sql("scan_type LIKE '%Contrast%'")} AS contrast FROM request_s)"""
+
+
+def request_cte() -> str:
+    flags = ", ".join(dims.FLAG_COLUMNS)
+    return request_base_cte() + f""",
 request_b AS (
-  SELECT *, {indication_scan_sql(u_sql('patient_id', 'indication_scan'))} AS scan_type,
-         row_number() OVER (PARTITION BY site ORDER BY patient_id) - 1 AS row_index,
-         CAST(sum(gap) OVER (PARTITION BY site ORDER BY patient_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS clock
-  FROM request_a),
+  SELECT *, row_number() OVER (PARTITION BY site ORDER BY patient_id) - 1 AS row_index,
+         CAST(sum(CAST(2 + floor({u_sql('patient_id', 'gap')} * 13) AS BIGINT)) OVER (PARTITION BY site ORDER BY patient_id
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS clock
+  FROM request_base),
 request AS (
-  SELECT patient_id, site, row_index, age, gender, {flags}, flag_present, indication, scan_type,
-         {yes_no_sql("scan_type LIKE '%Contrast%'")} AS contrast,
+  SELECT patient_id, site, row_index, age, gender, {flags}, flag_present, indication, scan_type, contrast,
          TIMESTAMP '2025-10-01 00:00:00' + to_minutes(CAST(floor(clock / 600) * 1440 + 480 + clock % 600 AS BIGINT)) AS request_ts
   FROM request_b)"""

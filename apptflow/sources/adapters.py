@@ -88,6 +88,18 @@ def indication_scan(draw) -> F.Column:
     return expr
 
 
+def request_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row-local request columns (no ordering): flags, indication, scan, contrast."""
+    appt = appointment(spark, sf_dir)
+    pid = F.col("patient_id")
+    df = appt.select("patient_id", "site", "age", "gender", *dims.FLAG_COLUMNS).withColumns({
+        "flag_present": fx.flag_present(dims.FLAG_COLUMNS),
+        "indication": draws.pick(u(pid, "indication"), dims.INDICATIONS),
+    })
+    df = df.withColumn("scan_type", indication_scan(u(pid, "indication_scan")))
+    return df.withColumn("contrast", fx.contrast_from_scan("scan_type", case_sensitive=True))
+
+
 def request(spark: SparkSession, sf_dir: str, block_size: int | None = None) -> DataFrame:
     """Imaging requests (O1/3 re-aimed): one per historical patient.
 
@@ -97,15 +109,8 @@ def request(spark: SparkSession, sf_dir: str, block_size: int | None = None) ->
     minute gaps folded into 08:00-18:00 days; it is distributionally the
     reference's clock, not step-identical (its reset makes it sequential).
     """
-    appt = appointment(spark, sf_dir)
-    pid = F.col("patient_id")
-    df = appt.select("patient_id", "site", "age", "gender", *dims.FLAG_COLUMNS).withColumns({
-        "flag_present": fx.flag_present(dims.FLAG_COLUMNS),
-        "indication": draws.pick(u(pid, "indication"), dims.INDICATIONS),
-        "gap": (F.lit(2) + F.floor(u(pid, "gap") * 13)).cast("long"),
-    })
-    df = df.withColumn("scan_type", indication_scan(u(pid, "indication_scan")))
-    df = df.withColumn("contrast", fx.contrast_from_scan("scan_type", case_sensitive=True))
+    df = request_base(spark, sf_dir).withColumn(
+        "gap", (F.lit(2) + F.floor(u(F.col("patient_id"), "gap") * 13)).cast("long"))
     kw = {} if block_size is None else {"block_size": block_size}
     df = running_totals(df, ["site"], "patient_id",
                         {"row_index": F.lit(1).cast("long"), "clock": F.col("gap")}, **kw)
