@@ -21,22 +21,31 @@ from pyspark.sql import functions as F
 DEFAULT_BLOCK = 1 << 16
 
 
-def running_totals(df: DataFrame, partition_cols: list[str], order_col: str,
+def running_totals(df: DataFrame, partition_cols: list[str], order_col: str | None,
                    values: dict[str, Column], block_size: int = DEFAULT_BLOCK,
-                   inclusive: bool = True) -> DataFrame:
+                   inclusive: bool = True, block: Column | None = None,
+                   order: list[Column] | None = None) -> DataFrame:
     """Add ``name = Σ value`` over rows ordered by ``order_col`` within
     ``partition_cols``. ``order_col`` must be an integer key, unique within
-    its partition (ties would make the order ambiguous)."""
+    its partition (ties would make the order ambiguous).
+
+    For other orders pass ``block`` (a non-decreasing integer function of
+    the order) and ``order`` (the full ordering, unique within partition);
+    the block then only needs to be monotone in that order.
+    """
     blk = "_blk"
     tmp = {f"_v_{n}": v for n, v in values.items()}
-    d = df.withColumn(blk, F.floor(F.col(order_col) / F.lit(block_size)).cast("long")).withColumns(tmp)
+    if block is None:
+        block = F.floor(F.col(order_col) / F.lit(block_size))
+    d = df.withColumn(blk, block.cast("long")).withColumns(tmp)
     block_sums = d.groupBy(*partition_cols, blk).agg(*[F.sum(t).alias(t) for t in tmp])
     w_blocks = Window.partitionBy(*partition_cols).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
     offsets = block_sums.select(*partition_cols, blk, *[
         F.coalesce(F.sum(t).over(w_blocks), F.lit(0)).alias(f"_off{t}") for t in tmp])
     joined = d.join(offsets, on=[*partition_cols, blk], how="inner")
     upper = Window.currentRow if inclusive else -1
-    w_in = Window.partitionBy(*partition_cols, blk).orderBy(order_col).rowsBetween(Window.unboundedPreceding, upper)
+    inner_order = order if order is not None else [F.col(order_col)]
+    w_in = Window.partitionBy(*partition_cols, blk).orderBy(*inner_order).rowsBetween(Window.unboundedPreceding, upper)
     out = joined.withColumns({
         n: F.col(f"_off_v_{n}") + F.coalesce(F.sum(f"_v_{n}").over(w_in), F.lit(0))
         for n in values})
