@@ -1 +1,198 @@
-"""Placeholder."""
+"""Booking queries: shift grid, FCFS schedule and its consumers."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from apptflow.functions import flags as fx
+from apptflow.functions.draws import _sql_lit
+from apptflow.operators import booking as bk
+from apptflow.operators import policies as pol
+from apptflow.operators.scan import running_totals
+from apptflow.plans import sqlviews as sv
+from apptflow.plans.q_core import _reason_text_sql
+from apptflow.plans.registry import query
+from apptflow.sources import adapters, dims
+
+SCANNER_NAME = {sc: name for sc, name, _, _, _ in dims.SCANNERS}
+
+
+# --- Spark side --------------------------------------------------------------
+
+def fcfs_queue(spark, sf_dir) -> DataFrame:
+    """Requests with baseline minutes in queue order (request time, then index)."""
+    r = adapters.request(spark, sf_dir)
+    return r.select("site", "row_index", "patient_id", "age", "indication", "scan_type",
+                    fx.reason_text().alias("reason_text"),
+                    pol.baseline_minutes("scan_type").alias("duration"))
+
+
+def fcfs(spark, sf_dir) -> DataFrame:
+    return bk.fcfs_schedule(spark, fcfs_queue(spark, sf_dir))
+
+
+# --- SQL side ----------------------------------------------------------------
+
+def _shifts_sql() -> str:
+    sc = ", ".join(f"({s})" for s, _, _, _, _ in dims.SCANNERS)
+    return f"""bdays AS (SELECT CAST(d AS DATE) AS date FROM generate_series(DATE '{dims.BOOKING_START}', DATE '{dims.BOOKING_END}', INTERVAL 1 DAY) g(d)),
+sc AS (SELECT * FROM (VALUES {sc}) t(scanner)),
+seg AS (SELECT date, scanner, 0 AS open_min, CASE WHEN scanner = 4 AND isodow(date) = 3 THEN 300 ELSE 720 END AS close_min, 0 AS part
+        FROM bdays, sc
+        UNION ALL SELECT date, 4, 540, 720, 1 FROM bdays WHERE isodow(date) = 3),
+shifts AS (SELECT CAST(row_number() OVER (ORDER BY date, scanner, part) - 1 AS BIGINT) AS shift_no, date, scanner, open_min, close_min FROM seg)"""
+
+
+def _fcfs_sql() -> str:
+    """Test-only oracle: the head-of-line loop as a recursive CTE, one step per row."""
+    req = sv.request_cte()
+    return "WITH RECURSIVE " + req + ",\n" + _shifts_sql() + f""",
+items AS (SELECT site, row_index, patient_id, age, indication, scan_type, {_reason_text_sql()} AS reason_text,
+                 CAST({sv.rule_minutes_sql('scan_type')} AS INTEGER) AS duration FROM request),
+walk(site, j, s, cur, pj, ps, pstart) AS (
+  SELECT site, CAST(0 AS BIGINT), CAST(0 AS BIGINT), (SELECT open_min FROM shifts WHERE shift_no = 0),
+         CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS INTEGER)
+  FROM (SELECT DISTINCT site FROM items) s0
+  UNION ALL
+  SELECT w.site,
+         CASE WHEN w.cur + i.duration <= sh.close_min THEN w.j + 1 ELSE w.j END,
+         CASE WHEN w.cur + i.duration <= sh.close_min THEN w.s ELSE w.s + 1 END,
+         CASE WHEN w.cur + i.duration <= sh.close_min THEN w.cur + i.duration + {dims.CHANGEOVER_MINUTES} ELSE nsh.open_min END,
+         CASE WHEN w.cur + i.duration <= sh.close_min THEN w.j END,
+         CASE WHEN w.cur + i.duration <= sh.close_min THEN w.s END,
+         CASE WHEN w.cur + i.duration <= sh.close_min THEN w.cur END
+  FROM walk w JOIN items i ON i.site = w.site AND i.row_index = w.j
+  JOIN shifts sh ON sh.shift_no = w.s
+  LEFT JOIN shifts nsh ON nsh.shift_no = w.s + 1
+  WHERE w.cur + i.duration <= sh.close_min OR nsh.shift_no IS NOT NULL),
+fcfs AS (SELECT i.site, i.row_index, i.patient_id, i.age, i.indication, i.scan_type, i.reason_text, i.duration,
+                CAST(w.ps AS INTEGER) AS shift_no, sh.date, CAST(sh.scanner AS INTEGER) AS scanner,
+                CAST(w.pstart AS INTEGER) AS start_min, CAST(w.pstart + i.duration AS INTEGER) AS end_min
+         FROM walk w JOIN items i ON i.site = w.site AND i.row_index = w.pj JOIN shifts sh ON sh.shift_no = w.ps
+         WHERE w.pj IS NOT NULL)"""
+
+
+FCFS_COLS = ["site", "row_index", "patient_id", "age", "indication", "scan_type", "reason_text", "duration",
+             "shift_no", "date", "scanner", "start_min", "end_min"]
+
+
+@query("shift_grid", lambda: "WITH " + sv.request_base_cte() + ",\n" + _shifts_sql() +
+       " SELECT s.site, count(*) AS n_segments, CAST(sum(close_min - open_min) AS BIGINT) AS open_minutes"
+       " FROM (SELECT DISTINCT site FROM request_base) s, shifts GROUP BY s.site")
+def shift_grid(spark, sf_dir):
+    """Site x date x scanner segments of the booking horizon (L1), summarised per site."""
+    sites = adapters.request_base(spark, sf_dir).select("site").distinct()
+    g = bk.shift_grid(spark, sites)
+    return g.groupBy("site").agg(F.count(F.lit(1)).alias("n_segments"),
+                                 F.sum(F.col("close_min") - F.col("open_min")).cast("long").alias("open_minutes"))
+
+
+@query("fcfs_schedule", lambda: _fcfs_sql() + f" SELECT {', '.join(FCFS_COLS)} FROM fcfs")
+def fcfs_schedule(spark, sf_dir):
+    """Exact first-come-first-served packing per site (L2)."""
+    return fcfs(spark, sf_dir).select(*FCFS_COLS)
+
+
+def _scanner_name_sql(col: str) -> str:
+    return "CASE " + " ".join(f"WHEN {col} = {k} THEN {_sql_lit(v)}" for k, v in SCANNER_NAME.items()) + " END"
+
+
+def _clock_sql(col: str) -> str:
+    return f"strftime(CAST(date AS TIMESTAMP) + to_minutes(CAST({col} + 480 AS BIGINT)), '%H:%M')"
+
+
+@query("schedule_text", lambda: _fcfs_sql() + f"""
+SELECT site, {_scanner_name_sql('scanner')} AS scanner_name, strftime(date, '%Y-%m-%d') AS date_text,
+       dayname(date) AS day_name, {_clock_sql('start_min')} AS start_time, {_clock_sql('end_min')} AS end_time,
+       patient_id, age, indication AS clinical_indication, reason_text AS delay_reason, scan_type, duration
+FROM fcfs""")
+def schedule_text(spark, sf_dir):
+    """The schedule's display columns."""
+    s = fcfs(spark, sf_dir)
+    name = F.element_at(F.create_map(*[x for k, v in SCANNER_NAME.items() for x in (F.lit(k), F.lit(v))]), F.col("scanner"))
+    return s.select("site", name.alias("scanner_name"), F.date_format("date", "yyyy-MM-dd").alias("date_text"),
+                    F.date_format("date", "EEEE").alias("day_name"),
+                    bk.clock_text(F.col("date"), F.col("start_min"), "HH:mm").alias("start_time"),
+                    bk.clock_text(F.col("date"), F.col("end_min"), "HH:mm").alias("end_time"),
+                    "patient_id", "age", F.col("indication").alias("clinical_indication"),
+                    F.col("reason_text").alias("delay_reason"), "scan_type", "duration")
+
+
+@query("fill_rate", lambda: _fcfs_sql() + """
+SELECT r.site, r.requested, coalesce(b.booked, 0) AS booked FROM
+ (SELECT site, count(*) AS requested FROM items GROUP BY site) r
+ LEFT JOIN (SELECT site, count(*) AS booked FROM fcfs GROUP BY site) b ON r.site = b.site""")
+def fill_rate(spark, sf_dir):
+    """Booked vs requested per site."""
+    req = fcfs_queue(spark, sf_dir).groupBy("site").agg(F.count(F.lit(1)).alias("requested"))
+    booked = fcfs(spark, sf_dir).groupBy("site").agg(F.count(F.lit(1)).alias("booked"))
+    return req.join(booked, "site", "left").select("site", "requested", F.coalesce("booked", F.lit(0)).alias("booked"))
+
+
+@query("scanner_occupancy", lambda: _fcfs_sql() + """
+SELECT f.site, f.date, f.scanner, count(*) AS n_scans, CAST(sum(f.duration) AS BIGINT) AS busy_minutes,
+       CAST(sum(f.duration) AS DOUBLE) / o.open_minutes AS occupancy
+FROM fcfs f JOIN (SELECT date, scanner, sum(close_min - open_min) AS open_minutes FROM shifts GROUP BY 1, 2) o
+  ON o.date = f.date AND o.scanner = f.scanner
+GROUP BY f.site, f.date, f.scanner, o.open_minutes""")
+def scanner_occupancy(spark, sf_dir):
+    """Minutes used per scanner-day over its open minutes."""
+    s = fcfs(spark, sf_dir)
+    t = spark.createDataFrame(bk.shift_template(), "shift_no int, date date, scanner int, open_min int, close_min int")
+    open_m = t.groupBy("date", "scanner").agg(F.sum(F.col("close_min") - F.col("open_min")).alias("open_minutes"))
+    agg = s.groupBy("site", "date", "scanner").agg(F.count(F.lit(1)).alias("n_scans"),
+                                                   F.sum("duration").cast("long").alias("busy_minutes"))
+    return agg.join(F.broadcast(open_m), ["date", "scanner"]).select(
+        "site", "date", "scanner", "n_scans", "busy_minutes",
+        (F.col("busy_minutes") / F.col("open_minutes")).alias("occupancy"))
+
+
+@query("distinct_dates", lambda: _fcfs_sql() + " SELECT DISTINCT site, date FROM fcfs")
+def distinct_dates(spark, sf_dir):
+    return fcfs(spark, sf_dir).select("site", "date").distinct()
+
+
+@query("first_week", lambda: _fcfs_sql() + """,
+d AS (SELECT site, date, dense_rank() OVER (PARTITION BY site ORDER BY date) AS dr FROM (SELECT DISTINCT site, date FROM fcfs) x)
+SELECT f.site, f.date, f.scanner, f.patient_id, f.start_min FROM fcfs f JOIN d ON d.site = f.site AND d.date = f.date WHERE d.dr <= 7""")
+def first_week(spark, sf_dir):
+    """Rows of each site's first 7 distinct schedule dates."""
+    s = fcfs(spark, sf_dir)
+    days = s.select("site", "date").distinct()  # <= sites x horizon days
+    ranked = days.withColumn("dr", F.dense_rank().over(Window.partitionBy("site").orderBy("date")))
+    keep = ranked.filter(F.col("dr") <= 7).select("site", "date")
+    return s.join(keep, ["site", "date"], "left_semi").select("site", "date", "scanner", "patient_id", "start_min")
+
+
+def _colour_sql(col: str) -> str:
+    whens = " ".join(f"WHEN position({_sql_lit(k)} IN {col}) > 0 THEN {_sql_lit(c)}" for _, k, c in dims.COLOURS)
+    return f"CASE {whens} ELSE {_sql_lit(dims.OTHER_COLOUR)} END"
+
+
+@query("timeline", lambda: _fcfs_sql() + f""",
+d AS (SELECT site, date, dense_rank() OVER (PARTITION BY site ORDER BY date) AS dr FROM (SELECT DISTINCT site, date FROM fcfs) x)
+SELECT f.site, f.date, f.scanner, f.patient_id, f.start_min * 1.5 AS left_px, f.duration * 1.5 AS width_px,
+       {_colour_sql('f.reason_text')} AS colour,
+       CASE WHEN f.reason_text = 'None' THEN 'Std' ELSE split_part(f.reason_text, ',', 1) || ' (' || CAST(f.duration AS VARCHAR) || 'm)' END AS label,
+       'Patient: ' || CAST(f.patient_id AS VARCHAR) || ' | Scan: ' || f.scan_type || ' | Flag: ' || f.reason_text
+         || ' | Booked: ' || {_clock_sql('f.start_min').replace('date', 'f.date')} || '-' || {_clock_sql('f.end_min').replace('date', 'f.date')} AS tooltip
+FROM fcfs f JOIN d ON d.site = f.site AND d.date = f.date WHERE d.dr <= 7""")
+def timeline(spark, sf_dir):
+    """Timeline blocks of the first week (L12): position, width, colour, label, tooltip."""
+    wk = first_week(spark, sf_dir).select("site", "date", "patient_id")
+    s = fcfs(spark, sf_dir).join(wk, ["site", "date", "patient_id"], "left_semi")
+    colour = None
+    for _, k, c in dims.COLOURS:
+        cond = F.col("reason_text").contains(k)
+        colour = F.when(cond, c) if colour is None else colour.when(cond, c)
+    colour = colour.otherwise(dims.OTHER_COLOUR)
+    label = F.when(F.col("reason_text") == "None", "Std").otherwise(
+        F.concat(F.split_part(F.col("reason_text"), F.lit(","), F.lit(1)), F.lit(" ("),
+                 F.col("duration").cast("string"), F.lit("m)")))
+    tip = F.concat(F.lit("Patient: "), F.col("patient_id").cast("string"), F.lit(" | Scan: "), F.col("scan_type"),
+                   F.lit(" | Flag: "), F.col("reason_text"), F.lit(" | Booked: "),
+                   bk.clock_text(F.col("date"), F.col("start_min"), "HH:mm"), F.lit("-"),
+                   bk.clock_text(F.col("date"), F.col("end_min"), "HH:mm"))
+    return s.select("site", "date", "scanner", "patient_id", (F.col("start_min") * 1.5).alias("left_px"),
+                    (F.col("duration") * 1.5).alias("width_px"), colour.alias("colour"), label.alias("label"),
+                    tip.alias("tooltip"))
