@@ -196,3 +196,231 @@ def timeline(spark, sf_dir):
     return s.select("site", "date", "scanner", "patient_id", (F.col("start_min") * 1.5).alias("left_px"),
                     (F.col("duration") * 1.5).alias("width_px"), colour.alias("colour"), label.alias("label"),
                     tip.alias("tooltip"))
+
+
+# --- rules, caps, streaks, audit ------------------------------------------------
+
+def _has(col: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({col}, {_sql_lit(w)})" for w in words) + ")"
+
+
+def _rules_sql() -> str:
+    """Window columns of the audit over the FCFS schedule (twin of operators.audit)."""
+    sd = "PARTITION BY site, date, scanner"
+    run = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    return f""",
+a0 AS (SELECT *, isodow(date) - 1 AS wd,
+              CASE WHEN {_has('reason_text', ['Sedation', 'Claustro'])} THEN 1 ELSE 0 END AS sedf,
+              CASE WHEN reason_text <> 'None' THEN 1 ELSE 0 END AS flagf FROM fcfs),
+a1 AS (SELECT *,
+  sum(CASE WHEN contains(reason_text, 'Hoist') THEN 1 ELSE 0 END) OVER ({sd} ORDER BY start_min, patient_id {run}) AS hoists,
+  sum(CASE WHEN contains(reason_text, 'Hospital') THEN 1 ELSE 0 END) OVER (PARTITION BY site, date ORDER BY start_min, patient_id {run}) AS transports,
+  lead(start_min) OVER ({sd} ORDER BY start_min, patient_id) AS next_start,
+  count(*) OVER (PARTITION BY patient_id) AS n_patient,
+  sum(1 - sedf) OVER ({sd} ORDER BY start_min {run}) AS sed_island,
+  sum(1 - flagf) OVER ({sd} ORDER BY start_min {run}) AS flag_island FROM a0),
+a2 AS (SELECT *,
+  CASE WHEN sedf = 1 THEN sum(sedf) OVER (PARTITION BY site, date, scanner, sed_island ORDER BY start_min {run}) ELSE 0 END AS sed_streak,
+  CASE WHEN flagf = 1 THEN sum(flagf) OVER (PARTITION BY site, date, scanner, flag_island ORDER BY start_min {run}) ELSE 0 END AS flag_streak
+  FROM a1)"""
+
+
+def _audit_checks_sql() -> dict[str, str]:
+    from apptflow.operators import audit as au
+    r = "reason_text"
+    return {
+        "opening_hours": "start_min < 0 OR end_min > 720",
+        "closure": "scanner = 4 AND wd = 2 AND start_min < 540 AND end_min > 300",
+        "overlap": f"next_start < end_min + {dims.CHANGEOVER_MINUTES}",
+        "duplicate_patient": "n_patient > 1",
+        "weekend_barred": f"wd >= 5 AND {_has(r, au.WEEKEND_BARRED_WORDS)}",
+        "late_complex_start": f"{_has(r, au.COMPLEX_WORDS)} AND start_min > {au.LAST_COMPLEX_START}",
+        "hoist_lunch": "contains(reason_text, 'Hoist') AND start_min >= 240 AND start_min < 360",
+        "sedation_scanner_3": f"{_has(r, ['Sedation', 'Claustro'])} AND scanner = 3",
+        "mobility_scanner_2": f"scanner = 2 AND {_has(r, au.SCANNER2_BARRED_WORDS)}",
+        "transport_scanner_4": "scanner = 4 AND contains(reason_text, 'Hospital')",
+        "hoist_cap": f"contains(reason_text, 'Hoist') AND hoists > {au.MAX_HOISTS}",
+        "transport_cap": f"contains(reason_text, 'Hospital') AND transports > {au.MAX_TRANSPORTS_PER_DAY}",
+        "sedation_streak": f"sed_streak > {au.MAX_SEDATION_STREAK}",
+        "flag_streak": f"flag_streak > {au.MAX_FLAG_STREAK}",
+    }
+
+
+def _audit_sql() -> str:
+    checks = _audit_checks_sql()
+    aggs = ", ".join(f"count(*) FILTER (WHERE coalesce({c}, false)) AS {k}" for k, c in checks.items())
+    arms = " UNION ALL ".join(f"SELECT '{k}' AS rule, {k} AS violations FROM cnt" for k in checks)
+    return _fcfs_sql() + _rules_sql() + f", cnt AS (SELECT {aggs} FROM a2) {arms}"
+
+
+@query("schedule_audit", _audit_sql)
+def schedule_audit(spark, sf_dir):
+    """Booking rules as checks over the FCFS schedule."""
+    from apptflow.operators import audit as au
+    return au.schedule_audit(fcfs(spark, sf_dir))
+
+
+@query("running_caps", lambda: _fcfs_sql() + _rules_sql() + """
+SELECT 'hoist' AS cap, site, date, scanner, patient_id, hoists AS so_far FROM a2
+  WHERE contains(reason_text, 'Hoist') AND hoists > 2
+UNION ALL SELECT 'transport', site, date, scanner, patient_id, transports FROM a2
+  WHERE contains(reason_text, 'Hospital') AND transports > 3""")
+def running_caps(spark, sf_dir):
+    """Rows past a running cap: >2 hoists per scanner-day, >3 transports per site-day."""
+    from apptflow.operators import audit as au
+    s = fcfs(spark, sf_dir)
+    s = au.running_count(s, F.col("reason_text").contains("Hoist"), ["site", "date", "scanner"], "start_min", "hoists")
+    s = au.running_count(s, F.col("reason_text").contains("Hospital"), ["site", "date"], "start_min", "transports")
+    h = s.filter(F.col("reason_text").contains("Hoist") & (F.col("hoists") > au.MAX_HOISTS)).select(
+        F.lit("hoist").alias("cap"), "site", "date", "scanner", "patient_id", F.col("hoists").cast("long").alias("so_far"))
+    t = s.filter(F.col("reason_text").contains("Hospital") & (F.col("transports") > au.MAX_TRANSPORTS_PER_DAY)).select(
+        F.lit("transport").alias("cap"), "site", "date", "scanner", "patient_id",
+        F.col("transports").cast("long").alias("so_far"))
+    return h.unionByName(t)
+
+
+@query("streaks", lambda: _fcfs_sql() + _rules_sql() + """
+SELECT site, date, scanner, max(sed_streak) AS max_sedation_streak, max(flag_streak) AS max_flag_streak
+FROM a2 GROUP BY site, date, scanner""")
+def streaks(spark, sf_dir):
+    """Longest sedation and flagged runs per scanner-day (L7, gaps-and-islands)."""
+    from apptflow.operators import audit as au
+    s = fcfs(spark, sf_dir)
+    sd = ["site", "date", "scanner"]
+    s = au.streaks(s, au.any_word(F.col("reason_text"), ["Sedation", "Claustro"]), sd, name="sed_streak")
+    s = au.streaks(s, F.col("reason_text") != "None", sd, name="flag_streak")
+    return s.groupBy(*sd).agg(F.max("sed_streak").cast("long").alias("max_sedation_streak"),
+                              F.max("flag_streak").cast("long").alias("max_flag_streak"))
+
+
+@query("soft_rule_flags", lambda: _fcfs_sql() + _rules_sql() + """
+SELECT site, patient_id, flagf = 1 AND start_min <= 10 AS flag_at_open, flagf = 1 AND end_min >= 720 AS flag_at_close,
+       flag_streak > 2 AS flag_run_over_2 FROM a2""")
+def soft_rule_flags(spark, sf_dir):
+    """Model-policy soft rules evaluated on each booked row."""
+    from apptflow.operators import audit as au
+    s = fcfs(spark, sf_dir)
+    flagged = F.col("reason_text") != "None"
+    s = au.streaks(s, flagged, ["site", "date", "scanner"], name="flag_streak")
+    soft = au.soft_rule_breaks(flagged, F.col("start_min"), F.col("end_min"))
+    return s.select("site", "patient_id", soft["flag_at_open"].alias("flag_at_open"),
+                    soft["flag_at_close"].alias("flag_at_close"), (F.col("flag_streak") > 2).alias("flag_run_over_2"))
+
+
+# --- queue order and eligibility ------------------------------------------------------
+
+@query("queue_order", lambda: "WITH " + sv.request_cte() + f"""
+SELECT site, patient_id, prio AS is_priority,
+       row_number() OVER (PARTITION BY site ORDER BY prio DESC, request_ts, row_index) - 1 AS queue_pos
+FROM (SELECT *, coalesce(regexp_matches({_reason_text_sql()}, '(?i)Hospital|Hoist|Claustrophobic|Sedation'), false) AS prio
+      FROM request) t""")
+def queue_order(spark, sf_dir):
+    """Averages-policy queue: priority first, then request time.
+
+    Positions come from the two-level scan; the block key puts priority
+    rows first and keeps blocks monotone in the queue order.
+    """
+    r = adapters.request(spark, sf_dir).withColumn("is_priority", fx.is_priority(fx.reason_text()))
+    block = (1 - F.col("is_priority").cast("long")) * F.lit(1 << 40) + F.floor(F.col("row_index") / F.lit(1 << 16))
+    ranked = running_totals(r, ["site"], None, {"queue_pos": F.lit(1).cast("long")}, inclusive=False, block=block,
+                            order=[F.col("is_priority").desc(), F.col("request_ts"), F.col("row_index")])
+    return ranked.select("site", "patient_id", "is_priority", "queue_pos")
+
+
+def _cells():
+    return [(wd, sc, q * 15) for wd in range(7) for sc, _, _, _, _ in dims.SCANNERS for q in range(48)]
+
+
+CELL_TYPE = "array<struct<weekday:int,scanner:int,start:int>>"
+
+
+def _cells_col():
+    return F.array(*[F.struct(F.lit(w).alias("weekday"), F.lit(s).alias("scanner"), F.lit(t).alias("start"))
+                     for w, s, t in _cells()])
+
+
+def _cells_sql() -> str:
+    sc = ", ".join(str(s) for s, _, _, _, _ in dims.SCANNERS)
+    return (f"cells AS (SELECT w AS weekday, s AS scanner, q * 15 AS start FROM range(7) a(w), "
+            f"(SELECT unnest([{sc}]) AS s) b, range(48) c(q))")
+
+
+@query("eligible_slots", lambda: "WITH " + __import__("apptflow.plans.q_metrics", fromlist=["x"]).comparison_ctes() + ",\n"
+       + _cells_sql() + f""",
+prof AS (SELECT r.reason_text, h.duration_heuristic AS duration, count(*) AS n_requests
+         FROM req r JOIN heur h ON r.patient_id = h.patient_id GROUP BY 1, 2)
+SELECT p.reason_text, p.duration, p.n_requests, count(*) FILTER (WHERE {{ok}}) AS eligible_cells
+FROM prof p, cells c GROUP BY 1, 2, 3""".replace("{ok}", _averages_rules_sql("p.reason_text", "c.scanner", "c.weekday",
+                                                                               "c.start", "c.start + p.duration")))
+def eligible_slots(spark, sf_dir):
+    """Averages-policy eligibility (L3, D7): per request profile, the number of
+    (weekday, scanner, quarter-hour) start cells that pass the rules.
+
+    Profiles (flag text x duration) are bounded by the flag patterns; each is
+    tested against a fixed literal cell array, so there is no join at all.
+    """
+    from apptflow.operators import audit as au
+    from apptflow.plans.q_metrics import heuristic_policy
+    req = adapters.request_base(spark, sf_dir).select("patient_id", fx.reason_text().alias("reason_text"))
+    prof = (req.join(heuristic_policy(spark, sf_dir), "patient_id")
+            .groupBy("reason_text", F.col("duration_heuristic").alias("duration"))
+            .agg(F.count(F.lit(1)).alias("n_requests")))
+    ok = F.filter(_cells_col(), lambda c: au.averages_rules(F.col("reason_text"), c["scanner"], c["weekday"],
+                                                           c["start"], c["start"] + F.col("duration")))
+    return prof.withColumn("eligible_cells", F.size(ok).cast("long"))
+
+
+def _averages_rules_sql(reason, scanner, weekday, start, end) -> str:
+    from apptflow.operators import audit as au
+    hour = f"floor(({start} + 480) / 60)"
+    end_hour = f"floor(({end} + 480) / 60)"
+    end_min = f"(({end} + 480) % 60)"
+    return " AND ".join([
+        f"{end} <= 720",
+        f"NOT ({_has(reason, au.COMPLEX_WORDS)} AND {start} > {au.LAST_COMPLEX_START})",
+        f"NOT ({weekday} >= 5 AND {_has(reason, au.WEEKEND_BARRED_WORDS)})",
+        f"NOT (contains({reason}, 'Hoist') AND {hour} >= 12 AND {hour} < 14)",
+        f"NOT (contains({reason}, 'Hospital') AND ({hour} < 9 OR ({end_hour} >= 17 AND {end_min} > 0)))",
+        f"NOT ({_has(reason, ['Sedation', 'Claustro'])} AND {scanner} = 3)",
+        f"NOT ({scanner} = 2 AND {_has(reason, au.SCANNER2_BARRED_WORDS)})",
+        f"NOT ({scanner} = 4 AND (contains({reason}, 'Hospital') OR ({weekday} = 2 AND {hour} >= 13)))",
+    ])
+
+
+def _model_rules_sql(h, s, t, c, scanner, weekday, start, end) -> str:
+    hour = f"floor(({start} + 480) / 60)"
+    c3 = f"{c} = 'Class 3'"
+    return " AND ".join([
+        f"{end} <= 720",
+        f"NOT ({weekday} >= 5 AND ({c3} OR {h} OR {s} OR {t}))",
+        f"NOT ({s} AND {scanner} = 3)",
+        f"NOT ({scanner} = 2 AND {h})",
+        f"NOT (({h} OR {t} OR {s} OR {c3}) AND {hour} >= 17)",
+        f"NOT ({scanner} = 4 AND {weekday} = 2 AND {hour} >= 13)",
+    ])
+
+
+@query("eligible_slots_model", lambda: "WITH " + __import__("apptflow.plans.q_metrics", fromlist=["x"]).comparison_ctes()
+       + ",\n" + _cells_sql() + """,
+rb AS (SELECT patient_id, hoist_required = 'Yes' AS hoist, sedation_needed = 'Yes' AS sedation,
+              hospital_transport_required = 'Yes' AS transport FROM request_base),
+prof AS (SELECT rb.hoist, rb.sedation, rb.transport, ml.class_ml, ml.duration_ml, count(*) AS n_requests
+         FROM rb JOIN ml ON rb.patient_id = ml.patient_id GROUP BY 1, 2, 3, 4, 5)
+SELECT p.*, count(*) FILTER (WHERE {ok}) AS eligible_cells FROM prof p, cells c GROUP BY 1, 2, 3, 4, 5, 6""".replace(
+    "{ok}", _model_rules_sql("p.hoist", "p.sedation", "p.transport", "p.class_ml", "c.scanner", "c.weekday", "c.start",
+                             "c.start + p.duration_ml")))
+def eligible_slots_model(spark, sf_dir):
+    """Model-policy hard-rule eligibility per request profile (L4)."""
+    from apptflow.operators import audit as au
+    from apptflow.plans.q_metrics import ml_policy
+    rb = adapters.request_base(spark, sf_dir).select(
+        "patient_id", (F.col("hoist_required") == "Yes").alias("hoist"),
+        (F.col("sedation_needed") == "Yes").alias("sedation"),
+        (F.col("hospital_transport_required") == "Yes").alias("transport"))
+    prof = (rb.join(ml_policy(spark, sf_dir), "patient_id")
+            .groupBy("hoist", "sedation", "transport", "class_ml", "duration_ml")
+            .agg(F.count(F.lit(1)).alias("n_requests")))
+    ok = F.filter(_cells_col(), lambda c: au.model_hard_rules(
+        F.col("hoist"), F.col("sedation"), F.col("transport"), F.col("class_ml"), c["scanner"], c["weekday"],
+        c["start"], c["start"] + F.col("duration_ml")))
+    return prof.withColumn("eligible_cells", F.size(ok).cast("long"))
