@@ -83,15 +83,24 @@ def fcfs_schedule(spark: SparkSession, queue: DataFrame, template: list[tuple] |
     q = running_totals(queue, ["site"], "row_index", {"e": (F.col("duration") + gap).cast("long")},
                        block_size=block_size).withColumn("e", F.col("e") - gap)
     cand = q.filter(F.col("e") <= horizon)
-    # fold the shift boundaries per site over its bounded candidate list
+    # Fold the shift boundaries per site over its bounded candidate list. The
+    # fold carries (p = items taken so far, E = e of the last one); a shift
+    # can take at most ``per_shift`` items, so each step looks at a slice of
+    # that length instead of the whole list.
+    min_dur = cand.agg(F.min("duration")).first()[0] or 1
+    per_shift = (max(caps) + gap) // (max(int(min_dur), 1) + gap) + 1
     ends = cand.groupBy("site").agg(F.sort_array(F.collect_list("e")).alias("es"))
     cap_arr = F.array(*[F.lit(c).cast("long") for c in caps])
-    init = F.struct(F.lit(-gap).cast("long").alias("E"), F.array().cast("array<long>").alias("b"))
+    init = F.struct(F.lit(0).cast("int").alias("p"), F.lit(-gap).cast("long").alias("E"),
+                    F.array().cast("array<long>").alias("b"))
 
     def step(acc, c):
         limit = acc["E"] + c + gap
-        nxt = F.greatest(acc["E"], F.coalesce(F.array_max(F.filter(F.col("es"), lambda x: x <= limit)), acc["E"]))
-        return F.struct(nxt.alias("E"), F.concat(acc["b"], F.array(nxt)).alias("b"))
+        window = F.slice(F.col("es"), acc["p"] + 1, F.lit(per_shift))
+        k = F.size(F.filter(window, lambda x: x <= limit))
+        p_new = acc["p"] + k
+        e_new = F.when(k > 0, F.element_at(F.col("es"), p_new)).otherwise(acc["E"])
+        return F.struct(p_new.alias("p"), e_new.alias("E"), F.concat(acc["b"], F.array(e_new)).alias("b"))
 
     bounds = ends.select("site", F.aggregate(cap_arr, init, step)["b"].alias("b"))
     shifts = bounds.select("site", F.posexplode("b").alias("shift_no", "hi"))

@@ -13,12 +13,14 @@ from apptflow.plans import sqlviews as sv
 from apptflow.plans.q_core import _reason_text_sql
 from apptflow.plans.registry import query
 from apptflow.sources import adapters, dims
+from apptflow.sources.adapters import memo_plan
 
 SCANNER_NAME = {sc: name for sc, name, _, _, _ in dims.SCANNERS}
 
 
 # --- Spark side --------------------------------------------------------------
 
+@memo_plan
 def fcfs_queue(spark, sf_dir) -> DataFrame:
     """Requests with baseline minutes in queue order (request time, then index)."""
     r = adapters.request(spark, sf_dir)
@@ -27,6 +29,7 @@ def fcfs_queue(spark, sf_dir) -> DataFrame:
                     pol.baseline_minutes("scan_type").alias("duration"))
 
 
+@memo_plan
 def fcfs(spark, sf_dir) -> DataFrame:
     return bk.fcfs_schedule(spark, fcfs_queue(spark, sf_dir))
 

@@ -1 +1,235 @@
-"""Placeholder."""
+"""Feature preparation (oracle-checked) and model queries (rows-only)."""
+from __future__ import annotations
+
+from functools import lru_cache
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from apptflow.functions.draws import u, u_sql
+from apptflow.operators import features as fe
+from apptflow.operators import metrics as mx
+from apptflow.operators import models as ml
+from apptflow.operators.sampling import exact_split
+from apptflow.plans import sqlviews as sv
+from apptflow.plans.registry import query
+from apptflow.plans.sqlfmt import with_
+from apptflow.sources import adapters
+from apptflow.sources.adapters import memo_plan
+
+MISSING_RATE = 0.05  # share of ages / genders blanked to exercise imputation
+
+
+@memo_plan
+def with_missing(spark, sf_dir):
+    a = adapters.appointment(spark, sf_dir)
+    return a.withColumns({
+        "age": F.when(u("patient_id", "age_missing") < MISSING_RATE, F.lit(None).cast("int")).otherwise(F.col("age")),
+        "gender": F.when(u("patient_id", "gender_missing") < MISSING_RATE, F.lit(None).cast("string"))
+        .otherwise(F.col("gender")),
+    })
+
+
+def _missing_sql() -> str:
+    return sv.appointment_cte() + f""",
+am AS (SELECT patient_id, CASE WHEN {u_sql('patient_id', 'age_missing')} < {MISSING_RATE} THEN NULL ELSE age END AS age,
+              CASE WHEN {u_sql('patient_id', 'gender_missing')} < {MISSING_RATE} THEN NULL ELSE gender END AS gender
+       FROM appointment)"""
+
+
+@query("impute_median", lambda: with_(_missing_sql()) +
+       " SELECT patient_id, coalesce(CAST(age AS DOUBLE), (SELECT median(age) FROM am)) AS age_filled FROM am")
+def impute_median(spark, sf_dir):
+    d = with_missing(spark, sf_dir)
+    med = fe.fit_median(d, "age")
+    return d.select("patient_id", F.coalesce(F.col("age").cast("double"), F.lit(float(med))).alias("age_filled"))
+
+
+@query("impute_mean", lambda: with_(_missing_sql()) +
+       " SELECT patient_id, coalesce(CAST(age AS DOUBLE), (SELECT avg(age) FROM am)) AS age_filled FROM am")
+def impute_mean(spark, sf_dir):
+    d = with_missing(spark, sf_dir)
+    mean = fe.fit_mean(d, "age")
+    return d.select("patient_id", F.coalesce(F.col("age").cast("double"), F.lit(float(mean))).alias("age_filled"))
+
+
+@query("impute_mode", lambda: with_(_missing_sql()) + """
+SELECT patient_id, coalesce(gender, (SELECT gender FROM am WHERE gender IS NOT NULL GROUP BY gender
+                                     ORDER BY count(*) DESC, gender LIMIT 1)) AS gender_filled FROM am""")
+def impute_mode(spark, sf_dir):
+    d = with_missing(spark, sf_dir)
+    mode = fe.fit_mode(d, "gender")
+    return d.select("patient_id", F.coalesce(F.col("gender"), F.lit(mode)).alias("gender_filled"))
+
+
+@query("standardise", lambda: with_(sv.appointment_cte()) + """,
+st AS (SELECT count(age) AS n, sum(age) AS s, sum(CAST(age AS BIGINT) * age) AS ss FROM appointment)
+SELECT patient_id, CASE WHEN (n * ss - s * s) = 0 THEN 0.0 ELSE
+       (age - CAST(s AS DOUBLE) / n) / sqrt(CAST(n * ss - s * s AS DOUBLE) / CAST(n * n AS DOUBLE)) END AS age_z
+FROM appointment, st""")
+def standardise(spark, sf_dir):
+    """(x - mean) / population std with exact-sum statistics."""
+    a = adapters.appointment(spark, sf_dir)
+    r = a.agg(F.count("age").alias("n"), F.sum("age").alias("s"),
+              F.sum(F.col("age").cast("long") * F.col("age")).alias("ss")).first()
+    n, s, ss = r["n"], r["s"], r["ss"]
+    num, den = n * ss - s * s, n * n
+    std = F.sqrt(F.lit(float(num)) / F.lit(float(den)))
+    z = F.when(F.lit(num) == 0, F.lit(0.0)).otherwise((F.col("age") - F.lit(s / n)) / std)
+    return a.select("patient_id", z.alias("age_z"))
+
+
+@query("one_hot", lambda: with_(sv.appointment_cte()) + """,
+cats AS (SELECT scan_type, CAST(row_number() OVER (ORDER BY scan_type) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT scan_type FROM appointment) d)
+SELECT a.patient_id, a.scan_type, c.idx AS hot_index, CAST((SELECT count(*) FROM cats) AS INTEGER) AS vec_size
+FROM appointment a JOIN cats c ON a.scan_type = c.scan_type""")
+def one_hot(spark, sf_dir):
+    """StringIndexer(alphabetAsc, keep) + OneHotEncoder(dropLast) as exploded columns."""
+    a = adapters.appointment(spark, sf_dir).select("patient_id", "scan_type")
+    model = fe.feature_pipeline(["scan_type"], []).fit(a)
+    enc = model.transform(a).withColumn("arr", vector_to_array("features"))
+    hot = F.array_position("arr", F.lit(1.0)) - 1
+    return enc.select("patient_id", "scan_type", F.when(hot >= 0, hot).cast("int").alias("hot_index"),
+                      F.size("arr").alias("vec_size"))
+
+
+@query("class_weights", lambda: with_(sv.appointment_cte()) + """
+SELECT class, n_c, CAST(n AS DOUBLE) / CAST(k * n_c AS DOUBLE) AS weight FROM
+ (SELECT class, count(*) AS n_c FROM appointment GROUP BY class) c,
+ (SELECT count(*) AS n, count(DISTINCT class) AS k FROM appointment) t""")
+def class_weights(spark, sf_dir):
+    return fe.class_weights(adapters.appointment(spark, sf_dir), "class")
+
+
+# --- models (rows-only checks) -------------------------------------------------------
+
+@memo_plan
+def split_history(spark, sf_dir):
+    a = adapters.appointment(spark, sf_dir)
+    return exact_split(a, ["site"])
+
+
+@lru_cache(maxsize=16)
+def prepared(spark, sf_dir, task: str):
+    d = split_history(spark, sf_dir)
+    train = d.filter(F.col("split") == "train")
+    if task == "cls":
+        return fe.prepare_classification(d, fit_on=train)
+    return fe.prepare_regression(d, fit_on=train)
+
+
+@lru_cache(maxsize=16)
+def fitted(spark, sf_dir, kind: str) -> PipelineModel:
+    task = "cls" if kind in ("dt", "rf_cls") else "reg"
+    d = prepared(spark, sf_dir, task)
+    train = d.filter(F.col("split") == "train")
+    if task == "cls":
+        return ml.fit_classifier(train, "dt" if kind == "dt" else "rf")
+    return ml.fit_regressor(train, "rf" if kind == "rf_reg" else "gbt")
+
+
+def _scores(spark, sf_dir, kind):
+    task = "cls" if kind in ("dt", "rf_cls") else "reg"
+    d = prepared(spark, sf_dir, task)
+    m = fitted(spark, sf_dir, kind)
+    return m, m.transform(d)
+
+
+@query("assembled_features")
+def assembled_features(spark, sf_dir):
+    """Routed and assembled feature vectors."""
+    d = prepared(spark, sf_dir, "cls")
+    model = fe.feature_pipeline(fe.CLASSIFICATION_CATEGORICAL, ["age_z"]).fit(d)
+    v = model.transform(d).withColumn("arr", vector_to_array("features"))
+    return v.select("patient_id", F.size("arr").alias("n_features"),
+                    F.size(F.filter("arr", lambda x: x != 0)).alias("nnz"))
+
+
+@query("dt_scores")
+def dt_scores(spark, sf_dir):
+    """Decision tree, depth 10, balanced weights."""
+    m, s = _scores(spark, sf_dir, "dt")
+    return ml.predicted_class(m, s).select("patient_id", "split", "class", "predicted_class")
+
+
+@query("rf_class_scores")
+def rf_class_scores(spark, sf_dir):
+    """Random forest classifier, 100 trees x depth 10."""
+    m, s = _scores(spark, sf_dir, "rf_cls")
+    return ml.predicted_class(m, s).select("patient_id", "split", "class", "predicted_class")
+
+
+@query("rf_reg_scores")
+def rf_reg_scores(spark, sf_dir):
+    """Random forest regressor, 100 trees x depth 10, all features per split."""
+    _, s = _scores(spark, sf_dir, "rf_reg")
+    return s.select("patient_id", "split", "overrun_minutes", F.col("prediction").alias("predicted_overrun"))
+
+
+@query("gbt_reg_scores")
+def gbt_reg_scores(spark, sf_dir):
+    """Gradient-boosted regressor, 100 x depth 5, step 0.1."""
+    _, s = _scores(spark, sf_dir, "gbt_reg")
+    return s.select("patient_id", "split", "overrun_minutes", F.col("prediction").alias("predicted_overrun"))
+
+
+@query("model_class_report")
+def model_class_report(spark, sf_dir):
+    """Classification reports of both classifiers over all rows."""
+    out = None
+    for kind, name in (("dt", "Decision Tree"), ("rf_cls", "Random Forest")):
+        m, s = _scores(spark, sf_dir, kind)
+        rep = mx.classification_report(ml.predicted_class(m, s), "class", "predicted_class", name)
+        out = rep if out is None else out.unionByName(rep)
+    return out
+
+
+@query("model_regression_report")
+def model_regression_report(spark, sf_dir):
+    """MAE / RMSE / R² of both regressors on the test split (F9 on J10, J11)."""
+    out = None
+    for kind, name in (("rf_reg", "Random Forest"), ("gbt_reg", "Gradient Boosting")):
+        _, s = _scores(spark, sf_dir, kind)
+        t = s.filter(F.col("split") == "test").select(
+            F.lit(name).alias("model"), F.col("overrun_minutes").cast("double").alias("y"), "prediction")
+        out = t if out is None else out.unionByName(t)
+    e = F.col("prediction") - F.col("y")
+    agg = out.groupBy("model").agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
+                                   F.sum(e * e).alias("sse"), F.var_pop("y").alias("vy"), F.count(F.lit(1)).alias("n"))
+    return agg.select("model", "mae", "rmse", (1 - F.col("sse") / (F.col("vy") * F.col("n"))).alias("r2"))
+
+
+@query("feature_importance")
+def feature_importance(spark, sf_dir):
+    """Importances of every expanded feature, both regressors."""
+    out = None
+    for kind, name in (("rf_reg", "Random Forest"), ("gbt_reg", "Gradient Boosting")):
+        m, s = _scores(spark, sf_dir, kind)
+        t = ml.feature_importance(spark, m, s, name)
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@query("topk_importance")
+def topk_importance(spark, sf_dir):
+    """Top 10 features per model."""
+    return ml.top_k(feature_importance(spark, sf_dir), "model", "importance", 10)
+
+
+@query("tree_nodes")
+def tree_nodes(spark, sf_dir):
+    """Nodes of the decision tree with depth, gini and counts."""
+    m = fitted(spark, sf_dir, "dt")
+    path = ml.save_model(spark, m, "dt")
+    return ml.tree_nodes(spark, path, len(m.stages) - 1)
+
+
+@query("model_roundtrip")
+def model_roundtrip(spark, sf_dir):
+    """Save, reload and re-score the decision tree."""
+    m = fitted(spark, sf_dir, "dt")
+    path = ml.save_model(spark, m, "dt_roundtrip")
+    loaded = PipelineModel.load(path)
+    d = prepared(spark, sf_dir, "cls")
+    return ml.predicted_class(loaded, loaded.transform(d)).select("patient_id", "class", "predicted_class")

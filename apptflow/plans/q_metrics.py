@@ -14,6 +14,7 @@ from apptflow.plans.q_core import _reason_text_sql
 from apptflow.plans.registry import query
 from apptflow.plans.sqlfmt import ratio_round_sql, values_sql, with_
 from apptflow.sources import adapters, dims
+from apptflow.sources.adapters import memo_plan
 
 POLICIES = ["baseline", "heuristic", "ml"]
 MODEL_KEYS = ["reason_text", "contrast"]
@@ -21,6 +22,7 @@ MODEL_KEYS = ["reason_text", "contrast"]
 
 # --- Spark side --------------------------------------------------------------
 
+@memo_plan
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     appt = adapters.appointment(spark, sf_dir)
     return appt.select(
@@ -29,12 +31,14 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
         fx.reason_text().alias("reason_text"), "contrast", "overrun_minutes", *dims.FLAG_COLUMNS)
 
 
+@memo_plan
 def overrun_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group-mean overrun model fitted on the whole history. Its row count is
     bounded by the distinct (flag text, contrast) patterns (<= 2^10 x 2)."""
     return pol.group_mean_model(history(spark, sf_dir), MODEL_KEYS)
 
 
+@memo_plan
 def _scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     req = adapters.request_base(spark, sf_dir).select(
         "patient_id", "scan_type", fx.reason_text().alias("reason_text"), "contrast")
@@ -43,6 +47,7 @@ def _scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "predicted_overrun", F.coalesce("predicted_overrun", F.lit(0.0)))
 
 
+@memo_plan
 def heuristic_policy(spark, sf_dir) -> DataFrame:
     req = adapters.request_base(spark, sf_dir).select(
         "patient_id", "scan_type", fx.reason_text().alias("reason_text"))
@@ -51,6 +56,7 @@ def heuristic_policy(spark, sf_dir) -> DataFrame:
         F.col("heuristic_class").alias("class_heuristic"))
 
 
+@memo_plan
 def ml_policy(spark, sf_dir) -> DataFrame:
     s = _scored_requests(spark, sf_dir)
     rounded = F.greatest(F.lit(0), F.bround("predicted_overrun", 0).cast("int"))
@@ -58,6 +64,7 @@ def ml_policy(spark, sf_dir) -> DataFrame:
                     pol.class_from_extra(rounded).alias("class_ml"))
 
 
+@memo_plan
 def three_way(spark, sf_dir) -> DataFrame:
     """ML ⋈ history ⋈ heuristic on patient (D3): two shuffle joins on the key."""
     hist = history(spark, sf_dir).select("patient_id", "duration_actual", "duration_baseline", "class_actual")
@@ -65,6 +72,7 @@ def three_way(spark, sf_dir) -> DataFrame:
             .join(heuristic_policy(spark, sf_dir), "patient_id", "inner"))
 
 
+@memo_plan
 def policy_long(spark, sf_dir) -> DataFrame:
     """One row per (patient, policy): planned vs actual minutes, via one explode."""
     m = three_way(spark, sf_dir)
@@ -323,6 +331,7 @@ def value_range(spark, sf_dir):
                     F.max(F.greatest("duration_actual", "planned")).alias("hi"))
 
 
+@memo_plan
 def _hist_scored(spark, sf_dir) -> DataFrame:
     """History rows scored by the overrun model, prediction in hundredths."""
     h = history(spark, sf_dir)

@@ -9,6 +9,7 @@ from apptflow.plans import sqlviews as sv
 from apptflow.plans.registry import query
 from apptflow.plans.sqlfmt import with_
 from apptflow.sources import adapters, dims
+from apptflow.sources.adapters import memo_plan
 
 
 def _quota_sql() -> str:
@@ -33,6 +34,7 @@ def _quota_sql() -> str:
     return sv.request_base_cte() + ",\n" + ",\n".join(ctes)
 
 
+@memo_plan
 def _quota(spark, sf_dir):
     return smp.quota_sample(adapters.request_base(spark, sf_dir))
 

@@ -8,6 +8,8 @@ is capped or sampled away.
 """
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,17 @@ REQUEST_DAY_MINUTES = 600          # 08:00-18:00 window of the request clock
 REQUEST_FIRST_MINUTE = 480         # 08:00
 
 
+def memo_plan(fn):
+    """Reuse the lazy plan object per (session, sf_dir, args).
+
+    DataFrames are immutable logical plans, so handing out the same object
+    is safe; it avoids rebuilding large expression trees and gives Spark
+    identical subtrees whose exchanges it can reuse.
+    """
+    return lru_cache(maxsize=64)(fn)
+
+
+@memo_plan
 def orders_with_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
     c = table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
@@ -30,6 +43,7 @@ def orders_with_site(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("patient_id"), F.col("c_nationkey").alias("site"), "o_orderdate")
 
 
+@memo_plan
 def appointment_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Historical appointments (B3-B7): 11 raw columns plus ``site``."""
     base = orders_with_site(spark, sf_dir)
@@ -73,6 +87,7 @@ def add_features(raw: DataFrame) -> DataFrame:
                      *dims.FLAG_COLUMNS[9:], "class")
 
 
+@memo_plan
 def appointment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_features(appointment_raw(spark, sf_dir))
 
@@ -88,6 +103,7 @@ def indication_scan(draw) -> F.Column:
     return expr
 
 
+@memo_plan
 def request_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row-local request columns (no ordering): flags, indication, scan, contrast."""
     appt = appointment(spark, sf_dir)
@@ -100,6 +116,7 @@ def request_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("contrast", fx.contrast_from_scan("scan_type", case_sensitive=True))
 
 
+@memo_plan
 def request(spark: SparkSession, sf_dir: str, block_size: int | None = None) -> DataFrame:
     """Imaging requests (O1/3 re-aimed): one per historical patient.
 
