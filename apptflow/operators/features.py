@@ -38,6 +38,16 @@ def fit_mode(df: DataFrame, col: str) -> str | None:
     return None if row is None else row[0]
 
 
+def fit_modes(df: DataFrame, cols: list[str]) -> dict[str, str]:
+    """Modes of several string columns in one pass: unpivot (column, value),
+    count, then the smallest value among the most frequent per column."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols]))
+    counts = (df.select(pairs.alias("p")).select("p.c", "p.v").filter(F.col("v").isNotNull())
+              .groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")))
+    rows = counts.groupBy("c").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("m")).collect()
+    return {r["c"]: r["m"] for r in rows}  # one row per column: bounded by len(cols)
+
+
 def impute(df: DataFrame, col: str, value, out: str | None = None) -> DataFrame:
     return df.withColumn(out or col, F.coalesce(F.col(col), F.lit(value)))
 
@@ -69,8 +79,8 @@ def encoder_stages(categorical: list[str], numeric: list[str], out: str = "featu
     Unknown categories land in the kept 'invalid' slot, which dropLast
     removes: an all-zero block, like handle_unknown='ignore'.
     """
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep", stringOrderType="alphabetAsc")
-           for c in categorical]
+    idx = [StringIndexer(inputCols=categorical, outputCols=[f"{c}__idx" for c in categorical],
+                         handleInvalid="keep", stringOrderType="alphabetAsc")]
     ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in categorical], outputCols=[f"{c}__vec" for c in categorical],
                         dropLast=True, handleInvalid="keep")
     asm = VectorAssembler(inputCols=numeric + [f"{c}__vec" for c in categorical], outputCol=out)
@@ -84,21 +94,15 @@ def prepare_classification(df: DataFrame, fit_on: DataFrame | None = None) -> Da
     d = impute(df, "age", med, "age_f")
     mean, std = fit_standardise(impute(fit_on, "age", med, "age_f"), "age_f")
     d = d.withColumn("age_z", standardise(F.col("age_f"), mean, std))
-    for c in CLASSIFICATION_CATEGORICAL:
-        mode = fit_mode(fit_on, c)
-        if mode is not None:
-            d = impute(d, c, mode)
-    return d
+    modes = fit_modes(fit_on, CLASSIFICATION_CATEGORICAL)
+    return d.withColumns({c: F.coalesce(F.col(c), F.lit(m)) for c, m in modes.items()})
 
 
 def prepare_regression(df: DataFrame, fit_on: DataFrame | None = None) -> DataFrame:
     fit_on = df if fit_on is None else fit_on
     d = impute(df, "age", fit_mean(fit_on, "age"), "age_f")
-    for c in REGRESSION_CATEGORICAL:
-        mode = fit_mode(fit_on, c)
-        if mode is not None:
-            d = impute(d, c, mode)
-    return d
+    modes = fit_modes(fit_on, REGRESSION_CATEGORICAL)
+    return d.withColumns({c: F.coalesce(F.col(c), F.lit(m)) for c, m in modes.items()})
 
 
 def feature_pipeline(categorical: list[str], numeric: list[str]) -> Pipeline:
