@@ -15,9 +15,11 @@ schedule is determined by the shift boundaries E_s in e-space:
 1. ``e_j``: ordered running sum via the two-level scan (no whole-site task).
 2. Only items with e_j <= H, H = Σ_s (c_s + gap) - gap, can ever be placed,
    so each site's candidate list is bounded by the booking horizon, not by
-   the data; the boundary fold runs over (shift capacities x candidates).
-3. Items join back to their shift with a keyed range join on
-   (site, e-bucket) and get start = open_s + e_j - d_j - (E_{s-1} + gap).
+   the data. A RANGE-frame count gives, per candidate, how many items a
+   shift of each capacity would take after it; the fold over the shifts is
+   then one array lookup per shift.
+3. Each shift's item positions are exploded and equi-joined back on
+   (site, row_index); start = open_s + e_j - d_j - (E_{s-1} + gap).
 Items beyond the horizon are unplaced, exactly as the reference stops at
 its end date.
 """
@@ -29,10 +31,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from apptflow.operators.scan import running_totals
+from apptflow.session import cut_lineage
 from apptflow.sources import dims
 
 DAY_OPEN = 8 * 60   # minutes of day when scanners open (08:00)
-E_BUCKET = 1024     # width of the e-space buckets used by the range join
 
 
 def shift_template(start: str = dims.BOOKING_START, end: str = dims.BOOKING_END,
@@ -65,7 +67,7 @@ def shift_template(start: str = dims.BOOKING_START, end: str = dims.BOOKING_END,
 def shift_grid(spark: SparkSession, sites: DataFrame, template: list[tuple] | None = None) -> DataFrame:
     """site x shift segments (L1). Both sides are bounded dimensions."""
     template = shift_template() if template is None else template
-    t = spark.createDataFrame(template, "shift_no int, date date, scanner int, open_min int, close_min int")
+    t = dims.literal(spark, template, "shift_no int, date date, scanner int, open_min int, close_min int")
     return sites.join(F.broadcast(t), how="cross")
 
 
@@ -79,45 +81,106 @@ def fcfs_schedule(spark: SparkSession, queue: DataFrame, template: list[tuple] |
     """
     template = shift_template() if template is None else template
     caps = [c - o for _, _, _, o, c in template]
+    distinct_caps = sorted(set(caps))
     horizon = sum(c + gap for c in caps) - gap
     q = running_totals(queue, ["site"], "row_index", {"e": (F.col("duration") + gap).cast("long")},
                        block_size=block_size).withColumn("e", F.col("e") - gap)
-    cand = q.filter(F.col("e") <= horizon)
-    # Fold the shift boundaries per site over its bounded candidate list. The
-    # fold carries (p = items taken so far, E = e of the last one); a shift
-    # can take at most ``per_shift`` items, so each step looks at a slice of
-    # that length instead of the whole list.
-    min_dur = cand.agg(F.min("duration")).first()[0] or 1
-    per_shift = (max(caps) + gap) // (max(int(min_dur), 1) + gap) + 1
-    ends = cand.groupBy("site").agg(F.sort_array(F.collect_list("e")).alias("es"))
-    cap_arr = F.array(*[F.lit(c).cast("long") for c in caps])
-    init = F.struct(F.lit(0).cast("int").alias("p"), F.lit(-gap).cast("long").alias("E"),
-                    F.array().cast("array<long>").alias("b"))
-
-    def step(acc, c):
-        limit = acc["E"] + c + gap
-        window = F.slice(F.col("es"), acc["p"] + 1, F.lit(per_shift))
-        k = F.size(F.filter(window, lambda x: x <= limit))
-        p_new = acc["p"] + k
-        e_new = F.when(k > 0, F.element_at(F.col("es"), p_new)).otherwise(acc["E"])
-        return F.struct(p_new.alias("p"), e_new.alias("E"), F.concat(acc["b"], F.array(e_new)).alias("b"))
-
-    bounds = ends.select("site", F.aggregate(cap_arr, init, step)["b"].alias("b"))
-    shifts = bounds.select("site", F.posexplode("b").alias("shift_no", "hi"))
-    w_prev = F.lag("hi").over(Window.partitionBy("site").orderBy("shift_no"))  # <= #shifts rows per site
-    shifts = shifts.withColumn("lo", F.coalesce(w_prev, F.lit(-gap).cast("long"))).filter(F.col("hi") > F.col("lo"))
-    t = spark.createDataFrame(template, "shift_no int, date date, scanner int, open_min int, close_min int")
-    shifts = shifts.join(F.broadcast(t), "shift_no")
-    # keyed range join back: explode each shift over the e-buckets it covers
-    sb = shifts.withColumn("bk", F.explode(F.sequence(F.floor((F.col("lo") + 1) / E_BUCKET).cast("long"),
-                                                      F.floor(F.col("hi") / E_BUCKET).cast("long"))))
-    cb = cand.withColumn("bk", F.floor(F.col("e") / E_BUCKET).cast("long"))
-    j = cb.join(sb, (cb.site == sb.site) & (cb.bk == sb.bk) & (cb.e > sb.lo) & (cb.e <= sb.hi), "inner")
-    start = F.col("open_min") + F.col("e") - F.col("duration") - (F.col("lo") + gap)
-    return (j.drop(sb.site).drop(sb.bk).drop(cb.bk)
-            .withColumn("start_min", start.cast("int"))
+    # Candidates are bounded by the horizon, not the data: materialise them
+    # once (reliable checkpoint in the shared directory) because the fold,
+    # the pointer windows and the final join all read them.
+    cand = cut_lineage(q.filter(F.col("e") <= horizon))
+    # Per candidate position p (0 = the start sentinel at e = -gap): how many
+    # items a shift of capacity c takes when it starts right after p, i.e.
+    # the items with e in (e_p, e_p + c + gap]. RANGE frames over the
+    # site's candidates, whose number is bounded by the horizon.
+    pts = cand.select("site", (F.col("row_index") + 1).alias("pos"), "e")
+    sentinel = cand.select("site").distinct().select("site", F.lit(0).cast("long").alias("pos"),
+                                                     F.lit(-gap).cast("long").alias("e"))
+    pts = pts.unionByName(sentinel)
+    w = Window.partitionBy("site").orderBy("e")
+    takes = {f"t{c}": F.count(F.lit(1)).over(w.rangeBetween(1, c + gap)) for c in distinct_caps}
+    pts = pts.withColumns(takes)
+    per_site = pts.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("pos", "e", *takes))).alias("pt"))
+    # fold the shifts: p_s = p_{s-1} + take_{c_s}(p_{s-1}); one O(1) lookup per shift
+    cap_arr = F.array(*[F.lit(distinct_caps.index(c)) for c in caps])
+    pair = "struct<p:bigint,e:bigint>"
+    init = F.struct(F.lit(0).cast("long").alias("p"), F.array().cast(f"array<{pair}>").alias("b"))
+
+    def step(acc, ci):
+        row = F.element_at(F.col("pt"), (acc["p"] + 1).cast("int"))
+        take = F.element_at(F.array(*[row[f"t{c}"] for c in distinct_caps]), ci + 1)
+        p_new = acc["p"] + take
+        e_new = F.element_at(F.col("pt"), (p_new + 1).cast("int"))["e"]
+        return F.struct(p_new.alias("p"),
+                        F.concat(acc["b"], F.array(F.struct(p_new.alias("p"), e_new.alias("e")))).alias("b"))
+
+    # only the (p, e) boundary pairs leave the fold; the pointer array does not
+    bounds = per_site.select("site", F.aggregate(cap_arr, init, step)["b"].alias("b"))
+    shifts = bounds.select("site", F.posexplode("b").alias("shift_no", "hi")).select(
+        "site", "shift_no", F.col("hi.p").alias("p_hi"), F.col("hi.e").alias("e_hi"))
+    w_prev = Window.partitionBy("site").orderBy("shift_no")  # <= number of shifts rows per site
+    shifts = shifts.withColumns({
+        "p_lo": F.coalesce(F.lag("p_hi").over(w_prev), F.lit(0).cast("long")),
+        "e_lo": F.coalesce(F.lag("e_hi").over(w_prev), F.lit(-gap).cast("long"))})
+    shifts = shifts.filter(F.col("p_hi") > F.col("p_lo")).select(
+        "site", "shift_no", "e_lo", F.explode(F.sequence(F.col("p_lo"), F.col("p_hi") - 1)).alias("row_index"))
+    t = dims.literal(spark, template, "shift_no int, date date, scanner int, open_min int, close_min int")
+    return sites.join(F.broadcast(t), how="cross")
+
+
+def fcfs_schedule(spark: SparkSession, queue: DataFrame, template: list[tuple] | None = None,
+                  gap: int = dims.CHANGEOVER_MINUTES, block_size: int = 1 << 16) -> DataFrame:
+    """Exact FCFS packing of ``queue`` (site, row_index, patient_id, duration, ...).
+
+    ``row_index`` is the 0-based queue position within the site. Returns the
+    queue rows that were placed, with shift_no, date, scanner, start_min and
+    end_min (minutes after 08:00).
+    """
+    template = shift_template() if template is None else template
+    caps = [c - o for _, _, _, o, c in template]
+    distinct_caps = sorted(set(caps))
+    horizon = sum(c + gap for c in caps) - gap
+    q = running_totals(queue, ["site"], "row_index", {"e": (F.col("duration") + gap).cast("long")},
+                       block_size=block_size).withColumn("e", F.col("e") - gap)
+    # Candidates are bounded by the horizon, not the data: materialise them
+    # once (reliable checkpoint in the shared directory) because the fold,
+    # the pointer windows and the final join all read them.
+    cand = cut_lineage(q.filter(F.col("e") <= horizon))
+    # Per candidate position p (0 = the start sentinel at e = -gap): how many
+    # items a shift of capacity c takes when it starts right after p, i.e.
+    # the items with e in (e_p, e_p + c + gap]. RANGE frames over the
+    # site's candidates, whose number is bounded by the horizon.
+    pts = cand.select("site", (F.col("row_index") + 1).alias("pos"), "e")
+    sentinel = cand.select("site").distinct().select("site", F.lit(0).cast("long").alias("pos"),
+                                                     F.lit(-gap).cast("long").alias("e"))
+    pts = pts.unionByName(sentinel)
+    w = Window.partitionBy("site").orderBy("e")
+    takes = {f"t{c}": F.count(F.lit(1)).over(w.rangeBetween(1, c + gap)) for c in distinct_caps}
+    pts = pts.withColumns(takes)
+    per_site = pts.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("pos", "e", *takes))).alias("pt"))
+    # fold the shifts: p_s = p_{s-1} + take_{c_s}(p_{s-1}); one O(1) lookup per shift
+    cap_arr = F.array(*[F.lit(distinct_caps.index(c)) for c in caps])
+    init = F.struct(F.lit(0).cast("long").alias("p"), F.array().cast("array<long>").alias("b"))
+
+    def step(acc, ci):
+        row = F.element_at(F.col("pt"), (acc["p"] + 1).cast("int"))
+        take = F.element_at(F.array(*[row[f"t{c}"] for c in distinct_caps]), ci + 1)
+        p_new = acc["p"] + take
+        return F.struct(p_new.alias("p"), F.concat(acc["b"], F.array(p_new)).alias("b"))
+
+    bounds = per_site.select("site", "pt", F.aggregate(cap_arr, init, step)["b"].alias("b"))
+    shifts = bounds.select("site", "pt", F.posexplode("b").alias("shift_no", "p_hi"))
+    w_prev = Window.partitionBy("site").orderBy("shift_no")  # <= number of shifts rows per site
+    shifts = shifts.withColumn("p_lo", F.coalesce(F.lag("p_hi").over(w_prev), F.lit(0).cast("long")))
+    shifts = shifts.filter(F.col("p_hi") > F.col("p_lo")).select(
+        "site", "shift_no", "p_lo", F.element_at("pt", (F.col("p_lo") + 1).cast("int"))["e"].alias("e_lo"),
+        F.explode(F.sequence(F.col("p_lo"), F.col("p_hi") - 1)).alias("row_index"))
+    t = dims.literal(spark, template, "shift_no int, date date, scanner int, open_min int, close_min int")
+    placed = shifts.join(F.broadcast(t), "shift_no").join(cand, ["site", "row_index"])
+    start = F.col("open_min") + F.col("e") - F.col("duration") - (F.col("e_lo") + gap)
+    return (placed.withColumn("start_min", start.cast("int"))
             .withColumn("end_min", (F.col("start_min") + F.col("duration")).cast("int"))
-            .drop("lo", "hi", "e", "open_min", "close_min"))
+            .drop("e_lo", "e", "open_min", "close_min"))
 
 
 def clock_text(date: Column, minutes: Column, fmt: str) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from apptflow.sources import dims
+
 from apptflow.functions.draws import u
 
 # Opening hours by day kind: (kind, first hour, end hour). Fixed values; the
@@ -42,7 +44,7 @@ def slot_grid(cal: DataFrame, hours: list[tuple] | None = None) -> DataFrame:
     """Every 15-minute slot of every open hour of every day (B1)."""
     hours = HOURS if hours is None else hours
     spark: SparkSession = cal.sparkSession
-    h = spark.createDataFrame(hours, "kind string, first_hour int, end_hour int")
+    h = dims.literal(spark, hours, "kind string, first_hour int, end_hour int")
     j = cal.join(F.broadcast(h), "kind")
     start = F.timestamp_add("HOUR", F.col("first_hour"), F.col("day").cast("timestamp_ntz"))
     last = F.timestamp_add("MINUTE", F.col("end_hour") * 60 - SLOT_MINUTES, F.col("day").cast("timestamp_ntz"))

@@ -26,7 +26,7 @@ def confusion_matrix(df: DataFrame, actual: str, predicted: str, labels: list[st
     spark: SparkSession = df.sparkSession
     counts = df.groupBy(*group, F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(
         F.count(F.lit(1)).alias("n"))
-    grid = spark.createDataFrame([(a, p) for a in labels for p in labels], "actual string, predicted string")
+    grid = dims.literal(spark, [(a, p) for a in labels for p in labels], "actual string, predicted string")
     if group:
         grid = counts.select(*group).distinct().join(F.broadcast(grid), how="cross")
     return grid.join(counts, [*group, "actual", "predicted"], "left").select(

@@ -16,6 +16,8 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from apptflow.sources import dims
+
 from apptflow.operators import features as fe
 from apptflow.session import ensure_checkpoint_dir
 
@@ -80,7 +82,7 @@ def feature_importance(spark: SparkSession, model: PipelineModel, scored: DataFr
     imp = model.stages[-1].featureImportances.toArray().tolist()
     names = feature_names(scored)
     rows = [(name, n, float(v)) for n, v in zip(names, imp)]
-    return spark.createDataFrame(rows, "model string, feature string, importance double")
+    return dims.literal(spark, rows, "model string, feature string, importance double")
 
 
 def top_k(df: DataFrame, group: str, order: str, k: int = 10) -> DataFrame:

@@ -10,12 +10,18 @@ from apptflow.functions import flags as fx
 from apptflow.sources import dims
 
 
-def _flag_entries(mapping: list[tuple[int, str, str]], truthy: list[str]):
-    """Array of (order_no, label) structs for the flags set on a row."""
-    return F.filter(
-        F.array(*[F.when(fx.is_yes(col, truthy), F.struct(F.lit(o).alias("order_no"), F.lit(lbl).alias("label")))
-                  for o, col, lbl in mapping]),
-        lambda x: x.isNotNull())
+def _flag_entries(mapping: list[tuple[int, str, str]], truthy: list[str], control=None):
+    """Array of nullable (order_no, label) structs: one slot per report flag,
+    plus the control slot set only when no flag is. Explode it and drop the
+    nulls (a Generate over a plain array stays fast; one over a lambda
+    ``filter`` does not)."""
+    hits = [fx.is_yes(col, truthy) for _, col, _ in mapping]
+    slots = [F.when(h, F.struct(F.lit(o).alias("order_no"), F.lit(lbl).alias("label")))
+             for h, (o, _, lbl) in zip(hits, mapping)]
+    if control is not None:
+        none = ~reduce(lambda a, b: a | b, hits)
+        slots.append(F.when(none, F.struct(F.lit(control[0]).alias("order_no"), F.lit(control[1]).alias("label"))))
+    return F.array(*slots)
 
 
 def flag_summary(df: DataFrame, mapping: list[tuple[int, str, str]] | None = None,
@@ -30,21 +36,17 @@ def flag_summary(df: DataFrame, mapping: list[tuple[int, str, str]] | None = Non
     """
     mapping = dims.DISPLAY_NAME if mapping is None else mapping
     truthy = dims.TRUTHY if truthy is None else truthy
-    control = F.array(F.struct(F.lit(0).alias("order_no"), F.lit(dims.CONTROL_LABEL).alias("label")))
-    entries = _flag_entries(mapping, truthy)
-    exploded = df.select(F.col(class_col).alias("cls"),
-                         F.explode(F.when(F.size(entries) == 0, control).otherwise(entries)).alias("e"))
-    counts = exploded.groupBy(F.col("e.order_no").alias("order_no")).agg(
-        F.count(F.lit(1)).alias("total_cases"),
-        F.count_if(F.col("cls") == "Class 3").alias("major_delay"),
-        F.count_if(F.col("cls") == "Class 2").alias("minor_delay"))
-    labels = df.sparkSession.createDataFrame(
-        [(0, dims.CONTROL_LABEL)] + [(o, lbl) for o, _, lbl in mapping], "order_no int, delay_reason string")
-    out = F.broadcast(labels).join(counts, "order_no", "left").select(
-        "order_no", "delay_reason",
-        F.coalesce("total_cases", F.lit(0)).alias("total_cases"),
-        F.coalesce("major_delay", F.lit(0)).alias("major_delay"),
-        F.coalesce("minor_delay", F.lit(0)).alias("minor_delay"))
+    entries = _flag_entries(mapping, truthy, control=(0, dims.CONTROL_LABEL))
+    exploded = df.select(F.col(class_col).alias("cls"), F.lit(1).alias("w"), F.explode(entries).alias("e"))
+    exploded = exploded.filter(F.col("e").isNotNull()).select("cls", "w", F.col("e.order_no").alias("order_no"), F.col("e.label").alias("delay_reason"))
+    # zero-weight seed rows keep report rows that have no patients, without a join
+    seeds = dims.literal(df.sparkSession, [(0, dims.CONTROL_LABEL)] + [(o, lbl) for o, _, lbl in mapping],
+                         "order_no int, delay_reason string").select(
+        F.lit(None).cast("string").alias("cls"), F.lit(0).alias("w"), "order_no", "delay_reason")
+    out = exploded.unionByName(seeds).groupBy("order_no", "delay_reason").agg(
+        F.sum("w").cast("long").alias("total_cases"),
+        F.sum(F.when(F.col("cls") == "Class 3", F.col("w")).otherwise(0)).cast("long").alias("major_delay"),
+        F.sum(F.when(F.col("cls") == "Class 2", F.col("w")).otherwise(0)).cast("long").alias("minor_delay"))
     return out.select(
         "order_no", "delay_reason", "total_cases", "major_delay",
         fx.pct_text(F.col("major_delay"), F.col("total_cases")).alias("pct_major"),
@@ -58,9 +60,8 @@ def control_mask(cols: list[str], truthy: list[str] | None = None):
 
 def flag_long(df: DataFrame, flag_cols: list[str], keep: list[str], truthy: list[str] | None = None) -> DataFrame:
     """One row per (row, set flag): the unpivot behind per-flag reports."""
-    arr = F.filter(F.array(*[F.when(fx.is_yes(c, truthy), F.lit(dims.FLAG_DISPLAY.get(c, c))) for c in flag_cols]),
-                   lambda x: x.isNotNull())
-    return df.select(*keep, F.explode(arr).alias("flag"))
+    arr = F.array(*[F.when(fx.is_yes(c, truthy), F.lit(dims.FLAG_DISPLAY.get(c, c))) for c in flag_cols])
+    return df.select(*keep, F.explode(arr).alias("flag")).filter(F.col("flag").isNotNull())
 
 
 def flag_avg_prediction(df: DataFrame, pred_col: str, flag_cols: list[str] | None = None) -> DataFrame:

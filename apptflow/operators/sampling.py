@@ -21,37 +21,73 @@ def random_sample(df: DataFrame, n: int, key: str = "patient_id", salt: str = "s
     return df.withColumn("u", u(key, salt)).orderBy("u", key).limit(n)
 
 
+QUOTA_BINS = 1 << 20
+
+
 def quota_sample(pool: DataFrame, quotas: list[tuple] | None = None, target_no_flag: int = dims.TARGET_NO_FLAG,
-                 size: int = dims.SAMPLE_SIZE, key: str = "patient_id", salt: str = "quota") -> DataFrame:
+                 size: int = dims.SAMPLE_SIZE, key: str = "patient_id", salt: str = "quota",
+                 bins: int = QUOTA_BINS) -> DataFrame:
     """Ordered exclusive quota sample.
 
     For each quota in order take min(quota, available) rows with that flag
-    that were not taken before; then unflagged rows; then fill to ``size``
-    from the rest. The taken set is bounded by ``size`` rows, so it is
-    broadcast for the anti-joins, and materialised with a reliable
-    checkpoint after each step to keep the plan flat.
+    that were not taken before (lowest hash draw first); then unflagged
+    rows; then fill to ``size`` from the rest.
+
+    Exact and bounded without scanning the pool once per step:
+    step k can only pick among the ``M_k = Σ_{j<=k} n_j`` lowest draws of
+    its eligible rows (earlier steps remove at most ``M_k - n_k`` of them),
+    and the fill among the ``size`` lowest draws overall. Pass 1 builds a
+    (step, draw-bin) histogram and finds each step's threshold bin; pass 2
+    keeps only rows under their thresholds. The sequential chain then runs
+    on that small candidate set (materialised once), with the taken set
+    (<= ``size`` rows) broadcast for the anti-joins.
     Returns (key, step, label, pick_no) in sampled order.
     """
     quotas = dims.QUOTAS if quotas is None else quotas
-    p = pool.withColumn("u", u(key, salt))
+    steps = [(order_no, F.col(flag) == "Yes", n, flag) for order_no, flag, n in quotas]
+    steps.append((len(quotas) + 1, F.col("flag_present") == "No", target_no_flag, "no_flag"))
+    fill_step = len(steps) + 1
+    bounds, acc = [], 0
+    for step, _, n, _ in steps:
+        acc += n
+        bounds.append((step, acc))
+    bounds.append((fill_step, size))
+    spark = pool.sparkSession
+
+    p = pool.withColumn("u", u(key, salt)).withColumn("bin", F.floor(F.col("u") * bins).cast("long"))
+    # nullable slot per step (explode, then drop nulls: no lambda under the Generate)
+    eligible = F.array(*[F.when(cond, F.lit(step)) for step, cond, _, _ in steps] + [F.lit(fill_step)])
+    tagged = p.withColumn("steps", eligible)
+    # pass 1: per-step histogram of draw bins (<= steps x bins rows)
+    hist = (tagged.select(F.explode("steps").alias("step"), "bin").filter(F.col("step").isNotNull())
+            .groupBy("step", "bin").agg(F.count(F.lit(1)).alias("n")))
+    need = dims.literal(spark, bounds, "step int, need long")
+    w = Window.partitionBy("step").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # <= bins rows
+    cum = hist.join(F.broadcast(need), "step").withColumn("cum", F.sum("n").over(w))
+    thr = cum.filter(F.col("cum") >= F.col("need")).groupBy("step").agg(F.min("bin").alias("thr"))
+    thr = need.join(thr, "step", "left").select("step", F.coalesce("thr", F.lit(bins)).alias("thr"))
+    thr_map = F.map_from_entries(F.collect_list(F.struct("step", "thr")))
+    thr_row = thr.agg(thr_map.alias("thr_map"))  # one row: <= number of steps entries
+    # pass 2: rows under the threshold of any step they are eligible for
+    keep = F.exists("steps", lambda s: s.isNotNull() & (F.col("bin") <= F.element_at(F.col("thr_map"), s)))
+    cand = cut_lineage(tagged.join(F.broadcast(thr_row), how="cross").filter(keep).drop("thr_map"))
+
     taken: DataFrame | None = None
 
-    def take(cand: DataFrame, n: int, step: int, label: str) -> DataFrame:
+    def take(c: DataFrame, n: int, step: int, label: str) -> DataFrame:
         if taken is not None:
-            cand = cand.join(F.broadcast(taken.select(key)), key, "left_anti")
-        return cand.orderBy("u", key).limit(n).select(key, "u", F.lit(step).alias("step"), F.lit(label).alias("label"))
+            c = c.join(F.broadcast(taken.select(key)), key, "left_anti")
+        return c.orderBy("u", key).limit(n).select(key, "u", F.lit(step).alias("step"), F.lit(label).alias("label"))
 
-    steps = [(order_no, F.col(flag) == "Yes", n, flag) for order_no, flag, n in quotas]
-    steps.append((len(quotas) + 1, F.col("flag_present") == "No", target_no_flag, "no_flag"))
     for step, cond, n, label in steps:
-        picked = take(p.filter(cond), n, step, label)
+        picked = take(cand.filter(cond), n, step, label)
         taken = picked if taken is None else taken.unionByName(picked)
-        taken = cut_lineage(taken)
+        taken = cut_lineage(taken)  # <= size rows; keeps each step's plan flat
     needed = size - taken.count()
     if needed > 0:
-        taken = taken.unionByName(take(p, needed, len(steps) + 1, "fill"))
-    w = Window.partitionBy("step").orderBy("u", key)  # each step holds <= its quota
-    return taken.select(key, "step", "label", F.row_number().over(w).alias("pick_no"))
+        taken = taken.unionByName(take(cand, needed, fill_step, "fill"))
+    w2 = Window.partitionBy("step").orderBy("u", key)  # each step holds <= its quota
+    return taken.select(key, "step", "label", F.row_number().over(w2).alias("pick_no"))
 
 
 def exact_split(df: DataFrame, by: list[str], test_pct: int = 20, key: str = "patient_id",

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from apptflow.sources import dims
+
 from apptflow.functions import flags as fx
 from apptflow.functions.draws import _sql_lit
 from apptflow.operators import booking as bk
@@ -141,7 +143,7 @@ GROUP BY f.site, f.date, f.scanner, o.open_minutes""")
 def scanner_occupancy(spark, sf_dir):
     """Minutes used per scanner-day over its open minutes."""
     s = fcfs(spark, sf_dir)
-    t = spark.createDataFrame(bk.shift_template(), "shift_no int, date date, scanner int, open_min int, close_min int")
+    t = dims.literal(spark, bk.shift_template(), "shift_no int, date date, scanner int, open_min int, close_min int")
     open_m = t.groupBy("date", "scanner").agg(F.sum(F.col("close_min") - F.col("open_min")).alias("open_minutes"))
     agg = s.groupBy("site", "date", "scanner").agg(F.count(F.lit(1)).alias("n_scans"),
                                                    F.sum("duration").cast("long").alias("busy_minutes"))
@@ -338,8 +340,14 @@ CELL_TYPE = "array<struct<weekday:int,scanner:int,start:int>>"
 
 
 def _cells_col():
-    return F.array(*[F.struct(F.lit(w).alias("weekday"), F.lit(s).alias("scanner"), F.lit(t).alias("start"))
-                     for w, s, t in _cells()])
+    """All (weekday, scanner, quarter-hour start) cells as one compact expression
+    (a literal array this size would exceed the JVM method limit in codegen)."""
+    ids = F.array(*[F.lit(sc) for sc, _, _, _, _ in dims.SCANNERS])
+    n_sc = len(dims.SCANNERS)
+    return F.transform(F.sequence(F.lit(0), F.lit(7 * n_sc * 48 - 1)), lambda i: F.struct(
+        F.floor(i / (n_sc * 48)).cast("int").alias("weekday"),
+        F.element_at(ids, (F.floor(i / 48) % n_sc + 1).cast("int")).alias("scanner"),
+        ((i % 48) * 15).cast("int").alias("start")))
 
 
 def _cells_sql() -> str:

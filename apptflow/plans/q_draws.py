@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from apptflow.sources import dims
+
 from apptflow.functions.draws import u, u_sql
 from apptflow.operators import generation as gen
 from apptflow.plans import sqlviews as sv
@@ -83,7 +85,7 @@ SELECT a.patient_id, m.reason FROM appointment_raw a JOIN mix m
   ON {u_sql('a.patient_id', 'reason_range')} >= m.lo AND {u_sql('a.patient_id', 'reason_range')} < m.hi""")
 def weighted_draw(spark, sf_dir):
     """Weighted draw as a keyed range join against the cumulative dimension."""
-    spark_dim = spark.createDataFrame(REASON_ROWS, "ord int, reason string, weight double")
+    spark_dim = dims.literal(spark, REASON_ROWS, "ord int, reason string, weight double")
     mix = gen.cumulative(spark_dim, "weight", "ord").select("reason", "lo", "hi")
     facts = adapters.appointment_raw(spark, sf_dir).select("patient_id").withColumn(
         "d", u("patient_id", "reason_range"))
@@ -117,7 +119,7 @@ FROM request_base r JOIN imix m ON r.indication = m.indication
   AND {u_sql('r.patient_id', 'scan_range')} >= m.lo AND {u_sql('r.patient_id', 'scan_range')} < m.hi""")
 def indication_scan_draw(spark, sf_dir):
     """Scan type given indication: normalised weights, keyed range join."""
-    dim = spark.createDataFrame(IND_ROWS, "ord int, indication string, scan_type string, weight double")
+    dim = dims.literal(spark, IND_ROWS, "ord int, indication string, scan_type string, weight double")
     mix = gen.cumulative(dim, "weight", "ord", ["indication"]).select("indication", "scan_type", "lo", "hi")
     facts = adapters.request_base(spark, sf_dir).select("patient_id", "indication").withColumn(
         "d", u("patient_id", "scan_range"))

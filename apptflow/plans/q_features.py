@@ -1,8 +1,6 @@
 """Feature preparation (oracle-checked) and model queries (rows-only)."""
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -110,7 +108,7 @@ def split_history(spark, sf_dir):
     return exact_split(a, ["site"])
 
 
-@lru_cache(maxsize=16)
+@memo_plan
 def prepared(spark, sf_dir, task: str):
     d = split_history(spark, sf_dir)
     train = d.filter(F.col("split") == "train")
@@ -119,7 +117,7 @@ def prepared(spark, sf_dir, task: str):
     return fe.prepare_regression(d, fit_on=train)
 
 
-@lru_cache(maxsize=16)
+@memo_plan
 def fitted(spark, sf_dir, kind: str) -> PipelineModel:
     task = "cls" if kind in ("dt", "rf_cls") else "reg"
     d = prepared(spark, sf_dir, task)

@@ -40,3 +40,11 @@ def oracle_sql() -> dict[str, str]:
         if sql is not None:
             out[k] = sql() if callable(sql) else sql
     return out
+
+
+def reset_plan_cache() -> None:
+    """Drop memoised plan objects (and memoised materialisations such as the
+    quota sample), e.g. between benchmark runs."""
+    from apptflow.sources import adapters
+    for fn in adapters.MEMOISED:
+        fn.cache_clear()

@@ -32,7 +32,12 @@ def memo_plan(fn):
     is safe; it avoids rebuilding large expression trees and gives Spark
     identical subtrees whose exchanges it can reuse.
     """
-    return lru_cache(maxsize=64)(fn)
+    cached = lru_cache(maxsize=64)(fn)
+    MEMOISED.append(cached)
+    return cached
+
+
+MEMOISED: list = []
 
 
 @memo_plan
@@ -49,24 +54,26 @@ def appointment_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = orders_with_site(spark, sf_dir)
     pid = F.col("patient_id")
     scan_names = [s for s, _, _ in dims.SCAN_RULES]
-    reason = draws.weighted_pick(u(pid, "reason"), dims.REASON_MIX)
+    # each hash draw is its own column, so expressions that use it several
+    # times (CASE chains, lookups) evaluate md5 once; unused draws are pruned
+    salts = ["age", "gender", "scan", "arrival", "reason", "severity", "minutes", "slot"]
+    d = base.withColumns({f"_u_{s}": u(pid, s) for s in salts})
+    reason = draws.weighted_pick(F.col("_u_reason"), dims.REASON_MIX)
+    slot = (F.lit(480) + F.lit(15) * F.floor(F.col("_u_slot") * 48)).cast("int")
+    d = d.withColumns({
+        "age": (F.lit(18) + F.floor(F.col("_u_age") * 72)).cast("int"),
+        "gender": draws.pick(F.col("_u_gender"), dims.GENDERS),
+        "scan_type": draws.pick(F.col("_u_scan"), scan_names),
+        "arrival_offset": draws.pick(F.col("_u_arrival"), dims.ARRIVAL_OFFSETS).cast("int"),
+        "delay_reason": F.nullif(reason, F.lit("None")),
+        "scheduled_at": F.timestamp_add("MINUTE", slot, F.col("o_orderdate")),
+    })
     minor_p = F.when(F.col("delay_reason").isin(*dims.MAJOR_PRONE_REASONS), F.lit(0.1)).otherwise(F.lit(0.7))
-    is_minor = u(pid, "severity") < minor_p
-    minutes_u = u(pid, "minutes")
+    is_minor = F.col("_u_severity") < minor_p
     overrun = (F.when(F.col("delay_reason").isNull(), F.lit(0))
-               .when(is_minor, F.lit(5) + F.floor(minutes_u * 16))
-               .otherwise(F.lit(21) + F.floor(minutes_u * 40))).cast("int")
-    slot = (F.lit(480) + F.lit(15) * F.floor(u(pid, "slot") * 48)).cast("int")
-    return (base
-            .withColumns({
-                "age": (F.lit(18) + F.floor(u(pid, "age") * 72)).cast("int"),
-                "gender": draws.pick(u(pid, "gender"), dims.GENDERS),
-                "scan_type": draws.pick(u(pid, "scan"), scan_names),
-                "arrival_offset": draws.pick(u(pid, "arrival"), dims.ARRIVAL_OFFSETS).cast("int"),
-                "delay_reason": F.nullif(reason, F.lit("None")),
-                "scheduled_at": F.timestamp_add("MINUTE", slot, F.col("o_orderdate")),
-            })
-            .withColumn("scheduled_minutes", fx.rule_minutes_expr("scan_type").cast("int"))
+               .when(is_minor, F.lit(5) + F.floor(F.col("_u_minutes") * 16))
+               .otherwise(F.lit(21) + F.floor(F.col("_u_minutes") * 40))).cast("int")
+    return (d.withColumn("scheduled_minutes", fx.rule_minutes_expr("scan_type").cast("int"))
             .withColumn("overrun_minutes", overrun)
             .withColumn("actual_minutes", F.col("scheduled_minutes") + F.col("overrun_minutes"))
             .withColumn("actual_end", F.timestamp_add("MINUTE", F.col("actual_minutes"), F.col("scheduled_at")))
@@ -112,7 +119,8 @@ def request_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         "flag_present": fx.flag_present(dims.FLAG_COLUMNS),
         "indication": draws.pick(u(pid, "indication"), dims.INDICATIONS),
     })
-    df = df.withColumn("scan_type", indication_scan(u(pid, "indication_scan")))
+    df = df.withColumn("_u_is", u(pid, "indication_scan"))
+    df = df.withColumn("scan_type", indication_scan(F.col("_u_is"))).drop("_u_is")
     return df.withColumn("contrast", fx.contrast_from_scan("scan_type", case_sensitive=True))
 
 

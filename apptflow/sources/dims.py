@@ -225,44 +225,70 @@ TRUTHY = ["yes", "true", "1"]
 # ---------------------------------------------------------------------------
 
 
+def _spark_lit(v) -> str:
+    import datetime as _dt
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(v, _dt.date):
+        return f"DATE'{v.isoformat()}'"
+    return repr(v)
+
+
+def literal(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A small literal table as one SQL ``VALUES`` relation (a LocalRelation).
+
+    ``createDataFrame`` on a Python list goes through a Python RDD and
+    starts Python workers; dimension tables never need that.
+    """
+    fields = [f.strip().split(" ", 1) for f in ddl.split(",")]
+    names = [f"c{i}" for i in range(len(fields))]
+    body = ", ".join("(" + ", ".join(_spark_lit(v) for v in r) + ")" for r in rows)
+    cols = ", ".join(f"CAST({c} AS {t}) AS {n}" for c, (n, t) in zip(names, fields))
+    return spark.sql(f"SELECT {cols} FROM VALUES {body} AS t({', '.join(names)})")
+
+
 def scan_rule(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SCAN_RULES, "scan_type string, minutes int, contrast boolean")
+    return literal(spark, SCAN_RULES, "scan_type string, minutes int, contrast boolean")
 
 
 def reason_mix(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(REASON_MIX, "reason string, weight double")
+    return literal(spark, REASON_MIX, "reason string, weight double")
 
 
 def indication_mix(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(INDICATION_MIX, "indication string, scan_type string, weight double")
+    return literal(spark, INDICATION_MIX, "indication string, scan_type string, weight double")
 
 
 def quota(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(QUOTAS, "order_no int, flag string, n int")
+    return literal(spark, QUOTAS, "order_no int, flag string, n int")
 
 
 def reason_flag(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(REASON_FLAG, "flag string, reason string")
+    return literal(spark, REASON_FLAG, "flag string, reason string")
 
 
 def flag_average(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FLAG_AVERAGE, "flag string, minutes double")
+    return literal(spark, FLAG_AVERAGE, "flag string, minutes double")
 
 
 def scanner(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SCANNERS, "scanner int, scanner_name string, bore string, open_hour int, close_hour int")
+    return literal(spark, SCANNERS, "scanner int, scanner_name string, bore string, open_hour int, close_hour int")
 
 
 def closure(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CLOSURES, "scanner int, weekday int, from_hour int, to_hour int")
+    return literal(spark, CLOSURES, "scanner int, weekday int, from_hour int, to_hour int")
 
 
 def colour(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(COLOURS, "order_no int, keyword string, colour string")
+    return literal(spark, COLOURS, "order_no int, keyword string, colour string")
 
 
 def display_name(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DISPLAY_NAME, "order_no int, flag string, label string")
+    return literal(spark, DISPLAY_NAME, "order_no int, flag string, label string")
 
 
 def holiday(spark: SparkSession, dates: list[str] | None = None) -> DataFrame:
@@ -274,5 +300,5 @@ def holiday(spark: SparkSession, dates: list[str] | None = None) -> DataFrame:
     if dates is None:
         dates = ["2023-01-02", "2023-12-25", "2023-12-26", "2024-01-01",
                  "2024-12-25", "2024-12-26", "2025-01-01", "2025-12-25", "2025-12-26"]
-    return spark.createDataFrame([(d,) for d in dates], "d string").select(
+    return literal(spark, [(d,) for d in dates], "d string").select(
         F.to_date("d").alias("holiday_date"))
