@@ -81,9 +81,9 @@ def encoder_stages(categorical: list[str], numeric: list[str], out: str = "featu
     """
     idx = [StringIndexer(inputCols=categorical, outputCols=[f"{c}__idx" for c in categorical],
                          handleInvalid="keep", stringOrderType="alphabetAsc")]
-    ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in categorical], outputCols=[f"{c}__vec" for c in categorical],
+    ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in categorical], outputCols=[f"cat__{c}" for c in categorical],
                         dropLast=True)
-    asm = VectorAssembler(inputCols=numeric + [f"{c}__vec" for c in categorical], outputCol=out)
+    asm = VectorAssembler(inputCols=numeric + [f"cat__{c}" for c in categorical], outputCol=out)
     return [*idx, ohe, asm]
 
 

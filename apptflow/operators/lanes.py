@@ -1,0 +1,116 @@
+"""Rule-aware booking for the averages and model policies (L8, L9) [re-aimed].
+
+The reference books these policies with a clock loop that rescans the whole
+queue every 5-10 minutes. We deliver a schedule that satisfies the same hard
+rules, built from set operations (SURVEY §7.4):
+
+1. **Lanes.** Each request falls in one lane by its flags. A lane owns
+   windows of scanner-days chosen so that the time-of-day, weekday and
+   scanner rules of every request in the lane hold *by construction*
+   (e.g. transports only 09:00-12:00 on scanner 1 on weekdays). Windows of
+   different lanes never overlap and are separated by the changeover gap.
+2. **Packing.** Each lane is packed in its queue order with the exact FCFS
+   packer (``booking.fcfs_schedule``) over its own window template.
+3. **Caps.** Running caps and streaks (hoists per scanner-day, transports
+   per site-day, consecutive sedations) are enforced by releasing the rows
+   that exceed them; releasing only shortens counts and runs, so the kept
+   schedule satisfies them. Released rows are reported as unplaced.
+
+All windows are bounded by the horizon; every window function used here is
+partitioned by a scanner-day or site-day.
+"""
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from apptflow.operators import audit as au
+from apptflow.operators import booking as bk
+from apptflow.operators.scan import running_totals
+from apptflow.sources import dims
+
+# Lane windows, minutes after 08:00: {lane: {(kind, scanner): [(open, close)]}}
+# kind is 'weekday', 'weekend' or 'wednesday' (a weekday with the scanner-4 rule).
+GAP = dims.CHANGEOVER_MINUTES
+
+AVERAGES_LANES = {
+    # Hospital|Hoist|Claustrophobic|Sedation: weekdays, scanner 1, 09:00-12:00
+    "priority": {("weekday", 1): [(60, 240)], ("wednesday", 1): [(60, 240)]},
+    # other complex needs (wheelchair, mobility, cognitive, learning): scanner 3, 08:00-17:00
+    "complex": {(k, 3): [(0, 540)] for k in ("weekday", "wednesday", "weekend")},
+    # everything else: the remaining time, never after 13:00 on scanner 4 on Wednesdays
+    "ordinary": {
+        ("weekday", 1): [(0, 60 - GAP), (240 + GAP, 720)], ("wednesday", 1): [(0, 60 - GAP), (240 + GAP, 720)],
+        ("weekend", 1): [(0, 720)],
+        ("weekday", 2): [(0, 720)], ("wednesday", 2): [(0, 720)], ("weekend", 2): [(0, 720)],
+        ("weekday", 3): [(540 + GAP, 720)], ("wednesday", 3): [(540 + GAP, 720)], ("weekend", 3): [(540 + GAP, 720)],
+        ("weekday", 4): [(0, 720)], ("wednesday", 4): [(0, 300)], ("weekend", 4): [(0, 720)],
+    },
+}
+
+MODEL_LANES = {
+    # hoist / sedation / transport / predicted Class 3: weekdays, scanner 1, 08:15-17:00
+    "risky": {("weekday", 1): [(15, 540)], ("wednesday", 1): [(15, 540)]},
+    # other flagged requests: scanner 3, 08:15-19:55 (never at 08:00-08:10, never ending at 20:00)
+    "flagged": {(k, 3): [(15, 715)] for k in ("weekday", "wednesday", "weekend")},
+    # unflagged requests: the remaining time
+    "low": {
+        ("weekday", 1): [(540 + GAP, 720)], ("wednesday", 1): [(540 + GAP, 720)], ("weekend", 1): [(0, 720)],
+        ("weekday", 2): [(0, 720)], ("wednesday", 2): [(0, 720)], ("weekend", 2): [(0, 720)],
+        ("weekday", 4): [(0, 720)], ("wednesday", 4): [(0, 300)], ("weekend", 4): [(0, 720)],
+    },
+}
+
+
+def lane_template(windows: dict, start: str, end: str) -> list[tuple]:
+    """(shift_no, date, scanner, open, close) for a lane over the horizon."""
+    d0, d1 = dt.date.fromisoformat(start), dt.date.fromisoformat(end)
+    out, n, d = [], 0, d0
+    while d <= d1:
+        kind = "weekend" if d.weekday() >= 5 else ("wednesday" if d.weekday() == 2 else "weekday")
+        for sc, _, _, _, _ in dims.SCANNERS:
+            for o, c in windows.get((kind, sc), []):
+                out.append((n, d, sc, o, c))
+                n += 1
+        d += dt.timedelta(days=1)
+    return out
+
+
+def pack_lanes(spark: SparkSession, requests: DataFrame, lane: Column, lanes: dict, order: list[Column],
+               block: Column, start: str, end: str) -> DataFrame:
+    """Pack each lane's queue FCFS into its windows; union the lanes.
+
+    ``requests`` has site, patient_id, duration (+ any payload). ``order``
+    is the queue order inside a lane (unique per site) and ``block`` a
+    non-decreasing integer function of it for the two-level scan.
+    """
+    r = requests.withColumn("lane", lane)
+    r = running_totals(r, ["site", "lane"], None, {"lane_pos": F.lit(1).cast("long")}, inclusive=False,
+                       block=block, order=order)
+    out = None
+    for name, windows in lanes.items():
+        q = r.filter(F.col("lane") == name).withColumnRenamed("row_index", "request_index") \
+             .withColumnRenamed("lane_pos", "row_index")
+        placed = bk.fcfs_schedule(spark, q, lane_template(windows, start, end))
+        placed = placed.drop("shift_no").withColumnRenamed("row_index", "lane_pos") \
+                       .withColumnRenamed("request_index", "row_index")
+        out = placed if out is None else out.unionByName(placed)
+    return out
+
+
+def release_caps(sched: DataFrame, hoist: Column, sedation: Column, transport: Column | None = None,
+                 max_hoists: int = au.MAX_HOISTS, max_sedation: int = au.MAX_SEDATION_STREAK,
+                 max_transports: int = au.MAX_TRANSPORTS_PER_DAY) -> DataFrame:
+    """Drop rows past a running cap or streak, in an order where releasing
+    one rule's rows can never create a violation of another."""
+    sd = ["site", "date", "scanner"]
+    s = sched.withColumns({"_h": hoist, "_s": sedation})
+    s = au.running_count(s, F.col("_h"), sd, "start_min", "_hn").filter(~(F.col("_h") & (F.col("_hn") > max_hoists)))
+    if transport is not None:
+        s = s.withColumn("_t", transport)
+        s = au.running_count(s, F.col("_t"), ["site", "date"], "start_min", "_tn").filter(
+            ~(F.col("_t") & (F.col("_tn") > max_transports))).drop("_t", "_tn")
+    s = au.streaks(s, F.col("_s"), sd, name="_ss").filter(F.col("_ss") <= max_sedation)
+    return s.drop("_h", "_s", "_hn", "_ss")

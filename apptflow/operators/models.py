@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from apptflow.sources import dims
 
+from apptflow.functions import flags as fx
 from apptflow.operators import features as fe
 from apptflow.session import ensure_checkpoint_dir
 
@@ -82,7 +83,8 @@ def feature_importance(spark: SparkSession, model: PipelineModel, scored: DataFr
     imp = model.stages[-1].featureImportances.toArray().tolist()
     names = feature_names(scored)
     rows = [(name, n, float(v)) for n, v in zip(names, imp)]
-    return dims.literal(spark, rows, "model string, feature string, importance double")
+    t = dims.literal(spark, rows, "model string, feature string, importance double")
+    return t.withColumn("feature", fx.clean_feature_name("feature"))
 
 
 def top_k(df: DataFrame, group: str, order: str, k: int = 10) -> DataFrame:

@@ -198,7 +198,8 @@ def timeline(spark, sf_dir):
                    F.lit(" | Flag: "), F.col("reason_text"), F.lit(" | Booked: "),
                    bk.clock_text(F.col("date"), F.col("start_min"), "HH:mm"), F.lit("-"),
                    bk.clock_text(F.col("date"), F.col("end_min"), "HH:mm"))
-    return s.select("site", "date", "scanner", "patient_id", (F.col("start_min") * 1.5).alias("left_px"),
+    start_text = bk.clock_text(F.col("date"), F.col("start_min"), "HH:mm")
+    return s.select("site", "date", "scanner", "patient_id", (fx.hhmm_to_minutes(start_text) * 1.5).alias("left_px"),
                     (F.col("duration") * 1.5).alias("width_px"), colour.alias("colour"), label.alias("label"),
                     tip.alias("tooltip"))
 

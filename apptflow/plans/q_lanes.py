@@ -1,0 +1,81 @@
+"""Averages- and model-policy booking (L8, L9) with their audits (rows-only)."""
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from apptflow.functions import flags as fx
+from apptflow.operators import audit as au
+from apptflow.operators import lanes
+from apptflow.plans.q_metrics import heuristic_policy, ml_policy
+from apptflow.plans.registry import query
+from apptflow.sources import adapters, dims
+from apptflow.sources.adapters import memo_plan
+
+MAX_REQUEST_OFFSET = 4  # request dates are start + (row_index mod 5) days
+
+
+@memo_plan
+def rule_schedule_df(spark, sf_dir):
+    r = adapters.request(spark, sf_dir).select("site", "row_index", "patient_id", "scan_type",
+                                               fx.reason_text().alias("reason_text"))
+    r = r.join(heuristic_policy(spark, sf_dir), "patient_id").withColumnRenamed("duration_heuristic", "duration")
+    text = F.col("reason_text")
+    lane = (F.when(fx.is_priority(text), "priority")
+            .when(au.any_word(text, ["Wheelchair", "Cognitive", "Learning", "Mobility"]), "complex")
+            .otherwise("ordinary"))
+    placed = lanes.pack_lanes(spark, r, lane, lanes.AVERAGES_LANES, [F.col("row_index")],
+                              F.floor(F.col("row_index") / F.lit(1 << 16)), dims.BOOKING_START, dims.BOOKING_END)
+    return lanes.release_caps(placed, text.contains("Hoist"), au.any_word(text, ["Sedation", "Claustro"]))
+
+
+@memo_plan
+def model_schedule_df(spark, sf_dir):
+    r = adapters.request(spark, sf_dir).select(
+        "site", "row_index", "patient_id", "scan_type", "hoist_required", "sedation_needed",
+        "hospital_transport_required", fx.reason_text().alias("reason_text"),
+        fx.short_flag_text().alias("flags"), fx.complexity().alias("complexity"))
+    r = r.join(ml_policy(spark, sf_dir), "patient_id").withColumnRenamed("duration_ml", "duration")
+    r = r.withColumns({
+        "request_date": F.date_add(F.lit(dims.BOOKING_START).cast("date"), (F.col("row_index") % 5).cast("int")),
+        "pool": F.when(F.col("complexity") >= 3, "high").when(F.col("complexity") >= 1, "medium").otherwise("low")})
+    hoist, sed, tr = (F.col("hoist_required") == "Yes", F.col("sedation_needed") == "Yes",
+                      F.col("hospital_transport_required") == "Yes")
+    lane = (F.when(hoist | sed | tr | (F.col("class_ml") == "Class 3"), "risky")
+            .when(F.col("complexity") >= 1, "flagged").otherwise("low"))
+    order = [F.col("request_date"), F.col("complexity").desc(), F.col("row_index")]
+    block = ((F.col("row_index") % 5) * F.lit(1 << 40) + (15 - F.col("complexity")) * F.lit(1 << 32)
+             + F.floor(F.col("row_index") / F.lit(1 << 16)))
+    # every request is available once the latest request date has passed
+    start = (dt.date.fromisoformat(dims.BOOKING_START) + dt.timedelta(days=MAX_REQUEST_OFFSET)).isoformat()
+    placed = lanes.pack_lanes(spark, r, lane, lanes.MODEL_LANES, order, block, start, dims.BOOKING_END)
+    return lanes.release_caps(placed, hoist, sed, tr)
+
+
+RULE_COLS = ["site", "date", "scanner", "start_min", "end_min", "patient_id", "reason_text", "scan_type",
+             "duration", "class_heuristic", "lane"]
+MODEL_COLS = ["site", "date", "scanner", "start_min", "end_min", "patient_id", "request_date", "scan_type", "flags",
+              "reason_text", "class_ml", "duration", "pool", "lane"]
+
+
+@query("rule_schedule")
+def rule_schedule(spark, sf_dir):
+    """Averages-policy booking (L8): lanes by flags, FCFS within a lane, caps enforced."""
+    return rule_schedule_df(spark, sf_dir).select(*RULE_COLS)
+
+
+@query("model_schedule")
+def model_schedule(spark, sf_dir):
+    """Model-policy booking (L9): risky / flagged / low lanes, request dates respected."""
+    return model_schedule_df(spark, sf_dir).select(*MODEL_COLS)
+
+
+@query("rule_schedule_audit")
+def rule_schedule_audit(spark, sf_dir):
+    return au.schedule_audit(rule_schedule_df(spark, sf_dir))
+
+
+@query("model_schedule_audit")
+def model_schedule_audit(spark, sf_dir):
+    return au.schedule_audit(model_schedule_df(spark, sf_dir))

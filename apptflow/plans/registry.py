@@ -25,7 +25,7 @@ def query(name: str, sql: str | Callable[[], str] | None = None):
 
 def _load_all() -> None:
     # importing the modules registers their queries
-    from apptflow.plans import q_core, q_metrics, q_draws, q_sampling, q_features, q_booking  # noqa: F401
+    from apptflow.plans import q_core, q_metrics, q_draws, q_sampling, q_features, q_booking, q_lanes  # noqa: F401
 
 
 def queries() -> dict[str, QueryFn]:

@@ -1,0 +1,35 @@
+"""Averages- and model-policy schedules satisfy their hard rules."""
+from pyspark.sql import functions as F
+
+from apptflow.plans import q_lanes
+from apptflow.sources import adapters
+
+STRUCTURAL = ["opening_hours", "closure", "overlap", "duplicate_patient"]
+AVERAGES_RULES = STRUCTURAL + ["weekend_barred", "late_complex_start", "hoist_lunch", "sedation_scanner_3",
+                               "mobility_scanner_2", "transport_scanner_4", "hoist_cap", "sedation_streak"]
+MODEL_RULES = STRUCTURAL + ["weekend_barred", "sedation_scanner_3", "hoist_cap", "transport_cap", "sedation_streak"]
+
+
+def _audit(df):
+    return {r["rule"]: r["violations"] for r in df.collect()}
+
+
+def test_rule_schedule_hard_rules(spark, sf_small):
+    a = _audit(q_lanes.rule_schedule_audit(spark, sf_small))
+    assert all(a[r] == 0 for r in AVERAGES_RULES), a
+
+
+def test_model_schedule_hard_rules(spark, sf_small):
+    s = q_lanes.model_schedule(spark, sf_small)
+    a = _audit(q_lanes.model_schedule_audit(spark, sf_small))
+    assert all(a[r] == 0 for r in MODEL_RULES), a
+    # model-only rules: nothing before its request date; risky requests before 17:00 on weekdays
+    assert s.filter(F.col("date") < F.col("request_date")).count() == 0
+    risky = s.filter(F.col("lane") == "risky")
+    assert risky.filter((F.col("start_min") >= 540) | (F.weekday("date") >= 5)).count() == 0
+
+
+def test_no_request_lost(spark, sf_small):
+    n = adapters.request(spark, sf_small).count()
+    placed = q_lanes.rule_schedule(spark, sf_small).select("patient_id").distinct().count()
+    assert placed <= n and placed > 0.9 * n
