@@ -64,68 +64,27 @@ def shift_template(start: str = dims.BOOKING_START, end: str = dims.BOOKING_END,
     return out
 
 
-def shift_grid(spark: SparkSession, sites: DataFrame, template: list[tuple] | None = None) -> DataFrame:
-    """site x shift segments (L1). Both sides are bounded dimensions."""
-    template = shift_template() if template is None else template
-    t = dims.literal(spark, template, "shift_no int, date date, scanner int, open_min int, close_min int")
-    return sites.join(F.broadcast(t), how="cross")
-
+def shift_grid(spark: SparkSession, sites: DataFrame, start: str = dims.BOOKING_START,
+               end: str = dims.BOOKING_END) -> DataFrame:
+    """site x date x scanner x segment (L1), generated per site (no join).
 
-def fcfs_schedule(spark: SparkSession, queue: DataFrame, template: list[tuple] | None = None,
-                  gap: int = dims.CHANGEOVER_MINUTES, block_size: int = 1 << 16) -> DataFrame:
-    """Exact FCFS packing of ``queue`` (site, row_index, patient_id, duration, ...).
-
-    ``row_index`` is the 0-based queue position within the site. Returns the
-    queue rows that were placed, with shift_no, date, scanner, start_min and
-    end_min (minutes after 08:00).
+    Scanner hours come from the scanner dimension; a closure splits its
+    scanner-day into the segments before and after it.
     """
-    template = shift_template() if template is None else template
-    caps = [c - o for _, _, _, o, c in template]
-    distinct_caps = sorted(set(caps))
-    horizon = sum(c + gap for c in caps) - gap
-    q = running_totals(queue, ["site"], "row_index", {"e": (F.col("duration") + gap).cast("long")},
-                       block_size=block_size).withColumn("e", F.col("e") - gap)
-    # Candidates are bounded by the horizon, not the data: materialise them
-    # once (reliable checkpoint in the shared directory) because the fold,
-    # the pointer windows and the final join all read them.
-    cand = cut_lineage(q.filter(F.col("e") <= horizon))
-    # Per candidate position p (0 = the start sentinel at e = -gap): how many
-    # items a shift of capacity c takes when it starts right after p, i.e.
-    # the items with e in (e_p, e_p + c + gap]. RANGE frames over the
-    # site's candidates, whose number is bounded by the horizon.
-    pts = cand.select("site", (F.col("row_index") + 1).alias("pos"), "e")
-    sentinel = cand.select("site").distinct().select("site", F.lit(0).cast("long").alias("pos"),
-                                                     F.lit(-gap).cast("long").alias("e"))
-    pts = pts.unionByName(sentinel)
-    w = Window.partitionBy("site").orderBy("e")
-    takes = {f"t{c}": F.count(F.lit(1)).over(w.rangeBetween(1, c + gap)) for c in distinct_caps}
-    pts = pts.withColumns(takes)
-    per_site = pts.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("pos", "e", *takes))).alias("pt"))
-    # fold the shifts: p_s = p_{s-1} + take_{c_s}(p_{s-1}); one O(1) lookup per shift
-    cap_arr = F.array(*[F.lit(distinct_caps.index(c)) for c in caps])
-    pair = "struct<p:bigint,e:bigint>"
-    init = F.struct(F.lit(0).cast("long").alias("p"), F.array().cast(f"array<{pair}>").alias("b"))
-
-    def step(acc, ci):
-        row = F.element_at(F.col("pt"), (acc["p"] + 1).cast("int"))
-        take = F.element_at(F.array(*[row[f"t{c}"] for c in distinct_caps]), ci + 1)
-        p_new = acc["p"] + take
-        e_new = F.element_at(F.col("pt"), (p_new + 1).cast("int"))["e"]
-        return F.struct(p_new.alias("p"),
-                        F.concat(acc["b"], F.array(F.struct(p_new.alias("p"), e_new.alias("e")))).alias("b"))
-
-    # only the (p, e) boundary pairs leave the fold; the pointer array does not
-    bounds = per_site.select("site", F.aggregate(cap_arr, init, step)["b"].alias("b"))
-    shifts = bounds.select("site", F.posexplode("b").alias("shift_no", "hi")).select(
-        "site", "shift_no", F.col("hi.p").alias("p_hi"), F.col("hi.e").alias("e_hi"))
-    w_prev = Window.partitionBy("site").orderBy("shift_no")  # <= number of shifts rows per site
-    shifts = shifts.withColumns({
-        "p_lo": F.coalesce(F.lag("p_hi").over(w_prev), F.lit(0).cast("long")),
-        "e_lo": F.coalesce(F.lag("e_hi").over(w_prev), F.lit(-gap).cast("long"))})
-    shifts = shifts.filter(F.col("p_hi") > F.col("p_lo")).select(
-        "site", "shift_no", "e_lo", F.explode(F.sequence(F.col("p_lo"), F.col("p_hi") - 1)).alias("row_index"))
-    t = dims.literal(spark, template, "shift_no int, date date, scanner int, open_min int, close_min int")
-    return sites.join(F.broadcast(t), how="cross")
+    days = sites.select("site", F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("date"))
+    sc = F.array(*[F.struct(F.lit(s).alias("scanner"), F.lit(oh * 60 - DAY_OPEN).alias("o"),
+                            F.lit(ch * 60 - DAY_OPEN).alias("c")) for s, _, _, oh, ch in dims.SCANNERS])
+    g = days.select("site", "date", F.explode(sc).alias("s")).select("site", "date", "s.*")
+    closed = None
+    for csc, wd, fh, th in dims.CLOSURES:
+        cond = (F.col("scanner") == csc) & (F.weekday("date") == wd)
+        cut = F.array(F.struct(F.col("o").alias("open_min"), F.least(F.col("c"), F.lit(fh * 60 - DAY_OPEN)).alias("close_min")),
+                      F.struct(F.greatest(F.col("o"), F.lit(th * 60 - DAY_OPEN)).alias("open_min"), F.col("c").alias("close_min")))
+        closed = F.when(cond, cut) if closed is None else closed.when(cond, cut)
+    whole = F.array(F.struct(F.col("o").alias("open_min"), F.col("c").alias("close_min")))
+    segs = whole if closed is None else closed.otherwise(whole)
+    out = g.select("site", "date", "scanner", F.explode(segs).alias("seg")).select("site", "date", "scanner", "seg.*")
+    return out.filter(F.col("close_min") > F.col("open_min"))
 
 
 def fcfs_schedule(spark: SparkSession, queue: DataFrame, template: list[tuple] | None = None,

@@ -68,8 +68,8 @@ def standardise(col: Column, mean: float, std: float) -> Column:
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weights n / (k · n_c) per class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
-    tot = counts.agg(F.sum("n_c").alias("n"), F.count(F.lit(1)).alias("k"))
-    return counts.join(F.broadcast(tot), how="cross").select(
+    tot = counts.agg(F.sum("n_c").alias("n"), F.count(F.lit(1)).alias("k")).withColumn("_k", F.lit(1))
+    return counts.withColumn("_k", F.lit(1)).join(F.broadcast(tot), "_k").select(
         label, "n_c", (F.col("n").cast("double") / (F.col("k") * F.col("n_c")).cast("double")).alias("weight"))
 
 

@@ -26,9 +26,11 @@ def confusion_matrix(df: DataFrame, actual: str, predicted: str, labels: list[st
     spark: SparkSession = df.sparkSession
     counts = df.groupBy(*group, F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(
         F.count(F.lit(1)).alias("n"))
-    grid = dims.literal(spark, [(a, p) for a in labels for p in labels], "actual string, predicted string")
+    pairs = F.array(*[F.struct(F.lit(a).alias("actual"), F.lit(p).alias("predicted")) for a in labels for p in labels])
     if group:
-        grid = counts.select(*group).distinct().join(F.broadcast(grid), how="cross")
+        grid = counts.select(*group).distinct().select(*group, F.explode(pairs).alias("g")).select(*group, "g.*")
+    else:
+        grid = dims.literal(spark, [(a, p) for a in labels for p in labels], "actual string, predicted string")
     return grid.join(counts, [*group, "actual", "predicted"], "left").select(
         *group, "actual", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
 

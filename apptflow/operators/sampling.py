@@ -67,10 +67,11 @@ def quota_sample(pool: DataFrame, quotas: list[tuple] | None = None, target_no_f
     thr = cum.filter(F.col("cum") >= F.col("need")).groupBy("step").agg(F.min("bin").alias("thr"))
     thr = need.join(thr, "step", "left").select("step", F.coalesce("thr", F.lit(bins)).alias("thr"))
     thr_map = F.map_from_entries(F.collect_list(F.struct("step", "thr")))
-    thr_row = thr.agg(thr_map.alias("thr_map"))  # one row: <= number of steps entries
+    thr_row = thr.agg(thr_map.alias("thr_map")).withColumn("_k", F.lit(1))  # one row: <= #steps entries
     # pass 2: rows under the threshold of any step they are eligible for
     keep = F.exists("steps", lambda s: s.isNotNull() & (F.col("bin") <= F.element_at(F.col("thr_map"), s)))
-    cand = cut_lineage(tagged.join(F.broadcast(thr_row), how="cross").filter(keep).drop("thr_map"))
+    cand = cut_lineage(tagged.withColumn("_k", F.lit(1)).join(F.broadcast(thr_row), "_k")
+                       .filter(keep).drop("thr_map", "_k"))
 
     taken: DataFrame | None = None
 

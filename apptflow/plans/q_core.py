@@ -218,10 +218,10 @@ def available_requests(spark, sf_dir):
     """
     r = date_round_robin(spark, sf_dir)
     start = F.lit(dims.BOOKING_START).cast("date")
-    days = spark.range(BOOK_DAYS).select(F.date_add(start, F.col("id").cast("int")).alias("day"))
     per_day = r.groupBy("site", F.col("request_date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    sites = r.select("site").distinct()
-    grid = sites.join(F.broadcast(days), how="cross")  # sites x 7 days, both bounded dimensions
+    # every (site, day) cell, generated per site rather than joined
+    grid = r.select("site").distinct().select(
+        "site", F.explode(F.sequence(start, F.date_add(start, BOOK_DAYS - 1))).alias("day"))
     w = Window.partitionBy("site").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     return (grid.join(per_day, ["site", "day"], "left")
             .select("site", "day", F.sum(F.coalesce("n", F.lit(0))).over(w).alias("n_available")))

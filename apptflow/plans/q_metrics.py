@@ -297,8 +297,8 @@ def model_comparison(spark, sf_dir):
                                      F.count(F.lit(1)).alias("n"))
     hundredths = (fx.ratio_round(F.col("sae"), F.col("n"), 2) * 100).cast("long")
     m = agg.select("policy", fx.ratio_round(F.col("sae"), F.col("n"), 2).alias("mae"), hundredths.alias("mae_c"))
-    base = m.filter(F.col("policy") == "baseline").select(F.col("mae_c").alias("base_c"))
-    d = m.join(F.broadcast(base), how="cross")  # one baseline row
+    base = m.filter(F.col("policy") == "baseline").select(F.lit(1).alias("_k"), F.col("mae_c").alias("base_c"))
+    d = m.withColumn("_k", F.lit(1)).join(F.broadcast(base), "_k").drop("_k")  # one baseline row
     an = F.abs(F.col("base_c") - F.col("mae_c")) * 1000
     text = fx.pct_text(an / 1000, F.col("base_c"))
     signed = F.concat(F.when(F.col("base_c") < F.col("mae_c"), F.lit("-")).otherwise(F.lit("")), text)
