@@ -72,10 +72,34 @@ def three_way(spark, sf_dir) -> DataFrame:
             .join(heuristic_policy(spark, sf_dir), "patient_id", "inner"))
 
 
+@memo_plan
+def comparison(spark, sf_dir) -> DataFrame:
+    """The three-way comparison in ONE pass (same rows as ``three_way``).
+
+    Request, history and both policies derive row-wise from the same source
+    row, so instead of two shuffle joins on patient id this is one scan plus
+    a broadcast of the bounded group-mean model.
+    """
+    r = adapters.request_base(spark, sf_dir, ("actual_minutes", "scan_type", "class")).select(
+        "patient_id", "scan_type", "contrast", fx.reason_text().alias("reason_text"),
+        F.col("hist_actual_minutes").alias("duration_actual"),
+        pol.baseline_minutes("hist_scan_type").alias("duration_baseline"),
+        F.col("hist_class").alias("class_actual"))
+    model = overrun_model(spark, sf_dir).select(*MODEL_KEYS, "predicted_overrun")
+    s = r.join(F.broadcast(model), MODEL_KEYS, "left").withColumn(
+        "predicted_overrun", F.coalesce("predicted_overrun", F.lit(0.0)))
+    s = pol.with_averages_policy(s)
+    rounded = F.greatest(F.lit(0), F.bround("predicted_overrun", 0).cast("int"))
+    return s.select("patient_id", pol.model_minutes("scan_type", "predicted_overrun").alias("duration_ml"),
+                    pol.class_from_extra(rounded).alias("class_ml"), "duration_actual", "duration_baseline",
+                    "class_actual", F.col("heuristic_minutes").alias("duration_heuristic"),
+                    F.col("heuristic_class").alias("class_heuristic"))
+
+
 @memo_plan
 def policy_long(spark, sf_dir) -> DataFrame:
     """One row per (patient, policy): planned vs actual minutes, via one explode."""
-    m = three_way(spark, sf_dir)
+    m = comparison(spark, sf_dir)
     arr = F.array(*[F.struct(F.lit(p).alias("policy"), F.col(f"duration_{p}").alias("planned")) for p in POLICIES])
     return m.select("patient_id", "duration_actual", F.explode(arr).alias("x")).select(
         "patient_id", "duration_actual", "x.policy", "x.planned")
@@ -202,14 +226,14 @@ def overtime_idle(spark, sf_dir):
 @query("classification_report", lambda: with_(comparison_ctes()) +
        " SELECT * FROM " + _report_sql("ml", "class_actual", "class_ml", "merged") + " r")
 def classification_report(spark, sf_dir):
-    return mx.classification_report(three_way(spark, sf_dir), "class_actual", "class_ml", "ml")
+    return mx.classification_report(comparison(spark, sf_dir), "class_actual", "class_ml", "ml")
 
 
 @query("union_reports", lambda: with_(comparison_ctes()) + " SELECT * FROM " +
        _report_sql("heuristic", "class_actual", "class_heuristic", "merged") + " a UNION ALL SELECT * FROM " +
        _report_sql("ml", "class_actual", "class_ml", "merged") + " b")
 def union_reports(spark, sf_dir):
-    m = three_way(spark, sf_dir)
+    m = comparison(spark, sf_dir)
     return (mx.classification_report(m, "class_actual", "class_heuristic", "heuristic")
             .unionByName(mx.classification_report(m, "class_actual", "class_ml", "ml")))
 
@@ -223,7 +247,7 @@ grid AS (SELECT m.model, a.c AS actual, p.c AS predicted FROM (SELECT DISTINCT m
 SELECT g.model, g.actual, g.predicted, coalesce(cnt.n, 0) AS n FROM grid g
 LEFT JOIN cnt ON cnt.model = g.model AND cnt.actual = g.actual AND cnt.predicted = g.predicted""")
 def confusion_matrix(spark, sf_dir):
-    m = three_way(spark, sf_dir)
+    m = comparison(spark, sf_dir)
     arr = F.array(F.struct(F.lit("heuristic").alias("model"), F.col("class_heuristic").alias("predicted")),
                   F.struct(F.lit("ml").alias("model"), F.col("class_ml").alias("predicted")))
     long = m.select("class_actual", F.explode(arr).alias("x")).select("class_actual", "x.model", "x.predicted")

@@ -111,11 +111,17 @@ def indication_scan(draw) -> F.Column:
 
 
 @memo_plan
-def request_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row-local request columns (no ordering): flags, indication, scan, contrast."""
+def request_base(spark: SparkSession, sf_dir: str, keep: tuple = ()) -> DataFrame:
+    """Row-local request columns (no ordering): flags, indication, scan, contrast.
+
+    ``keep`` carries history columns along as ``hist_<name>``: the request is
+    derived row-wise from the same source row, so comparisons between the
+    two need no join.
+    """
     appt = appointment(spark, sf_dir)
     pid = F.col("patient_id")
-    df = appt.select("patient_id", "site", "age", "gender", *dims.FLAG_COLUMNS).withColumns({
+    extra = [F.col(c).alias(f"hist_{c}") for c in keep]
+    df = appt.select("patient_id", "site", "age", "gender", *dims.FLAG_COLUMNS, *extra).withColumns({
         "flag_present": fx.flag_present(dims.FLAG_COLUMNS),
         "indication": draws.pick(u(pid, "indication"), dims.INDICATIONS),
     })
