@@ -21,7 +21,7 @@ def _flag_entries(mapping: list[tuple[int, str, str]], truthy: list[str], contro
     if control is not None:
         none = ~reduce(lambda a, b: a | b, hits)
         slots.append(F.when(none, F.struct(F.lit(control[0]).alias("order_no"), F.lit(control[1]).alias("label"))))
-    return F.array(*slots)
+    return F.array_compact(F.array(*slots))
 
 
 def flag_summary(df: DataFrame, mapping: list[tuple[int, str, str]] | None = None,
@@ -60,7 +60,8 @@ def control_mask(cols: list[str], truthy: list[str] | None = None):
 
 def flag_long(df: DataFrame, flag_cols: list[str], keep: list[str], truthy: list[str] | None = None) -> DataFrame:
     """One row per (row, set flag): the unpivot behind per-flag reports."""
-    arr = F.array(*[F.when(fx.is_yes(c, truthy), F.lit(dims.FLAG_DISPLAY.get(c, c))) for c in flag_cols])
+    arr = F.array_compact(F.array(*[F.when(fx.is_yes(c, truthy), F.lit(dims.FLAG_DISPLAY.get(c, c)))
+                                    for c in flag_cols]))
     return df.select(*keep, F.explode(arr).alias("flag")).filter(F.col("flag").isNotNull())
 
 

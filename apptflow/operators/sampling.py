@@ -54,24 +54,28 @@ def quota_sample(pool: DataFrame, quotas: list[tuple] | None = None, target_no_f
     bounds.append((fill_step, size))
     spark = pool.sparkSession
 
-    p = pool.withColumn("u", u(key, salt)).withColumn("bin", F.floor(F.col("u") * bins).cast("long"))
+    needed_cols = [key, *[flag for _, flag, _ in quotas], "flag_present"]
+    p = pool.select(*needed_cols).withColumn("u", u(key, salt)).withColumn(
+        "bin", F.floor(F.col("u") * bins).cast("long"))
     # nullable slot per step (explode, then drop nulls: no lambda under the Generate)
-    eligible = F.array(*[F.when(cond, F.lit(step)) for step, cond, _, _ in steps] + [F.lit(fill_step)])
-    tagged = p.withColumn("steps", eligible)
-    # pass 1: per-step histogram of draw bins (<= steps x bins rows)
-    hist = (tagged.select(F.explode("steps").alias("step"), "bin").filter(F.col("step").isNotNull())
-            .groupBy("step", "bin").agg(F.count(F.lit(1)).alias("n")))
+    conds = {step: cond for step, cond, _, _ in steps}
+    conds[fill_step] = F.lit(True)
+    # pass 1: one row per draw bin with a conditional count per step (<= bins rows)
+    hist = p.groupBy("bin").agg(*[F.count_if(c).alias(f"s{k}") for k, c in conds.items()])
+    long = hist.select("bin", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("step"), F.col(f"s{k}").alias("n")) for k in conds])).alias("x")).select(
+        "bin", "x.step", "x.n")  # bounded table: bins x steps
     need = dims.literal(spark, bounds, "step int, need long")
     w = Window.partitionBy("step").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # <= bins rows
-    cum = hist.join(F.broadcast(need), "step").withColumn("cum", F.sum("n").over(w))
-    thr = cum.filter(F.col("cum") >= F.col("need")).groupBy("step").agg(F.min("bin").alias("thr"))
-    thr = need.join(thr, "step", "left").select("step", F.coalesce("thr", F.lit(bins)).alias("thr"))
-    thr_map = F.map_from_entries(F.collect_list(F.struct("step", "thr")))
-    thr_row = thr.agg(thr_map.alias("thr_map")).withColumn("_k", F.lit(1))  # one row: <= #steps entries
-    # pass 2: rows under the threshold of any step they are eligible for
-    keep = F.exists("steps", lambda s: s.isNotNull() & (F.col("bin") <= F.element_at(F.col("thr_map"), s)))
-    cand = cut_lineage(tagged.withColumn("_k", F.lit(1)).join(F.broadcast(thr_row), "_k")
-                       .filter(keep).drop("thr_map", "_k"))
+    cum = long.join(F.broadcast(need), "step").withColumn("cum", F.sum("n").over(w))
+    found = cum.filter(F.col("cum") >= F.col("need")).groupBy("step").agg(F.min("bin").alias("thr")).collect()
+    thr = {r["step"]: r["thr"] for r in found}  # one scalar per step
+    # pass 2: rows under the threshold of any step they are eligible for (a plain filter)
+    keep = None
+    for k, c in conds.items():
+        term = c & (F.col("bin") <= F.lit(thr.get(k, bins)))
+        keep = term if keep is None else (keep | term)
+    cand = cut_lineage(p.filter(keep))
 
     taken: DataFrame | None = None
 
