@@ -103,8 +103,10 @@ def schedule_audit(sched: DataFrame, gap: int = dims.CHANGEOVER_MINUTES) -> Data
     sd = ["site", "date", "scanner"]
     r = F.col("reason_text")
     wd = F.weekday("date")
-    s = running_count(sched, r.contains("Hoist"), sd, "start_min", "hoists")
-    s = running_count(s, r.contains("Hospital"), ["site", "date"], "start_min", "transports")
+    # site-day window first: its hash partitioning also satisfies every
+    # scanner-day window after it, so they share one exchange
+    s = running_count(sched, r.contains("Hospital"), ["site", "date"], "start_min", "transports")
+    s = running_count(s, r.contains("Hoist"), sd, "start_min", "hoists")
     s = streaks(s, any_word(r, ["Sedation", "Claustro"]), sd, name="sed_streak")
     s = streaks(s, r != "None", sd, name="flag_streak")
     nxt = F.lead("start_min").over(Window.partitionBy(*sd).orderBy("start_min", "patient_id"))
