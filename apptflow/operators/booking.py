@@ -88,19 +88,25 @@ def shift_grid(spark: SparkSession, sites: DataFrame, start: str = dims.BOOKING_
 
 
 def fcfs_schedule(spark: SparkSession, queue: DataFrame, template: list[tuple] | None = None,
-                  gap: int = dims.CHANGEOVER_MINUTES, block_size: int = 1 << 16) -> DataFrame:
+                  gap: int = dims.CHANGEOVER_MINUTES, block_size: int = 1 << 16,
+                  e_col: str | None = None) -> DataFrame:
     """Exact FCFS packing of ``queue`` (site, row_index, patient_id, duration, ...).
 
     ``row_index`` is the 0-based queue position within the site. Returns the
     queue rows that were placed, with shift_no, date, scanner, start_min and
-    end_min (minutes after 08:00).
+    end_min (minutes after 08:00). ``e_col`` names a precomputed inclusive
+    running sum of ``duration + gap`` in queue order (saves a scan when the
+    caller already ran one for ``row_index``).
     """
     template = shift_template() if template is None else template
     caps = [c - o for _, _, _, o, c in template]
     distinct_caps = sorted(set(caps))
     horizon = sum(c + gap for c in caps) - gap
-    q = running_totals(queue, ["site"], "row_index", {"e": (F.col("duration") + gap).cast("long")},
-                       block_size=block_size).withColumn("e", F.col("e") - gap)
+    if e_col is None:
+        q = running_totals(queue, ["site"], "row_index", {"e": (F.col("duration") + gap).cast("long")},
+                           block_size=block_size).withColumn("e", F.col("e") - gap)
+    else:
+        q = queue.withColumn("e", F.col(e_col) - gap).drop(e_col)
     # Candidates are bounded by the horizon, not the data: materialise them
     # once (reliable checkpoint in the shared directory) because the fold,
     # the pointer windows and the final join all read them.

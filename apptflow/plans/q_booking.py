@@ -24,16 +24,24 @@ SCANNER_NAME = {sc: name for sc, name, _, _, _ in dims.SCANNERS}
 
 @memo_plan
 def fcfs_queue(spark, sf_dir) -> DataFrame:
-    """Requests with baseline minutes in queue order (request time, then index)."""
-    r = adapters.request(spark, sf_dir)
-    return r.select("site", "row_index", "patient_id", "age", "indication", "scan_type",
-                    fx.reason_text().alias("reason_text"),
-                    pol.baseline_minutes("scan_type").alias("duration"))
+    """Requests with baseline minutes in queue order (request time, then index).
+
+    The request clock is monotone in ``row_index``, so queue order is
+    ``row_index`` order; one two-level scan yields both the queue position
+    and the packed end offsets ``e_end`` the packer needs.
+    """
+    r = adapters.request_base(spark, sf_dir).select(
+        "site", "patient_id", "age", "indication", "scan_type", fx.reason_text().alias("reason_text"),
+        pol.baseline_minutes("scan_type").alias("duration"))
+    r = running_totals(r, ["site"], "patient_id", {
+        "row_index": F.lit(1).cast("long"),
+        "e_end": (F.col("duration") + dims.CHANGEOVER_MINUTES).cast("long")})
+    return r.withColumn("row_index", F.col("row_index") - 1)
 
 
 @memo_plan
 def fcfs(spark, sf_dir) -> DataFrame:
-    return bk.fcfs_schedule(spark, fcfs_queue(spark, sf_dir))
+    return bk.fcfs_schedule(spark, fcfs_queue(spark, sf_dir), e_col="e_end")
 
 
 # --- SQL side ----------------------------------------------------------------
