@@ -57,41 +57,41 @@ def appointment_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     # each hash draw is its own column, so expressions that use it several
     # times (CASE chains, lookups) evaluate md5 once; unused draws are pruned
     salts = ["age", "gender", "scan", "arrival", "reason", "severity", "minutes", "slot"]
+    # (few DataFrame steps: each one re-analyses the whole plan on the driver)
     d = base.withColumns({f"_u_{s}": u(pid, s) for s in salts})
     reason = draws.weighted_pick(F.col("_u_reason"), dims.REASON_MIX)
     slot = (F.lit(480) + F.lit(15) * F.floor(F.col("_u_slot") * 48)).cast("int")
-    d = d.withColumns({
-        "age": (F.lit(18) + F.floor(F.col("_u_age") * 72)).cast("int"),
-        "gender": draws.pick(F.col("_u_gender"), dims.GENDERS),
-        "scan_type": draws.pick(F.col("_u_scan"), scan_names),
-        "arrival_offset": draws.pick(F.col("_u_arrival"), dims.ARRIVAL_OFFSETS).cast("int"),
-        "delay_reason": F.nullif(reason, F.lit("None")),
-        "scheduled_at": F.timestamp_add("MINUTE", slot, F.col("o_orderdate")),
-    })
+    d = d.select(
+        "patient_id", "site", "_u_severity", "_u_minutes",
+        (F.lit(18) + F.floor(F.col("_u_age") * 72)).cast("int").alias("age"),
+        draws.pick(F.col("_u_gender"), dims.GENDERS).alias("gender"),
+        draws.pick(F.col("_u_scan"), scan_names).alias("scan_type"),
+        draws.pick(F.col("_u_arrival"), dims.ARRIVAL_OFFSETS).cast("int").alias("arrival_offset"),
+        F.nullif(reason, F.lit("None")).alias("delay_reason"),
+        F.timestamp_add("MINUTE", slot, F.col("o_orderdate")).alias("scheduled_at"))
     minor_p = F.when(F.col("delay_reason").isin(*dims.MAJOR_PRONE_REASONS), F.lit(0.1)).otherwise(F.lit(0.7))
     is_minor = F.col("_u_severity") < minor_p
     overrun = (F.when(F.col("delay_reason").isNull(), F.lit(0))
                .when(is_minor, F.lit(5) + F.floor(F.col("_u_minutes") * 16))
                .otherwise(F.lit(21) + F.floor(F.col("_u_minutes") * 40))).cast("int")
-    return (d.withColumn("scheduled_minutes", fx.rule_minutes_expr("scan_type").cast("int"))
-            .withColumn("overrun_minutes", overrun)
-            .withColumn("actual_minutes", F.col("scheduled_minutes") + F.col("overrun_minutes"))
-            .withColumn("actual_end", F.timestamp_add("MINUTE", F.col("actual_minutes"), F.col("scheduled_at")))
-            .select("patient_id", "site", "age", "gender", "scan_type", "scheduled_minutes",
-                    "arrival_offset", "actual_minutes", "overrun_minutes", "scheduled_at",
-                    "delay_reason", "actual_end"))
+    d = d.withColumns({"scheduled_minutes": fx.rule_minutes_expr("scan_type").cast("int"),
+                       "overrun_minutes": overrun})
+    actual = F.col("scheduled_minutes") + F.col("overrun_minutes")
+    return d.select("patient_id", "site", "age", "gender", "scan_type", "scheduled_minutes",
+                    "arrival_offset", actual.alias("actual_minutes"), "overrun_minutes", "scheduled_at",
+                    "delay_reason", F.timestamp_add("MINUTE", actual, F.col("scheduled_at")).alias("actual_end"))
 
 
 def add_features(raw: DataFrame) -> DataFrame:
     """Feature engineering (C4-C7): overrun, 11 reason flags, contrast, class."""
     df = raw.withColumn("overrun_minutes", F.col("actual_minutes") - F.col("scheduled_minutes"))
-    df = df.withColumns(fx.reason_flags("delay_reason"))
-    df = df.withColumn("contrast", fx.contrast_from_scan("scan_type"))
-    df = df.withColumn("class", fx.delay_band("overrun_minutes"))
+    flags = fx.reason_flags("delay_reason")
     return df.select("patient_id", "site", "age", "gender", "scan_type", "scheduled_minutes",
                      "arrival_offset", "actual_minutes", "scheduled_at", "actual_end",
-                     "overrun_minutes", "delay_reason", *dims.FLAG_COLUMNS[:9], "contrast",
-                     *dims.FLAG_COLUMNS[9:], "class")
+                     "overrun_minutes", "delay_reason", *[flags[c].alias(c) for c in dims.FLAG_COLUMNS[:9]],
+                     fx.contrast_from_scan("scan_type").alias("contrast"),
+                     *[flags[c].alias(c) for c in dims.FLAG_COLUMNS[9:]],
+                     fx.delay_band("overrun_minutes").alias("class"))
 
 
 @memo_plan
@@ -121,12 +121,12 @@ def request_base(spark: SparkSession, sf_dir: str, keep: tuple = ()) -> DataFram
     appt = appointment(spark, sf_dir)
     pid = F.col("patient_id")
     extra = [F.col(c).alias(f"hist_{c}") for c in keep]
-    df = appt.select("patient_id", "site", "age", "gender", *dims.FLAG_COLUMNS, *extra).withColumns({
-        "flag_present": fx.flag_present(dims.FLAG_COLUMNS),
-        "indication": draws.pick(u(pid, "indication"), dims.INDICATIONS),
-    })
-    df = df.withColumn("_u_is", u(pid, "indication_scan"))
-    df = df.withColumn("scan_type", indication_scan(F.col("_u_is"))).drop("_u_is")
+    base_cols = ["patient_id", "site", "age", "gender", *dims.FLAG_COLUMNS]
+    df = appt.select(*base_cols, *extra, fx.flag_present(dims.FLAG_COLUMNS).alias("flag_present"),
+                     draws.pick(u(pid, "indication"), dims.INDICATIONS).alias("indication"),
+                     u(pid, "indication_scan").alias("_u_is"))
+    df = df.select(*base_cols, *[f"hist_{c}" for c in keep], "flag_present", "indication",
+                   indication_scan(F.col("_u_is")).alias("scan_type"))
     return df.withColumn("contrast", fx.contrast_from_scan("scan_type", case_sensitive=True))
 
 
