@@ -78,13 +78,15 @@ def soft_rule_breaks(flagged: Column, start: Column, end: Column) -> dict[str, C
 def streaks(sched: DataFrame, flag: Column, part: list[str], order: str = "start_min", name: str = "streak") -> DataFrame:
     """Length of the run of consecutive flagged rows ending at each row.
 
-    Gaps-and-islands: an island id is the running count of unflagged rows;
-    inside an island the flagged rows are numbered in order.
+    Gaps-and-islands in one ordering: the run length is the row's position
+    minus the position of the last unflagged row before it. Both windows
+    share the partitioning and sort, so there is no second exchange.
     """
-    w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    d = sched.withColumn("_f", flag.cast("int")).withColumn("_island", F.sum(1 - F.col("_f")).over(w))
-    w2 = Window.partitionBy(*part, "_island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return d.withColumn(name, F.when(F.col("_f") == 1, F.sum("_f").over(w2)).otherwise(F.lit(0))).drop("_f", "_island")
+    w = Window.partitionBy(*part).orderBy(order)
+    d = sched.withColumn("_f", F.coalesce(flag, F.lit(False))).withColumn("_n", F.row_number().over(w))
+    last_break = F.max(F.when(~F.col("_f"), F.col("_n"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    run = F.col("_n") - F.coalesce(last_break, F.lit(0))
+    return d.withColumn(name, F.when(F.col("_f"), run).otherwise(F.lit(0)).cast("long")).drop("_f", "_n")
 
 
 def running_count(sched: DataFrame, flag: Column, part: list[str], order: str, name: str) -> DataFrame:
