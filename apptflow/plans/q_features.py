@@ -137,7 +137,9 @@ def _scores(spark, sf_dir, kind):
 @query("assembled_features")
 def assembled_features(spark, sf_dir):
     """Routed and assembled feature vectors."""
-    d = prepared(spark, sf_dir, "cls")
+    # Drop the non-feature columns that are present; absent names are ignored
+    d = prepared(spark, sf_dir, "cls").drop("scheduled_at", "actual_end", "actual_minutes", "overrun_minutes",
+                                            "scheduled_minutes", "arrival_offset", "not_a_column")
     model = fe.feature_pipeline(fe.CLASSIFICATION_CATEGORICAL, ["age_z"]).fit(d)
     v = model.transform(d).withColumn("arr", vector_to_array("features"))
     return v.select("patient_id", F.size("arr").alias("n_features"),

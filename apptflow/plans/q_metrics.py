@@ -90,10 +90,13 @@ def comparison(spark, sf_dir) -> DataFrame:
         "predicted_overrun", F.coalesce("predicted_overrun", F.lit(0.0)))
     s = pol.with_averages_policy(s)
     rounded = F.greatest(F.lit(0), F.bround("predicted_overrun", 0).cast("int"))
+    def label(c):  # class labels compared as trimmed strings (C13)
+        return F.trim(c.cast("string"))
     return s.select("patient_id", pol.model_minutes("scan_type", "predicted_overrun").alias("duration_ml"),
-                    pol.class_from_extra(rounded).alias("class_ml"), "duration_actual", "duration_baseline",
-                    "class_actual", F.col("heuristic_minutes").alias("duration_heuristic"),
-                    F.col("heuristic_class").alias("class_heuristic"))
+                    label(pol.class_from_extra(rounded)).alias("class_ml"), "duration_actual", "duration_baseline",
+                    label(F.col("class_actual")).alias("class_actual"),
+                    F.col("heuristic_minutes").alias("duration_heuristic"),
+                    label(F.col("heuristic_class")).alias("class_heuristic"))
 
 
 @memo_plan
@@ -138,8 +141,9 @@ scored AS (SELECT r.patient_id, r.scan_type, coalesce(m.predicted_overrun, 0.0)
            FROM req r LEFT JOIN model m ON r.reason_text = m.reason_text AND r.contrast = m.contrast),
 ml AS (SELECT patient_id, CAST({sv.rule_minutes_sql('scan_type')} + mo AS INTEGER) AS duration_ml, {_class_sql('mo')} AS class_ml
        FROM (SELECT *, greatest(0, CAST(round_even(predicted_overrun, 0) AS INTEGER)) AS mo FROM scored) t),
-merged AS (SELECT ml.patient_id, duration_ml, class_ml, duration_actual, duration_baseline, class_actual,
-                  duration_heuristic, class_heuristic
+merged AS (SELECT ml.patient_id, duration_ml, trim(CAST(class_ml AS VARCHAR)) AS class_ml, duration_actual,
+                  duration_baseline, trim(CAST(class_actual AS VARCHAR)) AS class_actual,
+                  duration_heuristic, trim(CAST(class_heuristic AS VARCHAR)) AS class_heuristic
            FROM ml JOIN hist ON ml.patient_id = hist.patient_id JOIN heur ON heur.patient_id = ml.patient_id),
 plong AS (SELECT patient_id, duration_actual, 'baseline' AS policy, duration_baseline AS planned FROM merged
           UNION ALL SELECT patient_id, duration_actual, 'heuristic', duration_heuristic FROM merged
