@@ -62,9 +62,10 @@ def quota_sample(pool: DataFrame, quotas: list[tuple] | None = None, target_no_f
     conds[fill_step] = F.lit(True)
     # pass 1: one row per draw bin with a conditional count per step (<= bins rows)
     hist = p.groupBy("bin").agg(*[F.count_if(c).alias(f"s{k}") for k, c in conds.items()])
-    long = hist.select("bin", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("step"), F.col(f"s{k}").alias("n")) for k in conds])).alias("x")).select(
-        "bin", "x.step", "x.n")  # bounded table: bins x steps
+    # bounded table (bins x steps); unpivot plans as an Expand, whose codegen
+    # does not unroll the consumer once per step like explode(array(...))
+    long = hist.unpivot("bin", [f"s{k}" for k in conds], "col", "n").select(
+        "bin", F.substring("col", 2, 8).cast("int").alias("step"), "n")
     need = dims.literal(spark, bounds, "step int, need long")
     w = Window.partitionBy("step").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # <= bins rows
     cum = long.join(F.broadcast(need), "step").withColumn("cum", F.sum("n").over(w))
