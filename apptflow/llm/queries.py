@@ -6,8 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apptflow.llm import chat, exact_dedup, hilbert_shards
-from apptflow.llm.common import read
+from apptflow.llm import chat, exact_dedup, hilbert_shards, packing, topk, warc
+from apptflow.llm.common import read, scratch_path
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -127,3 +127,52 @@ FROM normal WINDOW g AS (PARTITION BY norm)
 @query("op8_content_sort_dedup", SQL_EXACT)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
+
+
+# base32 of a SHA-1 digest: eight groups of five hex digits, four letters each
+_B32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * g + 1}, 5))::BIGINT >> {15 - 5 * k}) & 31)::INT + 1, 1)"
+    for g in range(8) for k in range(4))
+
+SQL_WARC = f"""
+WITH hashed AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h,
+    max(page_id) OVER (PARTITION BY coalesce(html, '')) AS response FROM pages)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, {_B32} AS payload_digest,
+  CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> response THEN response END AS refers_to
+FROM hashed
+"""
+
+
+@query("op2_warc_dictionary", SQL_WARC)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(read(spark, sf_dir, "pages"), scratch_path(spark, "warc"), least_revisit_bytes=0)
+    return warc.read_archives(archives)
+
+
+TOP_K = 20
+
+SQL_TOP_K = f"""
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score FROM scored
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= {TOP_K}
+"""
+
+
+@query("op6_histogram_top_k", SQL_TOP_K)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, TOP_K)
+
+
+@query("op9_shortest_pack_first")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
