@@ -26,6 +26,8 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _norm(v):
+    if v is pd.NA:
+        return None
     if v is None:
         return None
     if isinstance(v, float):
