@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apptflow.llm import chat, exact_dedup, hilbert_shards, packing, topk, warc
+from apptflow.llm import (chat, exact_dedup, hilbert_shards, labelled, packing, quality, topk, toxicity,
+                          warc)
 from apptflow.llm.common import read, scratch_path
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -176,3 +177,23 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+TOXIC_HELD_OUT = (4, 2)  # modulus and remainder of crc32 of the identifier
+QUALITY_HELD_OUT = (5, 0)
+
+
+@query("op5_noisy_channel_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), "toxic", *TOXIC_HELD_OUT)
+    return toxicity.score(docs, model).select(
+        "doc_id", labelled.held_out(F.col("doc_id"), *TOXIC_HELD_OUT).alias("held_out"), "score", "predicted")
+
+
+@query("op10_subword_quality")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"), "quality", *QUALITY_HELD_OUT)
+    return quality.score(docs, model).select(
+        "doc_id", labelled.held_out(F.col("doc_id"), *QUALITY_HELD_OUT).alias("held_out"), "score", "predicted")
