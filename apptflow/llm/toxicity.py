@@ -42,6 +42,8 @@ BUCKETS = 1 << 20
 FEATURES = 4096
 PREFIXES = (3, 4, 5, 6, 7)
 SAMPLE = 2000
+#: least log-likelihood ratio of a kept feature: rarer ones only tell single documents apart
+LEAST_INFORMATION = 4.5
 RATE = 0.005
 KINDS = 3  # of a name: once, twice, often
 THRESHOLD = 0.3
@@ -235,7 +237,7 @@ def _information(n1: np.ndarray, n: np.ndarray, all1: float, every: float) -> np
 
 
 def _logistic(of: np.ndarray, feature: np.ndarray, y: np.ndarray, weight: np.ndarray, k: int,
-              steps: int = 400, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+              steps: int = 400, ridge: float = 1.0) -> tuple[np.ndarray, float]:
     """Ridge logistic regression of presence features by adaptive gradient descent."""
     w, b = np.zeros(k), 0.0
     sw, sb = np.full(k, 1e-8), 1e-8
@@ -243,7 +245,7 @@ def _logistic(of: np.ndarray, feature: np.ndarray, y: np.ndarray, weight: np.nda
     for _ in range(steps):
         z = b + np.bincount(of, w[feature], len(y))
         g = weight * (1 / (1 + np.exp(-z)) - y)
-        gw = np.bincount(feature, g[of], k) + ridge * w / k
+        gw = np.bincount(feature, g[of], k) + ridge * w / len(y)
         sw += gw ** 2
         sb += g.sum() ** 2
         w = np.maximum(w - 0.3 * gw / np.sqrt(sw), 0)  # kept features speak for label 1
@@ -276,6 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: i
     n1 = np.bincount(feature[y[of] == 1], minlength=BUCKETS * KINDS)
     use = np.flatnonzero(n1 >= 2)
     tells = _information(n1[use], n[use], y.sum(), len(y))
+    use, tells = use[tells >= LEAST_INFORMATION], tells[tells >= LEAST_INFORMATION]
     use = use[np.lexsort((use, -tells))][:FEATURES]
     number = np.full(BUCKETS * KINDS, -1)
     number[use] = np.arange(len(use))
