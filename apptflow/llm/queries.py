@@ -6,8 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apptflow.llm import (chat, exact_dedup, hilbert_shards, labelled, packing, quality, topk, toxicity,
-                          warc)
+from apptflow.llm import (chat, exact_dedup, hilbert_shards, labelled, near_dedup, packing, quality, topk,
+                          toxicity, warc)
 from apptflow.llm.common import read, scratch_path
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -197,3 +197,29 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, read(spark, sf_dir, "labels"), "quality", *QUALITY_HELD_OUT)
     return quality.score(docs, model).select(
         "doc_id", labelled.held_out(F.col("doc_id"), *QUALITY_HELD_OUT).alias("held_out"), "score", "predicted")
+
+
+NEAR_PERCENT = 85
+
+SQL_NEAR = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id
+  HAVING 100 * count(*) >= {NEAR_PERCENT} * ((SELECT n FROM sizes WHERE doc_id = x.doc_id)
+    + (SELECT n FROM sizes WHERE doc_id = y.doc_id) - count(*))),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a)
+SELECT d.doc_id, coalesce(any_value(s.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id, d.doc_id = min(r.b) AS kept
+FROM documents d JOIN reached r ON d.doc_id = r.a LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
+@query("op7_chosen_path_near_dedup", SQL_NEAR)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), NEAR_PERCENT)
