@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apptflow.llm import (chat, exact_dedup, hilbert_shards, labelled, near_dedup, packing, quality, topk,
+from apptflow.llm import (chat, exact_dedup, hilbert_shards, labelled, lattice, near_dedup, packing, quality, topk,
                           toxicity, warc)
 from apptflow.llm.common import read, scratch_path
 
@@ -223,3 +223,13 @@ FROM documents d JOIN reached r ON d.doc_id = r.a LEFT JOIN sizes s ON s.doc_id
 @query("op7_chosen_path_near_dedup", SQL_NEAR)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), NEAR_PERCENT)
+
+
+@query("op3_sentencepiece_lattice")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    pieces = lattice.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    coded = lattice.encode(read(spark, sf_dir, "documents"), pieces, is_table=True)
+    coded = coded.withColumn("text", lattice.decoded(F.col("ids"), pieces))
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"),
+                        F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
