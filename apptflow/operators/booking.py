@@ -21,7 +21,7 @@ schedule is determined by the shift boundaries E_s in e-space:
 3. Each shift's item positions are exploded and equi-joined back on
    (site, row_index); start = open_s + e_j - d_j - (E_{s-1} + gap).
 Items beyond the horizon are unplaced, exactly as the reference stops at
-its end date.
+its end date; ``with_status`` returns them too, with the reason.
 """
 from __future__ import annotations
 
@@ -148,6 +148,25 @@ def fcfs_schedule(spark: SparkSession, queue: DataFrame, template: list[tuple] |
             .drop("e_lo", "e", "open_min", "close_min"))
 
 
+#: why a request has no slot
+TOO_LONG, NO_ROOM = "longer than any shift", "no room before the end date"
+
+
+def with_status(queue: DataFrame, placed: DataFrame, template: list[tuple] | None = None) -> DataFrame:
+    """Every request of ``queue`` with its slot or, if it got none, the reason (L2).
+
+    ``placed`` is what ``fcfs_schedule`` returned for the queue. One request
+    longer than any shift blocks its queue, as the head must fit.
+    """
+    longest = max(c - o for _, _, _, o, c in (shift_template() if template is None else template))
+    slot = placed.select("site", "row_index", "shift_no", "date", "scanner", "start_min", "end_min")
+    d = queue.join(slot, ["site", "row_index"], "left")
+    is_placed = F.col("shift_no").isNotNull()
+    return d.withColumns({
+        "status": F.when(is_placed, "placed").otherwise("unplaced"),
+        "reason": F.when(is_placed, F.lit(None).cast("string")).when(F.col("duration") > longest, TOO_LONG).otherwise(NO_ROOM)})
+
+
 def clock_text(date: Column, minutes: Column, fmt: str) -> Column:
     """Format date + 08:00 + minutes (C14)."""
     ts = F.timestamp_add("MINUTE", minutes + DAY_OPEN, date.cast("timestamp_ntz"))

@@ -94,15 +94,24 @@ def regression_metrics(long: DataFrame, group: str, actual: str, predicted: str)
     agg = long.groupBy(group).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.abs(e)).alias("sae"), F.sum(e * e).alias("sse"),
         F.sum(y).alias("sy"), F.sum(y * y).alias("syy"))
+    return regression_from_sums(agg, group)
+
+
+def regression_from_sums(agg: DataFrame, group: str) -> DataFrame:
+    """The metrics from n, sae, sse, sy, syy (longs); products of two sums are decimals, which do not overflow."""
     n = F.col("n")
-    sst_n = n * F.col("syy") - F.col("sy") * F.col("sy")
+
+    def product(a, b):
+        return F.col(a).cast("decimal(19,0)") * F.col(b).cast("decimal(19,0)")
+
+    sst_n = product("n", "syy") - product("sy", "sy")
     return agg.select(
         group, "n",
         (F.col("sae") / n).alias("mae"),
         (F.col("sse") / n).alias("mse"),
         F.sqrt(F.col("sse") / n).alias("rmse"),
         F.when(sst_n == 0, F.lit(None).cast("double"))
-        .otherwise(F.lit(1.0) - (n * F.col("sse")).cast("double") / sst_n.cast("double")).alias("r2"))
+        .otherwise(F.lit(1.0) - product("n", "sse").cast("double") / sst_n.cast("double")).alias("r2"))
 
 
 def overtime_idle(long: DataFrame, group: str, actual: str, planned: str) -> DataFrame:
@@ -112,3 +121,10 @@ def overtime_idle(long: DataFrame, group: str, actual: str, planned: str) -> Dat
         F.coalesce(F.sum(F.when(d < 0, -d)), F.lit(0)).alias("overtime"),
         F.coalesce(F.sum(F.when(d > 0, d)), F.lit(0)).alias("idle"))
     return agg.withColumn("total_inefficiency", F.col("overtime") + F.col("idle"))
+
+
+def best_of(scores: DataFrame, name: str, error: str, priority: dict[str, int]) -> DataFrame:
+    """The row of the least error (F16); equal errors go to the lower priority number."""
+    pr = F.element_at(F.create_map(*[x for k, v in priority.items() for x in (F.lit(k), F.lit(v))]), F.col(name))
+    best = F.min_by(F.struct(name, error), F.struct(F.col(error), pr)).alias("best")
+    return scores.agg(best).select(F.col("best")[name].alias(f"best_{name}"), F.col("best")[error].alias(f"best_{error}"))

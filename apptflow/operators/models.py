@@ -100,16 +100,16 @@ def save_model(spark: SparkSession, model: PipelineModel, name: str) -> str:
     return path
 
 
-def tree_nodes(spark: SparkSession, model_path: str, stage: int) -> DataFrame:
-    """Tree nodes as a table with depth (J15), read from the saved model data.
+def tree_nodes(spark: SparkSession, model: PipelineModel, model_path: str) -> DataFrame:
+    """Nodes of the last stage's trees as a table with depth (J15), read from the data saved at ``model_path``.
 
     Depth is found level by level: children of the nodes at depth d are at
     depth d + 1 (a bounded number of small joins: the tree has maxDepth).
     """
-    import glob
-    stage_dirs = sorted(glob.glob(f"{model_path}/stages/{stage}_*")) if "://" not in model_path else []
-    base = stage_dirs[0] if stage_dirs else f"{model_path}/stages/{stage}"
-    nodes = spark.read.parquet(f"{base}/data")
+    # a stage's folder is named by its number, in as many digits as the last one has, and its uid
+    n = len(model.stages)
+    folder = f"{n - 1:0{len(str(n))}d}_{model.stages[-1].uid}"
+    nodes = spark.read.parquet(f"{model_path}/stages/{folder}/data")
     if "nodeData" in nodes.columns:
         nodes = nodes.select("treeID", "nodeData.*")
     else:
@@ -130,7 +130,3 @@ def tree_nodes(spark: SparkSession, model_path: str, stage: int) -> DataFrame:
     for x in levels[1:]:
         depth = depth.unionByName(x)
     return nodes.join(depth, ["treeID", "id"])
-
-
-def scores_as_array(scored: DataFrame, col: str = "probability") -> DataFrame:
-    return scored.withColumn(col + "_arr", vector_to_array(col))

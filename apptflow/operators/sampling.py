@@ -7,12 +7,11 @@ keeps n rows, so no unbounded group reaches one task.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apptflow.functions.draws import u
 from apptflow.operators.scan import running_totals
-from apptflow.session import cut_lineage
 from apptflow.sources import dims
 
 
@@ -21,79 +20,70 @@ def random_sample(df: DataFrame, n: int, key: str = "patient_id", salt: str = "s
     return df.withColumn("u", u(key, salt)).orderBy("u", key).limit(n)
 
 
-QUOTA_BINS = 1 << 20
-
-
 def quota_sample(pool: DataFrame, quotas: list[tuple] | None = None, target_no_flag: int = dims.TARGET_NO_FLAG,
-                 size: int = dims.SAMPLE_SIZE, key: str = "patient_id", salt: str = "quota",
-                 bins: int = QUOTA_BINS) -> DataFrame:
+                 size: int = dims.SAMPLE_SIZE, key: str = "patient_id", salt: str = "quota") -> DataFrame:
     """Ordered exclusive quota sample.
 
     For each quota in order take min(quota, available) rows with that flag
     that were not taken before (lowest hash draw first); then unflagged
-    rows; then fill to ``size`` from the rest.
-
-    Exact and bounded without scanning the pool once per step:
-    step k can only pick among the ``M_k = Σ_{j<=k} n_j`` lowest draws of
-    its eligible rows (earlier steps remove at most ``M_k - n_k`` of them),
-    and the fill among the ``size`` lowest draws overall. Pass 1 builds a
-    (step, draw-bin) histogram and finds each step's threshold bin; pass 2
-    keeps only rows under their thresholds. The sequential chain then runs
-    on that small candidate set (materialised once), with the taken set
-    (<= ``size`` rows) broadcast for the anti-joins.
+    rows; then fill to ``size`` from the rest. A pool that is too small gives
+    fewer rows: ``quota_shortfall`` reports how many each step lacks.
+
+    Step k can only pick among the ``M_k = Σ_{j<=k} n_j`` lowest draws of its
+    eligible rows (earlier steps remove at most ``M_k - n_k`` of them), and the
+    fill among the ``size`` lowest draws overall. One aggregate counts the
+    eligible rows of each step; as draws are uniform, a draw threshold a little
+    over M_k / count keeps a bounded number of candidates, which are read once
+    more with a higher threshold where a step has fewer than it can use. The
+    ordered picks are made on these candidates, a few times ``size`` rows.
     Returns (key, step, label, pick_no) in sampled order.
     """
+    steps, wanted = _quota_steps(quotas, target_no_flag, size)
+    p = pool.select(key, *{c for c, _, _, _ in steps if c}).withColumn("u", u(key, salt))
+    eligible = [F.col(c) == v if c else F.lit(True) for c, v, _, _ in steps]
+    # the steps a row is eligible for, as bits of one number
+    p = p.select(key, "u", sum(F.when(e, F.lit(1 << i)).otherwise(F.lit(0)) for i, e in enumerate(eligible)).alias("may"))
+    # rows of each pattern of bits: at most 2**steps of them
+    patterns = {r["may"]: r["n"] for r in p.groupBy("may").agg(F.count(F.lit(1)).alias("n")).collect()}
+    count = [sum(n for m, n in patterns.items() if m >> i & 1) for i in range(len(steps))]
+    use = [min(w, count[i]) for i, w in enumerate(wanted)]  # candidates that a step can use
+    share = [min(1.0, (w + 6 * w ** 0.5 + 10) / max(1, count[i])) for i, w in enumerate(use)]
+    while True:
+        limits = dims.literal(pool.sparkSession, [
+            (m, float(max(share[i] for i in range(len(steps)) if m >> i & 1))) for m in patterns], "may int, most double")
+        near = p.join(F.broadcast(limits), "may").filter(F.col("u") <= F.col("most"))
+        rows = sorted((r["u"], r[key], r["may"]) for r in near.select("u", key, "may").collect())
+        short = [i for i, w in enumerate(use) if sum(1 for x, _, may in rows if may >> i & 1 and x <= share[i]) < w]
+        if not short:
+            break
+        share = [min(1.0, s * 2) if i in short else s for i, s in enumerate(share)]
+    taken: set = set()
+    picked = []
+    for i, (_, _, n, label) in enumerate(steps):
+        room = n if i < len(steps) - 1 else size - len(taken)
+        chosen = [k for _, k, may in rows if may >> i & 1 and k not in taken][:max(0, room)]
+        taken.update(chosen)
+        picked += [(k, i + 1, label, j + 1) for j, k in enumerate(chosen)]
+    kind = pool.schema[key].dataType.simpleString()
+    return pool.sparkSession.createDataFrame(picked, f"{key} {kind}, step int, label string, pick_no int")
+
+
+def _quota_steps(quotas: list[tuple] | None, target_no_flag: int, size: int) -> tuple[list[tuple], list[int]]:
+    """(column, value, rows, label) of each step, the fill last, and how many candidates each may need."""
     quotas = dims.QUOTAS if quotas is None else quotas
-    steps = [(order_no, F.col(flag) == "Yes", n, flag) for order_no, flag, n in quotas]
-    steps.append((len(quotas) + 1, F.col("flag_present") == "No", target_no_flag, "no_flag"))
-    fill_step = len(steps) + 1
-    bounds, acc = [], 0
-    for step, _, n, _ in steps:
-        acc += n
-        bounds.append((step, acc))
-    bounds.append((fill_step, size))
-    spark = pool.sparkSession
-
-    needed_cols = [key, *[flag for _, flag, _ in quotas], "flag_present"]
-    p = pool.select(*needed_cols).withColumn("u", u(key, salt)).withColumn(
-        "bin", F.floor(F.col("u") * bins).cast("long"))
-    # nullable slot per step (explode, then drop nulls: no lambda under the Generate)
-    conds = {step: cond for step, cond, _, _ in steps}
-    conds[fill_step] = F.lit(True)
-    # pass 1: one row per draw bin with a conditional count per step (<= bins rows)
-    hist = p.groupBy("bin").agg(*[F.count_if(c).alias(f"s{k}") for k, c in conds.items()])
-    # bounded table (bins x steps); unpivot plans as an Expand, whose codegen
-    # does not unroll the consumer once per step like explode(array(...))
-    long = hist.unpivot("bin", [f"s{k}" for k in conds], "col", "n").select(
-        "bin", F.substring("col", 2, 8).cast("int").alias("step"), "n")
-    need = dims.literal(spark, bounds, "step int, need long")
-    w = Window.partitionBy("step").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # <= bins rows
-    cum = long.join(F.broadcast(need), "step").withColumn("cum", F.sum("n").over(w))
-    found = cum.filter(F.col("cum") >= F.col("need")).groupBy("step").agg(F.min("bin").alias("thr")).collect()
-    thr = {r["step"]: r["thr"] for r in found}  # one scalar per step
-    # pass 2: rows under the threshold of any step they are eligible for (a plain filter)
-    keep = None
-    for k, c in conds.items():
-        term = c & (F.col("bin") <= F.lit(thr.get(k, bins)))
-        keep = term if keep is None else (keep | term)
-    cand = cut_lineage(p.filter(keep))
-
-    taken: DataFrame | None = None
-
-    def take(c: DataFrame, n: int, step: int, label: str) -> DataFrame:
-        if taken is not None:
-            c = c.join(F.broadcast(taken.select(key)), key, "left_anti")
-        return c.orderBy("u", key).limit(n).select(key, "u", F.lit(step).alias("step"), F.lit(label).alias("label"))
-
-    for step, cond, n, label in steps:
-        picked = take(cand.filter(cond), n, step, label)
-        taken = picked if taken is None else taken.unionByName(picked)
-        taken = cut_lineage(taken)  # <= size rows; keeps each step's plan flat
-    needed = size - taken.count()
-    if needed > 0:
-        taken = taken.unionByName(take(cand, needed, fill_step, "fill"))
-    w2 = Window.partitionBy("step").orderBy("u", key)  # each step holds <= its quota
-    return taken.select(key, "step", "label", F.row_number().over(w2).alias("pick_no"))
+    steps = [(flag, "Yes", n, flag) for _, flag, n in quotas]
+    steps += [("flag_present", "No", target_no_flag, "no_flag"), (None, None, size, "fill")]
+    wanted = [sum(n for _, _, n, _ in steps[:i + 1]) for i in range(len(steps) - 1)] + [size]
+    return steps, wanted
+
+
+def quota_shortfall(sample: DataFrame, quotas: list[tuple] | None = None,
+                    target_no_flag: int = dims.TARGET_NO_FLAG, size: int = dims.SAMPLE_SIZE) -> dict[str, int]:
+    """Rows that each step of a quota sample lacks, and under ``total`` those the whole sample lacks."""
+    steps, _ = _quota_steps(quotas, target_no_flag, size)
+    got = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = {label: n - got.get(label, 0) for _, _, n, label in steps[:-1] if n > got.get(label, 0)}
+    return out | ({"total": size - sum(got.values())} if size > sum(got.values()) else {})
 
 
 def exact_split(df: DataFrame, by: list[str], test_pct: int = 20, key: str = "patient_id",
@@ -107,6 +97,7 @@ def exact_split(df: DataFrame, by: list[str], test_pct: int = 20, key: str = "pa
     d = df.withColumn("u", u(key, salt))
     ranked = running_totals(d, by, None, {"_rank": F.lit(1).cast("long")},
                             block=F.floor(F.col("u") * 65536), order=[F.col("u"), F.col(key)])
+    # as many rows as groups, joined on the group; a hot group's rows are split by adaptive execution
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     test_n = F.floor((F.col("_n") * test_pct + 99) / 100)
     j = ranked.join(sizes, by, "inner")

@@ -13,6 +13,7 @@ from apptflow.operators import policies as pol
 from apptflow.operators.scan import running_totals
 from apptflow.plans import sqlviews as sv
 from apptflow.plans.q_core import _reason_text_sql
+from apptflow.plans.q_metrics import comparison_ctes, heuristic_policy, history, ml_policy
 from apptflow.plans.registry import query
 from apptflow.sources import adapters, dims
 from apptflow.sources.adapters import memo_plan
@@ -56,16 +57,12 @@ seg AS (SELECT date, scanner, 0 AS open_min, CASE WHEN scanner = 4 AND isodow(da
 shifts AS (SELECT CAST(row_number() OVER (ORDER BY date, scanner, part) - 1 AS BIGINT) AS shift_no, date, scanner, open_min, close_min FROM seg)"""
 
 
-def _fcfs_sql() -> str:
-    """Test-only oracle: the head-of-line loop as a recursive CTE, one step per row."""
-    req = sv.request_cte()
-    return "WITH RECURSIVE " + req + ",\n" + _shifts_sql() + f""",
-items AS (SELECT site, row_index, patient_id, age, indication, scan_type, {_reason_text_sql()} AS reason_text,
-                 CAST({sv.rule_minutes_sql('scan_type')} AS INTEGER) AS duration FROM request),
-walk(site, j, s, cur, pj, ps, pstart) AS (
+def _walk_sql(name: str, items: str) -> str:
+    """The head-of-line loop over ``items`` (site, row_index, duration), one step per row."""
+    return f"""{name}(site, j, s, cur, pj, ps, pstart) AS (
   SELECT site, CAST(0 AS BIGINT), CAST(0 AS BIGINT), (SELECT open_min FROM shifts WHERE shift_no = 0),
          CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS INTEGER)
-  FROM (SELECT DISTINCT site FROM items) s0
+  FROM (SELECT DISTINCT site FROM {items}) s0
   UNION ALL
   SELECT w.site,
          CASE WHEN w.cur + i.duration <= sh.close_min THEN w.j + 1 ELSE w.j END,
@@ -74,10 +71,19 @@ walk(site, j, s, cur, pj, ps, pstart) AS (
          CASE WHEN w.cur + i.duration <= sh.close_min THEN w.j END,
          CASE WHEN w.cur + i.duration <= sh.close_min THEN w.s END,
          CASE WHEN w.cur + i.duration <= sh.close_min THEN w.cur END
-  FROM walk w JOIN items i ON i.site = w.site AND i.row_index = w.j
+  FROM {name} w JOIN {items} i ON i.site = w.site AND i.row_index = w.j
   JOIN shifts sh ON sh.shift_no = w.s
   LEFT JOIN shifts nsh ON nsh.shift_no = w.s + 1
-  WHERE w.cur + i.duration <= sh.close_min OR nsh.shift_no IS NOT NULL),
+  WHERE w.cur + i.duration <= sh.close_min OR nsh.shift_no IS NOT NULL)"""
+
+
+def _fcfs_sql() -> str:
+    """Test-only oracle: the head-of-line loop as a recursive CTE, one step per row."""
+    req = sv.request_cte()
+    return "WITH RECURSIVE " + req + ",\n" + _shifts_sql() + f""",
+items AS (SELECT site, row_index, patient_id, age, indication, scan_type, {_reason_text_sql()} AS reason_text,
+                 CAST({sv.rule_minutes_sql('scan_type')} AS INTEGER) AS duration FROM request),
+""" + _walk_sql("walk", "items") + """,
 fcfs AS (SELECT i.site, i.row_index, i.patient_id, i.age, i.indication, i.scan_type, i.reason_text, i.duration,
                 CAST(w.ps AS INTEGER) AS shift_no, sh.date, CAST(sh.scanner AS INTEGER) AS scanner,
                 CAST(w.pstart AS INTEGER) AS start_min, CAST(w.pstart + i.duration AS INTEGER) AS end_min
@@ -100,10 +106,55 @@ def shift_grid(spark, sf_dir):
                                  F.sum(F.col("close_min") - F.col("open_min")).cast("long").alias("open_minutes"))
 
 
-@query("fcfs_schedule", lambda: _fcfs_sql() + f" SELECT {', '.join(FCFS_COLS)} FROM fcfs")
+@query("fcfs_schedule", lambda: _fcfs_sql() + f"""
+SELECT {', '.join(f'i.{c}' for c in FCFS_COLS[:8])}, {', '.join(f'f.{c}' for c in FCFS_COLS[8:])},
+       CASE WHEN f.shift_no IS NULL THEN 'unplaced' ELSE 'placed' END AS status,
+       CASE WHEN f.shift_no IS NOT NULL THEN NULL
+            WHEN i.duration > (SELECT max(close_min - open_min) FROM shifts) THEN {_sql_lit(bk.TOO_LONG)}
+            ELSE {_sql_lit(bk.NO_ROOM)} END AS reason
+FROM items i LEFT JOIN fcfs f ON i.site = f.site AND i.row_index = f.row_index""")
 def fcfs_schedule(spark, sf_dir):
-    """Exact first-come-first-served packing per site (L2)."""
-    return fcfs(spark, sf_dir).select(*FCFS_COLS)
+    """Exact first-come-first-served packing per site (L2): every request, with status and reason."""
+    queue = fcfs_queue(spark, sf_dir).drop("e_end")
+    return bk.with_status(queue, fcfs(spark, sf_dir)).select(*FCFS_COLS, "status", "reason")
+
+
+# --- two policies' schedules against history (D3) ------------------------------
+
+def _policy_schedule(spark, sf_dir, policy: DataFrame, duration: str) -> DataFrame:
+    """Booked requests of the packer fed with a policy's durations."""
+    queue = adapters.request_base(spark, sf_dir).select("site", "patient_id").join(policy, "patient_id")
+    queue = running_totals(queue, ["site"], "patient_id", {
+        "row_index": F.lit(1).cast("long"), "e_end": (F.col(duration) + dims.CHANGEOVER_MINUTES).cast("long")})
+    queue = queue.withColumns({"row_index": F.col("row_index") - 1, "duration": F.col(duration)})
+    return bk.fcfs_schedule(spark, queue, e_col="e_end")
+
+
+def three_way(model_schedule: DataFrame, averages_schedule: DataFrame, hist: DataFrame) -> DataFrame:
+    """Two booked schedules and history, on patient: only patients booked in both remain (D3)."""
+    m = model_schedule.select("patient_id", F.col("duration").alias("duration_ml"), "class_ml")
+    a = averages_schedule.select("patient_id", F.col("duration").alias("duration_heuristic"), "class_heuristic")
+    h = hist.select("patient_id", "duration_actual", "duration_baseline", "class_actual")
+    return m.join(h, "patient_id").join(a, "patient_id")
+
+
+def _three_way_sql() -> str:
+    items = [f"""{p}_items AS (SELECT b.site, row_number() OVER (PARTITION BY b.site ORDER BY b.patient_id) - 1 AS row_index,
+  b.patient_id, p.{d} AS duration FROM request_base b JOIN {p} p ON p.patient_id = b.patient_id)"""
+             for p, d in (("ml", "duration_ml"), ("heur", "duration_heuristic"))]
+    return ("WITH RECURSIVE " + comparison_ctes() + ",\n" + _shifts_sql() + ",\n" + ",\n".join(items) + ",\n"
+            + _walk_sql("ml_walk", "ml_items") + ",\n" + _walk_sql("heur_walk", "heur_items") + """,
+booked AS (SELECT i.patient_id FROM ml_walk w JOIN ml_items i ON i.site = w.site AND i.row_index = w.pj
+           INTERSECT SELECT i.patient_id FROM heur_walk w JOIN heur_items i ON i.site = w.site AND i.row_index = w.pj)
+SELECT merged.* FROM merged JOIN booked USING (patient_id)""")
+
+
+@query("three_way_join", _three_way_sql)
+def three_way_join(spark, sf_dir):
+    """The model's and the averages' schedules against history (D3)."""
+    return three_way(_policy_schedule(spark, sf_dir, ml_policy(spark, sf_dir), "duration_ml"),
+                     _policy_schedule(spark, sf_dir, heuristic_policy(spark, sf_dir), "duration_heuristic"),
+                     history(spark, sf_dir))
 
 
 def _scanner_name_sql(col: str) -> str:
@@ -365,7 +416,7 @@ def _cells_sql() -> str:
             f"(SELECT unnest([{sc}]) AS s) b, range(48) c(q))")
 
 
-@query("eligible_slots", lambda: "WITH " + __import__("apptflow.plans.q_metrics", fromlist=["x"]).comparison_ctes() + ",\n"
+@query("eligible_slots", lambda: "WITH " + comparison_ctes() + ",\n"
        + _cells_sql() + f""",
 prof AS (SELECT r.reason_text, h.duration_heuristic AS duration, count(*) AS n_requests
          FROM req r JOIN heur h ON r.patient_id = h.patient_id GROUP BY 1, 2)
@@ -380,7 +431,6 @@ def eligible_slots(spark, sf_dir):
     tested against a fixed literal cell array, so there is no join at all.
     """
     from apptflow.operators import audit as au
-    from apptflow.plans.q_metrics import heuristic_policy
     req = adapters.request_base(spark, sf_dir).select("patient_id", fx.reason_text().alias("reason_text"))
     prof = (req.join(heuristic_policy(spark, sf_dir), "patient_id")
             .groupBy("reason_text", F.col("duration_heuristic").alias("duration"))
@@ -420,7 +470,7 @@ def _model_rules_sql(h, s, t, c, scanner, weekday, start, end) -> str:
     ])
 
 
-@query("eligible_slots_model", lambda: "WITH " + __import__("apptflow.plans.q_metrics", fromlist=["x"]).comparison_ctes()
+@query("eligible_slots_model", lambda: "WITH " + comparison_ctes()
        + ",\n" + _cells_sql() + """,
 rb AS (SELECT patient_id, hoist_required = 'Yes' AS hoist, sedation_needed = 'Yes' AS sedation,
               hospital_transport_required = 'Yes' AS transport FROM request_base),
@@ -432,7 +482,6 @@ SELECT p.*, count(*) FILTER (WHERE {ok}) AS eligible_cells FROM prof p, cells c
 def eligible_slots_model(spark, sf_dir):
     """Model-policy hard-rule eligibility per request profile (L4)."""
     from apptflow.operators import audit as au
-    from apptflow.plans.q_metrics import ml_policy
     rb = adapters.request_base(spark, sf_dir).select(
         "patient_id", (F.col("hoist_required") == "Yes").alias("hoist"),
         (F.col("sedation_needed") == "Yes").alias("sedation"),

@@ -201,11 +201,8 @@ def control_group(spark, sf_dir):
     return appt.filter(mask).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 
 
-BOOK_DAYS = 7
-
-
 @query("available_requests", lambda: with_(REQ()) + f""",
-days AS (SELECT CAST(d AS DATE) AS day FROM generate_series(DATE '{dims.BOOKING_START}', DATE '{dims.BOOKING_START}' + {BOOK_DAYS - 1}, INTERVAL 1 DAY) g(d)),
+days AS (SELECT CAST(d AS DATE) AS day FROM generate_series(DATE '{dims.BOOKING_START}', DATE '{dims.BOOKING_END}', INTERVAL 1 DAY) g(d)),
 rd AS (SELECT site, CAST(DATE '{dims.BOOKING_START}' + CAST(row_index % 5 AS INTEGER) AS DATE) AS request_date FROM request),
 sites AS (SELECT DISTINCT site FROM request)
 SELECT s.site, d.day, (SELECT count(*) FROM rd WHERE rd.site = s.site AND rd.request_date <= d.day) AS n_available
@@ -221,7 +218,7 @@ def available_requests(spark, sf_dir):
     per_day = r.groupBy("site", F.col("request_date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     # every (site, day) cell, generated per site rather than joined
     grid = r.select("site").distinct().select(
-        "site", F.explode(F.sequence(start, F.date_add(start, BOOK_DAYS - 1))).alias("day"))
+        "site", F.explode(F.sequence(start, F.lit(dims.BOOKING_END).cast("date"))).alias("day"))
     w = Window.partitionBy("site").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     return (grid.join(per_day, ["site", "day"], "left")
             .select("site", "day", F.sum(F.coalesce("n", F.lit(0))).over(w).alias("n_available")))

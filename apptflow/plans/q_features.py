@@ -222,7 +222,7 @@ def tree_nodes(spark, sf_dir):
     """Nodes of the decision tree with depth, gini and counts."""
     m = fitted(spark, sf_dir, "dt")
     path = ml.save_model(spark, m, "dt")
-    return ml.tree_nodes(spark, path, len(m.stages) - 1)
+    return ml.tree_nodes(spark, m, path)
 
 
 @query("model_roundtrip")

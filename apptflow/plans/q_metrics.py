@@ -1,4 +1,4 @@
-"""Policies, the three-way comparison and its metrics."""
+"""Policies, the three-way comparison and its metrics."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,17 +64,9 @@ def ml_policy(spark, sf_dir) -> DataFrame:
                     pol.class_from_extra(rounded).alias("class_ml"))
 
 
-@memo_plan
-def three_way(spark, sf_dir) -> DataFrame:
-    """ML ⋈ history ⋈ heuristic on patient (D3): two shuffle joins on the key."""
-    hist = history(spark, sf_dir).select("patient_id", "duration_actual", "duration_baseline", "class_actual")
-    return (ml_policy(spark, sf_dir).join(hist, "patient_id", "inner")
-            .join(heuristic_policy(spark, sf_dir), "patient_id", "inner"))
-
-
 @memo_plan
 def comparison(spark, sf_dir) -> DataFrame:
-    """The three-way comparison in ONE pass (same rows as ``three_way``).
+    """Both policies against history for every request, in one pass.
 
     Request, history and both policies derive row-wise from the same source
     row, so instead of two shuffle joins on patient id this is one scan plus
@@ -199,13 +191,6 @@ def overrun_model_q(spark, sf_dir):
     return overrun_model(spark, sf_dir)
 
 
-@query("three_way_join", lambda: with_(comparison_ctes()) + " SELECT * FROM merged")
-def three_way_join(spark, sf_dir):
-    return three_way(spark, sf_dir).select(
-        "patient_id", "duration_ml", "class_ml", "duration_actual", "duration_baseline", "class_actual",
-        "duration_heuristic", "class_heuristic")
-
-
 @query("regression_metrics", lambda: with_(comparison_ctes()) + """
 SELECT policy, count(*) AS n, CAST(sum(abs(planned - duration_actual)) AS DOUBLE) / count(*) AS mae,
        CAST(sum((planned - duration_actual) * (planned - duration_actual)) AS DOUBLE) / count(*) AS mse,
@@ -339,16 +324,15 @@ PRIORITY = {"baseline": 2, "heuristic": 1, "ml": 0}
 
 
 @query("best_model", lambda: with_(comparison_ctes()) + f"""
-SELECT arg_min(policy, mae * 10 + pr) AS best_policy, min(mae) AS best_mae FROM (
+SELECT policy AS best_policy, mae AS best_mae FROM (
   SELECT policy, CAST(sum(abs(planned - duration_actual)) AS DOUBLE) / count(*) AS mae,
          CASE policy {' '.join(f"WHEN '{k}' THEN {v}" for k, v in PRIORITY.items())} END AS pr
-  FROM plong GROUP BY policy) t""")
+  FROM plong GROUP BY policy) t ORDER BY mae, pr LIMIT 1""")
 def best_model(spark, sf_dir):
     """Lowest MAE wins; ties go to the model policy, then heuristic (F16)."""
     agg = policy_long(spark, sf_dir).groupBy("policy").agg(
         (F.sum(F.abs(F.col("planned") - F.col("duration_actual"))) / F.count(F.lit(1))).alias("mae"))
-    pr = F.element_at(F.create_map(*[x for k, v in PRIORITY.items() for x in (F.lit(k), F.lit(v))]), F.col("policy"))
-    return agg.agg(F.min_by("policy", F.col("mae") * 10 + pr).alias("best_policy"), F.min("mae").alias("best_mae"))
+    return mx.best_of(agg, "policy", "mae", PRIORITY)
 
 
 @query("value_range", lambda: with_(comparison_ctes()) +

@@ -2,9 +2,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from apptflow.sources.adapters import shared_plans
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | Callable[[], str] | None]] = {}
 
@@ -13,19 +16,25 @@ def query(name: str, sql: str | Callable[[], str] | None = None):
     """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name``.
 
     ``sql`` is the independent DuckDB oracle; ``None`` means the query has no
-    SQL twin (model training, bin-packing rounds) and is checked rows-only.
+    SQL twin (model training) and is checked rows-only.
     """
     def deco(fn: QueryFn) -> QueryFn:
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = (fn, sql)
-        return fn
+
+        @wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with shared_plans():
+                return fn(spark, sf_dir)
+
+        REGISTRY[name] = (run, sql)
+        return run
     return deco
 
 
 def _load_all() -> None:
     # importing the modules registers their queries
-    from apptflow.plans import q_core, q_metrics, q_draws, q_sampling, q_features, q_booking, q_lanes  # noqa: F401
+    from apptflow.plans import q_core, q_metrics, q_draws, q_sampling, q_features, q_booking  # noqa: F401
 
 
 def queries() -> dict[str, QueryFn]:
@@ -41,10 +50,3 @@ def oracle_sql() -> dict[str, str]:
             out[k] = sql() if callable(sql) else sql
     return out
 
-
-def reset_plan_cache() -> None:
-    """Drop memoised plan objects (and memoised materialisations such as the
-    quota sample), e.g. between benchmark runs."""
-    from apptflow.sources import adapters
-    for fn in adapters.MEMOISED:
-        fn.cache_clear()

