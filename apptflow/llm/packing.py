@@ -18,9 +18,12 @@ table gives no rows. Other columns are ignored.
 """
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from bisect import insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,40 +34,68 @@ from apptflow.llm.common import stored
 
 CAPACITY = 2048
 SLICES = 64
-#: words whose ids a task keeps; a full store is started anew
-CACHE_WORDS = 200_000
+#: words whose ids a task keeps, twice: the words met since the last turn, and those met before it
+CACHE_WORDS = 400_000
 CACHED_CHARS = 64
+#: texts tokenized together
+TEXTS = 128
+#: marks that the tokenizer never joins with a letter before them; the apostrophe is not one
+MARKS = ".,;:!?%&$#*|"
 
 
 class WordEncoder:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
-    The tokenizer splits at white space before anything else, so the ids of a
-    text are those of its words one after the other; frequent words are looked up.
+    The tokenizer splits at white space before anything else, and letters from
+    marks, so the ids of a text are those of its words one after the other;
+    words are looked up and only new ones are tokenized.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # no thread for each core in each task
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        # one by one: encode_batch starts a thread for each core
-        return [np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
-
-    def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        cache = self.cache
-        missing = [w for w in set(words) if w not in cache]
-        if not missing:
-            return b"".join([cache[w] for w in words])
-        if len(cache) + len(missing) > CACHE_WORDS:
-            cache.clear()
-            cache[""] = b""
-            missing = [w for w in set(words) if w]
-        new = dict(zip(missing, self._encode(missing)))
-        cache.update((w, b) for w, b in new.items() if len(w) <= CACHED_CHARS)
-        return b"".join([cache[w] if w in cache else new[w] for w in words])
+        self.known: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
+
+    def _tokenize(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words tokenized together, told apart by where each id's text starts."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)])
+        ends = np.searchsorted(np.array([a for a, _ in found.offsets], np.int64), starts)
+        ids = array("I", found.ids).tobytes()
+        return {w: ids[4 * i:4 * j] for w, i, j in zip(words, ends.tolist(), ends[1:].tolist())}
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of new words: of a word of letters and closing marks those of its parts."""
+        parts = {}
+        for w in words:
+            stem = w.rstrip(MARKS)
+            parts[w] = (stem, w[len(stem):]) if stem != w and stem.isalpha() else (w, "")
+        known, before = self.known, self.before
+        need = {x for pair in parts.values() for x in pair if x not in known}
+        new = {x: before[x] for x in need if x in before}
+        new |= self._tokenize([x for x in need if x not in new])
+        both = {w: (known.get(s) or new.get(s, b"")) + (known.get(m) or new.get(m, b"")) for w, (s, m) in parts.items()}
+        known.update((w, b) for w, b in (new | both).items() if len(w) <= CACHED_CHARS)
+        return both
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text; the new words of all of them are tokenized together."""
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        known = self.known
+        missing = [w for w in set(chain.from_iterable(split)) if w not in known]
+        long = {}
+        if missing:
+            old = {w: self.before[w] for w in missing if w in self.before}
+            known.update(old)
+            new = self._learn([w for w in missing if w not in old])
+            long = {w: b for w, b in new.items() if len(w) > CACHED_CHARS}
+        for words in split:
+            yield b"".join([known[w] if w in known else long[w] for w in words]) if long else b"".join(
+                [known[w] for w in words])
+        if len(known) > CACHE_WORDS:
+            self.known, self.before = {"": b""}, known
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY,
@@ -80,18 +111,20 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             of, start, length, crc, total, raw = [], [], [], [], [], []
-            for i in range(len(batch)):
-                data = encode(texts[i].as_py() or "") + end
-                n = len(data) // 4
-                for at in range(0, n, capacity):
-                    piece = data[4 * at:4 * (at + capacity)]
-                    of.append(i)
-                    start.append(at)
-                    length.append(len(piece) // 4)
-                    crc.append(zlib.crc32(piece))
-                    total.append(n)
-                    if with_ids:
-                        raw.append(piece)
+            for first in range(0, len(batch), TEXTS):
+                part = [t or "" for t in texts.slice(first, TEXTS).to_pylist()]
+                for i, data in enumerate(encode(part), first):
+                    data += end
+                    n = len(data) // 4
+                    for at in range(0, n, capacity):
+                        piece = data[4 * at:4 * (at + capacity)]
+                        of.append(i)
+                        start.append(at)
+                        length.append(len(piece) // 4)
+                        crc.append(zlib.crc32(piece))
+                        total.append(n)
+                        if with_ids:
+                            raw.append(piece)
             cols = [ids.take(pa.array(of, pa.int64()))] + [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             if with_ids:
