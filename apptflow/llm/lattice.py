@@ -101,16 +101,19 @@ def units_of(text: str, pattern: regex.Pattern) -> list[str]:
 
 
 def edges(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """unit, edges: its (order, start, length, ids), of all substrings that are pieces and all single characters.
+    """unit_key, edges: (order, start, length, ids, score) of all substrings that are pieces and all single characters.
 
-    ``units`` is partitioned by ``unit`` and stays so: neither the explosion nor the broadcast moves rows.
+    ``units`` (unit_key, unit) is partitioned by ``unit_key`` and stays so: neither the explosion nor the broadcast
+    moves rows.
     """
     spark = units.sparkSession
     table = spark.createDataFrame([(p, i, s) for p, i, s in pieces.rows], "piece string, id int, score double")
+    # a long unit is taken apart into characters once; the rows of its substrings do not carry it
+    part = "IF(chars IS NULL, substring(unit, i + 1, k), array_join(slice(chars, i + 1, k), ''))"
     spans = (f"flatten(transform(sequence(0, char_length(unit) - 1), i -> transform(sequence(1, "
-             f"least({pieces.longest}, char_length(unit) - i)), k -> struct(i AS start, k AS length))))")
-    d = units.select("unit", F.explode(F.expr(spans)).alias("s")).select(
-        "unit", "s.start", "s.length", F.expr("substring(unit, s.start + 1, s.length)").alias("part"))
+             f"least({pieces.longest}, char_length(unit) - i)), k -> struct(i AS start, k AS length, {part} AS part))))")
+    d = units.withColumn("chars", F.when(F.char_length("unit") > MASK, F.split("unit", "")))
+    d = d.select("unit_key", F.explode(F.expr(spans)).alias("s")).select("unit_key", "s.start", "s.length", "s.part")
     d = d.join(F.broadcast(table), F.col("part") == F.col("piece"), "left")  # a vocabulary
     d = d.filter(F.col("id").isNotNull() | (F.col("length") == 1))
     raw = "hex(encode(part, 'UTF-8'))"
@@ -121,7 +124,8 @@ def edges(units: DataFrame, pieces: Pieces) -> DataFrame:
     # an unknown character costs more than any piece
     score = F.coalesce("score", F.lit(min(s for _, _, s in pieces.rows) - 10.0))
     e = F.struct(F.coalesce(order, F.lit(0.0)).alias("at"), "start", "length", ids.alias("ids"), score.alias("score"))
-    return d.groupBy("unit").agg(F.sort_array(F.collect_list(e)).alias("edges"))
+    return d.groupBy("unit_key").agg(F.sort_array(F.collect_list(e)).alias("edges"), F.max(
+        F.col("start") + F.col("length")).alias("chars"))
 
 
 def _merged() -> Column:
@@ -129,19 +133,19 @@ def _merged() -> Column:
     span = "(shiftleft(1L, e.start + e.length) - shiftleft(1L, e.start + 1))"
     ends = "(shiftleft(1L, e.start) | shiftleft(1L, e.start + e.length))"
     return F.expr(
-        "aggregate(edges, shiftleft(1L, char_length(unit) + 1) - 1, (m, e) -> CASE WHEN e.length > 1 "
+        "aggregate(edges, shiftleft(1L, chars + 1) - 1, (m, e) -> CASE WHEN e.length > 1 "
         f"AND m & {ends} = {ends} AND bit_count(m & {span}) = 1 THEN m & ~{span} ELSE m END)")
 
 
 def _viterbi() -> Column:
     """Fold of the edges by their ends: best score and last edge of every prefix, then the boundaries back from the end."""
-    start = ("transform(sequence(0, char_length(unit)), i -> named_struct('score', "
+    start = ("transform(sequence(0, chars), i -> named_struct('score', "
              "IF(i = 0, CAST(0 AS DOUBLE), CAST('-Infinity' AS DOUBLE)), 'back', 0))")
     step = ("(b, e) -> IF(b[e.start].score + e.score > b[e.start + e.length].score, transform(b, (x, i) -> "
             "IF(i = e.start + e.length, named_struct('score', b[e.start].score + e.score, 'back', e.start), x)), b)")
     best = f"aggregate(edges, {start}, {step})"
-    walk = ("aggregate(sequence(1, char_length(unit)), named_struct('at', char_length(unit), 'm', "
-            "shiftleft(1L, char_length(unit))), (w, i) -> IF(w.at = 0, w, named_struct('at', b[w.at].back, 'm', "
+    walk = ("aggregate(sequence(1, chars), named_struct('at', chars, 'm', "
+            "shiftleft(1L, chars)), (w, i) -> IF(w.at = 0, w, named_struct('at', b[w.at].back, 'm', "
             "w.m | shiftleft(1L, b[w.at].back))), w -> w.m)")
     return F.expr(f"element_at(transform(array({best}), b -> {walk}), 1)")
 
@@ -190,8 +194,8 @@ def viterbi_long(n: int, found: list[dict]) -> list[int]:
 
 
 def fold(lattice: DataFrame, kind: str) -> DataFrame:
-    """unit, ids of grouped edges."""
-    short = F.char_length("unit") <= MASK
+    """unit_key, ids of grouped edges."""
+    short = F.col("chars") <= MASK
     mask = _merged() if kind == "bpe" else _viterbi()
     d = lattice.withColumn("mask", F.when(short, mask))
     span = "(shiftleft(1L, e.start + e.length + 1) - shiftleft(1L, e.start))"
@@ -208,18 +212,25 @@ def fold(lattice: DataFrame, kind: str) -> DataFrame:
 
     long_fold.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     by_task = F.arrow_udf(long_fold, "array<int>")(F.when(~short, F.col("edges")))
-    return d.select("unit", F.when(short, F.flatten(F.expr(kept))).otherwise(by_task).alias("ids"))
+    return d.select("unit_key", F.when(short, F.flatten(F.expr(kept))).otherwise(by_task).alias("ids"))
+
+
+def with_key(units: DataFrame) -> DataFrame:
+    """Add what units are grouped by: themselves or, for long ones, their digest."""
+    return units.withColumn("unit_key", F.when(F.char_length("unit") <= MASK, F.col("unit")).otherwise(
+        F.concat(F.lit("\0"), F.sha2("unit", 256))))
 
 
 def dictionary(places: DataFrame, pieces: Pieces) -> str:
     """Ids of the units of every place (place, unit), as files in the shared folder."""
     spark = places.sparkSession
-    d = places.repartition("unit")
-    # both readers take both columns, so that they share one exchange
-    distinct = d.groupBy("unit").agg(F.min("place").alias("any_place")).filter("any_place IS NOT NULL").select("unit")
+    d = with_key(places).repartition("unit_key")
+    # both readers take all columns, so that they share one exchange
+    distinct = (d.groupBy("unit_key").agg(F.first("unit").alias("unit"), F.min("place").alias("any_place"))
+                .filter("any_place IS NOT NULL").select("unit_key", "unit"))
     ids = fold(edges(distinct, pieces), pieces.kind)
     path = scratch_path(spark, "units")
-    (d.join(ids, "unit").repartition("place").select("place", "unit", "ids")
+    (d.join(ids, "unit_key").repartition("place").select("place", "unit", "ids")
      .write.partitionBy("place").parquet(path))
     return path
 
