@@ -57,3 +57,23 @@ def test_streaks_gaps_and_islands(spark):
     df = spark.createDataFrame(rows, "k int, start_min int, f int")
     got = [r["streak"] for r in au.streaks(df, F.col("f") == 1, ["k"]).orderBy("start_min").collect()]
     assert got == [1, 2, 0, 1, 2, 3, 0]
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_every_request_has_a_status(spark, sf):
+    from apptflow.plans.registry import queries
+    from apptflow.sources import adapters
+    d = f"/root/testdata/sf{sf}"
+    got = queries()["fcfs_schedule"](spark, d).groupBy("status").count().collect()
+    counts = {r["status"]: r["count"] for r in got}
+    assert sum(counts.values()) == adapters.orders_with_site(spark, d).count()
+    assert counts["placed"] > 0 and (sf == "0.01" or counts["unplaced"] > 0)
+
+
+def test_too_long_request_blocks_its_queue(spark):
+    template = bk.shift_template("2025-01-06", "2025-01-06")
+    q = spark.createDataFrame([(1, 0, 10, 30), (1, 1, 11, 900), (1, 2, 12, 30)],
+                              "site int, row_index long, patient_id long, duration int")
+    out = bk.with_status(q, bk.fcfs_schedule(spark, q, template), template).orderBy("row_index").collect()
+    assert [(r["status"], r["reason"]) for r in out] == [
+        ("placed", None), ("unplaced", bk.TOO_LONG), ("unplaced", bk.NO_ROOM)]

@@ -107,3 +107,23 @@ def test_regression_metrics_exact(spark):
     assert r["mae"] == pytest.approx(4 / 3)
     assert r["rmse"] == pytest.approx(math.sqrt(8 / 3))
     assert r["r2"] == pytest.approx(1 - 8 / 200)
+
+
+def test_best_model_is_the_least_error(spark):
+    rows = [("baseline", 3.9), ("heuristic", 5.0), ("ml", 4.0)]
+    best = mx.best_of(spark.createDataFrame(rows, "policy string, mae double"), "policy", "mae",
+                      {"baseline": 2, "heuristic": 1, "ml": 0}).first()
+    assert tuple(best) == ("baseline", 3.9)
+    rows = [("baseline", 4.0), ("ml", 4.0)]
+    assert mx.best_of(spark.createDataFrame(rows, "policy string, mae double"), "policy", "mae",
+                      {"baseline": 2, "ml": 0}).first()["best_policy"] == "ml"
+
+
+def test_regression_of_very_many_rows(spark):
+    """The sums of 10**11 rows: 40 minutes on average, off by 5."""
+    n = 10 ** 11
+    sums = [("p", n, 5 * n, 25 * n, 40 * n, 2000 * n)]
+    r = mx.regression_from_sums(spark.createDataFrame(
+        sums, "policy string, n long, sae long, sse long, sy long, syy long"), "policy").first()
+    assert (r["mae"], r["mse"], r["rmse"]) == (5.0, 25.0, 5.0)
+    assert r["r2"] == pytest.approx(1 - 25 / 400)

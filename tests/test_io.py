@@ -1,10 +1,10 @@
-"""Missing-input guard (A2), CSV round trip (A1/A3) and scan spreading."""
+"""Missing-input guard (A2) and CSV round trip (A1/A3), also through paths with a scheme."""
 import tempfile
 
 import pytest
 
 from apptflow.sources import adapters
-from apptflow.sources.io import MissingInput, read_csv, spread, table, write_csv
+from apptflow.sources.io import MissingInput, read_csv, table, write_csv
 
 
 def test_missing_table_raises(spark):
@@ -25,6 +25,38 @@ def test_csv_roundtrip_keeps_nulls(spark, sf_small):
     assert sorted(map(tuple, back.collect()), key=lambda r: r[0]) == sorted(map(tuple, a.collect()), key=lambda r: r[0])
 
 
-def test_spread_keeps_rows(spark, sf_small):
-    o = spark.read.parquet(f"{sf_small}/orders.parquet")
-    assert spread(o).count() == o.count()
+def test_missing_csv_uri_raises(spark):
+    with pytest.raises(MissingInput):
+        read_csv(spark, "file:///nonexistent-dir/x.csv", "a INT")
+
+
+def test_shared_folder_as_uri(spark, sf_small, tmp_path, monkeypatch):
+    """csv_roundtrip and tree_nodes with spark.checkpoint.dir=file:///..."""
+    from apptflow import session
+    from apptflow.plans.registry import queries
+    for module in ("apptflow.plans.q_core", "apptflow.operators.models"):
+        monkeypatch.setattr(f"{module}.ensure_checkpoint_dir", lambda s: f"file://{tmp_path}")
+    assert queries()["csv_roundtrip"](spark, sf_small).count() > 0
+    nodes = queries()["tree_nodes"](spark, sf_small)
+    assert nodes.filter("depth = 0").count() == 1
+    assert session.ensure_checkpoint_dir(spark)
+
+
+def test_checkpoint_folder_must_be_set_on_a_cluster():
+    from types import SimpleNamespace
+    from apptflow.session import ensure_checkpoint_dir
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: None), sparkContext=SimpleNamespace(
+        master="yarn", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(cluster)
+
+
+def test_changed_files_are_read_again(spark, sf_small, tmp_path):
+    """No query result outlives its call."""
+    import shutil
+    from apptflow.plans.registry import queries
+    for t in ("orders", "customer"):
+        shutil.copy(f"{sf_small}/{t}.parquet", tmp_path / f"{t}.parquet")
+    before = queries()["padded_id"](spark, str(tmp_path)).count()
+    spark.read.parquet(f"{sf_small}/orders.parquet").limit(100).toPandas().to_parquet(tmp_path / "orders.parquet")
+    assert before > 100 and queries()["padded_id"](spark, str(tmp_path)).count() == 100

@@ -26,3 +26,14 @@ def test_exact_split_per_site(spark, sf_small):
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "test").alias("t")).collect()}
     for site, (n, t) in got.items():
         assert t == (n * 20 + 99) // 100
+
+
+def test_quota_shortfall_is_reported(spark, sf_small):
+    from apptflow.operators import sampling
+    from apptflow.sources import adapters
+    pool = adapters.request_base(spark, sf_small)
+    quotas = [(1, "hoist_required", 10 ** 6)]
+    got = sampling.quota_sample(pool, quotas, target_no_flag=5, size=10 ** 7)
+    lack = sampling.quota_shortfall(got, quotas, 5, 10 ** 7)
+    n, hoists = pool.count(), pool.filter("hoist_required = 'Yes'").count()
+    assert got.count() == n and lack == {"hoist_required": 10 ** 6 - hoists, "total": 10 ** 7 - n}
