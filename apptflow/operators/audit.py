@@ -12,16 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from apptflow.sources import dims
-
-# Keyword lists of the averages-policy rules (case-sensitive, as written).
-COMPLEX_WORDS = ["Hoist", "Hospital", "Sedation", "Claustro", "Wheelchair", "Cognitive", "Learning", "Mobility"]
-WEEKEND_BARRED_WORDS = ["Hoist", "Hospital", "Sedation", "Claustro"]
-SCANNER2_BARRED_WORDS = ["Wheelchair", "Hoist", "Poor mobility"]
-LAST_COMPLEX_START = 17 * 60 + 30 - 8 * 60   # 17:30 in minutes after 08:00
-MAX_HOISTS = 2
-MAX_SEDATION_STREAK = 2
-MAX_FLAG_STREAK = 2
-MAX_TRANSPORTS_PER_DAY = 3
+from apptflow.sources.dims import (COMPLEX_WORDS, LAST_COMPLEX_START, MAX_FLAG_STREAK, MAX_HOISTS, MAX_SEDATION_STREAK,
+                                   MAX_TRANSPORTS_PER_DAY, SCANNER2_BARRED_WORDS, WEEKEND_BARRED_WORDS)
 
 
 def any_word(text: Column, words: list[str]) -> Column:

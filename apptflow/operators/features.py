@@ -8,6 +8,8 @@ mode ties by smallest value (T10).
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -54,11 +56,11 @@ def impute(df: DataFrame, col: str, value, out: str | None = None) -> DataFrame:
 
 def fit_standardise(df: DataFrame, col: str) -> tuple[float, float]:
     """Mean and population std from exact sums (T8); integral inputs stay exact."""
-    r = df.agg(F.count(col).alias("n"), F.sum(col).alias("s"), F.sum(F.col(col) * F.col(col)).alias("ss")).first()
+    r = df.agg(F.count(col).alias("n"), F.sum(col).alias("s"), F.sum(F.col(col).cast("long") * F.col(col)).alias("ss")).first()
     n, s, ss = r["n"], r["s"], r["ss"]
     mean = s / n
     var = (n * ss - s * s) / (n * n)
-    return mean, var ** 0.5
+    return mean, math.sqrt(var)
 
 
 def standardise(col: Column, mean: float, std: float) -> Column:

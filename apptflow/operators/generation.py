@@ -61,6 +61,9 @@ def sample_slots(grid: DataFrame, n: int, salt: str = "slot_pick") -> DataFrame:
     """
     key = F.date_format("slot", "yyyy-MM-dd HH:mm")
     top = grid.withColumn("u", u(key, salt)).orderBy("u", "slot").limit(n)
+    have = top.count()
+    if have < n:
+        raise ValueError(f"{n} slots asked for, the grid has {have}")
     w = Window.orderBy("slot")  # n rows only: bounded by the sample size
     return top.select("slot", F.row_number().over(w).alias("slot_no"))
 

@@ -5,25 +5,15 @@ DataFrames alike.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apptflow.functions import flags as fx
 from apptflow.sources import dims
 
-# Keyword rules of the averages policy: (keywords matched in the lower-cased
-# reason text, averages-table key). Fixed values of the policy.
-AVERAGE_RULES = [
-    (["hoist"], "hoist required"),
-    (["transport"], "hospital transport required"),
-    (["wheelchair"], "wheelchair user"),
-    (["mobility"], "poor mobility"),
-    (["sedation", "claustro"], "sedation needed"),
-    (["interpreter"], "interpreter required"),
-    (["cognitive"], "cognitive impairment"),
-    (["learning"], "learning difficulty"),
-    (["diva", "difficult iv"], "difficult iv access"),
-]
+AVERAGE_RULES = dims.AVERAGE_RULES
 
 
 def baseline_minutes(scan: str = "scan_type") -> Column:
@@ -55,6 +45,29 @@ def averages_extra(reason: Column, scan: Column, averages: list[tuple] | None =
     return extra + contrast
 
 
+def averages_extra_joined(df: DataFrame, averages: DataFrame, reason: str = "reason_text",
+                          scan: str = "scan_type", out: str = "extra") -> DataFrame:
+    """K2 with the averages table (flag, minutes) as an input.
+
+    The table is folded into one row, a map of at most one entry a flag, and
+    joined on a constant; a key that it lacks takes its own fallback.
+    """
+    known = averages.select(F.lower("flag").alias("flag"), F.col("minutes").cast("double").alias("minutes"))
+    wanted = [key for _, key in AVERAGE_RULES] + ["contrast"]
+    one = known.filter(F.col("flag").isin(wanted)).groupBy("flag").agg(F.max("minutes").alias("minutes")).agg(
+        F.map_from_entries(F.collect_list(F.struct("flag", "minutes"))).alias("_minutes"), F.lit(1).alias("_one"))
+    d = df.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one")
+
+    def minutes(key: str) -> Column:
+        return F.coalesce(F.element_at("_minutes", F.lit(key)), F.lit(float(dims.FLAG_AVERAGE_FALLBACK[key])))
+
+    low = F.lower(F.col(reason).cast("string"))
+    terms = [F.when(reduce(lambda a, b: a | b, [low.contains(w) for w in words]), minutes(key)).otherwise(F.lit(0.0))
+             for words, key in AVERAGE_RULES]
+    contrast = F.when(F.lower(F.col(scan)).contains("contrast"), minutes("contrast")).otherwise(F.lit(0.0))
+    return d.withColumn(out, F.greatest(F.lit(0.0), *terms) + contrast).drop("_minutes", "_one")
+
+
 def class_from_extra(extra: Column) -> Column:
     """K3: 0 -> Class 1, <=20 -> Class 2, else Class 3 (on rounded minutes)."""
     return F.when(extra == 0, "Class 1").when(extra <= 20, "Class 2").otherwise("Class 3")

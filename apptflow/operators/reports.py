@@ -65,15 +65,6 @@ def flag_long(df: DataFrame, flag_cols: list[str], keep: list[str], truthy: list
     return df.select(*keep, F.explode(arr).alias("flag")).filter(F.col("flag").isNotNull())
 
 
-def flag_avg_prediction(df: DataFrame, pred_col: str, flag_cols: list[str] | None = None) -> DataFrame:
-    """Per-flag mean prediction and patient count, rounded half-even, sorted (F2)."""
-    flag_cols = [c for c in dims.FLAG_COLUMNS] if flag_cols is None else flag_cols
-    long = flag_long(df, flag_cols, [pred_col], truthy=["yes"])
-    agg = long.groupBy("flag").agg(F.sum(pred_col).alias("_s"), F.count(F.lit(1)).alias("n_patients"))
-    return agg.select("flag", fx.ratio_round(F.col("_s"), F.col("n_patients"), 2).alias("avg_predicted_overrun"),
-                      "n_patients")
-
-
 def flag_error_outcomes(df: DataFrame, actual: str, predicted: str,
                         flag_cols: list[str] | None = None) -> DataFrame:
     """Per-flag outcome counts and under-estimate rate."""

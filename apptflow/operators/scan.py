@@ -50,11 +50,3 @@ def running_totals(df: DataFrame, partition_cols: list[str], order_col: str | No
         n: F.col(f"_off_v_{n}") + F.coalesce(F.sum(f"_v_{n}").over(w_in), F.lit(0))
         for n in values})
     return out.drop(blk, *tmp, *[f"_off{t}" for t in tmp])
-
-
-def row_index(df: DataFrame, partition_cols: list[str], order_col: str,
-              name: str = "row_index", block_size: int = DEFAULT_BLOCK) -> DataFrame:
-    """0-based position within each partition, ordered by a unique integer key."""
-    out = running_totals(df, partition_cols, order_col, {name: F.lit(1).cast("long")},
-                         block_size=block_size, inclusive=False)
-    return out

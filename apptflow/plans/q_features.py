@@ -40,16 +40,16 @@ am AS (SELECT patient_id, CASE WHEN {u_sql('patient_id', 'age_missing')} < {MISS
        " SELECT patient_id, coalesce(CAST(age AS DOUBLE), (SELECT median(age) FROM am)) AS age_filled FROM am")
 def impute_median(spark, sf_dir):
     d = with_missing(spark, sf_dir)
-    med = fe.fit_median(d, "age")
-    return d.select("patient_id", F.coalesce(F.col("age").cast("double"), F.lit(float(med))).alias("age_filled"))
+    d = d.withColumn("age", F.col("age").cast("double"))
+    return fe.impute(d, "age", fe.fit_median(d, "age"), "age_filled").select("patient_id", "age_filled")
 
 
 @query("impute_mean", lambda: with_(_missing_sql()) +
        " SELECT patient_id, coalesce(CAST(age AS DOUBLE), (SELECT avg(age) FROM am)) AS age_filled FROM am")
 def impute_mean(spark, sf_dir):
     d = with_missing(spark, sf_dir)
-    mean = fe.fit_mean(d, "age")
-    return d.select("patient_id", F.coalesce(F.col("age").cast("double"), F.lit(float(mean))).alias("age_filled"))
+    d = d.withColumn("age", F.col("age").cast("double"))
+    return fe.impute(d, "age", fe.fit_mean(d, "age"), "age_filled").select("patient_id", "age_filled")
 
 
 @query("impute_mode", lambda: with_(_missing_sql()) + """
@@ -57,8 +57,7 @@ SELECT patient_id, coalesce(gender, (SELECT gender FROM am WHERE gender IS NOT N
                                      ORDER BY count(*) DESC, gender LIMIT 1)) AS gender_filled FROM am""")
 def impute_mode(spark, sf_dir):
     d = with_missing(spark, sf_dir)
-    mode = fe.fit_mode(d, "gender")
-    return d.select("patient_id", F.coalesce(F.col("gender"), F.lit(mode)).alias("gender_filled"))
+    return fe.impute(d, "gender", fe.fit_mode(d, "gender"), "gender_filled").select("patient_id", "gender_filled")
 
 
 @query("standardise", lambda: with_(sv.appointment_cte()) + """,
@@ -69,13 +68,7 @@ FROM appointment, st""")
 def standardise(spark, sf_dir):
     """(x - mean) / population std with exact-sum statistics."""
     a = adapters.appointment(spark, sf_dir)
-    r = a.agg(F.count("age").alias("n"), F.sum("age").alias("s"),
-              F.sum(F.col("age").cast("long") * F.col("age")).alias("ss")).first()
-    n, s, ss = r["n"], r["s"], r["ss"]
-    num, den = n * ss - s * s, n * n
-    std = F.sqrt(F.lit(float(num)) / F.lit(float(den)))
-    z = F.when(F.lit(num) == 0, F.lit(0.0)).otherwise((F.col("age") - F.lit(s / n)) / std)
-    return a.select("patient_id", z.alias("age_z"))
+    return a.select("patient_id", fe.standardise(F.col("age"), *fe.fit_standardise(a, "age")).alias("age_z"))
 
 
 @query("one_hot", lambda: with_(sv.appointment_cte()) + """,

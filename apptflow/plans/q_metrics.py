@@ -1,6 +1,8 @@
 """Policies, the three-way comparison and its metrics."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,10 @@ from apptflow.plans import sqlviews as sv
 from apptflow.plans.q_core import _reason_text_sql
 from apptflow.plans.registry import query
 from apptflow.plans.sqlfmt import ratio_round_sql, values_sql, with_
+from apptflow.session import ensure_checkpoint_dir
 from apptflow.sources import adapters, dims
 from apptflow.sources.adapters import memo_plan
+from apptflow.sources.io import read_csv, write_csv
 
 POLICIES = ["baseline", "heuristic", "ml"]
 MODEL_KEYS = ["reason_text", "contrast"]
@@ -181,6 +185,19 @@ def policy_averages(spark, sf_dir):
     return heuristic_policy(spark, sf_dir)
 
 
+@query("policy_averages_table", lambda: with_(comparison_ctes()) + " SELECT * FROM heur")
+def policy_averages_table(spark, sf_dir):
+    """The averages policy with its table written, read back and joined."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/averages/{uuid.uuid4().hex}"
+    write_csv(dims.flag_average(spark), path)
+    averages = read_csv(spark, path, "flag STRING, minutes DOUBLE")
+    req = adapters.request_base(spark, sf_dir).select("patient_id", "scan_type", fx.reason_text().alias("reason_text"))
+    extra = F.bround("extra", 0).cast("int")
+    return pol.averages_extra_joined(req, averages).select(
+        "patient_id", (pol.baseline_minutes("scan_type") + extra).cast("int").alias("duration_heuristic"),
+        pol.class_from_extra(extra).alias("class_heuristic"))
+
+
 @query("policy_model", lambda: with_(comparison_ctes()) + " SELECT * FROM ml")
 def policy_model(spark, sf_dir):
     return ml_policy(spark, sf_dir)

@@ -225,6 +225,31 @@ TRUTHY = ["yes", "true", "1"]
 # ---------------------------------------------------------------------------
 
 
+# Keyword rules of the averages policy: (keywords matched in the lower-cased
+# reason text, averages-table key). Fixed values of the policy.
+AVERAGE_RULES = [
+    (["hoist"], "hoist required"),
+    (["transport"], "hospital transport required"),
+    (["wheelchair"], "wheelchair user"),
+    (["mobility"], "poor mobility"),
+    (["sedation", "claustro"], "sedation needed"),
+    (["interpreter"], "interpreter required"),
+    (["cognitive"], "cognitive impairment"),
+    (["learning"], "learning difficulty"),
+    (["diva", "difficult iv"], "difficult iv access"),
+]
+
+# Keyword lists and limits of the booking rules (case-sensitive, as written). Fixed values.
+COMPLEX_WORDS = ["Hoist", "Hospital", "Sedation", "Claustro", "Wheelchair", "Cognitive", "Learning", "Mobility"]
+WEEKEND_BARRED_WORDS = ["Hoist", "Hospital", "Sedation", "Claustro"]
+SCANNER2_BARRED_WORDS = ["Wheelchair", "Hoist", "Poor mobility"]
+LAST_COMPLEX_START = 17 * 60 + 30 - 8 * 60   # 17:30 in minutes after 08:00
+MAX_HOISTS = 2
+MAX_SEDATION_STREAK = 2
+MAX_FLAG_STREAK = 2
+MAX_TRANSPORTS_PER_DAY = 3
+
+
 def _spark_lit(v) -> str:
     import datetime as _dt
     if v is None:
@@ -255,50 +280,5 @@ def scan_rule(spark: SparkSession) -> DataFrame:
     return literal(spark, SCAN_RULES, "scan_type string, minutes int, contrast boolean")
 
 
-def reason_mix(spark: SparkSession) -> DataFrame:
-    return literal(spark, REASON_MIX, "reason string, weight double")
-
-
-def indication_mix(spark: SparkSession) -> DataFrame:
-    return literal(spark, INDICATION_MIX, "indication string, scan_type string, weight double")
-
-
-def quota(spark: SparkSession) -> DataFrame:
-    return literal(spark, QUOTAS, "order_no int, flag string, n int")
-
-
-def reason_flag(spark: SparkSession) -> DataFrame:
-    return literal(spark, REASON_FLAG, "flag string, reason string")
-
-
 def flag_average(spark: SparkSession) -> DataFrame:
     return literal(spark, FLAG_AVERAGE, "flag string, minutes double")
-
-
-def scanner(spark: SparkSession) -> DataFrame:
-    return literal(spark, SCANNERS, "scanner int, scanner_name string, bore string, open_hour int, close_hour int")
-
-
-def closure(spark: SparkSession) -> DataFrame:
-    return literal(spark, CLOSURES, "scanner int, weekday int, from_hour int, to_hour int")
-
-
-def colour(spark: SparkSession) -> DataFrame:
-    return literal(spark, COLOURS, "order_no int, keyword string, colour string")
-
-
-def display_name(spark: SparkSession) -> DataFrame:
-    return literal(spark, DISPLAY_NAME, "order_no int, flag string, label string")
-
-
-def holiday(spark: SparkSession, dates: list[str] | None = None) -> DataFrame:
-    """Holiday calendar as a dimension (replaces a calendar library).
-
-    Default: the fixed-date UK holidays of the generated years (New Year,
-    Christmas, Boxing Day); callers pass their own list for other calendars.
-    """
-    if dates is None:
-        dates = ["2023-01-02", "2023-12-25", "2023-12-26", "2024-01-01",
-                 "2024-12-25", "2024-12-26", "2025-01-01", "2025-12-25", "2025-12-26"]
-    return literal(spark, [(d,) for d in dates], "d string").select(
-        F.to_date("d").alias("holiday_date"))

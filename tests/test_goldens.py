@@ -59,15 +59,15 @@ def test_pct_half_even_ties(spark):
     assert [r[0] for r in df.select(fx.pct_text(F.col("c"), F.col("t"))).collect()] == ["12.2%", "12.8%"]
 
 
-def test_g5_gini_root():
-    counts = [2716, 736, 548]
-    n = sum(counts)
-    gini = 1 - sum((c / n) ** 2 for c in counts)
-    assert round(gini, 3) == 0.486
-
-
-def test_g6_class_totals():
-    assert 3385 + 900 + 715 == 5000
+def test_slot_grid_with_the_late_weekday_opening(spark):
+    """Two years of weekdays from 09:00 and weekends, without holidays."""
+    from apptflow.operators import generation as gen
+    days = spark.sql("SELECT explode(sequence(DATE'2023-01-01', DATE'2024-12-31')) AS day")
+    cal = days.withColumn("kind", F.when(F.weekday("day") >= 5, "weekend").otherwise("weekday"))
+    assert gen.slot_grid(cal, gen.HOURS_COMPAT).count() == 29656
+    assert gen.slot_grid(cal).count() == 31744
+    with pytest.raises(ValueError):
+        gen.sample_slots(gen.slot_grid(cal.limit(1)), 1000)
 
 
 def test_g7_averages_policy(spark):
