@@ -53,10 +53,9 @@ def test_checkpoint_folder_must_be_set_on_a_cluster():
 
 def test_changed_files_are_read_again(spark, sf_small, tmp_path):
     """No query result outlives its call."""
-    import shutil
     from apptflow.plans.registry import queries
-    for t in ("orders", "customer"):
-        shutil.copy(f"{sf_small}/{t}.parquet", tmp_path / f"{t}.parquet")
-    before = queries()["padded_id"](spark, str(tmp_path)).count()
-    spark.read.parquet(f"{sf_small}/orders.parquet").limit(100).toPandas().to_parquet(tmp_path / "orders.parquet")
-    assert before > 100 and queries()["padded_id"](spark, str(tmp_path)).count() == 100
+    spark.read.parquet(f"{sf_small}/customer.parquet").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = spark.read.parquet(f"{sf_small}/orders.parquet")
+    for n in (200, 100):
+        orders.limit(n).write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
+        assert queries()["padded_id"](spark, str(tmp_path)).count() == n
