@@ -12,7 +12,8 @@ vocabulary, broadcast), the edges are grouped by unit and folded with Spark's
   in the order of their scores, leftmost first, each joined where it covers
   exactly two neighbouring symbols, which is the order the merges are made in.
 
-The unit's boundaries are a bit mask in a long. Units of more than ``MASK``
+An edge is one long: the piece's rank by score, start and length. A unit's
+boundaries are a bit mask in a long. Units of more than ``MASK``
 characters have the same edges folded in a task, with a heap.
 
 A character without a piece becomes the pieces of its UTF-8 bytes.
@@ -44,8 +45,11 @@ from apptflow.llm.warc import file_system
 
 BLANK = "▁"
 MASK = 62
-PLACE_ROWS = 8192
+PLACE_ROWS = 4096
 FLUSH_UNITS = 500_000
+#: rank of a character without a piece; fields of an edge: rank, 29 bits of start, 5 bits of length
+UNKNOWN = 1 << 28
+RANK, START, LENGTH = "shiftright(e, 34)", "CAST(shiftright(e, 5) & 536870911L AS INT)", "CAST(e & 31L AS INT)"
 
 
 @dataclass
@@ -56,6 +60,9 @@ class Pieces:
     kind: str
     texts: list[bytes]
 
+    def __post_init__(self) -> None:
+        self.rows = sorted(self.rows, key=lambda r: (-r[2], r[1]))  # a row's place is its rank
+
     @property
     def longest(self) -> int:
         return max(len(p) for p, _, _ in self.rows)
@@ -101,13 +108,13 @@ def units_of(text: str, pattern: regex.Pattern) -> list[str]:
 
 
 def edges(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """unit_key, edges: (order, start, length, ids, score) of all substrings that are pieces and all single characters.
+    """unit_key, chars, edges by rank and start: all substrings that are pieces and all single characters.
 
     ``units`` (unit_key, unit) is partitioned by ``unit_key`` and stays so: neither the explosion nor the broadcast
     moves rows.
     """
     spark = units.sparkSession
-    table = spark.createDataFrame([(p, i, s) for p, i, s in pieces.rows], "piece string, id int, score double")
+    table = spark.createDataFrame([(p, rank) for rank, (p, _, _) in enumerate(pieces.rows)], "piece string, rank long")
     # a long unit is taken apart into characters once; the rows of its substrings do not carry it
     part = "IF(chars IS NULL, substring(unit, i + 1, k), array_join(slice(chars, i + 1, k), ''))"
     spans = (f"flatten(transform(sequence(0, char_length(unit) - 1), i -> transform(sequence(1, "
@@ -115,52 +122,61 @@ def edges(units: DataFrame, pieces: Pieces) -> DataFrame:
     d = units.withColumn("chars", F.when(F.char_length("unit") > MASK, F.split("unit", "")))
     d = d.select("unit_key", F.explode(F.expr(spans)).alias("s")).select("unit_key", "s.start", "s.length", "s.part")
     d = d.join(F.broadcast(table), F.col("part") == F.col("piece"), "left")  # a vocabulary
-    d = d.filter(F.col("id").isNotNull() | (F.col("length") == 1))
-    raw = "hex(encode(part, 'UTF-8'))"
-    as_bytes = F.expr(f"transform(sequence(0, length({raw}) div 2 - 1), j -> "
-                      f"{pieces.bytes_first} + CAST(conv(substring({raw}, 2 * j + 1, 2), 16, 10) AS INT))")
-    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(as_bytes)
-    order = -F.col("score") if pieces.kind == "bpe" else (F.col("start") + F.col("length")).cast("double")
-    # an unknown character costs more than any piece
-    score = F.coalesce("score", F.lit(min(s for _, _, s in pieces.rows) - 10.0))
-    e = F.struct(F.coalesce(order, F.lit(0.0)).alias("at"), "start", "length", ids.alias("ids"), score.alias("score"))
-    return d.groupBy("unit_key").agg(F.sort_array(F.collect_list(e)).alias("edges"), F.max(
+    d = d.filter(F.col("rank").isNotNull() | (F.col("length") == 1))
+    edge = F.shiftleft(F.coalesce("rank", F.lit(UNKNOWN).cast("long")), 34).bitwiseOR(
+        F.shiftleft(F.col("start").cast("long"), 5)).bitwiseOR(F.col("length").cast("long"))
+    return d.groupBy("unit_key").agg(F.array_sort(F.collect_list(edge)).alias("edges"), F.max(
         F.col("start") + F.col("length")).alias("chars"))
 
 
+_ENDS = f"(shiftleft(1L, {START}) | shiftleft(1L, {START} + {LENGTH}))"
+
+
 def _merged() -> Column:
     """Fold of the edges in merge order: mask of the boundaries that are left. Bit i: before character i."""
-    span = "(shiftleft(1L, e.start + e.length) - shiftleft(1L, e.start + 1))"
-    ends = "(shiftleft(1L, e.start) | shiftleft(1L, e.start + e.length))"
+    inner = f"(shiftleft(1L, {START} + {LENGTH}) - shiftleft(1L, {START} + 1))"
     return F.expr(
-        "aggregate(edges, shiftleft(1L, chars + 1) - 1, (m, e) -> CASE WHEN e.length > 1 "
-        f"AND m & {ends} = {ends} AND bit_count(m & {span}) = 1 THEN m & ~{span} ELSE m END)")
+        f"aggregate(edges, shiftleft(1L, chars + 1) - 1, (m, e) -> CASE WHEN {LENGTH} > 1 "
+        f"AND m & {_ENDS} = {_ENDS} AND bit_count(m & {inner}) = 1 THEN m & ~{inner} ELSE m END)")
 
 
-def _viterbi() -> Column:
+def _viterbi(scores: list[float]) -> Column:
     """Fold of the edges by their ends: best score and last edge of every prefix, then the boundaries back from the end."""
+    table = f"array({', '.join(f'{x!r}D' for x in scores)})"
+    score = f"IF({RANK} = {UNKNOWN}, {min(scores) - 10!r}D, element_at({table}, CAST({RANK} AS INT) + 1))"
+    by_end = (f"transform(array_sort(transform(edges, e -> struct({START} + {LENGTH} AS last, e AS e))), x -> x.e)")
     start = ("transform(sequence(0, chars), i -> named_struct('score', "
              "IF(i = 0, CAST(0 AS DOUBLE), CAST('-Infinity' AS DOUBLE)), 'back', 0))")
-    step = ("(b, e) -> IF(b[e.start].score + e.score > b[e.start + e.length].score, transform(b, (x, i) -> "
-            "IF(i = e.start + e.length, named_struct('score', b[e.start].score + e.score, 'back', e.start), x)), b)")
-    best = f"aggregate(edges, {start}, {step})"
+    step = (f"(b, e) -> IF(b[{START}].score + {score} > b[{START} + {LENGTH}].score, transform(b, (x, i) -> "
+            f"IF(i = {START} + {LENGTH}, named_struct('score', b[{START}].score + {score}, 'back', {START}), x)), b)")
+    best = f"aggregate({by_end}, {start}, {step})"
     walk = ("aggregate(sequence(1, chars), named_struct('at', chars, 'm', "
             "shiftleft(1L, chars)), (w, i) -> IF(w.at = 0, w, named_struct('at', b[w.at].back, 'm', "
             "w.m | shiftleft(1L, b[w.at].back))), w -> w.m)")
     return F.expr(f"element_at(transform(array({best}), b -> {walk}), 1)")
 
 
-def merge_long(n: int, found: list[dict]) -> list[int]:
-    """The merge fold for a unit of any length: ids."""
-    by_span = {(e["start"], e["length"]): e for e in found}
+def _unpacked(packed: np.ndarray) -> dict[tuple[int, int], int]:
+    """Rank of each (start, length)."""
+    start, length = (packed >> 5) & 536870911, packed & 31
+    return dict(zip(zip(start.tolist(), length.tolist()), (packed >> 34).tolist()))
+
+
+def _code(rank: int, start: int) -> int:
+    return -1 - start if rank == UNKNOWN else rank
+
+
+def merge_long(n: int, packed: np.ndarray) -> list[int]:
+    """The merge fold for a unit of any length: codes."""
+    ranks = _unpacked(packed)
     nxt, prv, size = list(range(1, n + 1)), list(range(-1, n - 1)), [1] * n
 
     def offer(i: int) -> None:
         j = nxt[i]
-        if j < n and (i, size[i] + size[j]) in by_span:
-            heapq.heappush(heap, (by_span[i, size[i] + size[j]]["at"], i, size[i], size[j]))
+        if j < n and (i, size[i] + size[j]) in ranks:
+            heapq.heappush(heap, (ranks[i, size[i] + size[j]], i, size[i], size[j]))
 
-    heap: list[tuple[float, int, int, int]] = []
+    heap: list[tuple[int, int, int, int]] = []
     for i in range(n - 1):
         offer(i)
     while heap:
@@ -175,44 +191,51 @@ def merge_long(n: int, found: list[dict]) -> list[int]:
         offer(i)
         if prv[i] >= 0:
             offer(prv[i])
-    return [x for i in range(n) if size[i] for x in by_span[i, size[i]]["ids"]]
+    return [_code(ranks[i, size[i]], i) for i in range(n) if size[i]]
 
 
-def viterbi_long(n: int, found: list[dict]) -> list[int]:
-    """The Viterbi fold for a unit of any length: ids."""
-    best: list[tuple[float, dict | None]] = [(0.0, None)] + [(-np.inf, None)] * n
-    for e in found:  # by their ends
-        score = best[e["start"]][0] + e["score"]
-        if score > best[e["start"] + e["length"]][0]:
-            best[e["start"] + e["length"]] = (score, e)
+def viterbi_long(n: int, packed: np.ndarray, scores: list[float]) -> list[int]:
+    """The Viterbi fold for a unit of any length: codes."""
+    best: list[tuple[float, int, int]] = [(0.0, 0, 0)] + [(-np.inf, 0, 0)] * n
+    for (start, length), rank in sorted(_unpacked(packed).items(), key=lambda x: sum(x[0])):
+        score = best[start][0] + (min(scores) - 10 if rank == UNKNOWN else scores[rank])
+        if score > best[start + length][0]:
+            best[start + length] = (score, start, rank)
     out, at = [], n
     while at:
-        e = best[at][1]
-        out.append(e["ids"])
-        at = e["start"]
-    return [x for ids in reversed(out) for x in ids]
+        _, start, rank = best[at]
+        out.append(_code(rank, start))
+        at = start
+    return out[::-1]
 
 
-def fold(lattice: DataFrame, kind: str) -> DataFrame:
-    """unit_key, ids of grouped edges."""
+def fold(lattice: DataFrame, pieces: Pieces) -> DataFrame:
+    """unit_key, codes: the ranks of a unit's pieces in order, -1 - i for a character i without a piece."""
     short = F.col("chars") <= MASK
-    mask = _merged() if kind == "bpe" else _viterbi()
-    d = lattice.withColumn("mask", F.when(short, mask))
-    span = "(shiftleft(1L, e.start + e.length + 1) - shiftleft(1L, e.start))"
-    ends = "(shiftleft(1L, e.start) | shiftleft(1L, e.start + e.length))"
-    kept = (f"transform(array_sort(transform(filter(edges, e -> mask & {span} = {ends}), "
-            "e -> struct(e.start AS start, e.ids AS ids))), e -> e.ids)")
+    scores = [s for _, _, s in pieces.rows]
+    kind = pieces.kind
+    d = lattice.withColumn("mask", F.when(short, _merged() if kind == "bpe" else _viterbi(scores)))
+    outer = f"(shiftleft(1L, {START} + {LENGTH} + 1) - shiftleft(1L, {START}))"
+    low = "17179869183L"
+    kept = (f"transform(array_sort(transform(filter(edges, e -> mask & {outer} = {_ENDS}), "
+            f"e -> shiftleft(CAST({START} AS BIGINT), 34) | {RANK})), e -> "
+            f"CAST(IF(e & {low} = {UNKNOWN}L, -1 - shiftright(e, 34), e & {low}) AS INT))")
 
     def long_fold(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        use = merge_long if kind == "bpe" else viterbi_long
         for batch in batches:
-            rows = batch.to_pylist()
-            yield pa.array([use(max(e["start"] + e["length"] for e in r), r) if r else None for r in rows],
-                           pa.list_(pa.int32()))
+            out = []
+            for row in batch:
+                if not row.is_valid:
+                    out.append(None)
+                    continue
+                packed = row.values.to_numpy()
+                n = int((((packed >> 5) & 536870911) + (packed & 31)).max())
+                out.append(merge_long(n, packed) if kind == "bpe" else viterbi_long(n, packed, scores))
+            yield pa.array(out, pa.list_(pa.int32()))
 
     long_fold.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     by_task = F.arrow_udf(long_fold, "array<int>")(F.when(~short, F.col("edges")))
-    return d.select("unit_key", F.when(short, F.flatten(F.expr(kept))).otherwise(by_task).alias("ids"))
+    return d.select("unit_key", F.when(short, F.expr(kept)).otherwise(by_task).alias("codes"))
 
 
 def with_key(units: DataFrame) -> DataFrame:
@@ -222,19 +245,32 @@ def with_key(units: DataFrame) -> DataFrame:
 
 
 def dictionary(places: DataFrame, pieces: Pieces) -> str:
-    """Ids of the units of every place (place, unit), as files in the shared folder."""
+    """Codes of the units of every place (place, unit), as files in the shared folder."""
     spark = places.sparkSession
     d = with_key(places).repartition("unit_key")
     # both readers take all columns, so that they share one exchange
     distinct = (d.groupBy("unit_key").agg(F.first("unit").alias("unit"), F.min("place").alias("any_place"))
                 .filter("any_place IS NOT NULL").select("unit_key", "unit"))
-    ids = fold(edges(distinct, pieces), pieces.kind)
+    codes = fold(edges(distinct, pieces), pieces)
     path = scratch_path(spark, "units")
-    (d.join(ids, "unit_key").repartition("place").select("place", "unit", "ids")
+    (d.join(codes, "unit_key").repartition("place").select("place", "unit", "codes")
      .write.partitionBy("place").parquet(path))
     return path
 
 
+def unit_ids(units: list[str], codes: pa.ListArray, ids_by_rank: np.ndarray, first_byte: int) -> dict[str, bytes]:
+    """Ids of units, as little-endian bytes, from their codes."""
+    ends, flat = codes.offsets.to_numpy(), codes.values.to_numpy()
+    ids = ids_by_rank[np.maximum(flat, 0)].tobytes()
+    out = {u: ids[4 * a:4 * b] for u, a, b in zip(units, ends, ends[1:])}
+    for k in np.unique(np.searchsorted(ends, np.flatnonzero(flat < 0), "right") - 1):  # units with unknown characters
+        u, found = units[k], []
+        for c in flat[ends[k]:ends[k + 1]].tolist():
+            found += [int(ids_by_rank[c])] if c >= 0 else [first_byte + x for x in u[-1 - c].encode("utf-8", "replace")]
+        out[u] = np.array(found, "<u4").tobytes()
+    return out
+
+
 def _place_units(docs: DataFrame, pattern: str) -> DataFrame:
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern)
@@ -276,6 +312,8 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     d = _with_place(docs if is_table else stored(docs.select(id_col, text_col), "texts"), id_col, text_col)
     pattern = pieces.pattern
     path = dictionary(_place_units(d, pattern), pieces)
+    ids_by_rank = np.array([i for _, i, _ in pieces.rows], "<u4")
+    first_byte = pieces.bytes_first
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern)
@@ -286,12 +324,10 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
             for at, text in zip(batch.column("place").to_pylist(), batch.column("text").to_pylist()):
                 units = units_of(text or "", find)
                 if units and at != place:
-                    table = pa.parquet.read_table(f"{root}/place={at}", columns=["unit", "ids"], filesystem=fs,
+                    table = pa.parquet.read_table(f"{root}/place={at}", columns=["unit", "codes"], filesystem=fs,
                                                   partitioning=None)
-                    ids = table.column("ids").combine_chunks()
-                    ends = ids.offsets.to_numpy()
-                    flat = ids.values.to_numpy().astype("<u4").tobytes()
-                    known = {u: flat[4 * a:4 * b] for u, a, b in zip(table.column("unit").to_pylist(), ends, ends[1:])}
+                    known = unit_ids(table.column("unit").to_pylist(), table.column("codes").combine_chunks(),
+                                     ids_by_rank, first_byte)
                     place = at
                 out.append(b"".join([known[u] for u in units]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["id", "ids"])

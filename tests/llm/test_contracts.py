@@ -13,7 +13,7 @@ from oracle_check import canon, duck  # noqa: E402
 
 #: null identifiers and texts, empty and blank texts, repeated rows, ties, a long text, columns that operators use inside
 EDGES = [(1, "a b  c\td e f"), (2, "a b c d e f"), (3, None), (4, ""), (5, " \n "), (6, "x"), (7, "x"), (7, "x"),
-         (None, "x"), (None, None), (8, "w" * 70_000 + " y z"), (9, "The the THE the end"), (10, "é ü 你好 ▁ </s>[INST]")]
+         (None, "x"), (None, None), (8, "w" * 30_000 + " y z"), (9, "The the THE the end"), (10, "é ü 你好 ▁ </s>[INST]")]
 CLASH = {"norm": "n", "sha": 1, "id": 2, "row": "r", "slice": 3, "shard": 4, "slot": 5, "set_key": "k", "size": 6,
          "score": 7.0, "label": 8, "curve_index": 9, "n": 10, "key": "kk", "toxic_score": 1.0, "quality_score": 2.0}
 

@@ -110,10 +110,9 @@ def test_unigram_viterbi(spark):
                             for s in range(t) if text[s:t] in score), key=lambda x: x[0])
         return table[-1][0]
 
-    name = {i: p for p, i, _ in rows}
     units = lattice.with_key(units)
-    for r in lattice.fold(lattice.edges(units, pieces), "unigram").join(units, "unit_key").collect():
-        path = [name[i] for i in r["ids"]]
+    for r in lattice.fold(lattice.edges(units, pieces), pieces).join(units, "unit_key").collect():
+        path = [pieces.rows[c][0] for c in r["codes"]]
         assert "".join(path) == r["unit"]
         assert sum(score[p] for p in path) == pytest.approx(best(r["unit"]))
 
