@@ -132,6 +132,30 @@ def test_near_many(spark, monkeypatch):
     assert canon(got) == canon(want)
 
 
+def crowd_below(members, planted, tail, shared):
+    """Texts of one template with tails of their own, no two linked, but for planted pairs whose tails begin alike."""
+    template = [f"t{i}" for i in range(104)]  # 100 shingles
+    tails = [[f"x{i}.{j}" for j in range(tail)] for i in range(members)]
+    for i in range(planted):
+        tails[members - 1 - i][:shared] = tails[i][:shared]
+    return [(i, " ".join(template + t)) for i, t in enumerate(tails)], {members - 1 - i: i for i in range(planted)}
+
+
+def check_crowd(spark, rows, pairs, percent=80):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = near_dedup.near_duplicates(docs, percent).toPandas()
+    assert len(got) == len(rows)
+    linked = {int(i): int(c) for i, c in zip(got.doc_id, got.component_id) if i != c}
+    lost = len(set(pairs.items()) - set(linked.items()))
+    assert (lost, len(set(linked.items()) - set(pairs.items()))) == (0, 0)
+
+
+def test_near_leaves_only_by_confirmed_links(spark, monkeypatch):
+    """Sketches of a crowd at 0.79 often agree by chance: nobody may leave with a pivot that is not linked."""
+    monkeypatch.setattr(near_dedup, "NEARLY_EQUAL", 46)  # most members are as near as this to some pivot
+    check_crowd(spark, *crowd_below(600, 150, 13, 12))
+
+
 def test_components_of_paths_and_stars(spark):
     import random
     from apptflow.llm.components import connected
