@@ -153,9 +153,20 @@ def check_crowd(spark, rows, pairs, percent=80):
 def test_near_leaves_only_by_confirmed_links(spark, monkeypatch):
     """Sketches of a crowd at 0.79 often agree by chance: nobody may leave with a pivot that is not linked."""
     monkeypatch.setattr(near_dedup, "NEARLY_EQUAL", 46)  # most members are as near as this to some pivot
+    monkeypatch.setattr(near_dedup, "LEAF", 32)
     check_crowd(spark, *crowd_below(600, 150, 13, 12))
 
 
+def test_near_pairs_in_a_crowd_below(spark):
+    """Pairs at 0.86 in a crowd at 0.79 that is larger than a leaf are all found."""
+    check_crowd(spark, *crowd_below(2400, 1000, 13, 5))
+
+
+def test_near_pairs_in_a_branching_crowd(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LEAF", 64)
+    check_crowd(spark, *crowd_below(1200, 500, 13, 5))
+
+
 def test_components_of_paths_and_stars(spark):
     import random
     from apptflow.llm.components import connected
