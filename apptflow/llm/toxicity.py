@@ -2,7 +2,7 @@
 
 A character language model (interpolated 4-grams over a to z, accents taken
 off, and word boundaries) is counted over all documents. Words with digits or
-symbols among their letters, letters set apart by blanks or marks, and letters
+symbols among or next to their letters, letters set apart by blanks or marks, and letters
 repeated three times or more become lattices of what each character may stand
 for; Viterbi decoding picks the path that is likeliest under the channel's
 costs and the language model. All other words have one path, themselves.
@@ -59,6 +59,10 @@ LEET_COST, MARK_COST, BREAK_COST, HIDDEN_COST, REPEAT_COST = -1.0, -0.5, -2.0, -
 SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~/][^\W_]){2,}(?![^\W_])")
 REPEATED = re.compile(r"(.)\1\1")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+SYMBOLS = "".join(re.escape(c) for c in LEET if not c.isalnum())
+# edges but for symbols that may be letters
+MARKS = re.compile(rf"^(?:[^\w{SYMBOLS}]|_)+|(?:[^\w{SYMBOLS}]|_)+$")
+SYMBOL = re.compile(f"[{SYMBOLS}]")
 PIECES = re.compile(r"[^\W\d_]+")
 
 
@@ -155,11 +159,14 @@ class Restorer:
     def word(self, word: str) -> list[str]:
         """Restored words of a lower-case word between blanks."""
         if not word.isalpha():
-            word = EDGES.sub("", word)
+            whole, word = MARKS.sub("", word), EDGES.sub("", word)
+            # a symbol at an edge is a letter or a mark: both readings
+            found = PIECES.findall(self.decode(whole)) if whole != word and SYMBOL.search(whole) else []
             if not word.isalpha():
                 if not PIECES.search(word):
-                    return []
-                return [*PIECES.findall(self.decode(word)), *PIECES.findall(word)]
+                    return found
+                return [*found, *PIECES.findall(self.decode(word)), *PIECES.findall(word)]
+            return [*found, *self.word(word)]
         if REPEATED.search(word):
             return PIECES.findall(self.decode(word))
         return [word]

@@ -160,6 +160,20 @@ def test_restoring_obfuscated_words(spark):
     assert toxicity.bucket("idiot") * toxicity.KINDS in read("an 1D10T!!")
 
 
+def restorer(spark):
+    words = ["the clown said that an idiot is worthless and the moron lost all the trash of the stupid town, kick his ass"] * 50
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(words)], "doc_id long, text string")
+    return toxicity.Restorer(toxicity.log_model(toxicity.count_grams(docs)))
+
+
+def test_restoring_first_and_last_letters(spark):
+    r = restorer(spark)
+    assert "stupid" in r.word("$tupid") and "idiot" in r.word("!diot") and "clown" in r.word("(lown")
+    assert "trash" in r.word("+rash") and "ass" in r.word("@$$") and "idiot" in r.word("\"!dio+\",")
+    assert "trash" in r.word("trash!!") and "clown" in r.word("(clown)") and "worthless" in r.word("worthle$$")
+    assert r.word("12345,") == [] and r.word("the,") == ["the"]
+
+
 def test_pipeline_small(spark):
     """Every stage's decisions take effect, and copies, bad and toxic documents are gone at the end."""
     import corpus_pipeline as p
