@@ -55,14 +55,15 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 #: log-probabilities of the channel
 LEET_COST, MARK_COST, BREAK_COST, HIDDEN_COST, REPEAT_COST = -1.0, -0.5, -2.0, -4.0, -0.5
 
-# three or more single letters, each set apart from the next by one blank or mark
-SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~/][^\W_]){2,}(?![^\W_])")
 REPEATED = re.compile(r"(.)\1\1")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 SYMBOLS = "".join(re.escape(c) for c in LEET if not c.isalnum())
 # edges but for symbols that may be letters
 MARKS = re.compile(rf"^(?:[^\w{SYMBOLS}]|_)+|(?:[^\w{SYMBOLS}]|_)+$")
 SYMBOL = re.compile(f"[{SYMBOLS}]")
+# three or more single letters or symbols, each set apart from the next by blanks or marks, however many
+GAP = re.compile(rf"(?:[^\w{SYMBOLS}]|_)+")
+SPACED = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{SYMBOLS}])(?:{GAP.pattern}(?:[^\W_]|[{SYMBOLS}])){{2,}}(?![^\W_])")
 PIECES = re.compile(r"[^\W\d_]+")
 
 
@@ -141,10 +142,10 @@ class Restorer:
 
     def decode(self, span: str) -> str:
         # state: the last three letters; the best path into each
-        best: dict[int, tuple[float, str]] = {0: (0.0, "")}
+        best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
         for paths in [*self.lattice(span), [(" ", 0.0)]]:
-            found: dict[int, tuple[float, str]] = {}
-            for state, (score, text) in best.items():
+            found: dict[int, tuple[float, tuple]] = {}
+            for state, (score, before) in best.items():
                 for more, cost in paths:
                     s, at = score + cost, state
                     for x in letters(more):
@@ -152,9 +153,13 @@ class Restorer:
                         s += self.model[at]
                         at %= LETTERS ** (ORDER - 1)
                     if at not in found or s > found[at][0]:
-                        found[at] = (s, text + more)
+                        found[at] = (s, (before, more))
             best = found
-        return max(best.values())[1]
+        path, out = max(best.values(), key=lambda x: x[0])[1], []
+        while path:
+            path, more = path
+            out.append(more)
+        return "".join(reversed(out))
 
     def word(self, word: str) -> list[str]:
         """Restored words of a lower-case word between blanks."""
@@ -174,7 +179,7 @@ class Restorer:
     def spaced(self, text: str) -> list[str]:
         """Restored words of letters set apart."""
         return [w for m in SPACED.finditer(text)
-                for w in PIECES.findall(self.decode(re.sub(r" ", ".", m[0])))]
+                for w in PIECES.findall(self.decode(GAP.sub(".", m[0])))]
 
 
 class Reader:

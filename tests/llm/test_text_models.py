@@ -174,6 +174,15 @@ def test_restoring_first_and_last_letters(spark):
     assert r.word("12345,") == [] and r.word("the,") == ["the"]
 
 
+def test_restoring_letters_set_apart(spark):
+    r = restorer(spark)
+    for text in ("an i  d  i  o  t here", "i\nd\ni\no\nt", "i - d - i - o - t", "! d i o t", "you 1, d, 1, 0, t,"):
+        assert "idiot" in r.spaced(text), text
+    assert "moron" in r.spaced("m, o, r, o, n") and "stupid" in r.spaced("s t u p ! d")
+    assert "stupid" in r.spaced("$ t u p i d") and "clown" in r.spaced("you c l o w n there")
+    assert r.spaced("the clown said, an idiot") == []
+
+
 def test_pipeline_small(spark):
     """Every stage's decisions take effect, and copies, bad and toxic documents are gone at the end."""
     import corpus_pipeline as p
