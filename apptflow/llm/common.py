@@ -49,8 +49,9 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-def ordered(df: DataFrame, keys: list[str], weight: str | None = None, position: str = "position") -> DataFrame:
-    """Add ``position``: rows (or sum of ``weight``) before each row in the order of ``keys``.
+def prefix_sums(df: DataFrame, keys: list[str], sums: dict[str, Column | None]) -> DataFrame:
+    """Add to every row, for each name, the sum of the column (None: the count of rows) over the rows before it in
+    the order of ``keys``.
 
     Sampled splitters range-partition the rows and each partition is sorted
     on its own; the totals of the partitions, one row each, give every
@@ -62,18 +63,20 @@ def ordered(df: DataFrame, keys: list[str], weight: str | None = None, position:
     d = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     d = cut_lineage(d.withColumn("_at", F.monotonically_increasing_id()))
     d = d.withColumn("_part", F.shiftright("_at", 33))
-    amount = F.col(weight) if weight else F.lit(1).cast("long")
+    amounts = {n: F.lit(1).cast("long") if c is None else c for n, c in sums.items()}
     ends = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    starts = (d.groupBy("_part").agg(F.sum(amount).alias("_sum"))
-              .select("_part", F.coalesce(F.sum("_sum").over(ends), F.lit(0)).alias("_start")))
-    if weight:
-        before = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-        local = F.coalesce(F.sum(amount).over(before), F.lit(0))
-    else:
-        local = F.col("_at") - F.shiftleft("_part", 33)
-    d = d.withColumn("_local", local)
+    starts = (d.groupBy("_part").agg(*[F.sum(c).alias(f"_sum_{n}") for n, c in amounts.items()])
+              .select("_part", *[F.coalesce(F.sum(f"_sum_{n}").over(ends), F.lit(0)).alias(f"_start_{n}") for n in sums]))
+    before = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumns({f"_local_{n}": F.col("_at") - F.shiftleft("_part", 33) if sums[n] is None
+                       else F.coalesce(F.sum(c).over(before), F.lit(0)) for n, c in amounts.items()})
     # as many rows as partitions: the planner's own broadcast limit decides
-    return d.join(starts, "_part").select(*cols, (F.col("_start") + F.col("_local")).alias(position))
+    return d.join(starts, "_part").select(*cols, *[(F.col(f"_start_{n}") + F.col(f"_local_{n}")).alias(n) for n in sums])
+
+
+def ordered(df: DataFrame, keys: list[str], weight: str | None = None, position: str = "position") -> DataFrame:
+    """Add ``position``: rows (or sum of ``weight``) before each row in the order of ``keys``, see ``prefix_sums``."""
+    return prefix_sums(df, keys, {position: F.col(weight) if weight else None})
 
 
 def crc32_text(c: Column) -> Column:

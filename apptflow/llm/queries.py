@@ -6,8 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apptflow.llm import (chat, exact_dedup, hilbert_shards, labelled, lattice, near_dedup, packing, quality, topk,
-                          toxicity, warc)
+from apptflow.llm import (chat, exact_dedup, hilbert_shards, labelled, lattice, mixing, near_dedup, packing,
+                          prefix_trie, quality, resampling, topk, toxicity, warc)
 from apptflow.llm.common import read, scratch_path
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -233,3 +233,140 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = coded.withColumn("text", lattice.decoded(F.col("ids"), pieces))
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"),
                         F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+# crc32 of a text: table t of 256 registers, folded over the text's bytes
+_CRC_TABLE = """crc_steps AS (
+  SELECT n::UBIGINT AS n, n::UBIGINT AS c, 0 AS k FROM range(256) r(n)
+  UNION ALL
+  SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM crc_steps WHERE k < 8),
+crct AS (SELECT list(c ORDER BY n) AS t FROM crc_steps WHERE k = 8)"""
+
+
+def _crc_sql(text: str) -> str:
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::UBIGINT)"
+    return (f"xor(list_reduce({data}, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255)::INT + 1]), 4294967295::UBIGINT), "
+            "4294967295::UBIGINT)::BIGINT")
+
+
+SQL_TRIE = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+said AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, coalesce(role, ''),
+      sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+whole AS (SELECT c, list(struct_pack(r := role, x := text) ORDER BY i) AS turns FROM said GROUP BY c),
+headed AS (SELECT *, {_crc_sql('c::VARCHAR')} % 4 AS h FROM whole, crct),
+rebuilt AS (
+  SELECT a.c, coalesce(b.turns[1:a.h], []) || a.turns[a.h + 1:] AS turns
+  FROM headed a LEFT JOIN whole b ON b.c = a.c - a.c % 20),
+prefixes AS (SELECT c, d, turns[1:d] AS p, len(turns) = d AS ends FROM rebuilt, LATERAL (SELECT unnest(range(len(turns) + 1)) AS d)),
+nodes AS (
+  SELECT d, p, min(c) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '') AS ends,
+    CASE WHEN d > 0 THEN len(regexp_extract_all(p[d].x, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words
+  FROM prefixes GROUP BY d, p),
+children AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2),
+full_nodes AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN children k ON n.d = k.d AND n.p = k.p),
+below AS (
+  SELECT v.d AS at, v.p[1:u.d] AS p, u.d, v.n_children = 0 AS leaf, (v.n_convs - 1) * v.words AS saved
+  FROM full_nodes v, LATERAL (SELECT unnest(range(v.d + 1)) AS d) u),
+sums AS (SELECT d, p, count(*) FILTER (leaf) AS n_leaves, sum(saved)::BIGINT AS saved FROM below GROUP BY d, p)
+SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves,
+  s.saved AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM full_nodes n JOIN sums s ON n.d = s.d AND n.p = s.p
+LEFT JOIN nodes up ON up.d = n.d - 1 AND up.p = n.p[1:n.d - 1]
+"""
+
+
+@query("op11_conversation_prefix_trie", SQL_TRIE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations")).drop("turn_conv_id", "turn_index")
+
+
+DRAW_PERCENT = 25
+DRAW_WORDS = 20
+DRAW_SEED = 7
+
+SQL_RESAMPLE = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+texts AS (
+  SELECT 'raw' AS side, row_number() OVER () AS k, doc_id, text FROM documents
+  UNION ALL SELECT 'target', row_number() OVER (), NULL, text FROM benchmark),
+spoken AS (
+  SELECT side, k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+found AS (
+  SELECT side, k, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM spoken),
+counted AS (SELECT side, k, f, count(*) AS n FROM found GROUP BY side, k, f),
+buckets AS (SELECT f, {_crc_sql('f')} % 10000 AS bucket FROM (SELECT DISTINCT f FROM counted), crct),
+sums AS (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 'raw'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 'target'), 0)::DOUBLE AS t
+  FROM counted JOIN buckets USING (f) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM sums) + 10000)
+    / ((s + 1) * ((SELECT sum(t) FROM sums) + 10000))))::BIGINT AS gain FROM sums),
+weights AS (
+  SELECT k, sum(n) AS n_features, sum(n * gain) AS total
+  FROM counted JOIN buckets USING (f) JOIN gains USING (bucket) WHERE side = 'raw' GROUP BY k),
+scored AS (
+  SELECT doc_id, len(p.w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features,
+    CASE WHEN n_features > 0 THEN (total - ((total % n_features) + n_features) % n_features) // n_features ELSE 0 END::BIGINT AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('{DRAW_SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+      / 4294967296::DOUBLE)))::BIGINT AS luck
+  FROM spoken p LEFT JOIN weights USING (k) WHERE side = 'raw'),
+ranked AS (
+  SELECT *, weight + luck AS score, row_number() OVER (PARTITION BY n_words >= {DRAW_WORDS}
+    ORDER BY weight + luck DESC, doc_id NULLS LAST, n_features, weight) AS place,
+    (SELECT count(*) FROM scored WHERE n_words >= {DRAW_WORDS}) AS eligible FROM scored)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN n_words >= {DRAW_WORDS} AND place <= eligible * {DRAW_PERCENT} // 100 THEN place END AS rank
+FROM ranked
+"""
+
+
+@query("op12_importance_resampling", SQL_RESAMPLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), DRAW_PERCENT,
+                               DRAW_WORDS, DRAW_SEED)
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+MIX_WEIGHTS = [3, 1, 2]
+MIX_PERCENT = 150
+MIX_MOST = 2
+
+SQL_MIX = rf"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT AS h,
+    (length(regexp_replace(coalesce(text, ''), '[\x00-\x40\x5B-\x60\x7B-\x7F]+', '', 'g')) + 1)::DOUBLE
+      / (length(coalesce(text, '')) + 1)::DOUBLE AS quality FROM documents),
+keyed AS (SELECT *, -ln((h::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE) / quality AS key FROM sized),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM sized GROUP BY source),
+weighed AS (SELECT *, [3, 1, 2][rank % 3 + 1] AS w, {MIX_MOST} * source_size AS cap FROM sources),
+before AS (
+  SELECT *, coalesce(sum(cap) OVER r, 0) AS caps, coalesce(sum(w) OVER r, 0) AS ws FROM weighed
+  WINDOW r AS (ORDER BY cap::DOUBLE / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (
+  SELECT max(((SELECT sum(source_size) FROM sources)::DOUBLE * {MIX_PERCENT} / 100 - caps) / ((SELECT sum(w) FROM weighed) - ws)) AS l
+  FROM before),
+targets AS (SELECT source, source_size, least(cap::DOUBLE, l * w) AS target FROM weighed, level),
+placed AS (
+  SELECT k.doc_id, k.size, s.source_size, s.target,
+    CASE WHEN s.source_size > 0 THEN floor(s.target / s.source_size) ELSE 0 END::BIGINT AS epochs,
+    coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM keyed k JOIN targets s ON k.source IS NOT DISTINCT FROM s.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+  (epochs * size + greatest(0, least(size, floor(target)::BIGINT - epochs * source_size - before)))::BIGINT AS taken
+FROM placed
+"""
+
+
+@query("op13_weighted_mix", SQL_MIX)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(read(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_PERCENT, MIX_MOST)
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
