@@ -40,6 +40,40 @@ def test_packing_small(spark, sf_small):
     assert n == -(-int(got.length.sum()) // packing.CAPACITY) or got.length.sum() / (n * packing.CAPACITY) > 0.98
 
 
+#: letters that the normaliser takes apart before a mark, combining marks after small and capital letters, special
+#: tokens in either case, white space that does not split, words too long to keep
+HARD_TEXTS = ["İ!!", "Aİ.", "x İ, y", "\u0958.", "\ufb2a!", "J\u030c, j\u030c", "T\u0308!", "ΟΔΟΣ. Σ, ς", "<|endoftext|> a",
+              "<|ENDOFTEXT|>.", "a<|endoftext|>b|", "don't DON'T.", "a\x1cb\x85c\u3000d", "Über, über.", "w" * 99 + "!!",
+              "é" * 70 + ".", "", " ", "\n\t", "3.14,15", "a..b", "你好。你好!", "!!!", "ﬁn.", "ſ."]
+
+
+def test_word_ids(monkeypatch):
+    """Texts one by one and together, small groups and a small cache, against the library."""
+    import random
+    tok = tokenizers.Tokenizer.from_file(WORDS)
+    rnd = random.Random(6)
+    alphabet = "aAbBIJTWyK'.,;:!?|<>  \n\t019-éüßÀİıΣςЖकĀ你\u0307\u030c\u0308\u0958\ufb2a\ufb01\x1c\u200b_"
+    texts = HARD_TEXTS + ["".join(rnd.choices(alphabet, k=rnd.randint(0, 25))) for _ in range(3000)]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(packing, "CACHE_WORDS", 500)
+    for size in (1, 60, packing.GROUP_BYTES):
+        monkeypatch.setattr(packing, "GROUP_BYTES", size)
+        got = [np.frombuffer(x, "<u4").tolist() for x in packing.WordEncoder(WORDS)([t.encode() for t in texts])]
+        assert got == want
+
+
+def test_packing_hard_texts(spark):
+    rows = [(i, t) for i, t in enumerate(HARD_TEXTS + [t for _, t in EDGES])]
+    check_packing(spark, edge_docs(spark, rows), capacity=16)
+
+
+def test_packing_hot_length(spark):
+    """All pieces of one length: ranks from several partitions, every sequence full."""
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("the end of it").alias("text"))
+    got = check_packing(spark, docs.repartition(7), capacity=50)
+    assert got.groupby("sequence_id").length.sum().eq(50).all()
+
+
 def test_packing_edges(spark):
     check_packing(spark, edge_docs(spark), capacity=16)
     assert packing.pack_documents(edge_docs(spark, []), WORDS).count() == 0
