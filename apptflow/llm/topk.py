@@ -14,7 +14,9 @@ the work that exactness asks for; the candidates are read, not moved.
 
 Defined results: vectors that are null, hold null or non-finite components, or
 have no identifier take no part. Vectors of unequal length do not compare: each
-query meets the candidates of its own length. Rows with a query's own
+query meets the candidates of its own length. Components whose floor does not fit a
+long count as the nearest one that does, and so do scores; vectors so large are
+scored with Python's integers. Rows with a query's own
 identifier are the query's own; of rows that repeat a query's identifier the
 smallest vector asks. Queries with no candidate give no rows, an empty table
 neither. Other columns are ignored.
@@ -28,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from apptflow.llm.common import stored
+from apptflow.llm.common import scratch_path, stored
 
 BLOCK = 4096
+LARGEST = (1 << 63) - 1
 BINS = 256
 #: candidates scored at a time in a task, and queries of a block at a time
 CHUNK, PART = 2048, 512
@@ -59,7 +62,10 @@ def _scored(dim: int, kind: type, ids: np.ndarray, block: np.ndarray,
             for c in range(0, len(rows), CHUNK):
                 part, cand = rows[c:c + CHUNK], own_ids[c:c + CHUNK]
                 for q in range(0, len(block), PART):
-                    scores = (block[q:q + PART] @ part.T).astype(np.int64)
+                    scores = block[q:q + PART] @ part.T
+                    if kind is object:
+                        scores = np.clip(scores, -LARGEST, LARGEST)
+                    scores = np.ascontiguousarray(scores.astype(np.int64))
                     use(q, cand, scores, ids[q:q + PART, None] == cand[None, :])
     return run
 
@@ -72,9 +78,9 @@ def _counts(candidates: DataFrame, dim: int, kind: type, ids: np.ndarray, block:
 
         def use(q, cand, scores, own):
             n = len(scores)
-            over = scores - low[q:q + n, None]
-            fit = (over >= 0) & (over < span) & ~own
-            at = over // width
+            over = scores.view(np.uint64) - low[q:q + n, None].view(np.uint64)  # right above low, whatever the span
+            fit = (scores >= low[q:q + n, None]) & (over < np.uint64(span)) & ~own
+            at = (over // np.uint64(width)).astype(np.int64)
             rows = np.broadcast_to(np.arange(n)[:, None], at.shape)
             total[q:q + n] += np.bincount(rows[fit] * BINS + at[fit], minlength=n * BINS).reshape(n, BINS)
 
@@ -90,7 +96,9 @@ def _counts(candidates: DataFrame, dim: int, kind: type, ids: np.ndarray, block:
 
 
 def _block_top_k(candidates: DataFrame, dim: int, bound: int, ids: np.ndarray, block: np.ndarray, k: int) -> DataFrame:
-    kind = np.float64 if bound < 2 ** 53 else np.int64  # float64 adds integers exactly below 2**53
+    # float64 adds integers exactly below 2**53
+    kind = np.float64 if bound < 2 ** 53 else np.int64 if bound < 2 ** 62 else object
+    bound = min(bound, LARGEST)
     block = block.astype(kind)
     n = len(block)
     low, span = np.full(n, -bound, np.int64), 2 * bound + 1
@@ -102,7 +110,7 @@ def _block_top_k(candidates: DataFrame, dim: int, bound: int, ids: np.ndarray, b
         short = upto[:, -1] < k  # fewer than k candidates: all are wanted
         at = np.where(short, BINS - 1, np.argmax(upto >= k, 1))
         above = np.where(at > 0, upto[np.arange(n), at - 1], above)
-        low = low + (BINS - 1 - at) * width
+        low = (low.view(np.uint64) + (BINS - 1 - at).astype(np.uint64) * np.uint64(width)).view(np.int64)
         if width == 1:
             break
         span = width
@@ -139,7 +147,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
     rows = stored(quantised(vectors, id_col, vector_col, scale), "vectors")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     dims = rows.groupBy(F.size("v").alias("dim")).agg(F.max(square).alias("square")).orderBy("dim").collect()
-    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    path = scratch_path(spark, "top")
+    schema = "query_id long, rank int, vec_id long, score long"
+    spark.createDataFrame([], schema).write.parquet(path)
     for dim, largest in ((r["dim"], r["square"]) for r in dims if r["dim"]):
         here = rows.filter(F.size("v") == dim)
         asked = here.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -154,8 +164,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
             v = np.array(block.column("v").to_pylist(), np.int64).reshape(-1, dim)
             # |score| is at most the product of the two largest lengths
             found = _block_top_k(here, dim, int(np.ceil(largest)) + 1, ids, v, k)
-            out = out.unionByName(found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+            found = found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            found.write.mode("append").parquet(path)  # a plan of its own for each block
             last = ids[-1]
             if len(ids) < BLOCK:
                 break
-    return out
+    return spark.read.schema(schema).parquet(path)
