@@ -4,7 +4,8 @@ Every task writes its partition's pages as WARC records into archives of a
 bounded size. The first records of an archive train a Zstandard dictionary,
 which goes into a leading skippable frame; every record is then a frame of its
 own, compressed with the dictionary, so that any record can be read alone. An
-archive whose records are too few or too small to train on has no dictionary.
+archive waits for at least ``LEAST_SAMPLES`` records, of long ones the beginnings
+are trained on; only one whose records are fewer or too small has no dictionary.
 
 Records with equal payloads are written once: the one with the largest
 identifier is the response, the others are revisits that refer to it. Payloads
@@ -48,6 +49,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 DICT_BYTES = 64 * 1024
 SAMPLE_BYTES = 8 * 1024 * 1024
+#: records that a dictionary is trained on, at least; an archive waits for them
+LEAST_SAMPLES = 8
 ARCHIVE_BYTES = 256 * 1024 * 1024
 RECORD_URI = "urn:x-page:"
 
@@ -90,8 +93,11 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
 
 
 def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> zstandard.ZstdCompressionDict | None:
+    """A dictionary of what repeats in the records, of long ones in their beginnings; None for fewer than
+    ``LEAST_SAMPLES`` records or where nothing repeats."""
+    samples = [r[:SAMPLE_BYTES // LEAST_SAMPLES] for r in samples]
     size = min(size, sum(map(len, samples)) // 8)
-    if len(samples) < 8 or size < 1024:
+    if len(samples) < LEAST_SAMPLES or size < 1024:
         return None
     try:
         return zstandard.train_dictionary(size, samples, k=512, d=8)
@@ -143,7 +149,7 @@ class ArchiveWriter:
         if self.out is None:
             self.waiting.append(record)
             self.waiting_bytes += len(record)
-            if self.waiting_bytes >= SAMPLE_BYTES:
+            if self.waiting_bytes >= SAMPLE_BYTES and len(self.waiting) >= LEAST_SAMPLES:
                 self._open()
             return
         self._frame(record)
