@@ -12,7 +12,7 @@ import math
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from apptflow.sources import dims
@@ -23,10 +23,49 @@ REGRESSION_CATEGORICAL = ["scan_type", "wheelchair_user", "hoist_required", "poo
                           "hospital_transport_required", "contrast"]
 
 
+BINS = 512
+
+
+def kth_value(df: DataFrame, col: str, k: int) -> float | None:
+    """The value of rank ``k`` (from 0) among the numbers in ``col``, by histogram refinement.
+
+    A round counts the values of the current interval in ``BINS`` equal bins, with the least and the largest of
+    each; the bin that holds the rank is the next interval, until it holds one value. Only the counts leave the tasks.
+    """
+    x = F.col(col).cast("double")
+    d = df.select(x.alias("x")).filter("x IS NOT NULL AND NOT isnan(x)")
+    r = d.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("n")).first()
+    lo, hi = r["lo"], r["hi"]
+    if not 0 <= k < r["n"]:
+        return None
+    while lo < hi:
+        if math.isinf(lo) or math.isinf(hi):  # infinities are bins of their own
+            bin_ = F.when(F.col("x") == float("-inf"), 0).when(F.col("x") == float("inf"), 2).otherwise(1)
+        else:
+            share = (F.col("x") / 2 - lo / 2) / (hi / 2 - lo / 2) if hi - lo == math.inf else (F.col("x") - lo) / (hi - lo)
+            bin_ = F.floor(share * BINS)
+        hist = (d.filter(F.col("x").between(lo, hi)).groupBy(bin_.alias("bin"))
+                .agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("bin").collect())
+        for b in hist:  # at most BINS + 1 rows
+            if k < b["n"]:
+                lo, hi = b["lo"], b["hi"]
+                break
+            k -= b["n"]
+    return lo
+
+
 def fit_median(df: DataFrame, col: str) -> float | None:
-    """Exact median (interpolated like numpy); ``percentile`` keeps a
-    value->count map, so it is exact and compact for low-cardinality columns."""
-    return df.agg(F.median(col)).first()[0]
+    """Exact median, the mean of the two middle values of an even number (T9); NaN and null do not count."""
+    x = F.col(col).cast("double")
+    d = df.select(x.alias(col)).filter(x.isNotNull() & ~F.isnan(x))
+    n = d.count()
+    low = kth_value(d, col, (n - 1) // 2)
+    if n == 0 or n % 2:
+        return low
+    above = d.agg(F.count(F.when(F.col(col) <= low, 1)).alias("upto"), F.min(F.when(F.col(col) > low, F.col(col))).alias("next"))
+    r = above.first()
+    high = low if r["upto"] > n // 2 else r["next"]
+    return (low + high) / 2
 
 
 def fit_mean(df: DataFrame, col: str) -> float | None:
@@ -109,3 +148,30 @@ def prepare_regression(df: DataFrame, fit_on: DataFrame | None = None) -> DataFr
 
 def feature_pipeline(categorical: list[str], numeric: list[str]) -> Pipeline:
     return Pipeline(stages=encoder_stages(categorical, numeric))
+
+
+def categories(df: DataFrame, categorical: list[str], first_index: int) -> DataFrame:
+    """column (its place), value, feature_index of every known value: dense ranks within a column after the columns
+    before it, as the encoder numbers them. As many rows as there are distinct values."""
+    cells = F.array(*[F.struct(F.lit(i).alias("column"), F.col(c).cast("string").alias("value"))
+                      for i, c in enumerate(categorical)])
+    known = df.select(F.explode(cells).alias("x")).select("x.*").filter("value IS NOT NULL").distinct()
+    counts = known.groupBy("column").agg(F.count("*").alias("n"))
+    before = Window.orderBy("column").rowsBetween(Window.unboundedPreceding, -1)  # a row for each column
+    offsets = counts.select("column", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    rank = F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1
+    return known.withColumn("rank", rank).join(offsets, "column").select(
+        "column", "value", (F.lit(first_index) + F.col("offset") + F.col("rank")).cast("int").alias("feature_index"))
+
+
+def sparse_features(df: DataFrame, key: str, categorical: list[str], numeric: list[str], known: DataFrame) -> DataFrame:
+    """key, feature_index, value: the non-zero entries of the assembled vector as rows.
+
+    Numbers come first, then a 1 for the slot of each known category; a value that is not in ``known`` has no entry.
+    """
+    numbers = [F.struct(F.lit(i).alias("feature_index"), F.col(c).cast("double").alias("value")) for i, c in enumerate(numeric)]
+    cells = [F.struct(F.lit(i).alias("column"), F.col(c).cast("string").alias("value")) for i, c in enumerate(categorical)]
+    left = df.select(key, F.explode(F.array(*numbers)).alias("x")).select(key, "x.*").filter("value <> 0")
+    right = (df.select(key, F.explode(F.array(*cells)).alias("x")).select(key, "x.*")
+             .join(known, ["column", "value"]).select(key, "feature_index", F.lit(1.0).alias("value")))
+    return left.unionByName(right)

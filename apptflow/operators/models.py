@@ -98,35 +98,3 @@ def save_model(spark: SparkSession, model: PipelineModel, name: str) -> str:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/{name}-{uuid.uuid4().hex}"
     model.write().overwrite().save(path)
     return path
-
-
-def tree_nodes(spark: SparkSession, model: PipelineModel, model_path: str) -> DataFrame:
-    """Nodes of the last stage's trees as a table with depth (J15), read from the data saved at ``model_path``.
-
-    Depth is found level by level: children of the nodes at depth d are at
-    depth d + 1 (a bounded number of small joins: the tree has maxDepth).
-    """
-    # a stage's folder is named by its number, in as many digits as the last one has, and its uid
-    n = len(model.stages)
-    folder = f"{n - 1:0{len(str(n))}d}_{model.stages[-1].uid}"
-    nodes = spark.read.parquet(f"{model_path}/stages/{folder}/data")
-    if "nodeData" in nodes.columns:
-        nodes = nodes.select("treeID", "nodeData.*")
-    else:
-        nodes = nodes.withColumn("treeID", F.lit(0))
-    nodes = nodes.select("treeID", "id", "prediction", "impurity", "rawCount", "gain", "leftChild", "rightChild",
-                         F.col("split.featureIndex").alias("split_feature"))
-    level = nodes.filter(F.col("id") == 0).select("treeID", "id", F.lit(0).alias("depth"))
-    levels = [level]
-    for d in range(1, 32):
-        kids = (level.join(nodes, ["treeID", "id"]).select(
-            "treeID", F.explode(F.array("leftChild", "rightChild")).alias("id"))
-            .filter(F.col("id") >= 0).select("treeID", "id", F.lit(d).alias("depth")))
-        if kids.isEmpty():
-            break
-        levels.append(kids)
-        level = kids
-    depth = levels[0]
-    for x in levels[1:]:
-        depth = depth.unionByName(x)
-    return nodes.join(depth, ["treeID", "id"])

@@ -91,8 +91,8 @@ def group_mean_model(history: DataFrame, keys: list[str], target: str = "overrun
     """A deterministic overrun predictor: the historical mean per key group.
 
     Returns (keys..., predicted_overrun, n_train). Its size is bounded by the
-    number of distinct key combinations (flag patterns x contrast), not by
-    the data, so callers can broadcast it after checking ``n_groups``.
+    number of distinct key combinations (of flag texts and contrast: at most
+    2^10 x 2), not by the data.
     """
     agg = history.groupBy(*keys).agg(F.sum(target).alias("_s"), F.count(F.lit(1)).alias("n_train"))
     return agg.select(*keys, fx.ratio_round(F.col("_s"), F.col("n_train"), 2).alias("predicted_overrun"),

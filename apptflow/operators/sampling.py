@@ -95,13 +95,10 @@ def exact_split(df: DataFrame, by: list[str], test_pct: int = 20, key: str = "pa
     a third of the data is still spread over many tasks.
     """
     d = df.withColumn("u", u(key, salt))
-    ranked = running_totals(d, by, None, {"_rank": F.lit(1).cast("long")},
-                            block=F.floor(F.col("u") * 65536), order=[F.col("u"), F.col(key)])
-    # as many rows as groups, joined on the group; a hot group's rows are split by adaptive execution
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_totals(d, by, None, {"_rank": F.lit(1).cast("long")}, block=F.floor(F.col("u") * 65536),
+                            order=[F.col("u"), F.col(key)], totals={"_rank": "_n"})
     test_n = F.floor((F.col("_n") * test_pct + 99) / 100)
-    j = ranked.join(sizes, by, "inner")
-    return j.withColumn("split", F.when(F.col("_rank") <= test_n, "test").otherwise("train")).drop("_rank", "_n")
+    return ranked.withColumn("split", F.when(F.col("_rank") <= test_n, "test").otherwise("train")).drop("_rank", "_n")
 
 
 def fetch_in_order(sample: DataFrame, rows: DataFrame, key: str = "patient_id") -> DataFrame:

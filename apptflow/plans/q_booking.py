@@ -8,12 +8,16 @@ from apptflow.sources import dims
 
 from apptflow.functions import flags as fx
 from apptflow.functions.draws import _sql_lit
+from apptflow.operators import audit as au
 from apptflow.operators import booking as bk
+from apptflow.operators import eligibility as el
 from apptflow.operators import policies as pol
+from apptflow.operators.generation import FIXED_HOLIDAYS
 from apptflow.operators.scan import running_totals
 from apptflow.plans import sqlviews as sv
 from apptflow.plans.q_core import _reason_text_sql
-from apptflow.plans.q_metrics import comparison_ctes, heuristic_policy, history, ml_policy
+from apptflow.plans.q_metrics import (comparison_ctes, history, policy_requests, with_heuristic_policy,
+                                      with_model_policy)
 from apptflow.plans.registry import query
 from apptflow.sources import adapters, dims
 from apptflow.sources.adapters import memo_plan
@@ -121,9 +125,8 @@ def fcfs_schedule(spark, sf_dir):
 
 # --- two policies' schedules against history (D3) ------------------------------
 
-def _policy_schedule(spark, sf_dir, policy: DataFrame, duration: str) -> DataFrame:
+def _policy_schedule(spark, queue: DataFrame, duration: str) -> DataFrame:
     """Booked requests of the packer fed with a policy's durations."""
-    queue = adapters.request_base(spark, sf_dir).select("site", "patient_id").join(policy, "patient_id")
     queue = running_totals(queue, ["site"], "patient_id", {
         "row_index": F.lit(1).cast("long"), "e_end": (F.col(duration) + dims.CHANGEOVER_MINUTES).cast("long")})
     queue = queue.withColumns({"row_index": F.col("row_index") - 1, "duration": F.col(duration)})
@@ -152,9 +155,11 @@ SELECT merged.* FROM merged JOIN booked USING (patient_id)""")
 @query("three_way_join", _three_way_sql)
 def three_way_join(spark, sf_dir):
     """The model's and the averages' schedules against history (D3)."""
-    return three_way(_policy_schedule(spark, sf_dir, ml_policy(spark, sf_dir), "duration_ml"),
-                     _policy_schedule(spark, sf_dir, heuristic_policy(spark, sf_dir), "duration_heuristic"),
-                     history(spark, sf_dir))
+    req = policy_requests(spark, sf_dir).drop(*dims.FLAG_COLUMNS)
+    by_model = with_model_policy(spark, sf_dir, req).select("site", "patient_id", "duration_ml", "class_ml")
+    by_averages = with_heuristic_policy(req).select("site", "patient_id", "duration_heuristic", "class_heuristic")
+    return three_way(_policy_schedule(spark, by_model, "duration_ml"),
+                     _policy_schedule(spark, by_averages, "duration_heuristic"), history(spark, sf_dir))
 
 
 def _scanner_name_sql(col: str) -> str:
@@ -291,7 +296,6 @@ a2 AS (SELECT *,
 
 
 def _audit_checks_sql() -> dict[str, str]:
-    from apptflow.operators import audit as au
     r = "reason_text"
     return {
         "opening_hours": "start_min < 0 OR end_min > 720",
@@ -321,7 +325,6 @@ def _audit_sql() -> str:
 @query("schedule_audit", _audit_sql)
 def schedule_audit(spark, sf_dir):
     """Booking rules as checks over the FCFS schedule."""
-    from apptflow.operators import audit as au
     return au.schedule_audit(fcfs(spark, sf_dir))
 
 
@@ -332,7 +335,6 @@ UNION ALL SELECT 'transport', site, date, scanner, patient_id, transports FROM a
   WHERE contains(reason_text, 'Hospital') AND transports > 3""")
 def running_caps(spark, sf_dir):
     """Rows past a running cap: >2 hoists per scanner-day, >3 transports per site-day."""
-    from apptflow.operators import audit as au
     s = fcfs(spark, sf_dir)
     s = au.running_count(s, F.col("reason_text").contains("Hoist"), ["site", "date", "scanner"], "start_min", "hoists")
     s = au.running_count(s, F.col("reason_text").contains("Hospital"), ["site", "date"], "start_min", "transports")
@@ -349,7 +351,6 @@ SELECT site, date, scanner, max(sed_streak) AS max_sedation_streak, max(flag_str
 FROM a2 GROUP BY site, date, scanner""")
 def streaks(spark, sf_dir):
     """Longest sedation and flagged runs per scanner-day (L7, gaps-and-islands)."""
-    from apptflow.operators import audit as au
     s = fcfs(spark, sf_dir)
     sd = ["site", "date", "scanner"]
     s = au.streaks(s, au.any_word(F.col("reason_text"), ["Sedation", "Claustro"]), sd, name="sed_streak")
@@ -363,7 +364,6 @@ SELECT site, patient_id, flagf = 1 AND start_min <= 10 AS flag_at_open, flagf =
        flag_streak > 2 AS flag_run_over_2 FROM a2""")
 def soft_rule_flags(spark, sf_dir):
     """Model-policy soft rules evaluated on each booked row."""
-    from apptflow.operators import audit as au
     s = fcfs(spark, sf_dir)
     flagged = F.col("reason_text") != "None"
     s = au.streaks(s, flagged, ["site", "date", "scanner"], name="flag_streak")
@@ -392,24 +392,6 @@ def queue_order(spark, sf_dir):
     return ranked.select("site", "patient_id", "is_priority", "queue_pos")
 
 
-def _cells():
-    return [(wd, sc, q * 15) for wd in range(7) for sc, _, _, _, _ in dims.SCANNERS for q in range(48)]
-
-
-CELL_TYPE = "array<struct<weekday:int,scanner:int,start:int>>"
-
-
-def _cells_col():
-    """All (weekday, scanner, quarter-hour start) cells as one compact expression
-    (a literal array this size would exceed the JVM method limit in codegen)."""
-    ids = F.array(*[F.lit(sc) for sc, _, _, _, _ in dims.SCANNERS])
-    n_sc = len(dims.SCANNERS)
-    return F.transform(F.sequence(F.lit(0), F.lit(7 * n_sc * 48 - 1)), lambda i: F.struct(
-        F.floor(i / (n_sc * 48)).cast("int").alias("weekday"),
-        F.element_at(ids, (F.floor(i / 48) % n_sc + 1).cast("int")).alias("scanner"),
-        ((i % 48) * 15).cast("int").alias("start")))
-
-
 def _cells_sql() -> str:
     sc = ", ".join(str(s) for s, _, _, _, _ in dims.SCANNERS)
     return (f"cells AS (SELECT w AS weekday, s AS scanner, q * 15 AS start FROM range(7) a(w), "
@@ -430,18 +412,26 @@ def eligible_slots(spark, sf_dir):
     Profiles (flag text x duration) are bounded by the flag patterns; each is
     tested against a fixed literal cell array, so there is no join at all.
     """
-    from apptflow.operators import audit as au
-    req = adapters.request_base(spark, sf_dir).select("patient_id", fx.reason_text().alias("reason_text"))
-    prof = (req.join(heuristic_policy(spark, sf_dir), "patient_id")
+    prof = (with_heuristic_policy(policy_requests(spark, sf_dir))
             .groupBy("reason_text", F.col("duration_heuristic").alias("duration"))
             .agg(F.count(F.lit(1)).alias("n_requests")))
-    ok = F.filter(_cells_col(), lambda c: au.averages_rules(F.col("reason_text"), c["scanner"], c["weekday"],
-                                                           c["start"], c["start"] + F.col("duration")))
-    return prof.withColumn("eligible_cells", F.size(ok).cast("long"))
+    return prof.withColumn("eligible_cells", F.size(el.passing_cells(averages_rule("duration"))).cast("long"))
+
+
+def averages_rule(duration: str):
+    """The averages policy's rules on a request's reason_text and duration."""
+    return lambda weekday, scanner, start: au.averages_rules(
+        F.col("reason_text"), scanner, weekday, start, start + F.col(duration))
+
+
+def model_rule(duration: str):
+    """The model policy's hard rules on a request's needs, class and duration."""
+    return lambda weekday, scanner, start: au.model_hard_rules(
+        F.col("hoist"), F.col("sedation"), F.col("transport"), F.col("class_ml"), scanner, weekday, start,
+        start + F.col(duration))
 
 
 def _averages_rules_sql(reason, scanner, weekday, start, end) -> str:
-    from apptflow.operators import audit as au
     hour = f"floor(({start} + 480) / 60)"
     end_hour = f"floor(({end} + 480) / 60)"
     end_min = f"(({end} + 480) % 60)"
@@ -481,15 +471,65 @@ SELECT p.*, count(*) FILTER (WHERE {ok}) AS eligible_cells FROM prof p, cells c
                              "c.start + p.duration_ml")))
 def eligible_slots_model(spark, sf_dir):
     """Model-policy hard-rule eligibility per request profile (L4)."""
-    from apptflow.operators import audit as au
-    rb = adapters.request_base(spark, sf_dir).select(
-        "patient_id", (F.col("hoist_required") == "Yes").alias("hoist"),
-        (F.col("sedation_needed") == "Yes").alias("sedation"),
-        (F.col("hospital_transport_required") == "Yes").alias("transport"))
-    prof = (rb.join(ml_policy(spark, sf_dir), "patient_id")
+    prof = (with_needs(with_model_policy(spark, sf_dir, policy_requests(spark, sf_dir)))
             .groupBy("hoist", "sedation", "transport", "class_ml", "duration_ml")
             .agg(F.count(F.lit(1)).alias("n_requests")))
-    ok = F.filter(_cells_col(), lambda c: au.model_hard_rules(
-        F.col("hoist"), F.col("sedation"), F.col("transport"), F.col("class_ml"), c["scanner"], c["weekday"],
-        c["start"], c["start"] + F.col("duration_ml")))
-    return prof.withColumn("eligible_cells", F.size(ok).cast("long"))
+    return prof.withColumn("eligible_cells", F.size(el.passing_cells(model_rule("duration_ml"))).cast("long"))
+
+
+def with_needs(req: DataFrame) -> DataFrame:
+    return req.withColumns({"hoist": F.col("hoist_required") == "Yes", "sedation": F.col("sedation_needed") == "Yes",
+                            "transport": F.col("hospital_transport_required") == "Yes"})
+
+
+# --- eligible starts of every request -------------------------------------------
+
+#: horizon of the request tables: 89 days from the day that the request clock starts on
+ELIGIBLE_FIRST, ELIGIBLE_LAST = "2025-10-01", "2025-12-28"
+
+
+def _eligibility_sql() -> str:
+    """Every request meets every open date and scanner of the horizon; starts are counted per profile and weekday."""
+    averages = _averages_rules_sql("p.reason_text", "c.scanner", "c.weekday", "c.start", "c.start + p.duration")
+    model = _model_rules_sql("p.hoist", "p.sedation", "p.transport", "p.class_ml", "c.scanner", "c.weekday", "c.start",
+                             "c.start + p.duration")
+    closed = " OR ".join(f"(month(d) = {m} AND day(d) = {x})" for m, x in FIXED_HOLIDAYS)
+    return "WITH " + sv.request_cte() + ",\n" + comparison_ctes().split(sv.request_base_cte() + ",")[1] + ",\n" + _cells_sql() + f""",
+opened AS (SELECT CAST(d AS DATE) AS date, isodow(d) - 1 AS weekday
+  FROM generate_series(DATE '{ELIGIBLE_FIRST}', DATE '{ELIGIBLE_LAST}', INTERVAL 1 DAY) g(d) WHERE NOT ({closed})),
+asked AS (SELECT r.site, r.patient_id, CAST(r.request_ts AS DATE) AS request_date, q.reason_text,
+    h.duration_heuristic, m.duration_ml, m.class_ml, hoist_required = 'Yes' AS hoist, sedation_needed = 'Yes' AS sedation,
+    hospital_transport_required = 'Yes' AS transport
+  FROM request r JOIN req q USING (patient_id) JOIN heur h USING (patient_id) JOIN ml m USING (patient_id)),
+p1 AS (SELECT DISTINCT reason_text, duration_heuristic AS duration FROM asked),
+p2 AS (SELECT DISTINCT hoist, sedation, transport, class_ml, duration_ml AS duration FROM asked),
+s1 AS (SELECT p.*, c.weekday, c.scanner, count(*) AS n FROM p1 p, cells c WHERE {averages} GROUP BY ALL),
+s2 AS (SELECT p.*, c.weekday, c.scanner, count(*) AS n FROM p2 p, cells c WHERE {model} GROUP BY ALL),
+met AS (
+  SELECT 'averages' AS policy, a.patient_id, o.date, s.n FROM asked a JOIN opened o ON o.date >= a.request_date
+  JOIN s1 s ON s.reason_text = a.reason_text AND s.duration = a.duration_heuristic AND s.weekday = o.weekday
+  UNION ALL
+  SELECT 'model', a.patient_id, o.date, s.n FROM asked a JOIN opened o ON o.date >= a.request_date
+  JOIN s2 s ON s.hoist = a.hoist AND s.sedation = a.sedation AND s.transport = a.transport AND s.class_ml = a.class_ml
+    AND s.duration = a.duration_ml AND s.weekday = o.weekday),
+sums AS (SELECT policy, patient_id, sum(n) AS n, count(DISTINCT date) AS days, min(date) AS first_day FROM met GROUP BY ALL)
+SELECT k.policy, a.site, a.patient_id, a.request_date, coalesce(s.n, 0)::BIGINT AS n_starts,
+  coalesce(s.days, 0)::BIGINT AS n_days, s.first_day
+FROM asked a CROSS JOIN (VALUES ('averages'), ('model')) k(policy)
+LEFT JOIN sums s ON s.policy = k.policy AND s.patient_id = a.patient_id"""
+
+
+@query("request_eligibility", _eligibility_sql)
+def request_eligibility(spark, sf_dir):
+    """Eligible starts of every request from its date on, under both policies."""
+    req = adapters.request(spark, sf_dir).select(
+        "site", "patient_id", F.col("request_ts").cast("date").alias("request_date"), "scan_type",
+        fx.reason_text().alias("reason_text"), "contrast", *dims.FLAG_COLUMNS)
+
+    def with_policies(d: DataFrame) -> DataFrame:
+        return with_needs(with_model_policy(spark, sf_dir, with_heuristic_policy(d)))
+
+    policies = {"averages": (["reason_text", "duration_heuristic"], averages_rule("duration_heuristic")),
+                "model": (["hoist", "sedation", "transport", "class_ml", "duration_ml"], model_rule("duration_ml"))}
+    return el.eligible_starts(with_policies(req), policies, ELIGIBLE_FIRST, ELIGIBLE_LAST,
+                              ["site", "patient_id", "request_date"], with_policies(policy_requests(spark, sf_dir)))

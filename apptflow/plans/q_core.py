@@ -12,7 +12,7 @@ from apptflow.plans.registry import query
 from apptflow.plans.sqlfmt import pct_sql, values_sql, with_
 from apptflow.session import ensure_checkpoint_dir
 from apptflow.sources import adapters, dims
-from apptflow.sources.io import read_csv, table, write_csv
+from apptflow.sources.io import read_csv, read_csv_checked, table, write_csv
 
 APPT = sv.appointment_cte
 REQ = sv.request_cte
@@ -295,3 +295,34 @@ def csv_roundtrip(spark, sf_dir):
     cols = [c.split()[0] for c in CSV_SCHEMA.split(", ")]
     write_csv(adapters.appointment(spark, sf_dir).select(*cols), path)
     return read_csv(spark, path, CSV_SCHEMA)
+
+
+CHECKED_SCHEMA = "patient_id BIGINT, age INT, scan_type STRING, delay_reason STRING"
+BAD_AGE, SHORT_LINE = 0.03, 0.02
+
+
+def _lines_sql() -> str:
+    short, bad = u_sql("patient_id", "short_line"), u_sql("patient_id", "bad_age")
+    return with_(APPT()) + f""",
+lines AS (SELECT patient_id, age, scan_type, delay_reason, {short} < {SHORT_LINE} AS short, {bad} < {BAD_AGE} AS bad,
+  lpad(patient_id::VARCHAR, 12, '0') || ',' || CASE WHEN {bad} < {BAD_AGE} THEN 'n/a' ELSE ' ' || age::VARCHAR END AS start,
+  ',"' || scan_type || '",' || coalesce('"' || delay_reason || '"', 'None') AS rest FROM appointment)"""
+
+
+@query("csv_rejects", lambda: _lines_sql() + """
+SELECT 'good' AS status, patient_id, age, scan_type, delay_reason, NULL AS line FROM lines WHERE NOT short AND NOT bad
+UNION ALL SELECT 'rejected', NULL, NULL, NULL, NULL, start || CASE WHEN short THEN '' ELSE rest END FROM lines WHERE short OR bad""")
+def csv_rejects(spark, sf_dir):
+    """A file with short lines, bad numbers, padded identifiers and 'None': good rows and rejected lines (A1, A2)."""
+    import uuid
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv_rejects/{uuid.uuid4().hex}"
+    a = adapters.appointment(spark, sf_dir)
+    start = F.concat(F.lpad(F.col("patient_id").cast("string"), 12, "0"), F.lit(","), F.when(
+        u("patient_id", "bad_age") < BAD_AGE, F.lit("n/a")).otherwise(F.concat(F.lit(" "), F.col("age").cast("string"))))
+    rest = F.concat(F.lit(',"'), "scan_type", F.lit('",'), F.coalesce(
+        F.concat(F.lit('"'), "delay_reason", F.lit('"')), F.lit("None")))
+    a.select(F.when(u("patient_id", "short_line") < SHORT_LINE, start).otherwise(F.concat(start, rest)).alias("value")).write.text(path)
+    good, rejected = read_csv_checked(spark, path, CHECKED_SCHEMA, header=False)
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in CHECKED_SCHEMA.split(", "))]
+    return good.select(F.lit("good").alias("status"), "*", F.lit(None).cast("string").alias("line")).unionByName(
+        rejected.select(F.lit("rejected").alias("status"), *nothing, "line"))

@@ -9,11 +9,13 @@ from apptflow.functions.draws import u, u_sql
 from apptflow.operators import features as fe
 from apptflow.operators import metrics as mx
 from apptflow.operators import models as ml
+from apptflow.operators import tree_growth as tg
+from apptflow.operators import trees as tr
 from apptflow.operators.sampling import exact_split
 from apptflow.plans import sqlviews as sv
 from apptflow.plans.registry import query
 from apptflow.plans.sqlfmt import with_
-from apptflow.sources import adapters
+from apptflow.sources import adapters, dims
 from apptflow.sources.adapters import memo_plan
 
 MISSING_RATE = 0.05  # share of ages / genders blanked to exercise imputation
@@ -127,7 +129,33 @@ def _scores(spark, sf_dir, kind):
     return m, m.transform(d)
 
 
-@query("assembled_features")
+def _encoder_sql() -> str:
+    """Known categories with the encoder's slots, and the age statistics of the training rows."""
+    cells = " UNION ALL ".join(f"SELECT {i} AS col, {c} AS v, patient_id FROM halves" for i, c in enumerate(fe.CLASSIFICATION_CATEGORICAL))
+    return with_(sv.appointment_cte(), f"""
+halves AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY site ORDER BY {u_sql('patient_id', 'split')}, patient_id)
+   <= (count(*) OVER (PARTITION BY site) * 20 + 99) // 100 THEN 'test' ELSE 'train' END AS split FROM appointment),
+cells AS ({cells}),
+known AS (SELECT col, v, CAST(row_number() OVER (ORDER BY col, v) AS INT) AS feature_index FROM (SELECT DISTINCT col, v FROM cells) t),
+ages AS (SELECT count(age) AS n, sum(age) AS s, sum(CAST(age AS BIGINT) * age) AS ss FROM halves WHERE split = 'train'),
+numbers AS (SELECT patient_id, CASE WHEN n * ss - s * s = 0 THEN 0.0 ELSE
+  (age - CAST(s AS DOUBLE) / n) / sqrt(CAST(n * ss - s * s AS DOUBLE) / CAST(n * n AS DOUBLE)) END AS z FROM halves, ages),
+entries AS (SELECT patient_id, 0 AS feature_index, z AS value FROM numbers WHERE z <> 0
+  UNION ALL SELECT patient_id, feature_index, 1.0 FROM cells JOIN known USING (col, v))""")
+
+
+@query("sparse_features", lambda: _encoder_sql() +
+       " SELECT patient_id, feature_index, round(value, 9) AS value FROM entries")
+def sparse_features(spark, sf_dir):
+    """The assembled vectors as a table of entries."""
+    d = prepared(spark, sf_dir, "cls")
+    known = fe.categories(d, fe.CLASSIFICATION_CATEGORICAL, 1)
+    rows = fe.sparse_features(d, "patient_id", fe.CLASSIFICATION_CATEGORICAL, ["age_z"], known)
+    return rows.withColumn("value", F.round("value", 9))
+
+
+@query("assembled_features", lambda: _encoder_sql() + """
+SELECT patient_id, (SELECT 1 + count(*) FROM known)::INT AS n_features, count(*)::INT AS nnz FROM entries GROUP BY patient_id""")
 def assembled_features(spark, sf_dir):
     """Routed and assembled feature vectors."""
     # Drop the non-feature columns that are present; absent names are ignored
@@ -187,10 +215,7 @@ def model_regression_report(spark, sf_dir):
         t = s.filter(F.col("split") == "test").select(
             F.lit(name).alias("model"), F.col("overrun_minutes").cast("double").alias("y"), "prediction")
         out = t if out is None else out.unionByName(t)
-    e = F.col("prediction") - F.col("y")
-    agg = out.groupBy("model").agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
-                                   F.sum(e * e).alias("sse"), F.var_pop("y").alias("vy"), F.count(F.lit(1)).alias("n"))
-    return agg.select("model", "mae", "rmse", (1 - F.col("sse") / (F.col("vy") * F.col("n"))).alias("r2"))
+    return mx.regression_errors(out, "model", "y", "prediction")
 
 
 @query("feature_importance")
@@ -212,10 +237,137 @@ def topk_importance(spark, sf_dir):
 
 @query("tree_nodes")
 def tree_nodes(spark, sf_dir):
-    """Nodes of the decision tree with depth, gini and counts."""
-    m = fitted(spark, sf_dir, "dt")
-    path = ml.save_model(spark, m, "dt")
-    return ml.tree_nodes(spark, m, path)
+    """Nodes of the decision tree with depth, gini, counts, split text and path."""
+    m, scored = _scores(spark, sf_dir, "dt")
+    nodes = tr.saved_nodes(spark, m, ml.save_model(spark, m, "dt"))
+    return tr.tree_nodes(nodes, tr.feature_table(spark, ml.feature_names(scored)))
+
+
+@query("tree_walk_scores")
+def tree_walk_scores(spark, sf_dir):
+    """The decision tree's classes by walking its table of nodes (J12); equals ``dt_scores``."""
+    m, _ = _scores(spark, sf_dir, "dt")
+    nodes = tr.saved_nodes(spark, m, ml.save_model(spark, m, "dt"))
+    d = m.stages[-2].transform(prepared_vectors(spark, sf_dir, m))
+    d = tr.score(d, nodes, m.stages[-1].getMaxDepth(), "tree", out="prediction")
+    return ml.predicted_class(m, d).select("patient_id", "split", "class", "predicted_class")
+
+
+def prepared_vectors(spark, sf_dir, model: PipelineModel):
+    """Rows after the stages before the assembler."""
+    d = prepared(spark, sf_dir, "cls")
+    for stage in model.stages[:-2]:
+        d = stage.transform(d)
+    return d
+
+
+# --- a tree grown by grouped histograms (J7, J8, J12, J13, G3) -------------------
+
+GROWN_DEPTH = 3
+GROWN_TEXTS = fe.CLASSIFICATION_CATEGORICAL
+GROWN_NUMBERS = ["age"]
+
+
+@memo_plan
+def _class_weight_list(spark, sf_dir) -> list[float]:
+    """Balanced weights of the training rows' classes, in the order of their labels; 0 for one that is absent."""
+    train = split_history(spark, sf_dir).filter(F.col("split") == "train")
+    known = {r["class"]: r["weight"] for r in fe.class_weights(train, "class").collect()}  # a row for each class
+    return [float(known.get(c, 0.0)) for c in dims.CLASS_LABELS]
+
+
+@memo_plan
+def _grown(spark, sf_dir):
+    train = split_history(spark, sf_dir).filter(F.col("split") == "train")
+    return tg.grow(train, "class", dims.CLASS_LABELS, _class_weight_list(spark, sf_dir), GROWN_TEXTS, GROWN_NUMBERS, GROWN_DEPTH)
+
+
+def _grown_sql() -> str:
+    """Twin of ``tree_growth``: the histograms, candidates and best splits of each level, and the rows led down."""
+    ks = range(len(dims.CLASS_LABELS))
+    names = [*GROWN_TEXTS, *GROWN_NUMBERS]
+    n_texts = len(GROWN_TEXTS)
+    texts, numbers = ", ".join(GROWN_TEXTS), ", ".join(f"CAST({c} AS DOUBLE)" for c in GROWN_NUMBERS)
+    ctes = [sv.appointment_cte(), f"""
+halves AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY site ORDER BY {u_sql('patient_id', 'split')}, patient_id)
+   <= (count(*) OVER (PARTITION BY site) * 20 + 99) // 100 THEN 'test' ELSE 'train' END AS split FROM appointment),
+sized AS (SELECT class, count(*) AS n_c FROM halves WHERE split = 'train' GROUP BY class),
+weighed AS (SELECT {', '.join(f"coalesce((SELECT (SELECT sum(n_c) FROM sized)::DOUBLE / ((SELECT count(*) FROM sized) * n_c)::DOUBLE FROM sized WHERE class = '{c}'), 0.0) AS c{k}" for k, c in enumerate(dims.CLASS_LABELS))}),
+rows0 AS (SELECT patient_id, class, split, 1 AS node, [{texts}] AS ts, [{numbers}] AS ns FROM halves)"""]
+
+    def sums(s: str) -> str:
+        return " + ".join(f"{s}{k}" for k in ks)
+
+    def part(s: str) -> str:
+        return "(1.0::DOUBLE" + "".join(f" - ({s}{k} / {s}_size) * ({s}{k} / {s}_size)" for k in ks) + ")"
+
+    for level in range(GROWN_DEPTH):
+        counts = ", ".join(f"count(*) FILTER (class = '{c}') AS n{k}" for k, c in enumerate(dims.CLASS_LABELS))
+        ctes.append(f"""hist{level} AS (
+  SELECT node, col, v, x, {counts} FROM (
+    SELECT node, class, unnest(range({n_texts})) AS col, unnest(ts) AS v, NULL::DOUBLE AS x FROM rows{level} WHERE split = 'train' AND node >= {1 << level}
+    UNION ALL SELECT node, class, {n_texts} + unnest(range({len(GROWN_NUMBERS)})), NULL, unnest(ns) FROM rows{level} WHERE split = 'train' AND node >= {1 << level}) t
+  GROUP BY node, col, v, x),
+cand{level} AS (SELECT *, {', '.join(f"sum(n{k}) OVER (PARTITION BY node, col) AS all{k}" for k in ks)},
+  {', '.join(f"CASE WHEN col < {n_texts} THEN n{k} ELSE sum(n{k}) OVER (PARTITION BY node, col ORDER BY x ROWS UNBOUNDED PRECEDING) END AS left{k}" for k in ks)}
+  FROM hist{level}),
+mass{level} AS (SELECT *, {', '.join(f"all{k} * c{k} AS w{k}, left{k} * c{k} AS l{k}, (all{k} - left{k}) * c{k} AS r{k}" for k in ks)} FROM cand{level}, weighed),
+total{level} AS (SELECT *, {sums('w')} AS w_size, {sums('l')} AS l_size, {sums('r')} AS r_size FROM mass{level}),
+gain{level} AS (SELECT *, floor(({part('w')} - l_size / w_size * {part('l')} - r_size / w_size * {part('r')}) * {tg.NANO})::BIGINT AS gain_nano
+  FROM total{level} WHERE l_size > 0 AND r_size > 0),
+best{level} AS (SELECT * FROM gain{level} QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain_nano DESC, col, v, x) = 1 AND gain_nano > 0),
+rows{level + 1} AS (SELECT r.patient_id, r.class, r.split, r.ts, r.ns,
+  CASE WHEN b.node IS NULL THEN r.node WHEN b.col < {n_texts} THEN 2 * r.node + CASE WHEN r.ts[b.col + 1] IS NOT DISTINCT FROM b.v THEN 0 ELSE 1 END
+       ELSE 2 * r.node + CASE WHEN coalesce(r.ns[b.col - {n_texts} + 1] <= b.x, false) THEN 0 ELSE 1 END END AS node
+  FROM rows{level} r LEFT JOIN best{level} b ON b.node = r.node)""")
+    every = " UNION ALL ".join(f"SELECT *, {level} AS depth FROM best{level}" for level in range(GROWN_DEPTH))
+    named = "[" + ", ".join(f"'{n}'" for n in names) + "]"
+    ctes.append(f"splits AS (SELECT *, {named}[col + 1] AS feature FROM ({every}) t)")
+    return with_(*ctes)
+
+
+_SPLIT_COLS = ["node", "depth", "feature", "value", "number", "gain_nano", *[f"all{k}" for k in range(3)],
+               *[f"left{k}" for k in range(3)]]
+
+
+@query("grown_tree", lambda: _grown_sql() + " SELECT node, depth, feature, v AS value, x AS number, gain_nano, "
+       + ", ".join(f"all{k}::BIGINT AS all{k}, left{k}::BIGINT AS left{k}" for k in range(3)) + " FROM splits")
+def grown_tree(spark, sf_dir):
+    """Splits of the first levels of the weighted classification tree, each the best of its node (J8 split audit)."""
+    names = F.array(*[F.lit(n) for n in [*GROWN_TEXTS, *GROWN_NUMBERS]])
+    return _grown(spark, sf_dir).withColumn("feature", F.element_at(names, F.col("column") + 1)).select(*_SPLIT_COLS)
+
+
+def _grown_scores_sql() -> str:
+    ks = range(len(dims.CLASS_LABELS))
+    pick = {s: "CASE " + " ".join(
+        f"WHEN {s}{k} = greatest({', '.join(f'{s}{j}' for j in ks)}) THEN '{dims.CLASS_LABELS[k]}'" for k in ks) + " END"
+        for s in "lr"}
+    return _grown_sql() + f""",
+leaves AS (SELECT 2 * node AS node, {pick['l']} AS predicted_class FROM splits
+           UNION ALL SELECT 2 * node + 1, {pick['r']} FROM splits)
+SELECT patient_id, split, class, r.node::BIGINT AS node, predicted_class FROM rows{GROWN_DEPTH} r LEFT JOIN leaves USING (node)"""
+
+
+@query("grown_tree_scores", _grown_scores_sql)
+def grown_tree_scores(spark, sf_dir):
+    """Every appointment's leaf and class in the grown tree."""
+    d = split_history(spark, sf_dir).select("patient_id", "split", "class", *GROWN_TEXTS, *GROWN_NUMBERS)
+    d = tg.classify(d, _grown(spark, sf_dir), GROWN_DEPTH, dims.CLASS_LABELS, _class_weight_list(spark, sf_dir),
+                    GROWN_TEXTS, GROWN_NUMBERS)
+    return d.select("patient_id", "split", "class", "node", "predicted_class")
+
+
+@query("grown_importance_top", lambda: _grown_sql() + """,
+sums AS (SELECT feature, sum(gain_nano * w_size) AS s FROM splits GROUP BY feature),
+shares AS (SELECT feature, s / (SELECT sum(s) FROM sums) AS importance FROM sums)
+SELECT 'Grown Tree' AS model, feature, round(importance, 9) AS importance,
+  row_number() OVER (ORDER BY importance DESC, feature)::INT AS rank FROM shares QUALIFY rank <= 3""")
+def grown_importance_top(spark, sf_dir):
+    """The top features by weighted impurity decrease."""
+    d = tg.split_importances(_grown(spark, sf_dir), _class_weight_list(spark, sf_dir), [*GROWN_TEXTS, *GROWN_NUMBERS])
+    d = ml.top_k(d.withColumn("model", F.lit("Grown Tree")), "model", "importance", 3)
+    return d.select("model", "feature", F.round("importance", 9).alias("importance"), "rank")
 
 
 @query("model_roundtrip")

@@ -42,30 +42,38 @@ def overrun_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pol.group_mean_model(history(spark, sf_dir), MODEL_KEYS)
 
 
-@memo_plan
-def _scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    req = adapters.request_base(spark, sf_dir).select(
-        "patient_id", "scan_type", fx.reason_text().alias("reason_text"), "contrast")
+def with_model_policy(spark: SparkSession, sf_dir: str, req: DataFrame) -> DataFrame:
+    """``req`` with predicted_overrun, duration_ml and class_ml."""
     model = overrun_model(spark, sf_dir).select(*MODEL_KEYS, "predicted_overrun")
-    return req.join(F.broadcast(model), MODEL_KEYS, "left").withColumn(
+    s = req.join(F.broadcast(model), MODEL_KEYS, "left").withColumn(  # at most 2^10 x 2 rows
         "predicted_overrun", F.coalesce("predicted_overrun", F.lit(0.0)))
+    rounded = F.greatest(F.lit(0), F.bround("predicted_overrun", 0).cast("int"))
+    return s.withColumns({"duration_ml": pol.model_minutes("scan_type", "predicted_overrun"),
+                          "class_ml": pol.class_from_extra(rounded)})
+
+
+def with_heuristic_policy(req: DataFrame) -> DataFrame:
+    """``req`` with duration_heuristic and class_heuristic."""
+    return pol.with_averages_policy(req).withColumnsRenamed(
+        {"heuristic_minutes": "duration_heuristic", "heuristic_class": "class_heuristic"}).drop("heuristic_extra")
+
+
+@memo_plan
+def policy_requests(spark, sf_dir) -> DataFrame:
+    """Requests with what the policies read."""
+    return adapters.request_base(spark, sf_dir).select(
+        "site", "patient_id", "scan_type", fx.reason_text().alias("reason_text"), "contrast", *dims.FLAG_COLUMNS)
 
 
 @memo_plan
 def heuristic_policy(spark, sf_dir) -> DataFrame:
-    req = adapters.request_base(spark, sf_dir).select(
-        "patient_id", "scan_type", fx.reason_text().alias("reason_text"))
-    return pol.with_averages_policy(req).select(
-        "patient_id", F.col("heuristic_minutes").alias("duration_heuristic"),
-        F.col("heuristic_class").alias("class_heuristic"))
+    return with_heuristic_policy(policy_requests(spark, sf_dir)).select(
+        "patient_id", "duration_heuristic", "class_heuristic")
 
 
 @memo_plan
 def ml_policy(spark, sf_dir) -> DataFrame:
-    s = _scored_requests(spark, sf_dir)
-    rounded = F.greatest(F.lit(0), F.bround("predicted_overrun", 0).cast("int"))
-    return s.select("patient_id", pol.model_minutes("scan_type", "predicted_overrun").alias("duration_ml"),
-                    pol.class_from_extra(rounded).alias("class_ml"))
+    return with_model_policy(spark, sf_dir, policy_requests(spark, sf_dir)).select("patient_id", "duration_ml", "class_ml")
 
 
 @memo_plan
@@ -82,7 +90,7 @@ def comparison(spark, sf_dir) -> DataFrame:
         pol.baseline_minutes("hist_scan_type").alias("duration_baseline"),
         F.col("hist_class").alias("class_actual"))
     model = overrun_model(spark, sf_dir).select(*MODEL_KEYS, "predicted_overrun")
-    s = r.join(F.broadcast(model), MODEL_KEYS, "left").withColumn(
+    s = r.join(F.broadcast(model), MODEL_KEYS, "left").withColumn(  # at most 2^10 x 2 rows
         "predicted_overrun", F.coalesce("predicted_overrun", F.lit(0.0)))
     s = pol.with_averages_policy(s)
     rounded = F.greatest(F.lit(0), F.bround("predicted_overrun", 0).cast("int"))
@@ -303,6 +311,29 @@ def residual_histogram(spark, sf_dir):
     return long.groupBy("policy", b.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+DENSITY_POINTS = 200
+
+
+@query("residual_density", lambda: with_(comparison_ctes()) + f""",
+cnt AS (SELECT policy, CAST(duration_actual - planned AS BIGINT) AS v, count(*) AS n FROM plong GROUP BY ALL),
+st0 AS (SELECT policy, sum(n)::BIGINT AS n_all, sum(v * n)::DOUBLE AS s, sum(v * v * n)::DOUBLE AS ss, min(v) AS least, max(v) AS most
+        FROM cnt GROUP BY policy),
+st1 AS (SELECT *, sqrt((ss - s * s / n_all) / (n_all - 1)) * pow(n_all::DOUBLE, -0.2::DOUBLE) AS h FROM st0 WHERE n_all > 1 AND least < most),
+st AS (SELECT *, least - 3.0::DOUBLE * h AS first, (most - least + 2 * 3.0::DOUBLE * h) / {DENSITY_POINTS - 1} AS step FROM st1),
+placed AS (SELECT policy, n, (v - first) / step AS pos FROM cnt JOIN st USING (policy)),
+dealt AS (SELECT policy, j, sum(w) AS w FROM (
+  SELECT policy, floor(pos) AS j, n * (1 - (pos - floor(pos))) AS w FROM placed
+  UNION ALL SELECT policy, floor(pos) + 1, n * (pos - floor(pos)) FROM placed) t GROUP BY policy, j)
+SELECT st.policy, p.point::INT AS point, round(first + p.point * step, 6) AS x,
+  round(sum(w * exp(-0.5::DOUBLE * pow((p.point - j) * step / h, 2))) / (n_all * h * sqrt(2 * pi())), 9) AS density
+FROM st JOIN dealt USING (policy), range({DENSITY_POINTS}) p(point) GROUP BY st.policy, p.point, first, step, n_all, h""")
+def residual_density(spark, sf_dir):
+    """Kernel density of the residuals of each policy."""
+    long = policy_long(spark, sf_dir).withColumn("r", F.col("duration_actual") - F.col("planned"))
+    d = mx.density(long, "policy", "r", DENSITY_POINTS)
+    return d.select("policy", "point", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
+
+
 def _pct_diff_sql(base: str, x: str) -> str:
     # hundredths B (baseline) and M; tenths of a percent of (B-M)/B, half-even, signed
     num = f"(({base}) - ({x})) * 1000"
@@ -365,7 +396,7 @@ def _hist_scored(spark, sf_dir) -> DataFrame:
     """History rows scored by the overrun model, prediction in hundredths."""
     h = history(spark, sf_dir)
     model = overrun_model(spark, sf_dir).select(*MODEL_KEYS, "predicted_overrun")
-    s = h.join(F.broadcast(model), MODEL_KEYS, "left")
+    s = h.join(F.broadcast(model), MODEL_KEYS, "left")  # at most 2^10 x 2 rows
     centi = F.bround(fx.clip_zero("predicted_overrun") * 100, 0).cast("long")
     rounded = F.greatest(F.lit(0), F.bround("predicted_overrun", 0).cast("int"))
     return s.withColumns({"pred_centi": centi, "class_pred": pol.class_from_extra(rounded)})

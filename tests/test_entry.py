@@ -1,6 +1,9 @@
 """The driver contract in __spark_entry__.py."""
 import importlib.util
 import os
+import sys
+
+import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -25,3 +28,25 @@ def test_oracle_keys_are_queries():
     q, o = m.queries(), m.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 90 and all(isinstance(v, str) and v.strip() for v in o.values())
+
+
+@pytest.mark.parametrize("library", ["zstandard", "regex"])
+def test_a_missing_library_costs_only_its_queries(library, monkeypatch):
+    """Without a library that only the training-data queries need, the others are registered, with a warning."""
+    for name in [m for m in sys.modules if m.startswith("apptflow.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, library, None)
+    if os.path.isdir(os.path.join(ROOT, "apptflow", "llm")):
+        with pytest.warns(UserWarning, match=library):
+            m = _entry_module()
+    else:
+        m = _entry_module()
+    assert "flag_summary" in m.queries() and not any(k.startswith("op") and "_" in k[:5] for k in m.queries())
+
+
+def test_an_error_inside_the_library_is_raised(monkeypatch):
+    m = _entry_module()
+    monkeypatch.setitem(sys.modules, "apptflow.functions.flags", None)
+    monkeypatch.delitem(sys.modules, "apptflow.operators.trees", raising=False)
+    with pytest.raises(ModuleNotFoundError):
+        m._optional("apptflow.operators.trees")

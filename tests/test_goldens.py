@@ -1,6 +1,8 @@
 """Goldens rebuilt by arithmetic from the published result files."""
 import math
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +129,14 @@ def test_regression_of_very_many_rows(spark):
         sums, "policy string, n long, sae long, sse long, sy long, syy long"), "policy").first()
     assert (r["mae"], r["mse"], r["rmse"]) == (5.0, 25.0, 5.0)
     assert r["r2"] == pytest.approx(1 - 25 / 400)
+
+
+def test_density_of_residuals(spark):
+    """The density is that of a direct kernel sum, and its integral is 1; equal or single values have none."""
+    rows = [("a", v) for v in [-3, -1, 0, 0, 0, 2, 5, 5, 9, 40]] + [("one", 3), ("same", 4), ("same", 4)]
+    got = mx.density(spark.createDataFrame(rows, "g string, r int"), "g", "r", 2000).toPandas()
+    values = np.array([v for g, v in rows if g == "a"])
+    h = values.std(ddof=1) * len(values) ** -0.2
+    direct = np.exp(-0.5 * ((got.x.values[:, None] - values) / h) ** 2).sum(1) / (len(values) * h * math.sqrt(2 * math.pi))
+    assert set(got.g) == {"a"} and np.abs(got.density.values - direct).max() < 1e-6
+    assert np.trapezoid(got.sort_values("x").density, got.sort_values("x").x) == pytest.approx(1, abs=3e-3)

@@ -4,7 +4,7 @@ import tempfile
 import pytest
 
 from apptflow.sources import adapters
-from apptflow.sources.io import MissingInput, read_csv, table, write_csv
+from apptflow.sources.io import MissingInput, read_csv, read_csv_checked, table, write_csv
 
 
 def test_missing_table_raises(spark):
@@ -59,3 +59,14 @@ def test_changed_files_are_read_again(spark, sf_small, tmp_path):
     for n in (200, 100):
         orders.limit(n).write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
         assert queries()["padded_id"](spark, str(tmp_path)).count() == n
+
+
+def test_checked_csv(spark, tmp_path):
+    """Good and rejected rows are the lines; 'None' and blanks are null, padded identifiers numbers."""
+    lines = ["id,name,n", "  0007 , Ann ,1", "8,None,2", "x,Bob,3", "9,Cy", "10,Di,4,5", '11,"a, b",6', "12,,7", "", "13, ,"]
+    (tmp_path / "a.csv").write_text("\n".join(lines))
+    good, rejected = read_csv_checked(spark, f"file://{tmp_path}/a.csv", "id BIGINT, name STRING, n INT")
+    assert sorted(map(tuple, good.collect())) == [(7, "Ann", 1), (8, None, 2), (11, "a, b", 6), (12, None, 7), (13, None, None)]
+    assert sorted(r["line"] for r in rejected.collect()) == ["10,Di,4,5", "9,Cy", "x,Bob,3"]
+    with pytest.raises(MissingInput):
+        read_csv_checked(spark, "file:///nonexistent-dir/x.csv", "a INT")

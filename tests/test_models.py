@@ -1,8 +1,18 @@
 """Model training: better than the majority, importances, tree shape, save and load."""
+import statistics
+
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from apptflow.operators import features as fe
+from apptflow.operators import models as ml
+from apptflow.operators import tree_growth as growth
+from apptflow.operators import trees
+from apptflow.plans import q_features as qf
 from apptflow.plans.registry import queries
+from apptflow.sources import dims
+from apptflow.sources.adapters import shared_plans
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +29,7 @@ def test_classifier_beats_majority_and_survives_saving(spark, sf_small, q):
     again = {r["patient_id"]: r["predicted_class"] for r in q["model_roundtrip"](spark, sf_small).collect()}
     first = {r["patient_id"]: r["predicted_class"] for r in scores.collect()}
     assert n and again == first
+    assert first == {r["patient_id"]: r["predicted_class"] for r in q["tree_walk_scores"](spark, sf_small).collect()}
 
 
 def test_importances_sum_to_one(spark, sf_small, q):
@@ -28,9 +39,116 @@ def test_importances_sum_to_one(spark, sf_small, q):
 
 def test_children_hold_their_parents_rows(spark, sf_small, q):
     nodes = {r["id"]: r for r in q["tree_nodes"](spark, sf_small).collect()}
-    inner = [r for r in nodes.values() if r["leftChild"] >= 0]
-    assert inner and all(nodes[r["leftChild"]]["rawCount"] + nodes[r["rightChild"]]["rawCount"] == r["rawCount"]
-                         and nodes[r["leftChild"]]["depth"] == r["depth"] + 1 for r in inner)
+    inner = [r for r in nodes.values() if r["left_child"] >= 0]
+    assert inner and all(nodes[r["left_child"]]["n_rows"] + nodes[r["right_child"]]["n_rows"] == r["n_rows"]
+                         and nodes[r["left_child"]]["depth"] == r["depth"] + 1
+                         and nodes[r["right_child"]]["parent"] == r["id"] for r in inner)
+
+
+@pytest.fixture(scope="module")
+def fitted(spark, sf_small):
+    """Kind -> model, scored rows, nodes and features, fitted once."""
+    out = {}
+    with shared_plans():
+        for kind in ("dt", "rf_cls", "rf_reg", "gbt_reg"):
+            model, scored = qf._scores(spark, sf_small, kind)
+            nodes = trees.saved_nodes(spark, model, ml.save_model(spark, model, kind)).cache()
+            out[kind] = model, scored.cache(), nodes, trees.feature_table(spark, ml.feature_names(scored))
+        yield out
+
+
+@pytest.mark.parametrize("kind, how", [("dt", "tree"), ("rf_cls", "votes"), ("rf_reg", "mean"), ("gbt_reg", "sum")])
+def test_walked_trees_predict_like_the_model(fitted, kind, how):
+    model, scored, nodes, _ = fitted[kind]
+    last = model.stages[-1]
+    weights = list(last.treeWeights) if kind == "gbt_reg" else None
+    walked = trees.score(scored, nodes, 10, how, weights)
+    assert walked.filter(F.abs(F.col("prediction") - F.col("tree_prediction")) > 1e-9).isEmpty()
+
+
+@pytest.mark.parametrize("kind", ["dt", "rf_cls", "rf_reg", "gbt_reg"])
+def test_importances_from_nodes(fitted, kind):
+    model, _, nodes, features = fitted[kind]
+    rows = F.col("stats")[0] if kind.endswith("reg") else F.aggregate("stats", F.lit(0.0), lambda a, x: a + x)
+    got = {r["feature_index"]: r["importance"]
+           for r in trees.importances(nodes, features, rows, per_tree=kind != "gbt_reg").collect()}
+    want = model.stages[-1].featureImportances.toArray()
+    assert [got[i] for i in range(len(want))] == pytest.approx(list(want), abs=1e-9)
+
+
+def test_paths_partition_the_rows(spark, fitted):
+    """Every training row satisfies the path of one leaf, and each leaf's count is its number of rows."""
+    model, scored, nodes, features = fitted["dt"]
+    leaves = trees.tree_nodes(nodes, features).filter("left_child < 0").collect()
+    names = [r["feature"] for r in features.orderBy("feature_index").collect()]
+    x = scored.filter("split = 'train'").select("patient_id", vector_to_array("features").alias("x")).select(
+        "patient_id", *[F.col("x")[i].alias(n) for i, n in enumerate(names)]).cache()
+
+    def holds(step):
+        for sign in (" not in ", " in ", " <= ", " > "):
+            if sign in step:
+                name, value = step.split(sign)
+                return f"`{name}`{sign}{value}"
+
+    counts = x.agg(*[F.count_if(F.expr(" AND ".join(map(holds, r["path"])))).alias(f"n{r['id']}") for r in leaves]).first()
+    assert all(counts[f"n{r['id']}"] == r["n_rows"] for r in leaves)
+    assert sum(counts) == x.count()
+
+
+def test_grown_tree_begins_like_the_fitted_one(spark, sf_small, fitted):
+    """The best splits of the histograms have the gains of the saved tree's first levels."""
+    _, _, nodes, features = fitted["dt"]
+    saved = {r["id"]: r for r in trees.tree_nodes(nodes, features).collect()}
+    with shared_plans():
+        grown = sorted((r["depth"], r["gain_nano"]) for r in qf._grown(spark, sf_small).collect())
+    want = sorted((r["depth"], int(r["gain"] * growth.NANO)) for r in saved.values() if r["depth"] < 3 and r["left_child"] >= 0)
+    assert len(grown) == len(want)
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) <= 2 for a, b in zip(grown, want))
+
+
+def test_every_saved_split_is_the_best(spark, sf_small, fitted):
+    """Rows led down the saved tree: no candidate of a node beats its split."""
+    model, scored, nodes, features = fitted["dt"]
+    with shared_plans():
+        weights = qf._class_weight_list(spark, sf_small)
+    saved = trees.tree_nodes(nodes, features).collect()
+    inner = {r["id"]: r for r in saved if r["left_child"] >= 0 and r["depth"] < 4}
+    rows = scored.filter("split = 'train'").withColumn("_x", vector_to_array("features"))
+    one = trees.forest_row(nodes)
+    names = [*qf.GROWN_TEXTS]
+    for depth in range(4):
+        led = rows.crossJoin(F.broadcast(one)).withColumn("node", trees.leaf_of(F.col("trees")[0], F.col("_x"), depth)["id"]
+                                                          if depth else F.lit(0)).select("node", "class", *names, "age_z")
+        best = {r["node"]: r["best_gain"] for r in growth.split_audit(
+            led, "class", dims.CLASS_LABELS, weights, names, ["age_z"]).collect()}
+        for i, r in inner.items():
+            if r["depth"] == depth:
+                assert abs(best[i] - int(r["gain"] * growth.NANO)) <= 2
+
+
+def test_sparse_features_are_the_assembled_vector(spark, sf_small):
+    with shared_plans():
+        d = qf.prepared(spark, sf_small, "cls")
+        known = fe.categories(d, fe.CLASSIFICATION_CATEGORICAL, 1)
+        rows = fe.sparse_features(d, "patient_id", fe.CLASSIFICATION_CATEGORICAL, ["age_z"], known)
+        got = {(r["patient_id"], r["feature_index"]): r["value"] for r in rows.collect()}
+        v = fe.feature_pipeline(fe.CLASSIFICATION_CATEGORICAL, ["age_z"]).fit(d).transform(d)
+        want = {(r["patient_id"], int(i)): x for r in v.select("patient_id", "features").collect()
+                for i, x in enumerate(r["features"].toArray()) if x}
+    assert got == want
+
+
+@pytest.mark.parametrize("values", [[], [3.0], [1.0, 2.0], [5.0] * 7 + [1e300, -1e300], [float("inf"), 1.0, float("-inf"), 2.0],
+                                    [float("nan"), 4.0, None, 6.0, 5.0], [2.0 ** k for k in range(-60, 60)]])
+def test_median_by_selection(spark, values):
+    d = spark.createDataFrame([(x,) for x in values], "x double")
+    known = [x for x in values if x is not None and x == x]
+    assert fe.fit_median(d, "x") == (statistics.median(known) if known else None)
+
+
+def test_median_of_many_distinct_values(spark):
+    d = spark.range(1_000_000).select((F.xxhash64("id") / 3.0).alias("x"))
+    assert fe.fit_median(d, "x") == d.agg(F.median("x")).first()[0]
 
 
 def test_assembled_width(spark, sf_small, q):
