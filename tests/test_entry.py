@@ -46,7 +46,10 @@ def test_a_missing_library_costs_only_its_queries(library, monkeypatch):
 
 def test_an_error_inside_the_library_is_raised(monkeypatch):
     m = _entry_module()
-    monkeypatch.setitem(sys.modules, "apptflow.functions.flags", None)
-    monkeypatch.delitem(sys.modules, "apptflow.operators.trees", raising=False)
+
+    def broken(name):
+        raise ModuleNotFoundError("No module named 'apptflow.functions.none'", name="apptflow.functions.none")
+
+    monkeypatch.setattr(m.importlib, "import_module", broken)
     with pytest.raises(ModuleNotFoundError):
-        m._optional("apptflow.operators.trees")
+        m._optional("corpus_pipeline")
