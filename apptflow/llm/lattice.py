@@ -14,14 +14,16 @@ vocabulary, broadcast), the edges are grouped by unit and folded with Spark's
 
 An edge is one long: the piece's rank by score, start and length. A unit's
 boundaries are a bit mask in a long. Units of more than ``MASK``
-characters have the same edges folded in a task, with a heap.
+characters, for which a long has no bits, are looked up and folded in a task,
+with a heap.
 
 A character without a piece becomes the pieces of its UTF-8 bytes.
 
 The units' ids go back to the texts by place: a run of ``PLACE_ROWS`` rows of a
-table's file. The dictionary of every place is a small file in the shared
-folder, read by the task that reads the place's rows, so the texts themselves
-are never shuffled.
+table's file. The dictionaries of ``SPAN_PLACES`` places are files of small row
+groups in a shared folder, read by the task that reads the places' rows, so the
+texts themselves are never shuffled. Within a task, texts are cut at blanks; only
+distinct runs are taken apart into units.
 
 Defined results: null and empty texts have no ids and decode to the empty text.
 A blank and U+2581 encode alike, and decode as blanks. Null identifiers and
@@ -46,7 +48,12 @@ from apptflow.llm.warc import file_system
 BLANK = "▁"
 MASK = 62
 PLACE_ROWS = 4096
+#: places whose dictionaries share a folder, and the size of the row groups that are read for a place
+SPAN_PLACES = 16
+ROW_GROUP_BYTES = 4 << 20
 FLUSH_UNITS = 500_000
+#: units whose edges a task lists in memory, about a kilobyte each, before it sorts them
+LISTS_IN_MEMORY = 150_000
 #: rank of a character without a piece; fields of an edge: rank, 29 bits of start, 5 bits of length
 UNKNOWN = 1 << 28
 RANK, START, LENGTH = "shiftright(e, 34)", "CAST(shiftright(e, 5) & 536870911L AS INT)", "CAST(e & 31L AS INT)"
@@ -103,30 +110,30 @@ def load_pieces(model_file: str) -> Pieces:
     return Pieces(rows, sp.piece_to_id("<0x00>"), "bpe" if model.trainer_spec.model_type == 2 else "unigram", texts)
 
 
-def units_of(text: str, pattern: regex.Pattern) -> list[str]:
-    return pattern.findall(BLANK + text.replace(" ", BLANK)) if text else []
-
-
 def edges(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """unit_key, chars, edges by rank and start: all substrings that are pieces and all single characters.
+    """unit, chars, edges by rank and start: all substrings of the units that are pieces and all single characters.
 
-    ``units`` (unit_key, unit) is partitioned by ``unit_key`` and stays so: neither the explosion nor the broadcast
-    moves rows.
+    A unit is exploded into its starts; a start keeps the lengths up to the longest piece that begins with its first two
+    characters, which are exploded and joined to the pieces. Both tables are a vocabulary, broadcast. ``units`` (unit) is
+    partitioned by ``unit`` and stays so: neither the explosions nor the broadcasts move rows.
     """
     spark = units.sparkSession
     table = spark.createDataFrame([(p, rank) for rank, (p, _, _) in enumerate(pieces.rows)], "piece string, rank long")
-    # a long unit is taken apart into characters once; the rows of its substrings do not carry it
-    part = "IF(chars IS NULL, substring(unit, i + 1, k), array_join(slice(chars, i + 1, k), ''))"
-    spans = (f"flatten(transform(sequence(0, char_length(unit) - 1), i -> transform(sequence(1, "
-             f"least({pieces.longest}, char_length(unit) - i)), k -> struct(i AS start, k AS length, {part} AS part))))")
-    d = units.withColumn("chars", F.when(F.char_length("unit") > MASK, F.split("unit", "")))
-    d = d.select("unit_key", F.explode(F.expr(spans)).alias("s")).select("unit_key", "s.start", "s.length", "s.part")
-    d = d.join(F.broadcast(table), F.col("part") == F.col("piece"), "left")  # a vocabulary
+    reach: dict[str, int] = {}
+    for p, _, _ in pieces.rows:
+        if len(p) > 1:
+            reach[p[:2]] = max(reach.get(p[:2], 0), len(p))
+    begins = spark.createDataFrame(list(reach.items()), "begin string, reach int")
+    d = units.withColumn("chars", F.char_length("unit"))
+    d = d.select("unit", "chars", F.explode(F.expr("sequence(0, chars - 1)")).alias("start"))
+    d = d.join(F.broadcast(begins), F.expr("substring(unit, start + 1, 2)") == F.col("begin"), "left")
+    lengths = F.expr("sequence(1, greatest(1, least(coalesce(reach, 1), chars - start)))")
+    d = d.select("unit", "chars", "start", F.explode(lengths).alias("length"))
+    d = d.join(F.broadcast(table), F.expr("substring(unit, start + 1, length)") == F.col("piece"), "left")
     d = d.filter(F.col("rank").isNotNull() | (F.col("length") == 1))
     edge = F.shiftleft(F.coalesce("rank", F.lit(UNKNOWN).cast("long")), 34).bitwiseOR(
         F.shiftleft(F.col("start").cast("long"), 5)).bitwiseOR(F.col("length").cast("long"))
-    return d.groupBy("unit_key").agg(F.array_sort(F.collect_list(edge)).alias("edges"), F.max(
-        F.col("start") + F.col("length")).alias("chars"))
+    return d.groupBy("unit", "chars").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 _ENDS = f"(shiftleft(1L, {START}) | shiftleft(1L, {START} + {LENGTH}))"
@@ -144,7 +151,7 @@ def _viterbi(scores: list[float]) -> Column:
     """Fold of the edges by their ends: best score and last edge of every prefix, then the boundaries back from the end."""
     table = f"array({', '.join(f'{x!r}D' for x in scores)})"
     score = f"IF({RANK} = {UNKNOWN}, {min(scores) - 10!r}D, element_at({table}, CAST({RANK} AS INT) + 1))"
-    by_end = (f"transform(array_sort(transform(edges, e -> struct({START} + {LENGTH} AS last, e AS e))), x -> x.e)")
+    by_end = f"transform(sort_array(transform(edges, e -> struct({START} + {LENGTH} AS last, e AS e))), x -> x.e)"
     start = ("transform(sequence(0, chars), i -> named_struct('score', "
              "IF(i = 0, CAST(0 AS DOUBLE), CAST('-Infinity' AS DOUBLE)), 'back', 0))")
     step = (f"(b, e) -> IF(b[{START}].score + {score} > b[{START} + {LENGTH}].score, transform(b, (x, i) -> "
@@ -156,19 +163,22 @@ def _viterbi(scores: list[float]) -> Column:
     return F.expr(f"element_at(transform(array({best}), b -> {walk}), 1)")
 
 
-def _unpacked(packed: np.ndarray) -> dict[tuple[int, int], int]:
-    """Rank of each (start, length)."""
-    start, length = (packed >> 5) & 536870911, packed & 31
-    return dict(zip(zip(start.tolist(), length.tolist()), (packed >> 34).tolist()))
-
-
 def _code(rank: int, start: int) -> int:
     return -1 - start if rank == UNKNOWN else rank
 
 
-def merge_long(n: int, packed: np.ndarray) -> list[int]:
+def long_edges(unit: str, ranks: dict[str, int], longest: int) -> dict[tuple[int, int], int]:
+    """Rank of each (start, length) of a unit of any length."""
+    found = {(i, 1): ranks.get(c, UNKNOWN) for i, c in enumerate(unit)}
+    for k in range(2, longest + 1):
+        for i in range(len(unit) - k + 1):
+            if (rank := ranks.get(unit[i:i + k])) is not None:
+                found[i, k] = rank
+    return found
+
+
+def merge_long(n: int, ranks: dict[tuple[int, int], int]) -> list[int]:
     """The merge fold for a unit of any length: codes."""
-    ranks = _unpacked(packed)
     nxt, prv, size = list(range(1, n + 1)), list(range(-1, n - 1)), [1] * n
 
     def offer(i: int) -> None:
@@ -194,10 +204,10 @@ def merge_long(n: int, packed: np.ndarray) -> list[int]:
     return [_code(ranks[i, size[i]], i) for i in range(n) if size[i]]
 
 
-def viterbi_long(n: int, packed: np.ndarray, scores: list[float]) -> list[int]:
+def viterbi_long(n: int, ranks: dict[tuple[int, int], int], scores: list[float]) -> list[int]:
     """The Viterbi fold for a unit of any length: codes."""
     best: list[tuple[float, int, int]] = [(0.0, 0, 0)] + [(-np.inf, 0, 0)] * n
-    for (start, length), rank in sorted(_unpacked(packed).items(), key=lambda x: sum(x[0])):
+    for (start, length), rank in sorted(ranks.items(), key=lambda x: sum(x[0])):
         score = best[start][0] + (min(scores) - 10 if rank == UNKNOWN else scores[rank])
         if score > best[start + length][0]:
             best[start + length] = (score, start, rank)
@@ -210,51 +220,53 @@ def viterbi_long(n: int, packed: np.ndarray, scores: list[float]) -> list[int]:
 
 
 def fold(lattice: DataFrame, pieces: Pieces) -> DataFrame:
-    """unit_key, codes: the ranks of a unit's pieces in order, -1 - i for a character i without a piece."""
-    short = F.col("chars") <= MASK
+    """unit, codes: the ranks of a unit's pieces in order, -1 - i for a character i without a piece."""
     scores = [s for _, _, s in pieces.rows]
-    kind = pieces.kind
-    d = lattice.withColumn("mask", F.when(short, _merged() if kind == "bpe" else _viterbi(scores)))
+    d = lattice.withColumn("mask", _merged() if pieces.kind == "bpe" else _viterbi(scores))
     outer = f"(shiftleft(1L, {START} + {LENGTH} + 1) - shiftleft(1L, {START}))"
     low = "17179869183L"
-    kept = (f"transform(array_sort(transform(filter(edges, e -> mask & {outer} = {_ENDS}), "
+    kept = (f"transform(sort_array(transform(filter(edges, e -> mask & {outer} = {_ENDS}), "
             f"e -> shiftleft(CAST({START} AS BIGINT), 34) | {RANK})), e -> "
             f"CAST(IF(e & {low} = {UNKNOWN}L, -1 - shiftright(e, 34), e & {low}) AS INT))")
+    return d.select("unit", F.expr(kept).alias("codes"))
 
-    def long_fold(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            out = []
-            for row in batch:
-                if not row.is_valid:
-                    out.append(None)
-                    continue
-                packed = row.values.to_numpy()
-                n = int((((packed >> 5) & 536870911) + (packed & 31)).max())
-                out.append(merge_long(n, packed) if kind == "bpe" else viterbi_long(n, packed, scores))
-            yield pa.array(out, pa.list_(pa.int32()))
 
-    long_fold.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    by_task = F.arrow_udf(long_fold, "array<int>")(F.when(~short, F.col("edges")))
-    return d.select("unit_key", F.when(short, F.expr(kept)).otherwise(by_task).alias("codes"))
+def fold_long(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """``fold`` of units that have no bit mask, each in its task."""
+    ranks = {p: rank for rank, (p, _, _) in enumerate(pieces.rows)}
+    scores, kind, longest = [s for _, _, s in pieces.rows], pieces.kind, pieces.longest
 
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = []
+            for unit in batch.column("unit").to_pylist():
+                found = long_edges(unit, ranks, longest)
+                codes.append(merge_long(len(unit), found) if kind == "bpe" else viterbi_long(len(unit), found, scores))
+            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(codes, pa.list_(pa.int32()))],
+                                             names=["unit", "codes"])
 
-def with_key(units: DataFrame) -> DataFrame:
-    """Add what units are grouped by: themselves or, for long ones, their digest."""
-    return units.withColumn("unit_key", F.when(F.char_length("unit") <= MASK, F.col("unit")).otherwise(
-        F.concat(F.lit("\0"), F.sha2("unit", 256))))
+    return units.select("unit").mapInArrow(folded, "unit string, codes array<int>")
 
 
 def dictionary(places: DataFrame, pieces: Pieces) -> str:
-    """Codes of the units of every place (place, unit), as files in the shared folder."""
+    """Codes of the units of every place (span, place, unit), as files in the shared folder, a folder for each span."""
     spark = places.sparkSession
-    d = with_key(places).repartition("unit_key")
+    d = places.repartition("unit")
     # both readers take all columns, so that they share one exchange
-    distinct = (d.groupBy("unit_key").agg(F.first("unit").alias("unit"), F.min("place").alias("any_place"))
-                .filter("any_place IS NOT NULL").select("unit_key", "unit"))
-    codes = fold(edges(distinct, pieces), pieces)
+    distinct = (d.groupBy("unit").agg(F.min("place").alias("any_place"), F.min("span").alias("any_span"))
+                .filter("any_place IS NOT NULL AND any_span IS NOT NULL").select("unit"))
+    short = F.char_length("unit") <= MASK
+    codes = fold(edges(distinct.filter(short), pieces), pieces).unionByName(fold_long(distinct.filter(~short), pieces))
     path = scratch_path(spark, "units")
-    (d.join(codes, "unit_key").repartition("place").select("place", "unit", "codes")
-     .write.partitionBy("place").parquet(path))
+    # rows of a unit come one after the other: lists of so many units are kept in memory before rows are sorted by unit
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(LISTS_IN_MEMORY))
+    try:
+        (d.join(codes, "unit").repartition("span").sortWithinPartitions("span", "place").select("span", "place", "unit", "codes")
+         .write.option("parquet.block.size", ROW_GROUP_BYTES).partitionBy("span").parquet(path))
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
     return path
 
 
@@ -271,34 +283,72 @@ def unit_ids(units: list[str], codes: pa.ListArray, ids_by_rank: np.ndarray, fir
     return out
 
 
+def chunks_of(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct runs of blanks and what follows each, which of them the texts are made of, one text after the other,
+    and where each text's runs end. Every text that is not empty gets a blank before it."""
+    texts = [t.replace(BLANK.encode(), b" ") if b"\xe2\x96\x81" in t else t for t in texts]
+    shown = b"".join([b" " + t for t in texts if t])
+    sizes = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+    text_ends = np.cumsum(sizes)
+    blank = np.frombuffer(shown, np.uint8) == 32
+    begins = blank.copy()
+    begins[1:] &= ~blank[:-1]
+    begins[(text_ends - sizes)[sizes > 0]] = True
+    starts = np.flatnonzero(begins)
+    offsets = np.append(starts, len(shown)).astype(np.int64)
+    runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets),
+                                                                           pa.py_buffer(shown)]).dictionary_encode()
+    found = runs.dictionary
+    raw = found.buffers()[2].to_pybytes() if len(found) else b""
+    cuts = np.frombuffer(found.buffers()[1], np.int64)[:len(found) + 1].tolist() if len(found) else [0]
+    distinct = [raw[i:j].decode("utf-8", "replace").replace(" ", BLANK) for i, j in zip(cuts, cuts[1:])]
+    return distinct, runs.indices.to_numpy(), np.searchsorted(starts, text_ends)
+
+
+def _rows_by_place(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, list[bytes]]]:
+    """span, place, number of the first row and texts of each run of rows of one place."""
+    places, spans = batch.column("place").to_numpy(), batch.column("span").to_numpy()
+    texts = batch.column("text").cast(pa.large_binary())
+    cuts = [0, *(np.flatnonzero(places[1:] != places[:-1]) + 1).tolist(), len(places)]
+    for i, j in zip(cuts, cuts[1:]):
+        if j > i:
+            yield int(spans[i]), int(places[i]), i, [t or b"" for t in texts.slice(i, j - i).to_pylist()]
+
+
 def _place_units(docs: DataFrame, pattern: str) -> DataFrame:
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern)
+        known: set[str] = set()  # runs of the place
         found: set[str] = set()
-        place = None
+        at = None
 
         def flush() -> pa.RecordBatch:
-            out = pa.array(list(found), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array([place] * len(out), pa.int64()), out], names=["place", "unit"])
+            units = pa.array(list(found), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array([x] * len(units), pa.int64()) for x in at] + [units],
+                                              names=["span", "place", "unit"])
 
         for batch in batches:
-            for at, text in zip(batch.column("place").to_pylist(), batch.column("text").to_pylist()):
-                if at != place or len(found) > FLUSH_UNITS:
+            for span, place, _, texts in _rows_by_place(batch):
+                if (span, place) != at or len(found) > FLUSH_UNITS:
                     if found:
                         yield flush()
-                    found.clear()
-                    place = at
-                found.update(units_of(text or "", find))
+                    known, found = set(), set()
+                    at = span, place
+                for run in set(chunks_of(texts)[0]).difference(known):
+                    known.add(run)
+                    found.update(find.findall(run))
         if found:
             yield flush()
 
-    return docs.select("place", "text").mapInArrow(distinct, "place long, unit string")
+    return docs.select("span", "place", "text").mapInArrow(distinct, "span long, place long, unit string")
 
 
 def _with_place(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text and the place of every row of a table of files."""
-    place = F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / PLACE_ROWS))
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), place.alias("place"))
+    """id, text and the place of every row of a table of files, and the span of places that share a folder."""
+    row, file = F.col("_metadata.row_index"), F.col("_metadata.file_path")
+    place = F.xxhash64(file, F.floor(row / PLACE_ROWS))
+    span = F.xxhash64(file, F.floor(row / (PLACE_ROWS * SPAN_PLACES)), F.lit("span"))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), place.alias("place"), span.alias("span"))
 
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text",
@@ -317,24 +367,39 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern)
-        place, known = None, {}
+        at, known = None, {}
         fs, root = file_system(path)
         for batch in batches:
             out = []
-            for at, text in zip(batch.column("place").to_pylist(), batch.column("text").to_pylist()):
-                units = units_of(text or "", find)
-                if units and at != place:
-                    table = pa.parquet.read_table(f"{root}/place={at}", columns=["unit", "codes"], filesystem=fs,
-                                                  partitioning=None)
+            for span, place, _, texts in _rows_by_place(batch):
+                if place != at and any(texts):
+                    table = pa.parquet.read_table(f"{root}/span={span}", columns=["unit", "codes"], filesystem=fs,
+                                                  partitioning=None, filters=[("place", "=", place)])
                     known = unit_ids(table.column("unit").to_pylist(), table.column("codes").combine_chunks(),
                                      ids_by_rank, first_byte)
-                    place = at
-                out.append(b"".join([known[u] for u in units]))
+                    at = place
+                runs, which, ends = chunks_of(texts)
+                ids = [b"".join([known[u] for u in find.findall(run)]) for run in runs]
+                flat, upto = gathered(ids, which)
+                raw, first = flat.tobytes(), 0
+                for end in upto[ends].tolist():
+                    out.append(raw[4 * first:4 * end])
+                    first = end
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["id", "ids"])
 
     return d.mapInArrow(apply, f"id {id_type}, ids binary").withColumnRenamed("id", id_col)
 
 
+def gathered(ids: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the runs ``which`` one after the other, and how many come before each run and after the last."""
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    sizes = np.array([len(x) for x in ids], np.int64) // 4
+    first = np.cumsum(sizes) - sizes
+    size = sizes[which]
+    upto = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    return flat[np.repeat(first[which] - upto[:-1], size) + np.arange(upto[-1])], upto
+
+
 def decoded(ids: Column, pieces: Pieces) -> Column:
     """Text of encoded ids: the pieces' texts one after the other, without the prefix's blank."""
     texts = pieces.texts

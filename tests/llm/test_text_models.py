@@ -103,19 +103,29 @@ def test_sentencepiece_edges(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = lattice.load_pieces(path)
-    docs = edge_docs(spark, [(i, t) for i, t in EDGES if i is not None] + [(11, "a   b  \n\n c"), (12, "▁▁x"), (13, " lead"),
-                                                                          (14, "supercalifragilistic" * 9), (15, "\x00\x01²½")])
+    more = ["a   b  \n\n c", "▁▁x", " lead", "supercalifragilistic" * 9, "\x00\x01²½", "tail  ", "  ", "▁", "a▁ ▁b", "x" * 62, "y" * 63]
+    docs = edge_docs(spark, EDGES + [(11 + i, t) for i, t in enumerate(more)])
     got = lattice.encode(docs, pieces).withColumn("back", lattice.decoded(F.col("ids"), pieces)).collect()
-    texts = {}
-    for r in docs.collect():
-        texts.setdefault(r["doc_id"], r["text"] or "")
-    for r in got:
-        text = texts[r["doc_id"]]
-        assert np.frombuffer(r["ids"], "<u4").tolist() == sp.encode(text), text[:50]
-        assert r["back"] == text.replace("▁", " ")
+    want = [(r["doc_id"], tuple(sp.encode(r["text"] or "")), (r["text"] or "").replace("▁", " ")) for r in docs.collect()]
+    have = [(r["doc_id"], tuple(np.frombuffer(r["ids"], "<u4").tolist()), r["back"]) for r in got]
+    assert sorted(have, key=repr) == sorted(want, key=repr)
     assert lattice.encode(edge_docs(spark, []), pieces).count() == 0
 
 
+def test_sentencepiece_random_texts(spark):
+    """Units, blanks and unknown characters at random against the library, in several places and spans."""
+    import random
+    import sentencepiece
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    rnd = random.Random(11)
+    words = ["the", "Haus", "été", "你好", "▁", "x1y2", "...", "international", "\n", "ab" * 40, "😀", "don't"]
+    texts = ["".join(rnd.choice(words) + rnd.choice(["", " ", " ", "  "]) for _ in range(rnd.randint(0, 30))) for _ in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in lattice.encode(docs, lattice.load_pieces(path)).collect()}
+    assert all(got[i] == sp.encode(t) for i, t in enumerate(texts))
+
+
 def test_sentencepiece_query(spark, sf_small):
     import hashlib
     import sentencepiece
@@ -144,8 +154,10 @@ def test_unigram_viterbi(spark):
                             for s in range(t) if text[s:t] in score), key=lambda x: x[0])
         return table[-1][0]
 
-    units = lattice.with_key(units)
-    for r in lattice.fold(lattice.edges(units, pieces), pieces).join(units, "unit_key").collect():
+    short = units.filter(F.char_length("unit") <= lattice.MASK)
+    found = lattice.fold(lattice.edges(short, pieces), pieces).unionByName(lattice.fold_long(units, pieces)).collect()
+    assert len(found) == units.count() + short.count()
+    for r in found:
         path = [pieces.rows[c][0] for c in r["codes"]]
         assert "".join(path) == r["unit"]
         assert sum(score[p] for p in path) == pytest.approx(best(r["unit"]))
