@@ -42,7 +42,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from apptflow.llm.common import scratch_path, stored
+from apptflow.llm.common import let, scratch_path, stored
 from apptflow.llm.warc import file_system
 
 BLANK = "▁"
@@ -52,8 +52,12 @@ PLACE_ROWS = 4096
 SPAN_PLACES = 16
 ROW_GROUP_BYTES = 4 << 20
 FLUSH_UNITS = 500_000
+#: bytes of text taken apart at once
+TEXT_BYTES = 2 << 20
 #: units whose edges a task lists in memory, about a kilobyte each, before it sorts them
 LISTS_IN_MEMORY = 150_000
+#: bits of a rank in a code
+CODE_BITS = 29
 #: rank of a character without a piece; fields of an edge: rank, 29 bits of start, 5 bits of length
 UNKNOWN = 1 << 28
 RANK, START, LENGTH = "shiftright(e, 34)", "CAST(shiftright(e, 5) & 536870911L AS INT)", "CAST(e & 31L AS INT)"
@@ -111,11 +115,12 @@ def load_pieces(model_file: str) -> Pieces:
 
 
 def edges(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """unit, chars, edges by rank and start: all substrings of the units that are pieces and all single characters.
+    """unit, chars, edges by rank and start: the substrings of the units that are pieces.
 
     A unit is exploded into its starts; a start keeps the lengths up to the longest piece that begins with its first two
-    characters, which are exploded and joined to the pieces. Both tables are a vocabulary, broadcast. ``units`` (unit) is
-    partitioned by ``unit`` and stays so: neither the explosions nor the broadcasts move rows.
+    characters, which are exploded and joined to the pieces. Both tables are a vocabulary, broadcast. Merges need no edges of
+    one character, so ``bpe`` units have only one, which keeps units without longer ones. ``units`` (unit) is partitioned
+    by ``unit`` and stays so: neither the explosions nor the broadcasts move rows. Units over ``MASK`` are not taken apart.
     """
     spark = units.sparkSession
     table = spark.createDataFrame([(p, rank) for rank, (p, _, _) in enumerate(pieces.rows)], "piece string, rank long")
@@ -124,11 +129,13 @@ def edges(units: DataFrame, pieces: Pieces) -> DataFrame:
         if len(p) > 1:
             reach[p[:2]] = max(reach.get(p[:2], 0), len(p))
     begins = spark.createDataFrame(list(reach.items()), "begin string, reach int")
+    least = "1" if pieces.kind == "unigram" else "IF(start = 0, 1, 2)"
     d = units.withColumn("chars", F.char_length("unit"))
-    d = d.select("unit", "chars", F.explode(F.expr("sequence(0, chars - 1)")).alias("start"))
+    d = d.select("unit", "chars", F.explode(F.expr(f"IF(chars > {MASK}, array(0), sequence(0, chars - 1))")).alias("start"))
     d = d.join(F.broadcast(begins), F.expr("substring(unit, start + 1, 2)") == F.col("begin"), "left")
-    lengths = F.expr("sequence(1, greatest(1, least(coalesce(reach, 1), chars - start)))")
-    d = d.select("unit", "chars", "start", F.explode(lengths).alias("length"))
+    d = d.withColumn("most", F.expr(f"IF(chars > {MASK}, 1, least(coalesce(reach, 1), chars - start))"))
+    d = d.filter(F.expr(f"most >= {least}"))
+    d = d.select("unit", "chars", "start", F.explode(F.expr(f"sequence({least}, most)")).alias("length"))
     d = d.join(F.broadcast(table), F.expr("substring(unit, start + 1, length)") == F.col("piece"), "left")
     d = d.filter(F.col("rank").isNotNull() | (F.col("length") == 1))
     edge = F.shiftleft(F.coalesce("rank", F.lit(UNKNOWN).cast("long")), 34).bitwiseOR(
@@ -139,15 +146,14 @@ def edges(units: DataFrame, pieces: Pieces) -> DataFrame:
 _ENDS = f"(shiftleft(1L, {START}) | shiftleft(1L, {START} + {LENGTH}))"
 
 
-def _merged() -> Column:
+def _merged() -> str:
     """Fold of the edges in merge order: mask of the boundaries that are left. Bit i: before character i."""
     inner = f"(shiftleft(1L, {START} + {LENGTH}) - shiftleft(1L, {START} + 1))"
-    return F.expr(
-        f"aggregate(edges, shiftleft(1L, chars + 1) - 1, (m, e) -> CASE WHEN {LENGTH} > 1 "
-        f"AND m & {_ENDS} = {_ENDS} AND bit_count(m & {inner}) = 1 THEN m & ~{inner} ELSE m END)")
+    return (f"aggregate(edges, shiftleft(1L, chars + 1) - 1, (m, e) -> CASE WHEN {LENGTH} > 1 "
+            f"AND m & {_ENDS} = {_ENDS} AND bit_count(m & {inner}) = 1 THEN m & ~{inner} ELSE m END)")
 
 
-def _viterbi(scores: list[float]) -> Column:
+def _viterbi(scores: list[float]) -> str:
     """Fold of the edges by their ends: best score and last edge of every prefix, then the boundaries back from the end."""
     table = f"array({', '.join(f'{x!r}D' for x in scores)})"
     score = f"IF({RANK} = {UNKNOWN}, {min(scores) - 10!r}D, element_at({table}, CAST({RANK} AS INT) + 1))"
@@ -160,11 +166,7 @@ def _viterbi(scores: list[float]) -> Column:
     walk = ("aggregate(sequence(1, chars), named_struct('at', chars, 'm', "
             "shiftleft(1L, chars)), (w, i) -> IF(w.at = 0, w, named_struct('at', b[w.at].back, 'm', "
             "w.m | shiftleft(1L, b[w.at].back))), w -> w.m)")
-    return F.expr(f"element_at(transform(array({best}), b -> {walk}), 1)")
-
-
-def _code(rank: int, start: int) -> int:
-    return -1 - start if rank == UNKNOWN else rank
+    return let(best, "b", walk)
 
 
 def long_edges(unit: str, ranks: dict[str, int], longest: int) -> dict[tuple[int, int], int]:
@@ -178,7 +180,7 @@ def long_edges(unit: str, ranks: dict[str, int], longest: int) -> dict[tuple[int
 
 
 def merge_long(n: int, ranks: dict[tuple[int, int], int]) -> list[int]:
-    """The merge fold for a unit of any length: codes."""
+    """The merge fold for a unit of any length: its longer pieces, as ``fold`` codes them."""
     nxt, prv, size = list(range(1, n + 1)), list(range(-1, n - 1)), [1] * n
 
     def offer(i: int) -> None:
@@ -201,11 +203,11 @@ def merge_long(n: int, ranks: dict[tuple[int, int], int]) -> list[int]:
         offer(i)
         if prv[i] >= 0:
             offer(prv[i])
-    return [_code(ranks[i, size[i]], i) for i in range(n) if size[i]]
+    return [i << CODE_BITS | ranks[i, size[i]] for i in range(n) if size[i] > 1]
 
 
 def viterbi_long(n: int, ranks: dict[tuple[int, int], int], scores: list[float]) -> list[int]:
-    """The Viterbi fold for a unit of any length: codes."""
+    """The Viterbi fold for a unit of any length: its longer pieces, as ``fold`` codes them."""
     best: list[tuple[float, int, int]] = [(0.0, 0, 0)] + [(-np.inf, 0, 0)] * n
     for (start, length), rank in sorted(ranks.items(), key=lambda x: sum(x[0])):
         score = best[start][0] + (min(scores) - 10 if rank == UNKNOWN else scores[rank])
@@ -214,75 +216,96 @@ def viterbi_long(n: int, ranks: dict[tuple[int, int], int], scores: list[float])
     out, at = [], n
     while at:
         _, start, rank = best[at]
-        out.append(_code(rank, start))
+        if at - start > 1:
+            out.append(start << CODE_BITS | rank)
         at = start
     return out[::-1]
 
 
 def fold(lattice: DataFrame, pieces: Pieces) -> DataFrame:
-    """unit, codes: the ranks of a unit's pieces in order, -1 - i for a character i without a piece."""
+    """unit, ids (little-endian unsigned 32-bit) of the units of ``edges``.
+
+    The fold leaves a mask of boundaries; the edges between two of them are the unit's pieces. Those of more than one
+    character come out as longs, start and rank; ids are put together from them and the characters between.
+    """
     scores = [s for _, _, s in pieces.rows]
-    d = lattice.withColumn("mask", _merged() if pieces.kind == "bpe" else _viterbi(scores))
+    merged = _merged() if pieces.kind == "bpe" else _viterbi(scores)
     outer = f"(shiftleft(1L, {START} + {LENGTH} + 1) - shiftleft(1L, {START}))"
-    low = "17179869183L"
-    kept = (f"transform(sort_array(transform(filter(edges, e -> mask & {outer} = {_ENDS}), "
-            f"e -> shiftleft(CAST({START} AS BIGINT), 34) | {RANK})), e -> "
-            f"CAST(IF(e & {low} = {UNKNOWN}L, -1 - shiftright(e, 34), e & {low}) AS INT))")
-    return d.select("unit", F.expr(kept).alias("codes"))
-
+    # the mask is bound by ``let``: as a column it would be put into the filter's lambda and made anew for every edge
+    kept = let(merged, "mask", f"sort_array(transform(filter(edges, e -> {LENGTH} > 1 AND mask & {outer} = {_ENDS}), "
+               f"e -> shiftleft(CAST({START} AS BIGINT), {CODE_BITS}) | {RANK}))")
+    codes = F.when(F.col("chars") <= MASK, F.expr(kept))
+    rows, kind, longest, first_byte = pieces.rows, pieces.kind, pieces.longest, pieces.bytes_first
+
+    def to_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        id_bytes = [int(i).to_bytes(4, "little") for _, i, _ in rows]
+        sizes, ranks = [len(p) for p, _, _ in rows], {p: rank for rank, (p, _, _) in enumerate(rows)}
+        chars = {p: id_bytes[rank] for p, rank in ranks.items() if len(p) == 1}
+
+        def char(c: str) -> bytes:
+            """A character without a piece becomes the pieces of its UTF-8 bytes."""
+            if c not in chars:
+                chars[c] = b"".join([(first_byte + x).to_bytes(4, "little") for x in c.encode("utf-8", "replace")])
+            return chars[c]
 
-def fold_long(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """``fold`` of units that have no bit mask, each in its task."""
-    ranks = {p: rank for rank, (p, _, _) in enumerate(pieces.rows)}
-    scores, kind, longest = [s for _, _, s in pieces.rows], pieces.kind, pieces.longest
-
-    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = []
-            for unit in batch.column("unit").to_pylist():
-                found = long_edges(unit, ranks, longest)
-                codes.append(merge_long(len(unit), found) if kind == "bpe" else viterbi_long(len(unit), found, scores))
-            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(codes, pa.list_(pa.int32()))],
-                                             names=["unit", "codes"])
-
-    return units.select("unit").mapInArrow(folded, "unit string, codes array<int>")
+            out = []
+            for unit, found in zip(batch.column("unit").to_pylist(), batch.column("codes").to_pylist()):
+                if found is None:
+                    every = long_edges(unit, ranks, longest)
+                    found = merge_long(len(unit), every) if kind == "bpe" else sorted(viterbi_long(
+                        len(unit), every, [s for _, _, s in rows]))
+                parts, at = [], 0
+                for code in found:
+                    start, rank = code >> CODE_BITS, code & ((1 << CODE_BITS) - 1)
+                    parts += [char(c) for c in unit[at:start]]
+                    parts.append(id_bytes[rank])
+                    at = start + sizes[rank]
+                parts += [char(c) for c in unit[at:]]
+                out.append(b"".join(parts))
+            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(out, pa.binary())], names=["unit", "ids"])
+
+    return lattice.select("unit", codes.alias("codes")).mapInArrow(to_ids, "unit string, ids binary")
 
 
 def dictionary(places: DataFrame, pieces: Pieces) -> str:
-    """Codes of the units of every place (span, place, unit), as files in the shared folder, a folder for each span."""
+    """Ids of the units of every place (span, place, unit), as files in the shared folder, a folder for each span."""
     spark = places.sparkSession
-    d = places.repartition("unit")
+    d = places.filter("unit IS NOT NULL").repartition("unit")  # so that the join adds no filter below one of the exchanges
     # both readers take all columns, so that they share one exchange
     distinct = (d.groupBy("unit").agg(F.min("place").alias("any_place"), F.min("span").alias("any_span"))
                 .filter("any_place IS NOT NULL AND any_span IS NOT NULL").select("unit"))
-    short = F.char_length("unit") <= MASK
-    codes = fold(edges(distinct.filter(short), pieces), pieces).unionByName(fold_long(distinct.filter(~short), pieces))
+    ids = fold(edges(distinct, pieces), pieces)
     path = scratch_path(spark, "units")
     # rows of a unit come one after the other: lists of so many units are kept in memory before rows are sorted by unit
     name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = spark.conf.get(name, None)
     spark.conf.set(name, str(LISTS_IN_MEMORY))
     try:
-        (d.join(codes, "unit").repartition("span").sortWithinPartitions("span", "place").select("span", "place", "unit", "codes")
+        (d.join(ids, "unit").repartition("span").sortWithinPartitions("span", "place").select("span", "place", "unit", "ids")
          .write.option("parquet.block.size", ROW_GROUP_BYTES).partitionBy("span").parquet(path))
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
     return path
 
 
-def unit_ids(units: list[str], codes: pa.ListArray, ids_by_rank: np.ndarray, first_byte: int) -> dict[str, bytes]:
-    """Ids of units, as little-endian bytes, from their codes."""
-    ends, flat = codes.offsets.to_numpy(), codes.values.to_numpy()
-    ids = ids_by_rank[np.maximum(flat, 0)].tobytes()
-    out = {u: ids[4 * a:4 * b] for u, a, b in zip(units, ends, ends[1:])}
-    for k in np.unique(np.searchsorted(ends, np.flatnonzero(flat < 0), "right") - 1):  # units with unknown characters
-        u, found = units[k], []
-        for c in flat[ends[k]:ends[k + 1]].tolist():
-            found += [int(ids_by_rank[c])] if c >= 0 else [first_byte + x for x in u[-1 - c].encode("utf-8", "replace")]
-        out[u] = np.array(found, "<u4").tobytes()
+def _column(array: pa.Array | pa.ChunkedArray) -> list[bytes]:
+    """A column of texts or bytes without nulls, as bytes."""
+    out: list[bytes] = []
+    for part in array.chunks if isinstance(array, pa.ChunkedArray) else [array]:
+        part = part.cast(pa.large_binary())
+        if len(part):
+            cuts = np.frombuffer(part.buffers()[1], np.int64)[part.offset:part.offset + len(part) + 1].tolist()
+            raw = part.buffers()[2].to_pybytes() if part.buffers()[2] is not None else b""
+            out += [raw[i:j] for i, j in zip(cuts, cuts[1:])]
     return out
 
 
+def units_of(run: str, find: regex.Pattern) -> list[str]:
+    """The units of a run of blanks and what follows."""
+    return [run] if run[:1] == BLANK and run[1:].isalpha() else find.findall(run)
+
+
 def chunks_of(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct runs of blanks and what follows each, which of them the texts are made of, one text after the other,
     and where each text's runs end. Every text that is not empty gets a blank before it."""
@@ -298,21 +321,26 @@ def chunks_of(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
     offsets = np.append(starts, len(shown)).astype(np.int64)
     runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets),
                                                                            pa.py_buffer(shown)]).dictionary_encode()
-    found = runs.dictionary
-    raw = found.buffers()[2].to_pybytes() if len(found) else b""
-    cuts = np.frombuffer(found.buffers()[1], np.int64)[:len(found) + 1].tolist() if len(found) else [0]
-    distinct = [raw[i:j].decode("utf-8", "replace").replace(" ", BLANK) for i, j in zip(cuts, cuts[1:])]
+    distinct = [x.decode("utf-8", "replace").replace(" ", BLANK) for x in _column(runs.dictionary)]
     return distinct, runs.indices.to_numpy(), np.searchsorted(starts, text_ends)
 
 
-def _rows_by_place(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, list[bytes]]]:
-    """span, place, number of the first row and texts of each run of rows of one place."""
+def _rows_by_place(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
+    """span, place and texts of each run of rows of one place, about ``TEXT_BYTES`` at a time."""
     places, spans = batch.column("place").to_numpy(), batch.column("span").to_numpy()
     texts = batch.column("text").cast(pa.large_binary())
     cuts = [0, *(np.flatnonzero(places[1:] != places[:-1]) + 1).tolist(), len(places)]
     for i, j in zip(cuts, cuts[1:]):
-        if j > i:
-            yield int(spans[i]), int(places[i]), i, [t or b"" for t in texts.slice(i, j - i).to_pylist()]
+        held: list[bytes] = []
+        n = 0
+        for t in texts.slice(i, j - i).to_pylist():
+            if held and n + len(t or b"") > TEXT_BYTES:
+                yield int(spans[i]), int(places[i]), held
+                held, n = [], 0
+            held.append(t or b"")
+            n += len(t or b"")
+        if held:
+            yield int(spans[i]), int(places[i]), held
 
 
 def _place_units(docs: DataFrame, pattern: str) -> DataFrame:
@@ -328,7 +356,7 @@ def _place_units(docs: DataFrame, pattern: str) -> DataFrame:
                                               names=["span", "place", "unit"])
 
         for batch in batches:
-            for span, place, _, texts in _rows_by_place(batch):
+            for span, place, texts in _rows_by_place(batch):
                 if (span, place) != at or len(found) > FLUSH_UNITS:
                     if found:
                         yield flush()
@@ -336,7 +364,7 @@ def _place_units(docs: DataFrame, pattern: str) -> DataFrame:
                     at = span, place
                 for run in set(chunks_of(texts)[0]).difference(known):
                     known.add(run)
-                    found.update(find.findall(run))
+                    found.update(units_of(run, find))
         if found:
             yield flush()
 
@@ -362,8 +390,6 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     d = _with_place(docs if is_table else stored(docs.select(id_col, text_col), "texts"), id_col, text_col)
     pattern = pieces.pattern
     path = dictionary(_place_units(d, pattern), pieces)
-    ids_by_rank = np.array([i for _, i, _ in pieces.rows], "<u4")
-    first_byte = pieces.bytes_first
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern)
@@ -371,15 +397,14 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
         fs, root = file_system(path)
         for batch in batches:
             out = []
-            for span, place, _, texts in _rows_by_place(batch):
+            for span, place, texts in _rows_by_place(batch):
                 if place != at and any(texts):
-                    table = pa.parquet.read_table(f"{root}/span={span}", columns=["unit", "codes"], filesystem=fs,
-                                                  partitioning=None, filters=[("place", "=", place)])
-                    known = unit_ids(table.column("unit").to_pylist(), table.column("codes").combine_chunks(),
-                                     ids_by_rank, first_byte)
+                    table = pa.parquet.read_table(f"{root}/span={span}", columns=["unit", "ids"], filesystem=fs,
+                                                  partitioning=None, filters=[("place", "=", place)], use_threads=False)
+                    known = dict(zip(_column(table.column("unit")), _column(table.column("ids"))))
                     at = place
                 runs, which, ends = chunks_of(texts)
-                ids = [b"".join([known[u] for u in find.findall(run)]) for run in runs]
+                ids = [b"".join([known[u.encode()] for u in units_of(run, find)]) for run in runs]
                 flat, upto = gathered(ids, which)
                 raw, first = flat.tobytes(), 0
                 for end in upto[ends].tolist():
