@@ -51,9 +51,9 @@ PLACE_ROWS = 4096
 #: places whose dictionaries share a folder, and the size of the row groups that are read for a place
 SPAN_PLACES = 16
 ROW_GROUP_BYTES = 4 << 20
-FLUSH_UNITS = 500_000
+FLUSH_UNITS = 150_000
 #: bytes of text taken apart at once
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 1 << 20
 #: units whose edges a task lists in memory, about a kilobyte each, before it sorts them
 LISTS_IN_MEMORY = 150_000
 #: bits of a rank in a code
