@@ -296,8 +296,9 @@ def _column(array: pa.Array | pa.ChunkedArray) -> list[bytes]:
         part = part.cast(pa.large_binary())
         if len(part):
             cuts = np.frombuffer(part.buffers()[1], np.int64)[part.offset:part.offset + len(part) + 1].tolist()
-            raw = part.buffers()[2].to_pybytes() if part.buffers()[2] is not None else b""
-            out += [raw[i:j] for i, j in zip(cuts, cuts[1:])]
+            first, data = cuts[0], part.buffers()[2]
+            raw = data.slice(first, cuts[-1] - first).to_pybytes() if data is not None else b""
+            out += [raw[i - first:j - first] for i, j in zip(cuts, cuts[1:])]
     return out
 
 
@@ -379,6 +380,16 @@ def _with_place(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), place.alias("place"), span.alias("span"))
 
 
+def _place_ids(fs: pa.fs.FileSystem, folder: str, place: int) -> Iterator[tuple[bytes, bytes]]:
+    """unit, ids of a place, from the row groups of its span's files that hold it."""
+    table = pa.parquet.read_table(folder, columns=["unit", "ids"], filesystem=fs, partitioning=None,
+                                  filters=[("place", "=", place)], use_threads=False)
+    for part in table.to_batches(max_chunksize=1 << 14):
+        yield from zip(_column(part.column("unit")), _column(part.column("ids")))
+    del table
+    pa.default_memory_pool().release_unused()
+
+
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text",
            is_table: bool = False) -> DataFrame:
     """id, ids (little-endian unsigned 32-bit) of every row.
@@ -395,22 +406,25 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
         find = regex.compile(pattern)
         at, known = None, {}
         fs, root = file_system(path)
+
+        def look_up(run: str) -> bytes:
+            """Ids of a run: most are one unit, and a unit is taken apart into itself."""
+            return known.get(run.encode()) or b"".join([known[u.encode()] for u in units_of(run, find)])
+
         for batch in batches:
-            out = []
+            row = 0
             for span, place, texts in _rows_by_place(batch):
                 if place != at and any(texts):
-                    table = pa.parquet.read_table(f"{root}/span={span}", columns=["unit", "ids"], filesystem=fs,
-                                                  partitioning=None, filters=[("place", "=", place)], use_threads=False)
-                    known = dict(zip(_column(table.column("unit")), _column(table.column("ids"))))
+                    known = {}  # let go before the next one is read
+                    known.update(_place_ids(fs, f"{root}/span={span}", place))
                     at = place
                 runs, which, ends = chunks_of(texts)
-                ids = [b"".join([known[u.encode()] for u in units_of(run, find)]) for run in runs]
-                flat, upto = gathered(ids, which)
-                raw, first = flat.tobytes(), 0
-                for end in upto[ends].tolist():
-                    out.append(raw[4 * first:4 * end])
-                    first = end
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["id", "ids"])
+                flat, upto = gathered([look_up(run) for run in runs], which)
+                raw, cuts = flat.tobytes(), [0, *(4 * upto[ends]).tolist()]
+                ids = pa.array([raw[i:j] for i, j in zip(cuts, cuts[1:])], pa.binary())
+                # a batch for each megabyte of texts: a task never holds the ids of a whole batch
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, len(texts)), ids], names=["id", "ids"])
+                row += len(texts)
 
     return d.mapInArrow(apply, f"id {id_type}, ids binary").withColumnRenamed("id", id_col)
 
@@ -431,11 +445,17 @@ def decoded(ids: Column, pieces: Pieces) -> Column:
 
     def join(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = []
-            for raw in batch.to_pylist():
-                text = b"".join([texts[i] for i in np.frombuffer(raw or b"", "<u4").tolist()])
+            out, n = [], 0
+            for raw in batch:
+                raw = raw.as_py() or b""
+                text = b"".join([texts[i] for i in np.frombuffer(raw, "<u4").tolist()])
                 out.append((text[1:] if text[:1] == b" " else text).decode("utf-8", "replace"))
-            yield pa.array(out, pa.string())
+                n += len(text)
+                if n > TEXT_BYTES:  # a part of the batch: the texts of a whole one are never held
+                    yield pa.array(out, pa.string())
+                    out, n = [], 0
+            if out or not len(batch):
+                yield pa.array(out, pa.string())
 
     join.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(join, "string")(ids)
