@@ -20,9 +20,10 @@ with a heap.
 A character without a piece becomes the pieces of its UTF-8 bytes.
 
 The units' ids go back to the texts by place: a run of ``PLACE_ROWS`` rows of a
-table's file. The dictionaries of ``SPAN_PLACES`` places are files of small row
-groups in a shared folder, read by the task that reads the places' rows, so the
-texts themselves are never shuffled. Within a task, texts are cut at blanks; only
+table's file. ``SPAN_PLACES`` places, a span, share a dictionary in a shared folder,
+where a unit is one row with a mask of the places that hold it; the task that reads
+a place's rows keeps the units of that place. So the texts themselves are never
+shuffled. Within a task, texts are cut at blanks; only
 distinct runs are taken apart into units.
 
 Defined results: null and empty texts have no ids and decode to the empty text.
@@ -37,6 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet
 import regex
 from pyspark.sql import Column, DataFrame
@@ -48,10 +50,11 @@ from apptflow.llm.warc import file_system
 BLANK = "▁"
 MASK = 62
 PLACE_ROWS = 4096
-#: places whose dictionaries share a folder, and the size of the row groups that are read for a place
+#: places that share a dictionary, at most the bits of an int, and the size of its row groups
 SPAN_PLACES = 16
 ROW_GROUP_BYTES = 4 << 20
-FLUSH_UNITS = 150_000
+#: units that a task collects from the places of a span before it hands them on
+FLUSH_UNITS = 200_000
 #: bytes of text taken apart at once
 TEXT_BYTES = 1 << 20
 #: units whose edges a task lists in memory, about a kilobyte each, before it sorts them
@@ -269,12 +272,13 @@ def fold(lattice: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def dictionary(places: DataFrame, pieces: Pieces) -> str:
-    """Ids of the units of every place (span, place, unit), as files in the shared folder, a folder for each span."""
+    """Ids of the units of every span (span, mask of places, unit), as files in the shared folder, a folder for each."""
     spark = places.sparkSession
     d = places.filter("unit IS NOT NULL").repartition("unit")  # so that the join adds no filter below one of the exchanges
     # both readers take all columns, so that they share one exchange
-    distinct = (d.groupBy("unit").agg(F.min("place").alias("any_place"), F.min("span").alias("any_span"))
-                .filter("any_place IS NOT NULL AND any_span IS NOT NULL").select("unit"))
+    distinct = (d.groupBy("unit").agg(F.bit_or("mask").alias("any_mask"), F.min("span").alias("any_span"))
+                .filter("any_mask IS NOT NULL AND any_span IS NOT NULL").select("unit"))
+    by_span = d.groupBy("unit", "span").agg(F.bit_or("mask").alias("mask"))
     ids = fold(edges(distinct, pieces), pieces)
     path = scratch_path(spark, "units")
     # rows of a unit come one after the other: lists of so many units are kept in memory before rows are sorted by unit
@@ -282,8 +286,10 @@ def dictionary(places: DataFrame, pieces: Pieces) -> str:
     before = spark.conf.get(name, None)
     spark.conf.set(name, str(LISTS_IN_MEMORY))
     try:
-        (d.join(ids, "unit").repartition("span").sortWithinPartitions("span", "place").select("span", "place", "unit", "ids")
-         .write.option("parquet.block.size", ROW_GROUP_BYTES).partitionBy("span").parquet(path))
+        # units in their order begin alike, which compresses
+        (by_span.join(ids, "unit").repartition("span").sortWithinPartitions("span", "unit")
+         .select("span", "mask", "unit", "ids").write.option("parquet.block.size", ROW_GROUP_BYTES)
+         .option("compression", "zstd").partitionBy("span").parquet(path))
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
     return path
@@ -330,7 +336,8 @@ def _rows_by_place(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes
     """span, place and texts of each run of rows of one place, about ``TEXT_BYTES`` at a time."""
     places, spans = batch.column("place").to_numpy(), batch.column("span").to_numpy()
     texts = batch.column("text").cast(pa.large_binary())
-    cuts = [0, *(np.flatnonzero(places[1:] != places[:-1]) + 1).tolist(), len(places)]
+    other = (places[1:] != places[:-1]) | (spans[1:] != spans[:-1])
+    cuts = [0, *(np.flatnonzero(other) + 1).tolist(), len(places)]
     for i, j in zip(cuts, cuts[1:]):
         held: list[bytes] = []
         n = 0
@@ -345,48 +352,51 @@ def _rows_by_place(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes
 
 
 def _place_units(docs: DataFrame, pattern: str) -> DataFrame:
+    """span, unit, mask of places: a unit once or, where a task met many units, a few times for a span and task."""
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern)
         known: set[str] = set()  # runs of the place
-        found: set[str] = set()
+        masks: dict[str, int] = {}
         at = None
 
         def flush() -> pa.RecordBatch:
-            units = pa.array(list(found), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array([x] * len(units), pa.int64()) for x in at] + [units],
-                                              names=["span", "place", "unit"])
+            return pa.RecordBatch.from_arrays([
+                pa.array([at[0]] * len(masks), pa.int64()), pa.array(list(masks), pa.string()),
+                pa.array(list(masks.values()), pa.int32())], names=["span", "unit", "mask"])
 
         for batch in batches:
             for span, place, texts in _rows_by_place(batch):
-                if (span, place) != at or len(found) > FLUSH_UNITS:
-                    if found:
-                        yield flush()
-                    known, found = set(), set()
-                    at = span, place
+                if masks and (span != at[0] or len(masks) > FLUSH_UNITS):
+                    yield flush()
+                    known, masks = set(), {}
+                if (span, place) != at:
+                    known, at = set(), (span, place)
                 for run in set(chunks_of(texts)[0]).difference(known):
                     known.add(run)
-                    found.update(units_of(run, find))
-        if found:
+                    for unit in units_of(run, find):
+                        masks[unit] = masks.get(unit, 0) | 1 << place
+        if masks:
             yield flush()
 
-    return docs.select("span", "place", "text").mapInArrow(distinct, "span long, place long, unit string")
+    return docs.select("span", "place", "text").mapInArrow(distinct, "span long, unit string, mask int")
 
 
 def _with_place(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text and the place of every row of a table of files, and the span of places that share a folder."""
+    """id, text, span and the place in its span of every row of a table of files."""
     row, file = F.col("_metadata.row_index"), F.col("_metadata.file_path")
-    place = F.xxhash64(file, F.floor(row / PLACE_ROWS))
+    place = (F.floor(row / PLACE_ROWS) % SPAN_PLACES).cast("long")
     span = F.xxhash64(file, F.floor(row / (PLACE_ROWS * SPAN_PLACES)), F.lit("span"))
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), place.alias("place"), span.alias("span"))
 
 
 def _place_ids(fs: pa.fs.FileSystem, folder: str, place: int) -> Iterator[tuple[bytes, bytes]]:
-    """unit, ids of a place, from the row groups of its span's files that hold it."""
-    table = pa.parquet.read_table(folder, columns=["unit", "ids"], filesystem=fs, partitioning=None,
-                                  filters=[("place", "=", place)], use_threads=False)
-    for part in table.to_batches(max_chunksize=1 << 14):
-        yield from zip(_column(part.column("unit")), _column(part.column("ids")))
-    del table
+    """unit, ids of a place, out of its span's dictionary, which is read in small batches."""
+    bit = pa.scalar(1 << place, pa.int32())
+    for name in pa.parquet.ParquetDataset(folder, filesystem=fs, partitioning=None).files:
+        with pa.parquet.ParquetFile(name, filesystem=fs) as file:
+            for part in file.iter_batches(1 << 14, columns=["mask", "unit", "ids"], use_threads=False):
+                part = part.filter(pc.equal(pc.bit_wise_and(part.column("mask"), bit), bit))
+                yield from zip(_column(part.column("unit")), _column(part.column("ids")))
     pa.default_memory_pool().release_unused()
 
 
@@ -414,10 +424,10 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
         for batch in batches:
             row = 0
             for span, place, texts in _rows_by_place(batch):
-                if place != at and any(texts):
+                if (span, place) != at and any(texts):
                     known = {}  # let go before the next one is read
                     known.update(_place_ids(fs, f"{root}/span={span}", place))
-                    at = place
+                    at = span, place
                 runs, which, ends = chunks_of(texts)
                 flat, upto = gathered([look_up(run) for run in runs], which)
                 raw, cuts = flat.tobytes(), [0, *(4 * upto[ends]).tolist()]
