@@ -171,3 +171,43 @@ def clock_text(date: Column, minutes: Column, fmt: str) -> Column:
     """Format date + 08:00 + minutes (C14)."""
     ts = F.timestamp_add("MINUTE", minutes + DAY_OPEN, date.cast("timestamp_ntz"))
     return F.date_format(ts, fmt)
+
+
+def first_flag(reason: Column) -> Column:
+    return F.split_part(reason, F.lit(","), F.lit(1))
+
+
+def timeline_colour(reason: Column, match: str = "contains") -> Column:
+    """Colour of a booked row (L12): of the first keyword that the reasons contain, or with ``match='exact'`` of the
+    keyword that the first flag is (T27). Null reasons and those without a keyword get the other colour."""
+    if match == "contains":
+        tests = [(reason.contains(k), c) for _, k, c in dims.COLOURS]
+    elif match == "exact":
+        tests = [(first_flag(reason) == k, c) for k, c in dims.EXACT_COLOURS]
+    else:
+        raise ValueError(f"match must be 'contains' or 'exact', not {match!r}")
+    colour = F.lit(dims.OTHER_COLOUR)
+    for test, c in reversed(tests):
+        colour = F.when(test, c).otherwise(colour)
+    return colour
+
+
+def legend() -> list[tuple[int, str, str]]:
+    """(position, label, colour) of the timeline's legend: each colour once, in first-seen order, the other one last."""
+    labels: dict[str, str] = {}
+    for _, k, c in sorted(dims.COLOURS):
+        labels.setdefault(c, dims.LEGEND_LABELS.get(k, k))
+    labels[dims.OTHER_COLOUR] = dims.OTHER_LABEL
+    return [(i + 1, label, c) for i, (c, label) in enumerate(labels.items())]
+
+
+def legend_counts(blocks: DataFrame, by: str = "site") -> DataFrame:
+    """Blocks of every legend entry per ``by``, entries without blocks too: one aggregate, no join.
+
+    ``blocks`` has ``by`` and ``colour``; an empty table gives no rows.
+    """
+    entries = legend()
+    counts = blocks.groupBy(by).agg(*[F.count_if(F.col("colour") == c).alias(f"n{i}") for i, _, c in entries])
+    rows = F.array(*[F.struct(F.lit(i).cast("long").alias("position"), F.lit(label).alias("label"),
+                              F.lit(c).alias("colour"), F.col(f"n{i}").alias("n_blocks")) for i, label, c in entries])
+    return counts.select(by, F.explode(rows).alias("x")).select(by, "x.*")

@@ -226,11 +226,13 @@ d AS (SELECT site, date, dense_rank() OVER (PARTITION BY site ORDER BY date) AS
 SELECT f.site, f.date, f.scanner, f.patient_id, f.start_min FROM fcfs f JOIN d ON d.site = f.site AND d.date = f.date WHERE d.dr <= 7""")
 def first_week(spark, sf_dir):
     """Rows of each site's first 7 distinct schedule dates."""
-    s = fcfs(spark, sf_dir)
+    return _week(fcfs(spark, sf_dir)).select("site", "date", "scanner", "patient_id", "start_min")
+
+
+def _week(s: DataFrame) -> DataFrame:
     days = s.select("site", "date").distinct()  # <= sites x horizon days
     ranked = days.withColumn("dr", F.dense_rank().over(Window.partitionBy("site").orderBy("date")))
-    keep = ranked.filter(F.col("dr") <= 7).select("site", "date")
-    return s.join(keep, ["site", "date"], "left_semi").select("site", "date", "scanner", "patient_id", "start_min")
+    return s.join(ranked.filter(F.col("dr") <= 7).select("site", "date"), ["site", "date"], "left_semi")
 
 
 def _colour_sql(col: str) -> str:
@@ -248,13 +250,8 @@ SELECT f.site, f.date, f.scanner, f.patient_id, f.start_min * 1.5 AS left_px, f.
 FROM fcfs f JOIN d ON d.site = f.site AND d.date = f.date WHERE d.dr <= 7""")
 def timeline(spark, sf_dir):
     """Timeline blocks of the first week (L12): position, width, colour, label, tooltip."""
-    wk = first_week(spark, sf_dir).select("site", "date", "patient_id")
-    s = fcfs(spark, sf_dir).join(wk, ["site", "date", "patient_id"], "left_semi")
-    colour = None
-    for _, k, c in dims.COLOURS:
-        cond = F.col("reason_text").contains(k)
-        colour = F.when(cond, c) if colour is None else colour.when(cond, c)
-    colour = colour.otherwise(dims.OTHER_COLOUR)
+    s = _week(fcfs(spark, sf_dir))
+    colour = bk.timeline_colour(F.col("reason_text"))
     label = F.when(F.col("reason_text") == "None", "Std").otherwise(
         F.concat(F.split_part(F.col("reason_text"), F.lit(","), F.lit(1)), F.lit(" ("),
                  F.col("duration").cast("string"), F.lit("m)")))
@@ -268,6 +265,48 @@ def timeline(spark, sf_dir):
                     tip.alias("tooltip"))
 
 
+def _exact_colour_sql(col: str) -> str:
+    whens = " ".join(f"WHEN {_sql_lit(k)} THEN {_sql_lit(c)}" for k, c in dims.EXACT_COLOURS)
+    return f"CASE split_part({col}, ',', 1) {whens} ELSE {_sql_lit(dims.OTHER_COLOUR)} END"
+
+
+_WEEK_SQL = """,
+d AS (SELECT site, date, dense_rank() OVER (PARTITION BY site ORDER BY date) AS dr FROM (SELECT DISTINCT site, date FROM fcfs) x),
+week AS (SELECT f.* FROM fcfs f JOIN d ON d.site = f.site AND d.date = f.date WHERE d.dr <= 7)"""
+
+
+@query("timeline_exact", lambda: _fcfs_sql() + _WEEK_SQL + f"""
+SELECT site, date, scanner, patient_id, start_min * 1.5 AS left_px, duration * 1.5 AS width_px,
+       {_exact_colour_sql('reason_text')} AS colour,
+       CASE WHEN reason_text = 'None' THEN 'Std' ELSE split_part(reason_text, ',', 1) END AS label FROM week""")
+def timeline_exact(spark, sf_dir):
+    """Timeline blocks of the first week, coloured by the first flag's exact match."""
+    reason = F.col("reason_text")
+    return _week(fcfs(spark, sf_dir)).select(
+        "site", "date", "scanner", "patient_id", (F.col("start_min") * 1.5).alias("left_px"),
+        (F.col("duration") * 1.5).alias("width_px"), bk.timeline_colour(reason, "exact").alias("colour"),
+        F.when(reason == "None", "Std").otherwise(bk.first_flag(reason)).alias("label"))
+
+
+def _legend_sql() -> str:
+    keys = ", ".join(f"({o}, {_sql_lit(k)}, {_sql_lit(c)})" for o, k, c in dims.COLOURS)
+    return _fcfs_sql() + _WEEK_SQL + f""",
+keys AS (SELECT * FROM (VALUES {keys}, (99, {_sql_lit(dims.OTHER_LABEL)}, {_sql_lit(dims.OTHER_COLOUR)})) v(o, k, c)),
+legend AS (SELECT c, row_number() OVER (ORDER BY min(o)) AS position,
+                  replace(arg_min(k, o), 'Sedation', 'Sedation / Claustrophobia') AS label FROM keys GROUP BY c),
+blocks AS (SELECT site, {_colour_sql('reason_text')} AS c FROM week),
+counted AS (SELECT site, c, count(*) AS n FROM blocks GROUP BY 1, 2)
+SELECT s.site, l.position, l.label, l.c AS colour, coalesce(n.n, 0) AS n_blocks
+FROM (SELECT DISTINCT site FROM blocks) s, legend l LEFT JOIN counted n ON n.site = s.site AND n.c = l.c"""
+
+
+@query("timeline_legend", _legend_sql)
+def timeline_legend(spark, sf_dir):
+    """Legend of each site's first week: colours in first-seen order with their blocks."""
+    blocks = _week(fcfs(spark, sf_dir)).select("site", bk.timeline_colour(F.col("reason_text")).alias("colour"))
+    return bk.legend_counts(blocks)
+
+
 # --- rules, caps, streaks, audit ------------------------------------------------
 
 def _has(col: str, words: list[str]) -> str:

@@ -216,6 +216,21 @@ COLOURS = [
 ]
 OTHER_COLOUR = "#e0e0e0"
 
+# Colours of the timeline that matches the first flag exactly.
+EXACT_COLOURS = [
+    ("Hoist", "#ff4d4d"),
+    ("Transport", "#ff9933"),
+    ("Wheelchair", "#ffff66"),
+    ("Sedation", "#cc99ff"),
+    ("Interpreter", "#66b3ff"),
+    ("None", "#99ff99"),
+    ("Standard", "#99ff99"),
+]
+
+# Legend texts that differ from the keyword.
+LEGEND_LABELS = {"Sedation": "Sedation / Claustrophobia"}
+OTHER_LABEL = "Other"
+
 # Class labels.
 CLASS_LABELS = ["Class 1", "Class 2", "Class 3"]
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from apptflow.operators import audit as au
 from apptflow.operators import booking as bk
+from apptflow.sources import dims
 
 
 def loop_reference(queue, template, gap=5):
@@ -77,3 +78,23 @@ def test_too_long_request_blocks_its_queue(spark):
     out = bk.with_status(q, bk.fcfs_schedule(spark, q, template), template).orderBy("row_index").collect()
     assert [(r["status"], r["reason"]) for r in out] == [
         ("placed", None), ("unplaced", bk.TOO_LONG), ("unplaced", bk.NO_ROOM)]
+
+
+def test_timeline_colours(spark):
+    """Substring and exact match differ where a keyword is only part of the first flag; null is the other colour."""
+    d = spark.createDataFrame([(1, "Hospital Transport"), (2, "Transport,Hoist"), (3, "None"), (4, None), (5, "")], "id int, r string")
+    got = {r["id"]: (r["a"], r["b"]) for r in d.select(
+        "id", bk.timeline_colour(F.col("r")).alias("a"), bk.timeline_colour(F.col("r"), "exact").alias("b")).collect()}
+    other = dims.OTHER_COLOUR
+    assert got == {1: ("#ff9933", other), 2: ("#ff4d4d", "#ff9933"), 3: ("#99ff99", "#99ff99"), 4: (other, other), 5: (other, other)}
+    with pytest.raises(ValueError):
+        bk.timeline_colour(F.col("r"), "prefix")
+
+
+def test_legend_in_first_seen_order(spark):
+    assert [label for _, label, _ in bk.legend()] == [
+        "Hoist", "Transport", "Wheelchair", "Sedation / Claustrophobia", "Interpreter", "None", "Other"]
+    blocks = spark.createDataFrame([(1, "#cc99ff"), (1, "#cc99ff"), (1, dims.OTHER_COLOUR), (2, None)], "site int, colour string")
+    got = {(r["site"], r["position"]): r["n_blocks"] for r in bk.legend_counts(blocks).collect()}
+    assert len(got) == 14 and {k: n for k, n in got.items() if n} == {(1, 4): 2, (1, 7): 1}
+    assert bk.legend_counts(blocks.limit(0)).count() == 0
