@@ -254,3 +254,37 @@ def test_pipeline_small(spark):
     last = p.STAGES[-1][1](spark, kept, sf)
     assert last.select("doc_id").distinct().count() == counts[-1]
     assert [n for n, _ in p.STAGES] == ["toxicity", "quality", "exact_dedup", "near_dedup", "packing"]
+
+
+def plain_slots(text):
+    """Buckets of a text's words, n-grams and repeats, one after the other in Python integers."""
+    def mixed(h):
+        h &= 0xFFFFFFFF
+        return ((h ^ h >> 15) * quality.MIX & 0xFFFFFFFF) >> 16
+
+    data = text.encode()
+    if not data.strip():
+        return []
+    padded = b" " + data + b" "
+    slots = [mixed(sum(c * m for c, m in zip(padded[i:i + n], quality.MULTIPLIERS)) + n)
+             for n in (3, 4) for i in range(len(padded) - n + 1)]
+    words = [sum((c + 1) * (i * quality.MULTIPLIERS[0] + 1) for i, c in enumerate(w)) & 0xFFFFFFFF for w in data.split()]
+    slots += [mixed(h) for h in words]
+    return slots + [int(quality.REPEAT_SLOT) + 2 * k + (words[i] == words[i - k])
+                    for k in quality.REPEATS for i in range(k, len(words))]
+
+
+def test_quality_score_is_softmax_of_averaged_vectors(monkeypatch):
+    """The one number a bucket gives what averaging all vectors and the softmax layer give, also across slices."""
+    rng = np.random.default_rng(3)
+    vectors, layer, bias = rng.normal(0, 3, (quality.BUCKETS, quality.DIM)), rng.normal(0, 1, (quality.DIM, 2)), rng.normal(0, 1, 2)
+    model = quality.Model(vectors @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0]))
+    texts = ["", "  ", "a", "one two two one two", "été 你好 x", "the cat sat on the the mat " * 40]
+    for cut in (quality.SLICE, 16):
+        monkeypatch.setattr(quality, "SLICE", cut)
+        for text in texts:
+            slots = plain_slots(text)
+            assert sorted(np.concatenate([[], *quality.hashed(text)]).astype(int).tolist()) == sorted(slots)
+            z = (vectors[slots].mean(0) if slots else np.zeros(quality.DIM)) @ layer + bias
+            p = np.exp(z - z.max())
+            assert model(text) == pytest.approx(p[1] / p.sum(), abs=1e-5)
