@@ -288,3 +288,22 @@ def test_quality_score_is_softmax_of_averaged_vectors(monkeypatch):
             z = (vectors[slots].mean(0) if slots else np.zeros(quality.DIM)) @ layer + bias
             p = np.exp(z - z.max())
             assert model(text) == pytest.approx(p[1] / p.sum(), abs=1e-5)
+
+
+def test_decoding_is_the_best_of_all_lattice_paths(spark):
+    """Viterbi against every path of the lattice, scored letter by letter, on spans of letters, symbols and runs."""
+    import itertools
+    import random
+    r, rnd = restorer(spark), random.Random(5)
+    spans = ["1d10t", "stuuupid", "a$$", "$$$", "i.d.i.0.t", "+r@sh!!"]
+    spans += ["".join(rnd.choice("aistd01!$@+.-") * rnd.choice((1, 1, 2, 3)) for _ in range(rnd.randint(1, 6))) for _ in range(60)]
+    for span in spans:
+        scored = {}
+        for path in itertools.product(*r.lattice(span), [(" ", 0.0)]):
+            text, total, state = "".join(t for t, _ in path), sum(c for _, c in path), [0] * (toxicity.ORDER - 1)
+            for x in toxicity.letters(text):
+                gram = [*state, x]
+                total += r.model[np.ravel_multi_index(gram, (toxicity.LETTERS,) * toxicity.ORDER)]
+                state = gram[1:]
+            scored[text] = max(scored.get(text, -np.inf), total)
+        assert scored[r.decode(span)] == pytest.approx(max(scored.values()), abs=1e-4), span
