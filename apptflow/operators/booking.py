@@ -125,21 +125,21 @@ def fcfs_schedule(spark: SparkSession, queue: DataFrame, template: list[tuple] |
     per_site = pts.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("pos", "e", *takes))).alias("pt"))
     # fold the shifts: p_s = p_{s-1} + take_{c_s}(p_{s-1}); one O(1) lookup per shift
     cap_arr = F.array(*[F.lit(distinct_caps.index(c)) for c in caps])
-    init = F.struct(F.lit(0).cast("long").alias("p"), F.array().cast("array<long>").alias("b"))
+    bound = "array<struct<p_lo:bigint,p_hi:bigint,e_lo:bigint>>"
+    init = F.struct(F.lit(0).cast("long").alias("p"), F.array().cast(bound).alias("b"))
 
     def step(acc, ci):
         row = F.element_at(F.col("pt"), (acc["p"] + 1).cast("int"))
         take = F.element_at(F.array(*[row[f"t{c}"] for c in distinct_caps]), ci + 1)
         p_new = acc["p"] + take
-        return F.struct(p_new.alias("p"), F.concat(acc["b"], F.array(p_new)).alias("b"))
+        shift = F.struct(acc["p"].alias("p_lo"), p_new.alias("p_hi"), row["e"].alias("e_lo"))
+        return F.struct(p_new.alias("p"), F.concat(acc["b"], F.array(shift)).alias("b"))
 
-    bounds = per_site.select("site", "pt", F.aggregate(cap_arr, init, step)["b"].alias("b"))
-    shifts = bounds.select("site", "pt", F.posexplode("b").alias("shift_no", "p_hi"))
-    w_prev = Window.partitionBy("site").orderBy("shift_no")  # <= number of shifts rows per site
-    shifts = shifts.withColumn("p_lo", F.coalesce(F.lag("p_hi").over(w_prev), F.lit(0).cast("long")))
+    # a row per shift has its bounds only, never the site's candidates
+    bounds = per_site.select("site", F.aggregate(cap_arr, init, step)["b"].alias("b"))
+    shifts = bounds.select("site", F.posexplode("b").alias("shift_no", "bound")).select("site", "shift_no", "bound.*")
     shifts = shifts.filter(F.col("p_hi") > F.col("p_lo")).select(
-        "site", "shift_no", "p_lo", F.element_at("pt", (F.col("p_lo") + 1).cast("int"))["e"].alias("e_lo"),
-        F.explode(F.sequence(F.col("p_lo"), F.col("p_hi") - 1)).alias("row_index"))
+        "site", "shift_no", "p_lo", "e_lo", F.explode(F.sequence(F.col("p_lo"), F.col("p_hi") - 1)).alias("row_index"))
     t = dims.literal(spark, template, "shift_no int, date date, scanner int, open_min int, close_min int")
     placed = shifts.join(F.broadcast(t), "shift_no").join(cand, ["site", "row_index"])
     start = F.col("open_min") + F.col("e") - F.col("duration") - (F.col("e_lo") + gap)

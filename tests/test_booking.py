@@ -98,3 +98,13 @@ def test_legend_in_first_seen_order(spark):
     got = {(r["site"], r["position"]): r["n_blocks"] for r in bk.legend_counts(blocks).collect()}
     assert len(got) == 14 and {k: n for k, n in got.items() if n} == {(1, 4): 2, (1, 7): 1}
     assert bk.legend_counts(blocks.limit(0)).count() == 0
+
+
+def test_shift_rows_do_not_carry_the_candidates(spark):
+    queue = spark.createDataFrame([(1, i, i, 30 + i % 7) for i in range(60)], "site int, row_index long, patient_id long, duration int")
+    placed = bk.fcfs_schedule(spark, queue, bk.shift_template("2025-01-06", "2025-01-07"))
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert "lag(" not in plan  # a window over the exploded shifts held each site's candidates once per shift
+    exploded = [line for line in plan.splitlines() if "Generate posexplode" in line]
+    assert exploded and placed.count() > 0
+    assert all("pt" not in [c.split("#")[0] for c in line.replace("[", " ").replace("]", " ").replace(",", " ").split()] for line in exploded)
