@@ -1,12 +1,10 @@
 """Helpers shared by the operators of this subpackage."""
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from apptflow.session import cut_lineage, ensure_checkpoint_dir
+from apptflow.session import cut_lineage, scratch_path, stored  # noqa: F401  (the operators' names for them)
 
 #: the white space of the text contracts: blank, tab, line feed, vertical tab, form feed, carriage return
 SPACES = r"[\x20\x09-\x0D]+"
@@ -20,21 +18,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new folder name under the checkpoint folder that all executors share."""
-    ensure_checkpoint_dir(spark)
-    root = spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts
-    lineage, and survives lost executors at the price of compressed columns."""
-    path = scratch_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def let(expr: str, name: str, body: str) -> str:
     """SQL text that evaluates ``expr`` once and uses it as ``name`` in ``body``."""
     return f"element_at(transform(array({expr}), {name} -> {body}), 1)"

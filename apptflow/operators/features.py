@@ -168,10 +168,11 @@ def sparse_features(df: DataFrame, key: str, categorical: list[str], numeric: li
     """key, feature_index, value: the non-zero entries of the assembled vector as rows.
 
     Numbers come first, then a 1 for the slot of each known category; a value that is not in ``known`` has no entry.
+    ``known`` has a row per category, so it goes to the cells; dealing the cells out by category would skew.
     """
     numbers = [F.struct(F.lit(i).alias("feature_index"), F.col(c).cast("double").alias("value")) for i, c in enumerate(numeric)]
     cells = [F.struct(F.lit(i).alias("column"), F.col(c).cast("string").alias("value")) for i, c in enumerate(categorical)]
     left = df.select(key, F.explode(F.array(*numbers)).alias("x")).select(key, "x.*").filter("value <> 0")
     right = (df.select(key, F.explode(F.array(*cells)).alias("x")).select(key, "x.*")
-             .join(known, ["column", "value"]).select(key, "feature_index", F.lit(1.0).alias("value")))
+             .join(F.broadcast(known), ["column", "value"]).select(key, "feature_index", F.lit(1.0).alias("value")))
     return left.unionByName(right)

@@ -20,7 +20,7 @@ from apptflow.sources import dims
 
 from apptflow.functions import flags as fx
 from apptflow.operators import features as fe
-from apptflow.session import ensure_checkpoint_dir
+from apptflow.session import ensure_checkpoint_dir, stored
 
 SEED = 42
 
@@ -39,24 +39,30 @@ def classifier(kind: str):
 
 
 def regressor(kind: str):
-    if kind == "rf":
+    if kind == "rf":  # the same trees with or without cached nodes, but a row need not walk each again for every level
         return RandomForestRegressor(featuresCol="features", labelCol="overrun", numTrees=100, maxDepth=10,
-                                     featureSubsetStrategy="all", maxBins=128, seed=SEED)
+                                     featureSubsetStrategy="all", maxBins=128, cacheNodeIds=True, seed=SEED)
     return GBTRegressor(featuresCol="features", labelCol="overrun", maxIter=100, maxDepth=5, stepSize=0.1,
                         maxBins=128, seed=SEED)
 
 
+def _fit(train: DataFrame, stages: list, estimator, cols: list[str]) -> PipelineModel:
+    """``Pipeline(stages + estimator)``; the estimator reads the encoded rows several times, so they are written once."""
+    encoder = Pipeline(stages=stages).fit(train)
+    model = estimator.fit(stored(encoder.transform(train).select(*cols), "encoded"))
+    return PipelineModel(stages=[*encoder.stages, model])
+
+
 def fit_classifier(train: DataFrame, kind: str) -> PipelineModel:
     w = fe.class_weights(train, "class").select("class", "weight")
     t = train.join(F.broadcast(w), "class")  # <= number of classes rows
-    stages = [label_indexer(), *fe.encoder_stages(fe.CLASSIFICATION_CATEGORICAL, ["age_z"]), classifier(kind)]
-    return Pipeline(stages=stages).fit(t)
+    stages = [label_indexer(), *fe.encoder_stages(fe.CLASSIFICATION_CATEGORICAL, ["age_z"])]
+    return _fit(t, stages, classifier(kind), ["features", "label", "weight"])
 
 
 def fit_regressor(train: DataFrame, kind: str) -> PipelineModel:
     t = train.withColumn("overrun", F.col("overrun_minutes").cast("double"))
-    stages = [*fe.encoder_stages(fe.REGRESSION_CATEGORICAL, ["age_f"]), regressor(kind)]
-    return Pipeline(stages=stages).fit(t)
+    return _fit(t, fe.encoder_stages(fe.REGRESSION_CATEGORICAL, ["age_f"]), regressor(kind), ["features", "overrun"])
 
 
 def class_labels(model: PipelineModel) -> list[str]:

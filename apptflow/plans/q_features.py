@@ -15,6 +15,7 @@ from apptflow.operators.sampling import exact_split
 from apptflow.plans import sqlviews as sv
 from apptflow.plans.registry import query
 from apptflow.plans.sqlfmt import with_
+from apptflow.session import stored
 from apptflow.sources import adapters, dims
 from apptflow.sources.adapters import memo_plan
 
@@ -99,8 +100,9 @@ def class_weights(spark, sf_dir):
 
 @memo_plan
 def split_history(spark, sf_dir):
+    """The appointments with their split, written once: every statistic and every pass of a training reads them again."""
     a = adapters.appointment(spark, sf_dir)
-    return exact_split(a, ["site"])
+    return stored(exact_split(a, ["site"]), "history")
 
 
 @memo_plan

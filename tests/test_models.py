@@ -2,7 +2,9 @@
 import statistics
 
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
 from apptflow.operators import features as fe
@@ -154,3 +156,31 @@ def test_median_of_many_distinct_values(spark):
 def test_assembled_width(spark, sf_small, q):
     got = q["assembled_features"](spark, sf_small).select("n_features").distinct().collect()
     assert len(got) == 1 and got[0][0] > 10
+
+
+def test_statistics_and_training_read_a_written_history(spark, sf_small):
+    with shared_plans():
+        for task in ("cls", "reg"):
+            plan = qf.prepared(spark, sf_small, task)._jdf.queryExecution().optimizedPlan().toString()
+            assert "Window" not in plan and "Join" not in plan and "md5" not in plan
+
+
+def test_fit_on_encoded_rows_is_the_whole_pipeline(spark, sf_small):
+    with shared_plans():
+        d = qf.prepared(spark, sf_small, "reg")
+        t = d.filter("split = 'train'").withColumn("overrun", F.col("overrun_minutes").cast("double"))
+        tree = DecisionTreeRegressor(featuresCol="features", labelCol="overrun", maxDepth=4, maxBins=128, seed=1)
+        stages = fe.encoder_stages(fe.REGRESSION_CATEGORICAL, ["age_f"])
+        whole = Pipeline(stages=[*stages, tree]).fit(t)
+        ours = ml._fit(t, stages, tree, ["features", "overrun"])
+        assert len(ours.stages) == len(whole.stages)
+        assert ours.stages[-1].toDebugString.split("\n")[1:] == whole.stages[-1].toDebugString.split("\n")[1:]
+        assert ml.feature_names(ours.transform(d)) == ml.feature_names(whole.transform(d))
+
+
+def test_categories_are_broadcast_to_the_cells(spark):
+    rows = spark.createDataFrame([(1, "a", 2.0), (2, "b", 0.0), (3, None, 1.0)], "k long, c string, x double")
+    known = fe.categories(rows, ["c"], 1)
+    out = fe.sparse_features(rows, "k", ["c"], ["x"], known)
+    assert sorted(map(tuple, out.collect())) == [(1, 0, 2.0), (1, 1, 1.0), (2, 2, 1.0), (3, 0, 1.0)]
+    assert "strategy=broadcast" in out._jdf.queryExecution().analyzed().toString()
