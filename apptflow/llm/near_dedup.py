@@ -11,13 +11,13 @@ similarity shares a token with that probability, so it misses all trees with
 about (1 - similarity)**TREES; in nodes that branch, two ways a level, it is
 expected to meet 2 * similarity times as often after each level. The trees share
 one sketch, whose cut-off loses a pair at the similarity itself in all of them
-with about 4e-5 (binomial, 64 places).
+with about 4e-8 (binomial, 64 places, 85 percent).
 
 * Documents with equal sets are one class, found by a pre-aggregated digest;
   only one member takes part.
 * Trees run on sketches of ``COORDS`` minwise tokens. A node over ``LEAF`` is
   compared by pairs of blocks of its members. Within a node or such a pair the
-  members whose sketches agree in enough places (four standard deviations below
+  members whose sketches agree in enough places (six standard deviations below
   what the similarity would give), directly or through others, form a cluster;
   equal clusters of several trees are one. A cluster's full sets are compared
   pair by pair in one matrix product, and what is linked comes out as a star:
@@ -26,9 +26,10 @@ with about 4e-5 (binomial, 64 places).
   whose sketch is nearly equal to that of a pivot of a smaller identifier, and whose
   link with it the full sets confirm, leaves the node, so a crowd of nearly equal
   texts shrinks at once. The others, unconfirmed ones among them, branch on.
-  Links matter for what they connect: a member that left is reached through its
-  pivot, and by other pivots in other trees. Not reached in such a node: a
-  document that is linked with members that left, but with none of the pivots.
+  A document that agrees in enough places with a member that left agrees in at most
+  ``COORDS - NEARLY_EQUAL`` fewer with its pivot (sketches differ as a metric), so those
+  that do, and are not linked with the pivot themselves, are compared with all
+  members that left with it. So leaving loses no link.
 
 Defined results: null text counts as empty; texts without words are linked
 with nothing. Rows without an identifier take no part: their component is
@@ -181,17 +182,16 @@ def _pairs_of_blocks(rows: DataFrame, key: str, blocks: Column, cols: list[str])
     return d.select(F.xxhash64(key, F.least("block", "other"), F.greatest("block", "other")).alias(key), "id", *cols)
 
 
-def _leaf_clusters(nodes: DataFrame, least: int) -> DataFrame:
-    """cluster, id: members of a node whose sketches agree in ``least`` places, directly or through others.
-
-    Nodes over ``LEAF`` are compared by pairs of blocks of their members.
-    """
+def _clusters(groups: DataFrame, least: int) -> DataFrame:
+    """cluster, id: members of a row of ``groups`` (members: id, side, sketch) whose sketches agree in ``least`` places,
+    directly or through others; members of one side are not compared, those without a side are with all."""
     def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, found = [], [np.empty(0, np.int64)]
             members = batch.column("members")
             each = members.flatten()
             all_ids = each.field("id").to_numpy()
+            all_sides = each.field("side").fill_null(-1).to_numpy()
             all_rows = each.field("sketch").flatten().to_numpy().reshape(-1, COORDS)
             ends = np.cumsum([0, *members.value_lengths().to_pylist()])
             for at, end in zip(ends, ends[1:]):
@@ -199,7 +199,8 @@ def _leaf_clusters(nodes: DataFrame, least: int) -> DataFrame:
                 same = np.zeros((len(ids), len(ids)), np.int8)
                 for c in range(COORDS):
                     same += places[c, :, None] == places[c, None, :]
-                labels = _components(same >= least)
+                sides = all_sides[at:end]
+                labels = _components((same >= least) & ((sides[:, None] != sides[None, :]) | (sides < 0)[:, None]))
                 for x in np.unique(labels):
                     own = np.sort(ids[labels == x])
                     if len(own) > 1:
@@ -209,10 +210,31 @@ def _leaf_clusters(nodes: DataFrame, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.concatenate(found))],
                                              names=["cluster", "id"])
 
+    return groups.select("members").mapInArrow(cluster, "cluster long, id long")
+
+
+def _leaf_clusters(nodes: DataFrame, least: int) -> DataFrame:
+    """cluster, id: the clusters of the nodes. Nodes over ``LEAF`` are compared by pairs of blocks of their members."""
     blocks = F.when(F.col("size") > LEAF, F.ceil(F.col("size") / max(1, LEAF // 2))).otherwise(1)
     nodes = _pairs_of_blocks(nodes, "node", blocks, ["sketch"])
-    grouped = nodes.groupBy("node").agg(F.collect_list(F.struct("id", "sketch")).alias("members"))
-    return grouped.select("members").mapInArrow(cluster, "cluster long, id long")
+    member = F.struct("id", F.lit(None).cast("int").alias("side"), "sketch")
+    return _clusters(nodes.groupBy("node").agg(F.collect_list(member).alias("members")), least)
+
+
+def _between_clusters(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
+    """cluster, id: the clusters of members of ``left`` with members of ``right`` (both node, pivot, id, sketch) of the same
+    node and pivot, by pairs of blocks of both."""
+    keys, half = ["node", "pivot"], max(1, LEAF // 2)
+    sizes = left.groupBy(*keys).agg(F.ceil(F.count("*") / half).alias("n0")).join(
+        right.groupBy(*keys).agg(F.ceil(F.count("*") / half).alias("n1")), keys)
+
+    def dealt(rows: DataFrame, side: int) -> DataFrame:
+        d = rows.join(sizes, keys).withColumn(f"b{side}", F.pmod(F.xxhash64("id"), F.col(f"n{side}")))
+        d = d.withColumn(f"b{1 - side}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n{1 - side}") - 1)))
+        return d.select(F.xxhash64(*keys, "b0", "b1").alias("node"), F.struct("id", F.lit(side).alias("side"), "sketch").alias("member"))
+
+    both = dealt(left, 0).unionByName(dealt(right, 1))
+    return _clusters(both.groupBy("node").agg(F.collect_list("member").alias("members")), least)
 
 
 def _pivot_clusters(near: DataFrame) -> DataFrame:
@@ -241,16 +263,27 @@ def candidate_clusters(sets: DataFrame, least: int, confirm: Callable[[DataFrame
             break
         pivots = large.groupBy("node").agg(*[
             F.min_by(F.struct("id", "sketch"), F.xxhash64("id", "node", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)])
-        pivots = pivots.select("node", F.array(*[f"p{i}" for i in range(PIVOTS)]).alias("pivots"))
+        pivots = pivots.select("node", F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("pivots"))
         met = large.join(pivots, "node").withColumn("met", F.transform("pivots", lambda p: F.struct(
             p["id"].alias("id"), _agreeing(F.col("sketch"), p["sketch"]).alias("same"))))
         met = stored(met.select("node", "id", "sketch", "size", "met"), "met")
         met = met.withColumn("by", F.filter("met", lambda p: (p["same"] >= NEARLY_EQUAL) & (p["id"] < F.col("id"))))
-        near = met.filter(F.size("by") > 0).select("node", "id", F.col("by")[0]["id"].alias("pivot"), "size")
-        link = cut_lineage(confirm(_pivot_clusters(near)))
-        gone = near.join(link, (near["id"] == link["a"]) & (near["pivot"] == link["b"]), "left_semi")
+        near = met.filter(F.size("by") > 0).select("node", "id", F.col("by")[0]["id"].alias("pivot"), "sketch")
+        # who may agree with a member that left with the pivot; of these, who is linked with the pivot
+        touching = met.select("node", "id", "sketch", "size", F.explode("met").alias("p")).select(
+            "node", "id", "sketch", "size", F.col("p.id").alias("pivot"), F.col("p.same").alias("same"))
+        touching = touching.filter(F.col("id") != F.col("pivot")).filter(F.col("same") >= least - (COORDS - NEARLY_EQUAL))
+        close = touching.filter(F.col("same") >= min(least, NEARLY_EQUAL)).select("id", "pivot", "size")
+        link = cut_lineage(confirm(_pivot_clusters(close)))
+        roots = link.select("a", "b").unionByName(link.select(F.col("b").alias("a"), "b")).distinct()
+        linked = cut_lineage(close.select("id", "pivot").distinct()
+                             .join(roots.select(F.col("a").alias("pivot"), "b"), "pivot")
+                             .join(roots.select(F.col("a").alias("id"), "b"), ["id", "b"]).select("id", "pivot").distinct())
+        gone = near.join(linked, ["id", "pivot"], "left_semi")
+        apart = touching.join(linked, ["id", "pivot"], "left_anti").select("node", "pivot", "id", "sketch")
         known.append(link)
         found.append(cut_lineage(clusters.distinct()))
+        found.append(cut_lineage(_between_clusters(apart, gone.select("node", "pivot", "id", "sketch"), least).distinct()))
         rest = met.join(gone.select("node", "id"), ["node", "id"], "left_anti")
         level += 1
         rest = rest.select("node", "id", "sketch", F.explode(F.array(F.lit(0), F.lit(1))).alias("way"))
@@ -307,7 +340,7 @@ def confirmed(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, classes: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """node, root: numbers of the classes linked, directly or through others, with one of a smaller number."""
     s = percent / 100
-    least = math.floor(COORDS * s - 4 * math.sqrt(COORDS * s * (1 - s)))
+    least = math.floor(COORDS * s - 6 * math.sqrt(COORDS * s * (1 - s)))
     named = classes.select("id", "doc", "text_key")
     sizes = classes.select("id", "n_shingles")
 

@@ -330,3 +330,30 @@ def test_warc_dictionary_and_frames(spark, sf_small, tmp_path):
         assert d.decompress(rest).startswith(b"WARC/1.1\r\n")
         rest, frames = d.unused_data, frames + 1
     assert frames == len(html) + 1
+
+
+def test_a_link_with_a_member_that_left_is_kept(spark, monkeypatch):
+    """x agrees with y, which leaves the node with a pivot that x does not agree with."""
+    monkeypatch.setattr(near_dedup, "LEAF", 4)
+    monkeypatch.setattr(near_dedup, "WHOLE", 1)
+    least, n = 52, 60
+    sketch = {i: [0] * 64 for i in range(n)}
+    y, x = n, n + 1
+    sketch[y] = [1] * 6 + [0] * 58
+    sketch[x] = [1] * 6 + [2] * 12 + [0] * 46
+    sets = spark.createDataFrame([(i, [7], s) for i, s in sketch.items()], "id long, roots array<int>, sketch array<short>")
+
+    def confirm(clusters):
+        rows = {}
+        for r in clusters.collect():
+            rows.setdefault(r["cluster"], set()).add(r["id"])
+        out = [(a, min(ids)) for ids in rows.values() for a in ids
+               if a != min(ids) and sum(p == q for p, q in zip(sketch[a], sketch[min(ids)])) >= least]
+        return spark.createDataFrame(out, "a long, b long")
+
+    clusters, known = near_dedup.candidate_clusters(sets, least, confirm)
+    assert y in {r["a"] for more in known for r in more.collect()}  # it left
+    rows = {}
+    for r in clusters.collect():
+        rows.setdefault(r["cluster"], set()).add(r["id"])
+    assert any({x, y} <= ids for ids in rows.values())
