@@ -23,8 +23,8 @@ The units' ids go back to the texts by place: a run of ``PLACE_ROWS`` rows of a
 table's file. ``SPAN_PLACES`` places, a span, share a dictionary in a shared folder,
 where a unit is one row with a mask of the places that hold it; the task that reads
 a place's rows keeps the units of that place. So the texts themselves are never
-shuffled. Within a task, texts are cut at blanks; only
-distinct runs are taken apart into units.
+shuffled. Within a task, texts are cut into units, and units are made distinct and looked up,
+a few megabytes of text at a time and in Arrow buffers: no unit is a Python object.
 
 Defined results: null and empty texts have no ids and decode to the empty text.
 A blank and U+2581 encode alike, and decode as blanks. Null identifiers and
@@ -35,16 +35,16 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from apptflow.llm.common import let, scratch_path, stored
+from apptflow.llm.common import let, partitions, scratch_path, stored
 from apptflow.llm.warc import file_system
 
 BLANK = "▁"
@@ -53,10 +53,14 @@ PLACE_ROWS = 4096
 #: places that share a dictionary, at most the bits of an int, and the size of its row groups
 SPAN_PLACES = 16
 ROW_GROUP_BYTES = 4 << 20
-#: units that a task collects from the places of a span before it hands them on
-FLUSH_UNITS = 200_000
+#: units, distinct in what is cut at once, that a task collects from the places of a span before it hands them on
+FLUSH_UNITS = 1_500_000
+#: units of a batch that a task hands on
+BATCH_UNITS = 1 << 16
 #: bytes of text taken apart at once
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 2 << 20
+#: tasks that take units apart, for each partition of other shuffles
+UNIT_TASKS = 4
 #: units whose edges a task lists in memory, about a kilobyte each, before it sorts them
 LISTS_IN_MEMORY = 150_000
 #: bits of a rank in a code
@@ -82,16 +86,14 @@ class Pieces:
         return max(len(p) for p, _, _ in self.rows)
 
     @property
-    def pattern(self) -> str:
-        """Matches the units of a text whose blanks are ``BLANK``."""
+    def parted(self) -> bool:
+        """Whether letters and other characters are units of their own."""
         def mixed(p: str) -> bool:
             rest = p.lstrip(BLANK)
             return BLANK in rest or len({c.isalpha() for c in rest}) > 1
         if any(BLANK in p.lstrip(BLANK) for p, _, _ in self.rows):
             raise ValueError("pieces with inner blanks are not supported")
-        if any(mixed(p) for p, _, _ in self.rows):
-            return f"{BLANK}*[^{BLANK}]+|{BLANK}+"
-        return rf"{BLANK}*(?:\p{{L}}+|[^\p{{L}}{BLANK}]+)|{BLANK}+"
+        return not any(mixed(p) for p, _, _ in self.rows)
 
 
 def load_pieces(model_file: str) -> Pieces:
@@ -274,7 +276,9 @@ def fold(lattice: DataFrame, pieces: Pieces) -> DataFrame:
 def dictionary(places: DataFrame, pieces: Pieces) -> str:
     """Ids of the units of every span (span, mask of places, unit), as files in the shared folder, a folder for each."""
     spark = places.sparkSession
-    d = places.filter("unit IS NOT NULL").repartition("unit")  # so that the join adds no filter below one of the exchanges
+    d = places.filter("unit IS NOT NULL")  # so that the join adds no filter below one of the exchanges
+    # the edges of a task's units are held at once: more and smaller tasks than those of other shuffles
+    d = d.repartition(UNIT_TASKS * partitions(spark), "unit")
     # both readers take all columns, so that they share one exchange
     distinct = (d.groupBy("unit").agg(F.bit_or("mask").alias("any_mask"), F.min("span").alias("any_span"))
                 .filter("any_mask IS NOT NULL AND any_span IS NOT NULL").select("unit"))
@@ -295,88 +299,101 @@ def dictionary(places: DataFrame, pieces: Pieces) -> str:
     return path
 
 
-def _column(array: pa.Array | pa.ChunkedArray) -> list[bytes]:
-    """A column of texts or bytes without nulls, as bytes."""
-    out: list[bytes] = []
-    for part in array.chunks if isinstance(array, pa.ChunkedArray) else [array]:
-        part = part.cast(pa.large_binary())
-        if len(part):
-            cuts = np.frombuffer(part.buffers()[1], np.int64)[part.offset:part.offset + len(part) + 1].tolist()
-            first, data = cuts[0], part.buffers()[2]
-            raw = data.slice(first, cuts[-1] - first).to_pybytes() if data is not None else b""
-            out += [raw[i - first:j - first] for i, j in zip(cuts, cuts[1:])]
-    return out
+@cache
+def _kinds() -> np.ndarray:
+    """Kind of every code point: a blank (2), a letter (1) or another (0)."""
+    kinds = np.fromiter((chr(i).isalpha() for i in range(0x110000)), np.uint8, 0x110000)
+    kinds[32] = 2
+    return kinds
 
 
-def units_of(run: str, find: regex.Pattern) -> list[str]:
-    """The units of a run of blanks and what follows."""
-    return [run] if run[:1] == BLANK and run[1:].isalpha() else find.findall(run)
+def _offsets(array: pa.LargeBinaryArray) -> np.ndarray:
+    """Where the values of an array begin in its bytes, and where the last one ends."""
+    return np.frombuffer(array.buffers()[1], np.int64)[array.offset:array.offset + len(array) + 1]
 
 
-def chunks_of(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct runs of blanks and what follows each, which of them the texts are made of, one text after the other,
-    and where each text's runs end. Every text that is not empty gets a blank before it."""
+def cut_units(texts: list[bytes], parted: bool) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """The units of the texts, one text after the other, with blanks for ``BLANK``, and where each text's units end.
+
+    Every text that is not empty gets a blank before it. A unit is a run of blanks with the run of letters or of other
+    characters after it, if any; if not ``parted``, with all up to the next blank.
+    """
     texts = [t.replace(BLANK.encode(), b" ") if b"\xe2\x96\x81" in t else t for t in texts]
     shown = b"".join([b" " + t for t in texts if t])
+    if not shown:
+        return pa.array([], pa.large_binary()), np.zeros(len(texts), np.int64)
+    raw = np.frombuffer(shown, np.uint8)
+    kinds = _kinds()[raw]
+    if not shown.isascii():
+        try:
+            points = np.frombuffer(shown.decode().encode("utf-32-le"), "<u4")
+        except UnicodeDecodeError:
+            return cut_units([t.decode("utf-8", "replace").encode() for t in texts], parted)
+        kinds[raw >= 0xC0] = _kinds()[points[points >= 0x80]]
+        del points
+    if not parted:
+        kinds[kinds == 1] = 0
+    lead = raw & 0xC0 != 0x80  # the first byte of a character
+    kinds = kinds[lead]
+    begins = np.ones(len(raw), bool)
+    begins[lead] = np.append(True, (kinds[1:] != kinds[:-1]) & (kinds[:-1] != 2))
+    begins &= lead
     sizes = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
     text_ends = np.cumsum(sizes)
-    blank = np.frombuffer(shown, np.uint8) == 32
-    begins = blank.copy()
-    begins[1:] &= ~blank[:-1]
     begins[(text_ends - sizes)[sizes > 0]] = True
     starts = np.flatnonzero(begins)
     offsets = np.append(starts, len(shown)).astype(np.int64)
-    runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets),
-                                                                           pa.py_buffer(shown)]).dictionary_encode()
-    distinct = [x.decode("utf-8", "replace").replace(" ", BLANK) for x in _column(runs.dictionary)]
-    return distinct, runs.indices.to_numpy(), np.searchsorted(starts, text_ends)
+    units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(shown)])
+    return units, np.searchsorted(starts, text_ends)
 
 
 def _rows_by_place(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
     """span, place and texts of each run of rows of one place, about ``TEXT_BYTES`` at a time."""
     places, spans = batch.column("place").to_numpy(), batch.column("span").to_numpy()
     texts = batch.column("text").cast(pa.large_binary())
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
     other = (places[1:] != places[:-1]) | (spans[1:] != spans[:-1])
     cuts = [0, *(np.flatnonzero(other) + 1).tolist(), len(places)]
     for i, j in zip(cuts, cuts[1:]):
-        held: list[bytes] = []
-        n = 0
-        for t in texts.slice(i, j - i).to_pylist():
-            if held and n + len(t or b"") > TEXT_BYTES:
-                yield int(spans[i]), int(places[i]), held
-                held, n = [], 0
-            held.append(t or b"")
-            n += len(t or b"")
-        if held:
-            yield int(spans[i]), int(places[i]), held
-
-
-def _place_units(docs: DataFrame, pattern: str) -> DataFrame:
+        while i < j:
+            n = max(1, int(np.searchsorted(np.cumsum(sizes[i:j]), TEXT_BYTES, "right")))
+            yield int(spans[i]), int(places[i]), [t or b"" for t in texts.slice(i, n).to_pylist()]
+            i += n
+
+
+def _place_units(docs: DataFrame, parted: bool) -> DataFrame:
     """span, unit, mask of places: a unit once or, where a task met many units, a few times for a span and task."""
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern)
-        known: set[str] = set()  # runs of the place
-        masks: dict[str, int] = {}
-        at = None
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([
-                pa.array([at[0]] * len(masks), pa.int64()), pa.array(list(masks), pa.string()),
-                pa.array(list(masks.values()), pa.int32())], names=["span", "unit", "mask"])
+        found: dict[int, list[pa.Array]] = {}  # by place
+        at, n = None, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            tables = []
+            for place in list(found):
+                units = pc.unique(pa.concat_arrays(found.pop(place))).cast(pa.string())
+                tables.append(pa.table({"unit": units, "mask": pa.array(np.full(len(units), 1 << place, np.int64))}))
+            # a unit is there once for each place: the sum of its bits is their mask
+            merged = pa.concat_tables(tables).group_by("unit", use_threads=False).aggregate([("mask", "sum")])
+            del tables, units
+            for part in merged.to_batches(BATCH_UNITS):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(part), at, np.int64)), pc.replace_substring(part.column("unit"), " ", BLANK),
+                    part.column("mask_sum").cast(pa.int32())], names=["span", "unit", "mask"])
 
         for batch in batches:
             for span, place, texts in _rows_by_place(batch):
-                if masks and (span != at[0] or len(masks) > FLUSH_UNITS):
-                    yield flush()
-                    known, masks = set(), {}
-                if (span, place) != at:
-                    known, at = set(), (span, place)
-                for run in set(chunks_of(texts)[0]).difference(known):
-                    known.add(run)
-                    for unit in units_of(run, find):
-                        masks[unit] = masks.get(unit, 0) | 1 << place
-        if masks:
-            yield flush()
+                if found and (span != at or n > FLUSH_UNITS):
+                    yield from flush()
+                    n = 0
+                    pa.default_memory_pool().release_unused()
+                at = span
+                units = pc.unique(cut_units(texts, parted)[0])
+                if len(units):
+                    found.setdefault(place, []).append(units)
+                    n += len(units)
+        if found:
+            yield from flush()
+        pa.default_memory_pool().release_unused()
 
     return docs.select("span", "place", "text").mapInArrow(distinct, "span long, unit string, mask int")
 
@@ -389,15 +406,18 @@ def _with_place(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), place.alias("place"), span.alias("span"))
 
 
-def _place_ids(fs: pa.fs.FileSystem, folder: str, place: int) -> Iterator[tuple[bytes, bytes]]:
-    """unit, ids of a place, out of its span's dictionary, which is read in small batches."""
+def _place_ids(fs: pa.fs.FileSystem, folder: str, place: int) -> tuple[pa.Array, pa.Array]:
+    """Units of a place, with blanks for ``BLANK``, and their ids, out of its span's dictionary, which is read in small
+    batches."""
     bit = pa.scalar(1 << place, pa.int32())
+    units, ids = [pa.array([], pa.large_binary())], [pa.array([], pa.large_binary())]
     for name in pa.parquet.ParquetDataset(folder, filesystem=fs, partitioning=None).files:
         with pa.parquet.ParquetFile(name, filesystem=fs) as file:
             for part in file.iter_batches(1 << 14, columns=["mask", "unit", "ids"], use_threads=False):
                 part = part.filter(pc.equal(pc.bit_wise_and(part.column("mask"), bit), bit))
-                yield from zip(_column(part.column("unit")), _column(part.column("ids")))
-    pa.default_memory_pool().release_unused()
+                units.append(pc.replace_substring(part.column("unit"), BLANK, " ").cast(pa.large_binary()))
+                ids.append(part.column("ids").cast(pa.large_binary()))
+    return pa.concat_arrays(units), pa.concat_arrays(ids)
 
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text",
@@ -409,44 +429,40 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     d = _with_place(docs if is_table else stored(docs.select(id_col, text_col), "texts"), id_col, text_col)
-    pattern = pieces.pattern
-    path = dictionary(_place_units(d, pattern), pieces)
+    parted = pieces.parted
+    path = dictionary(_place_units(d, parted), pieces)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern)
-        at, known = None, {}
+        at, known, known_ids = None, None, None
         fs, root = file_system(path)
-
-        def look_up(run: str) -> bytes:
-            """Ids of a run: most are one unit, and a unit is taken apart into itself."""
-            return known.get(run.encode()) or b"".join([known[u.encode()] for u in units_of(run, find)])
-
         for batch in batches:
             row = 0
             for span, place, texts in _rows_by_place(batch):
                 if (span, place) != at and any(texts):
-                    known = {}  # let go before the next one is read
-                    known.update(_place_ids(fs, f"{root}/span={span}", place))
+                    known = known_ids = None  # let go before the next one is read
+                    pa.default_memory_pool().release_unused()
+                    known, known_ids = _place_ids(fs, f"{root}/span={span}", place)
                     at = span, place
-                runs, which, ends = chunks_of(texts)
-                flat, upto = gathered([look_up(run) for run in runs], which)
-                raw, cuts = flat.tobytes(), [0, *(4 * upto[ends]).tolist()]
-                ids = pa.array([raw[i:j] for i, j in zip(cuts, cuts[1:])], pa.binary())
-                # a batch for each megabyte of texts: a task never holds the ids of a whole batch
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, len(texts)), ids], names=["id", "ids"])
+                ids, ends = ids_of(texts, parted, known, known_ids)
+                cuts = pa.py_buffer(_offsets(ids)[np.append(0, ends)])
+                ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, cuts, ids.buffers()[2]])
+                # a batch for each part of the texts: a task never holds the ids of a whole batch
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, len(texts)), ids.cast(pa.binary())],
+                                                 names=["id", "ids"])
                 row += len(texts)
 
     return d.mapInArrow(apply, f"id {id_type}, ids binary").withColumnRenamed("id", id_col)
 
 
-def gathered(ids: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of the runs ``which`` one after the other, and how many come before each run and after the last."""
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    sizes = np.array([len(x) for x in ids], np.int64) // 4
-    first = np.cumsum(sizes) - sizes
-    size = sizes[which]
-    upto = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    return flat[np.repeat(first[which] - upto[:-1], size) + np.arange(upto[-1])], upto
+def ids_of(texts: list[bytes], parted: bool, known: pa.Array | None, known_ids: pa.Array | None) -> tuple[pa.Array, np.ndarray]:
+    """Ids of the units of the texts, one after the other, and where each text's units end."""
+    units, ends = cut_units(texts, parted)
+    if not len(units):
+        return pa.array([b""], pa.large_binary()), ends
+    which = pc.index_in(units, value_set=known)
+    if which.null_count:
+        raise KeyError("a unit is not in its span's dictionary")
+    return known_ids.take(which), ends
 
 
 def decoded(ids: Column, pieces: Pieces) -> Column:
@@ -454,18 +470,22 @@ def decoded(ids: Column, pieces: Pieces) -> Column:
     texts = pieces.texts
 
     def join(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        shown = pa.array(texts, pa.large_binary())
         for batch in batches:
-            out, n = [], 0
-            for raw in batch:
-                raw = raw.as_py() or b""
-                text = b"".join([texts[i] for i in np.frombuffer(raw, "<u4").tolist()])
-                out.append((text[1:] if text[:1] == b" " else text).decode("utf-8", "replace"))
-                n += len(text)
-                if n > TEXT_BYTES:  # a part of the batch: the texts of a whole one are never held
-                    yield pa.array(out, pa.string())
-                    out, n = [], 0
-            if out or not len(batch):
-                yield pa.array(out, pa.string())
+            batch = pc.fill_null(batch, b"").cast(pa.large_binary())
+            cuts, at = _offsets(batch), 0
+            while at < len(batch):  # a part of the batch: the texts of a whole one are never held
+                n = max(1, int(np.searchsorted(cuts[at + 1:], cuts[at] + TEXT_BYTES, "right")))
+                ends = (cuts[at:at + n + 1] - cuts[at]) // 4
+                flat = np.frombuffer(batch.buffers()[2] or b"", "<u4", int(ends[-1]), int(cuts[at])) if ends[-1] else np.zeros(0, "<u4")
+                parts = shown.take(pa.array(flat))
+                ends = _offsets(parts)[ends].tolist() if len(parts) else [0] * (n + 1)
+                raw = parts.buffers()[2].to_pybytes() if ends[-1] else b""
+                yield pa.array([raw[i + (raw[i:i + 1] == b" " and i < j):j].decode("utf-8", "replace")
+                                for i, j in zip(ends, ends[1:])], pa.string())
+                at += n
+            if not len(batch):
+                yield pa.array([], pa.string())
 
     join.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(join, "string")(ids)
