@@ -41,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,7 +91,7 @@ class Pieces:
         """Whether letters and other characters are units of their own."""
         def mixed(p: str) -> bool:
             rest = p.lstrip(BLANK)
-            return BLANK in rest or len({c.isalpha() for c in rest}) > 1
+            return BLANK in rest or len({int(_kinds()[ord(c)]) for c in rest}) > 1
         if any(BLANK in p.lstrip(BLANK) for p, _, _ in self.rows):
             raise ValueError("pieces with inner blanks are not supported")
         return not any(mixed(p) for p, _, _ in self.rows)
@@ -302,7 +303,9 @@ def dictionary(places: DataFrame, pieces: Pieces) -> str:
 @cache
 def _kinds() -> np.ndarray:
     """Kind of every code point: a blank (2), a letter (1) or another (0)."""
-    kinds = np.fromiter((chr(i).isalpha() for i in range(0x110000)), np.uint8, 0x110000)
+    kinds = np.zeros(0x110000, np.uint8)
+    for letters in regex.finditer(r"\p{L}+", "".join(map(chr, range(len(kinds))))):
+        kinds[letters.start():letters.end()] = 1
     kinds[32] = 2
     return kinds
 
