@@ -33,7 +33,7 @@ repeated rows are encoded like any other. An empty table gives no rows.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -59,7 +59,7 @@ FLUSH_UNITS = 1_500_000
 #: units of a batch that a task hands on
 BATCH_UNITS = 1 << 16
 #: bytes of text taken apart at once
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 1 << 20
 #: tasks that take units apart, for each partition of other shuffles
 UNIT_TASKS = 4
 #: units whose edges a task lists in memory, about a kilobyte each, before it sorts them
@@ -424,20 +424,24 @@ def _place_ids(fs: pa.fs.FileSystem, folder: str, place: int) -> tuple[pa.Array,
 
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text",
-           is_table: bool = False) -> DataFrame:
-    """id, ids (little-endian unsigned 32-bit) of every row.
+           is_table: bool = False, decoded_as: str | None = None) -> DataFrame:
+    """id, ids (little-endian unsigned 32-bit) of every row; the text decoded from the ids, as a column of that name.
+
+    ``decoded_as`` is ``decoded`` in the task that made the ids: a second Python worker for each task and batches of ids
+    for ten thousand rows between the two are saved.
 
     ``is_table``: ``docs`` is read from files as it is, so that its rows have
     places; any other DataFrame is stored first.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     d = _with_place(docs if is_table else stored(docs.select(id_col, text_col), "texts"), id_col, text_col)
-    parted = pieces.parted
+    parted, piece_texts = pieces.parted, pieces.texts
     path = dictionary(_place_units(d, parted), pieces)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, known, known_ids = None, None, None
         fs, root = file_system(path)
+        decode = decoder(piece_texts)
         for batch in batches:
             row = 0
             for span, place, texts in _rows_by_place(batch):
@@ -449,12 +453,15 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
                 ids, ends = ids_of(texts, parted, known, known_ids)
                 cuts = pa.py_buffer(_offsets(ids)[np.append(0, ends)])
                 ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, cuts, ids.buffers()[2]])
+                columns = [batch.column("id").slice(row, len(texts)), ids.cast(pa.binary())]
+                if decoded_as:
+                    columns.append(pa.concat_arrays(list(decode(columns[1]))))
                 # a batch for each part of the texts: a task never holds the ids of a whole batch
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, len(texts)), ids.cast(pa.binary())],
-                                                 names=["id", "ids"])
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "text"][:len(columns)])
                 row += len(texts)
 
-    return d.mapInArrow(apply, f"id {id_type}, ids binary").withColumnRenamed("id", id_col)
+    out = d.mapInArrow(apply, f"id {id_type}, ids binary" + ", text string" * bool(decoded_as))
+    return out.toDF(id_col, "ids", *[decoded_as] * bool(decoded_as))
 
 
 def ids_of(texts: list[bytes], parted: bool, known: pa.Array | None, known_ids: pa.Array | None) -> tuple[pa.Array, np.ndarray]:
@@ -468,27 +475,37 @@ def ids_of(texts: list[bytes], parted: bool, known: pa.Array | None, known_ids:
     return known_ids.take(which), ends
 
 
+def decoder(texts: list[bytes]) -> Callable[[pa.Array], Iterator[pa.Array]]:
+    """Decodes an array of encoded ids, part by part, by the texts of the pieces."""
+    shown = pa.array(texts, pa.large_binary())
+
+    def decode(batch: pa.Array) -> Iterator[pa.Array]:
+        batch = pc.fill_null(batch, b"").cast(pa.large_binary())
+        cuts, at = _offsets(batch), 0
+        while at < len(batch):  # a part of the batch: the texts of a whole one are never held
+            n = max(1, int(np.searchsorted(cuts[at + 1:], cuts[at] + TEXT_BYTES, "right")))
+            ends = (cuts[at:at + n + 1] - cuts[at]) // 4
+            flat = np.frombuffer(batch.buffers()[2] or b"", "<u4", int(ends[-1]), int(cuts[at])) if ends[-1] else np.zeros(0, "<u4")
+            parts = shown.take(pa.array(flat))
+            ends = _offsets(parts)[ends].tolist() if len(parts) else [0] * (n + 1)
+            raw = parts.buffers()[2].to_pybytes() if ends[-1] else b""
+            yield pa.array([raw[i + (raw[i:i + 1] == b" " and i < j):j].decode("utf-8", "replace")
+                            for i, j in zip(ends, ends[1:])], pa.string())
+            at += n
+        if not len(batch):
+            yield pa.array([], pa.string())
+
+    return decode
+
+
 def decoded(ids: Column, pieces: Pieces) -> Column:
     """Text of encoded ids: the pieces' texts one after the other, without the prefix's blank."""
     texts = pieces.texts
 
     def join(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        shown = pa.array(texts, pa.large_binary())
+        decode = decoder(texts)
         for batch in batches:
-            batch = pc.fill_null(batch, b"").cast(pa.large_binary())
-            cuts, at = _offsets(batch), 0
-            while at < len(batch):  # a part of the batch: the texts of a whole one are never held
-                n = max(1, int(np.searchsorted(cuts[at + 1:], cuts[at] + TEXT_BYTES, "right")))
-                ends = (cuts[at:at + n + 1] - cuts[at]) // 4
-                flat = np.frombuffer(batch.buffers()[2] or b"", "<u4", int(ends[-1]), int(cuts[at])) if ends[-1] else np.zeros(0, "<u4")
-                parts = shown.take(pa.array(flat))
-                ends = _offsets(parts)[ends].tolist() if len(parts) else [0] * (n + 1)
-                raw = parts.buffers()[2].to_pybytes() if ends[-1] else b""
-                yield pa.array([raw[i + (raw[i:i + 1] == b" " and i < j):j].decode("utf-8", "replace")
-                                for i, j in zip(ends, ends[1:])], pa.string())
-                at += n
-            if not len(batch):
-                yield pa.array([], pa.string())
+            yield from decode(batch)
 
     join.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(join, "string")(ids)

@@ -229,8 +229,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     pieces = lattice.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    coded = lattice.encode(read(spark, sf_dir, "documents"), pieces, is_table=True)
-    coded = coded.withColumn("text", lattice.decoded(F.col("ids"), pieces))
+    coded = lattice.encode(read(spark, sf_dir, "documents"), pieces, is_table=True, decoded_as="text")
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"),
                         F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
 
