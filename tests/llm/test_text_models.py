@@ -167,6 +167,16 @@ def test_sentencepiece_place_memory(tmp_path):
         lattice.ids_of([b"200000"], True, *found)
 
 
+def test_sentencepiece_decoded_with_ids(spark):
+    """Decoding in the task that makes the ids is decoding the ids, and takes no second Python worker."""
+    pieces = lattice.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    got = lattice.encode(edge_docs(spark, EDGES), pieces, decoded_as="text")
+    assert got.columns == ["doc_id", "ids", "text"]
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().toString()
+    rows = got.withColumn("back", lattice.decoded(F.col("ids"), pieces)).collect()
+    assert rows and all(r["text"] == r["back"] for r in rows)
+
+
 def test_sentencepiece_query(spark, sf_small):
     import hashlib
     import sentencepiece
