@@ -1,6 +1,9 @@
 """Helpers shared by the operators of this subpackage."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -8,6 +11,8 @@ from apptflow.session import cut_lineage, scratch_path, stored  # noqa: F401  (t
 
 #: the white space of the text contracts: blank, tab, line feed, vertical tab, form feed, carriage return
 SPACES = r"[\x20\x09-\x0D]+"
+#: rows of an Arrow batch that are Python objects at a time: a worker keeps the memory that it once took
+ROWS = 256
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +23,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_parts(batch: pa.RecordBatch | pa.Array) -> Iterator[pa.RecordBatch | pa.Array]:
+    """``batch`` in runs of ``ROWS`` rows that share its buffers; an empty one as it is."""
+    for at in range(0, max(1, len(batch)), ROWS):
+        yield batch.slice(at, ROWS)
+
+
 def let(expr: str, name: str, body: str) -> str:
     """SQL text that evaluates ``expr`` once and uses it as ``name`` in ``body``."""
     return f"element_at(transform(array({expr}), {name} -> {body}), 1)"

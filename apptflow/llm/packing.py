@@ -31,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apptflow.llm.common import prefix_sums, stored
+from apptflow.llm.common import in_parts, prefix_sums, stored
 
 CAPACITY = 2048
-#: words whose ids a Python worker keeps, twice: the words met since the last turn, and those met before it
-CACHE_WORDS = 400_000
+#: words whose ids a Python worker keeps, twice: the words met since the last turn, and those met before it; it keeps
+#: them as long as it lives, beside the executor's heap
+CACHE_WORDS = 100_000
 CACHED_BYTES = 64
 #: bytes of text tokenized together
 GROUP_BYTES = 4 << 20
@@ -194,7 +195,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder_of(tokenizer_path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_parts(whole)):
             ids, texts = batch.column(0), batch.column(1).cast(pa.large_binary())
             of, start, length, crc, total, raw = [], [], [], [], [], []
             for i, data in enumerate(encode([t or b"" for t in texts.to_pylist()])):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apptflow.llm import labelled
-from apptflow.llm.common import free_name
+from apptflow.llm.common import free_name, in_parts
 
 BUCKETS = 1 << 16
 DIM = 10
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", modulus:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text in batch.column("text").to_pylist():
+            for text in (t for part in in_parts(batch.column("text")) for t in part.to_pylist()):
                 n = np.zeros(BUCKETS, np.int64)
                 for slots in hashed(text or ""):
                     n += np.bincount(slots, minlength=BUCKETS)
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", modulus:
 def _score_udf(model: Model):
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([model(t) for t in batch.to_pylist()], pa.float64())
+            yield pa.array([model(t) for part in in_parts(batch) for t in part.to_pylist()], pa.float64())
     return F.arrow_udf(score, "double")
 
 

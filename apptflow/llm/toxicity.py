@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apptflow.llm import labelled
-from apptflow.llm.common import free_name
+from apptflow.llm.common import free_name, in_parts
 
 LETTERS = 27  # 0 is the boundary
 ORDER = 4
@@ -88,7 +88,7 @@ def count_grams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LETTERS ** ORDER, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in (t for part in in_parts(batch.column(0)) for t in part.to_pylist()):
                 a = np.frombuffer(bytes(ORDER - 1) + letters(text or "") + b"\0", np.uint8).astype(np.int32)
                 code = ((a[:-3] * LETTERS + a[1:-2]) * LETTERS + a[2:-1]) * LETTERS + a[3:]
                 seen, n = np.unique(code, return_counts=True) if len(code) < 20_000 else (None, np.bincount(
@@ -273,7 +273,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: i
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader(grams)
         for batch in batches:
-            found = [np.fromiter(read(t or ""), np.int32).tobytes() for t in batch.column("text").to_pylist()]
+            found = [np.fromiter(read(t or ""), np.int32).tobytes()
+                     for part in in_parts(batch.column("text")) for t in part.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.binary())],
                                              names=["label", "found"])
 
@@ -303,7 +304,7 @@ def _scores(model: Model) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = model.scorer()
         for batch in batches:
-            yield pa.array([of(t) for t in batch.to_pylist()], pa.float64())
+            yield pa.array([of(t) for part in in_parts(batch) for t in part.to_pylist()], pa.float64())
     return score
 
 

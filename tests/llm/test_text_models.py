@@ -1,7 +1,9 @@
 """Packing, tokens, classifiers and the pipeline against brute force, round trips and held-out accuracy."""
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +64,36 @@ def test_word_ids(monkeypatch):
         assert got == want
 
 
+def test_word_cache_memory():
+    """What an encoder keeps between tasks stays beside the executor's heap, whatever the number of words."""
+    encode = packing.WordEncoder(WORDS)
+    tracemalloc.start()
+    try:
+        for at in range(0, 500_000, 25_000):
+            words = [np.base_repr(i * 7919, 26).translate({ord(str(d)): 85 + d for d in range(10)}) for i in range(at, at + 25_000)]
+            list(encode([" ".join(words).encode()]))
+        assert tracemalloc.get_traced_memory()[0] < 50e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_texts_of_a_batch_in_parts():
+    """A batch's texts are Python strings a part at a time; all get their score, in order."""
+    class Sizes:
+        def scorer(self):
+            return lambda text: float(len(text or ""))
+
+    rows = [None, "", *("x" * (10_000 + i) for i in range(3000))]
+    batch = pa.array(rows)
+    tracemalloc.start()
+    try:
+        got = [x for b in toxicity._scores(Sizes())(iter([batch, batch.slice(0, 0)])) for x in b.to_pylist()]
+        assert tracemalloc.get_traced_memory()[1] < 10e6
+    finally:
+        tracemalloc.stop()
+    assert got == [len(x or "") for x in rows]
+
+
 def test_packing_hard_texts(spark):
     rows = [(i, t) for i, t in enumerate(HARD_TEXTS + [t for _, t in EDGES])]
     check_packing(spark, edge_docs(spark, rows), capacity=16)
