@@ -114,6 +114,13 @@ def prepared(spark, sf_dir, task: str):
     return fe.prepare_regression(d, fit_on=train)
 
 
+@memo_plan
+def training_units(spark, sf_dir, task: str):
+    """The distinct training rows with their numbers, or None (see ``ml.units``)."""
+    train = prepared(spark, sf_dir, task).filter(F.col("split") == "train")
+    return ml.classification_units(train) if task == "cls" else ml.regression_units(train)
+
+
 @memo_plan
 def fitted(spark, sf_dir, kind: str) -> PipelineModel:
     task = "cls" if kind in ("dt", "rf_cls") else "reg"
@@ -121,7 +128,8 @@ def fitted(spark, sf_dir, kind: str) -> PipelineModel:
     train = d.filter(F.col("split") == "train")
     if task == "cls":
         return ml.fit_classifier(train, "dt" if kind == "dt" else "rf")
-    return ml.fit_regressor(train, "rf" if kind == "rf_reg" else "gbt")
+    found = training_units(spark, sf_dir, task)
+    return ml.fit_regressor(train, "rf" if kind == "rf_reg" else "gbt", found)
 
 
 def _scores(spark, sf_dir, kind):

@@ -2,9 +2,10 @@
 import statistics
 
 import pytest
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from apptflow.operators import features as fe
@@ -13,6 +14,7 @@ from apptflow.operators import tree_growth as growth
 from apptflow.operators import trees
 from apptflow.plans import q_features as qf
 from apptflow.plans.registry import queries
+from apptflow.session import stored
 from apptflow.sources import dims
 from apptflow.sources.adapters import shared_plans
 
@@ -184,3 +186,97 @@ def test_categories_are_broadcast_to_the_cells(spark):
     out = fe.sparse_features(rows, "k", ["c"], ["x"], known)
     assert sorted(map(tuple, out.collect())) == [(1, 0, 2.0), (1, 1, 1.0), (2, 2, 1.0), (3, 0, 1.0)]
     assert "strategy=broadcast" in out._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.fixture(scope="module")
+def alike(spark):
+    """2,000 rows, about 50 distinct, with a null and numbers of rows that differ."""
+    d = spark.range(2000).select((F.floor(F.sqrt("id")) % 5).alias("k"), (F.col("id") % 7 % 3).alias("v"))
+    return d.select(F.nullif(F.concat(F.lit("c"), F.col("k").cast("string")), F.lit("c4")).alias("c"),
+                    (F.col("v") * 10.0).alias("x"), (F.col("k") * 3.0 + F.col("v") * F.col("v") + F.col("k") % 2).alias("overrun"),
+                    F.when(F.col("k") + F.col("v") > 3, "b").otherwise("a").alias("class"))
+
+
+def _counted(monkeypatch, rows, cols):
+    monkeypatch.setattr(ml, "MANY_ROWS", 1000)
+    return ml.units(rows, cols)
+
+
+def _trees(model):
+    return [t.toDebugString.split("\n")[1:] for t in model.trees]
+
+
+def test_units_are_the_distinct_rows_of_many_alike(monkeypatch, alike):
+    assert ml.units(alike, ["c", "x", "overrun"]) is None  # few rows
+    found = _counted(monkeypatch, alike, ["c", "x", "overrun"])
+    got = {tuple(r)[:-1]: r["n_rows"] for r in found.collect()}
+    want = {tuple(r)[:-1]: r["count"] for r in alike.groupBy("c", "x", "overrun").count().collect()}
+    assert got == want and sum(got.values()) == 2000 and any(k[0] is None for k in got)
+    assert ml.units(alike.withColumn("id", F.monotonically_increasing_id()), ["id"]) is None  # none alike
+
+
+def test_boosting_on_units_is_boosting_on_rows(monkeypatch, alike):
+    found = _counted(monkeypatch, alike, ["c", "x", "overrun"])
+    gbt = GBTRegressor(featuresCol="features", labelCol="overrun", maxIter=4, maxDepth=3, stepSize=0.3, seed=1)
+    stages = fe.encoder_stages(["c"], ["x"])
+    whole, ours = ml._fit(alike, stages, gbt, ["features", "overrun"]), ml._fit_units(found, stages, gbt, "overrun")
+    got = ours.transform(found).withColumnRenamed("prediction", "p").select(*found.columns, "p")
+    both = whole.transform(found).join(got, [F.col("p") >= -1e9, *[found[c].eqNullSafe(got[c]) for c in ("c", "x", "overrun")]])
+    assert both.count() == found.count() and both.filter(F.abs(F.col("prediction") - F.col("p")) > 1e-9).isEmpty()
+
+
+def test_draws_of_a_unit_are_the_sum_of_its_rows_draws(spark):
+    rows = [("a", None, 1), (None, "a", 1), ("b", "b", 30), ("c", "c", 4000)]
+    found = spark.createDataFrame(rows, "c string, d string, n_rows long")
+    draws = {r["c"] or r["d"] + "?": r["draws"] for r in ml.with_draws(found, 4000).collect()}
+    for (c, d, n), got in zip(rows, (draws["a"], draws["a?"], draws["b"], draws["c"])):
+        assert statistics.fmean(got) == pytest.approx(n, abs=5 * (n / 4000) ** 0.5)
+        assert statistics.variance(got) == pytest.approx(n, rel=0.15)
+    assert draws["a"] != draws["a?"]
+    again = {r["c"] or r["d"] + "?": r["draws"] for r in ml.with_draws(found.repartition(3, "c"), 4000).collect()}
+    assert again == draws
+
+
+@pytest.mark.parametrize("kind", ["class", "reg"])
+def test_forest_of_draws_is_grown_from_the_drawn_rows(spark, monkeypatch, tmp_path, alike, kind):
+    """Each tree is the one that the learner grows from every row as often as it was drawn."""
+    weighed = alike.withColumn("weight", F.when(F.col("class") == "b", 2.5).otherwise(0.5))
+    same = {"featuresCol": "features", "featureSubsetStrategy": "all", "maxDepth": 4, "maxBins": 16, "seed": 3}
+    if kind == "class":
+        label, weight, stages, is_a = "label", "weight", [ml.label_indexer()], RandomForestClassificationModel
+        forest = RandomForestClassifier(labelCol=label, weightCol=weight, numTrees=3, **same)
+    else:
+        label, weight, stages, is_a = "overrun", None, [], RandomForestRegressionModel
+        forest = RandomForestRegressor(labelCol=label, numTrees=3, **same)
+    found = _counted(monkeypatch, weighed, ["c", "x", "overrun", "class", "weight"])
+    stages = [*stages, *fe.encoder_stages(["c"], ["x"])]
+    ours = ml._fit_units(found, stages, forest, label, weight)
+    last = ours.stages[-1]
+    assert isinstance(last, is_a) and last.getNumTrees == 3 and last.getMaxDepth() == 4
+    drawn = ml.with_draws(found, 3)
+    for t in range(3):
+        rows = drawn.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("draws")[t].cast("int"))))
+        rows = PipelineModel(stages=ours.stages[:-1]).transform(rows)
+        assert _trees(forest.copy({forest.numTrees: 1, forest.bootstrap: False}).fit(rows))[0] == _trees(last)[t]
+    ours.write().save(f"{tmp_path}/model")
+    assert _trees(PipelineModel.load(f"{tmp_path}/model").stages[-1]) == _trees(last)
+
+
+def test_forest_and_boosting_are_trained_on_units(spark, sf_small, monkeypatch):
+    """The learners' input has a row for every unit, not for every training row."""
+    monkeypatch.setattr(ml, "MANY_ROWS", 1000)
+    monkeypatch.setattr(ml, "ALIKE", 1)
+    monkeypatch.setattr(ml, "regressor", lambda kind: RandomForestRegressor(labelCol="overrun", numTrees=2, maxDepth=2)
+                        if kind == "rf" else GBTRegressor(labelCol="overrun", maxIter=2, maxDepth=2))
+    written = {}
+
+    def spy(df, what):
+        out = stored(df, what)
+        written.setdefault(what, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(ml, "stored", spy)
+    assert queries()["feature_importance"](spark, sf_small).filter("importance > 0").count() > 2
+    assert len(written["units"]) == 1 and written["encoded"] == written["units"] * 2
+    with shared_plans():
+        assert written["units"][0] < qf.prepared(spark, sf_small, "reg").filter("split = 'train'").count()
