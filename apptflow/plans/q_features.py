@@ -126,9 +126,11 @@ def fitted(spark, sf_dir, kind: str) -> PipelineModel:
     task = "cls" if kind in ("dt", "rf_cls") else "reg"
     d = prepared(spark, sf_dir, task)
     train = d.filter(F.col("split") == "train")
-    if task == "cls":
-        return ml.fit_classifier(train, "dt" if kind == "dt" else "rf")
+    if kind == "dt":  # its nodes' numbers are numbers of rows
+        return ml.fit_classifier(train, "dt")
     found = training_units(spark, sf_dir, task)
+    if task == "cls":
+        return ml.fit_classifier(train, "rf", found)
     return ml.fit_regressor(train, "rf" if kind == "rf_reg" else "gbt", found)
 
 
